@@ -269,7 +269,8 @@ def pack(pieces: DataFrame, *, most: int = 1024, part_pieces: int = PART_PIECES)
     place = plan.select("bins", "origins", "sizes").mapInArrow(places, "sequence_id long, part long, length long, offset long")
     place = place.withColumn("rank", F.row_number().over(W.partitionBy("part", "length").orderBy("sequence_id", "offset")))
     ranked = pieces.withColumn("rank", F.row_number().over(W.partitionBy("part", "length").orderBy("key", "piece", "ids_crc32")))
-    packed = ranked.join(place, ["part", "length", "rank"])
+    # Spark takes a plan's size for that of its places, and would broadcast them
+    packed = ranked.join(place.hint("merge"), ["part", "length", "rank"])
     alone = whole.withColumn("sequence_id", -F.monotonically_increasing_id() - 1).withColumn("offset", F.lit(0).cast("long"))
     names = [c for c in whole.columns if c not in ("sequence_id", "offset")]
     return packed.select(*names, "sequence_id", "offset").unionByName(alone.select(*names, "sequence_id", "offset"))
