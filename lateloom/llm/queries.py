@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, ngram_join, packing, sharding, token_counts, topk_search, toxicity, url_filters
+from . import decontamination, ngram_join, packing, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filters
 from ._shared import table
 
 
@@ -48,6 +48,10 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 8)
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=200, keep=("doc_id",))
+
+
 RULES = [
     url_filters.Rule("org", "/", "allow"),
     url_filters.Rule("example.org", "/es/", "block"),
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_token_counts": op7_token_counts,
     "op8_sharding": op8_sharding,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_url_filters": op10_url_filters,
 }
 
