@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -78,6 +79,11 @@ def needed_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
+def _after_first(n: str, percent: int) -> Column:
+    """How many of a set's shingles are not among its first."""
+    return F.ceil(F.lit(percent) * F.col(n) / 100) - 1
+
+
 def _fits(n: str, m: str, percent: int) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
@@ -117,18 +123,22 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, key
         "id", "n", F.min(F.struct("id", "n")).over(here).alias("first"), F.bit_xor(F.xxhash64("id")).over(here).alias("place"), F.count("*").over(here).alias("many")
     ).where("many > 1")
     # shingles that the same classes share are one place where they meet
-    places = materialize(met.groupBy("place", "id", "n", F.col("first.id").alias("to"), F.col("first.n").alias("to_n")).agg(F.lit(1).alias("one")).drop("one"))
+    places = materialize(met.groupBy("place", "id", "n", F.col("first.id").alias("to"), F.col("first.n").alias("to_n")).agg(F.count("*").alias("shared")))
     tried = materialize(places.where((F.col("id") != F.col("to")) & _fits("n", "to_n", percent)).select(F.col("to").alias("a"), F.col("id").alias("b")).distinct())
     links = count_overlaps(rows, classes, tried, size, percent)
     found = connected_components(links)
 
-    at_place = places.join(found, places["id"] == found["node"], "left").select("place", "id", "n", F.coalesce("component", "id").alias("component"))
+    at_place = places.join(found, places["id"] == found["node"], "left").select("place", "id", "n", "shared", F.coalesce("component", "id").alias("component"))
     at_place = materialize(at_place)
     open_places = at_place.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("place")
     still = materialize(at_place.join(open_places, "place", "left_semi"))
-    x, y = (still.withColumnsRenamed({c: f"{side}_{c}" for c in ("id", "n", "component")}) for side in "ab")
+    x = still.withColumnsRenamed({c: f"a_{c}" for c in ("id", "n", "component")})
+    y = still.drop("shared").withColumnsRenamed({c: f"b_{c}" for c in ("id", "n", "component")})
     across = x.join(y, "place").where((F.col("a_component") < F.col("b_component")) & _fits("a_n", "b_n", percent))
-    across = across.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
+    # of two components, all places where both meet are open: so all common first shingles are counted, and the rest can be common too
+    rest = F.greatest(_after_first("a_n", percent), _after_first("b_n", percent))
+    across = across.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.sum("shared").alias("shared")).where(F.col("shared") + rest >= needed_overlap(F.col("a_n"), F.col("b_n"), percent))
+    across = across.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = materialize(across.join(known, ["a", "b"], "left_anti"))
     if more.limit(1).count():
@@ -152,38 +162,35 @@ def _needed_bits(tags: DataFrame) -> np.ndarray:
 
 def count_overlaps(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of pairs (a, b: classes' ids) that link."""
-    spark = rows.sparkSession
-    who = classes.select("id", "tag", "one", "two")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct().join(who, "id")
-    bits = spark.sparkContext.broadcast(_needed_bits(wanted))
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("blocks"))
+    dealt = pairs.join(blocks, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
+    against = blocks.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
+    asked = materialize(dealt.unionByName(against).join(classes.select("id", "tag", "one", "two"), "id").drop("id"))
+    bits = rows.sparkSession.sparkContext.broadcast(_needed_bits(asked))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts that are asked for. Compressed, they are a third of their sets of hashes."""
         need = bits.value
-        for keys, h, at in _rows(batches, size):
-            if not len(h):
-                continue
-            h, at = _sets(h, at)
-            one, two = _signs(h, at)
-            tag = _tags(one, keys)
-            b = tag & (NEED_BITS - 1)
-            take = np.flatnonzero(((need[b >> 6] >> (b & 63)) & 1).astype(bool) & (np.diff(at) > 0))
-            if len(take):
-                sets = pa.array([h[at[i] : at[i + 1]].tobytes() for i in take], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[take]) for x in (tag, one, two)), sets], ["tag", "one", "two", "set"])
-
-    sets = materialize(rows.mapInArrow(whole, "tag long, one long, two long, set binary").join(wanted.hint("merge"), ["tag", "one", "two"]).select("id", "set"))
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("blocks"))
-    dealt = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")))
-    left = sets.join(blocks.hint("merge"), sets["id"] == blocks["a"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"), "set")
-    right = dealt.hint("merge").join(sets, dealt["b"] == sets["id"]).select("a", "block", "b", "set")
-    met = left.unionByName(right).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
+        for batch in batches:
+            for i, j, data, off in utf8(batch.column(1)):
+                h, at = _sets(*shingles(*words(data, off), size))
+                one, two = _signs(h, at)
+                tag = _tags(one, batch.column(0).slice(i, j - i))
+                b = tag & (NEED_BITS - 1)
+                take = np.flatnonzero(((need[b >> 6] >> (b & 63)) & 1).astype(bool) & (np.diff(at) > 0))
+                texts = pa.array([zlib.compress(data[off[k] : off[k + 1]], 1) for k in take], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[take]) for x in (tag, one, two)), texts], ["tag", "one", "two", "text"])
+
+    texts = rows.mapInArrow(whole, "tag long, one long, two long, text binary")
+    met = texts.join(asked.hint("merge"), ["tag", "one", "two"]).select("a", "block", "b", "text").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, row = None, np.zeros(0, np.uint64)
         for batch in batches:
             a, b = [], []
             for x, _, y, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(s, np.uint64)
+                raw = np.frombuffer(zlib.decompress(s), np.uint8)
+                own = np.unique(shingles(*words(raw, np.array([0, len(raw)])), size)[0])
                 if y is None:
                     at, row = x, own
                     continue
