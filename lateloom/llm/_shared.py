@@ -55,10 +55,10 @@ def text_or_empty(name: str) -> Column:
 
 
 def utf8(array: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cuts a column of strings (null: empty) into runs of rows of at most limit bytes or one row: first row, row after the last, bytes, offsets from 0."""
+    """Cuts a column of strings or UTF-8 (null: empty) into runs of rows of at most limit bytes or one row: first row, row after the last, bytes, offsets from 0."""
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()
-    array = array.cast(pa.large_string()).fill_null("")
+    array = array.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = array.buffers()
     n = len(array)
     if not n:

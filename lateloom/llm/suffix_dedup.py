@@ -17,6 +17,7 @@ anchors. Windows in a row with one anchor form a segment.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ SPLIT = 4096
 #: Bytes of a text whose segments are computed at once; places in it need PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 23, 24
 #: Strings of a shard that are sorted together hold so many bytes at most, unless one anchor has more.
-SORT_BYTES = 16 << 20
+SORT_BYTES = 3 << 20
 
 
 def segments(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -91,6 +92,10 @@ def _pieces(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     return tuple(map(np.concatenate, zip(*found, strict=True)))
 
 
+def _unpacked(texts: pa.Array) -> pa.Array:
+    return pa.array([zlib.decompress(t.as_buffer()) for t in texts], pa.large_binary())
+
+
 def _hits(rows: DataFrame) -> np.ndarray:
     bit = F.pmod(F.xxhash64("row"), F.lit(ROW_BITS))
     found = rows.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
@@ -134,7 +139,7 @@ def _sort_shard(group: list[tuple], length: int) -> Iterator[tuple[int, int, int
 
 
 def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[DataFrame, DataFrame]:
-    """For rows (row: a number of its own, text): marks (row, own, skip, bits) of segments with repeated windows, and the texts (row, text) that may have any."""
+    """For rows (row: a number of its own, text): marks (row, own, skip, bits) of segments with repeated windows, and the texts (row, packed: compressed) that may have any."""
     spark = rows.sparkSession
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,17 +167,18 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[Data
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["row", "text"]).filter(pa.array(_has(bits.value, batch.column(1).to_numpy())))
+            own = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["row", "text"]).filter(pa.array(_has(bits.value, batch.column(1).to_numpy())))
+            packed = [zlib.compress(t.as_buffer(), 1) for t in own.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(packed, pa.binary())], ["row", "packed"])
 
-    texts = materialize(rows.select("row", F.xxhash64("row").alias("hashed"), "text").mapInArrow(hit, "row long, text string"))
+    texts = materialize(rows.select("row", F.xxhash64("row").alias("hashed"), "text").mapInArrow(hit, "row long, packed binary"))
     asked = met.where("fetch").groupBy("row").agg(F.collect_list(F.struct("own", "single", "split")).alias("asked"))  # of one text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows_, asked_ = batch.column(0).to_pylist(), batch.column(2)
-            for i, j, data, off in utf8(batch.column(1)):
-                found = _pieces(data, off, length, gram)
-                text, begin, count, place, anchor, own = found
+            for i, j, data, off in utf8(_unpacked(batch.column(1))):
+                text, begin, count, place, anchor, own = _pieces(data, off, length, gram)
                 bounds = np.searchsorted(text, np.arange(j - i + 1))
                 out: list[list] = [[] for _ in range(7)]
                 for k in range(i, j):
@@ -193,7 +199,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[Data
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["anchor", "part", "row", "own", "single", "skip", "raw"])
 
-    wanted = texts.join(asked.hint("merge"), "row").select("row", "text", "asked")
+    wanted = texts.join(asked.hint("merge"), "row").select("row", "packed", "asked")
     dealt = wanted.mapInArrow(fetch, "anchor long, part int, row long, own long, single boolean, skip int, raw binary").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +264,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text:
         for batch in batches:
             ids, asked = batch.column(0).to_pylist(), batch.column(2)
             got: list[tuple] = []
-            for i, j, data, off in utf8(batch.column(1)):
+            for i, j, data, off in utf8(_unpacked(batch.column(1))):
                 text_, begin, count, _, _, own = _pieces(data, off, length, gram)
                 bounds = np.searchsorted(text_, np.arange(j - i + 1))
                 for k in range(i, j):
@@ -279,7 +285,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate(kinds)], ["row", "n_bytes", "n_removed", "n_spans", kind])
 
-    changed = texts.join(marks.hint("merge"), "row").select("row", "text", "marks").mapInArrow(cut, f"row long, n_bytes long, n_removed long, n_spans long, {kind} string")
+    changed = texts.join(marks.hint("merge"), "row").select("row", "packed", "marks").mapInArrow(cut, f"row long, n_bytes long, n_removed long, n_spans long, {kind} string")
     changed = materialize(changed)
     bits = spark.sparkContext.broadcast(_hits(changed))
     names = [f"k{i}" for i in range(len(keep))]
