@@ -4,10 +4,11 @@
 2. Size-derived bounds: for a Jaccard similarity of t, a set of n shares at least ceil(t n) of its shingles, so it shares one of the
    first n - ceil(t n) + 1 in any order that is the same for all; and the other's size lies between t n and n / t. The order is
    rare shingles first, by counts over all documents in a table of fixed size, so that passages of many documents come last.
-3. Classes that share such a shingle meet by it. Not all pairs: each meets the first one there, and what those two share is counted.
+3. Classes that share such a shingle meet by it. Not all pairs: at first a class is counted against a few others, of those that
+   come first where it meets them the ones with which it shares most.
 4. Overlaps are counted for blocks of classes against one at a time, which is a product of incidence rows; pairs below the
    bound go. The links make components. Where a shingle's classes are in one component, nothing can be left to find; where
-   they are not, the pairs across components are counted too. So no link between components is lost, and a group of
+   they are not, the pairs across components that can still reach the bound are counted too, the most promising first. So no link between components is lost, and a group of
    thousands of near copies costs about one pair for each of them.
 """
 
@@ -31,6 +32,8 @@ COUNTERS, FREQUENT = 1 << 22, 16
 NEED_BITS = 1 << 26
 #: Classes that are counted against one in a task, about.
 SALT = 4096
+#: Pairs of a class that are counted in the first rounds; all that are left across components are, in the end.
+AT_ONCE = 4
 
 
 def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -124,12 +127,14 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, key
     ).where("many > 1")
     # shingles that the same classes share are one place where they meet
     places = materialize(met.groupBy("place", "id", "n", F.col("first.id").alias("to"), F.col("first.n").alias("to_n")).agg(F.count("*").alias("shared")))
-    tried = materialize(places.where((F.col("id") != F.col("to")) & _fits("n", "to_n", percent)).select(F.col("to").alias("a"), F.col("id").alias("b")).distinct())
+    # first, each class against those that come first where it meets them, and of these the ones with which it shares most
+    other = places.where((F.col("id") != F.col("to")) & _fits("n", "to_n", percent))
+    common = other.groupBy(F.col("to").alias("a"), F.col("id").alias("b")).agg(F.sum("shared").alias("shared"))
+    tried = materialize(_most_promising(common))
     links = count_overlaps(rows, classes, tried, size, percent)
     found = connected_components(links)
 
-    at_place = places.join(found, places["id"] == found["node"], "left").select("place", "id", "n", "shared", F.coalesce("component", "id").alias("component"))
-    at_place = materialize(at_place)
+    at_place = materialize(_with_components(places, found))
     open_places = at_place.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("place")
     still = materialize(at_place.join(open_places, "place", "left_semi"))
     x = still.withColumnsRenamed({c: f"a_{c}" for c in ("id", "n", "component")})
@@ -138,12 +143,24 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, key
     # of two components, all places where both meet are open: so all common first shingles are counted, and the rest can be common too
     rest = F.greatest(_after_first("a_n", percent), _after_first("b_n", percent))
     across = across.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.sum("shared").alias("shared")).where(F.col("shared") + rest >= needed_overlap(F.col("a_n"), F.col("b_n"), percent))
-    across = across.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    across = across.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "shared")
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(across.join(known, ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        links = links.union(count_overlaps(rows, classes, more, size, percent))
+    left = materialize(across.join(known, ["a", "b"], "left_anti"))
+    at_once = AT_ONCE
+    while (n := left.count()) > 0:
+        # as long as there are many pairs for each class, a few of them are counted (in each round twice as many), and joined components need no others
+        few = n <= 2 * at_once * left.select("b").distinct().count()
+        pairs = left.select("a", "b") if few else materialize(_most_promising(left, at_once))
+        at_once *= 2
+        links = links.union(count_overlaps(rows, classes, pairs, size, percent))
         found = connected_components(links)
+        if few:
+            break
+        left = left.join(pairs, ["a", "b"], "left_anti")
+        for side in ("a", "b"):
+            own = found.withColumnsRenamed({"node": side, "component": f"of_{side}"})
+            left = left.join(own, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
+        left = materialize(left.where("of_a <> of_b").select("a", "b", "shared"))
 
     named = classes.select("one", "two", "n", "key", "id").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     names = named.groupBy("component").agg(F.min("key").alias("component_id"))
@@ -152,6 +169,16 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, key
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _most_promising(pairs: DataFrame, most: int = AT_ONCE) -> DataFrame:
+    """Of each b, the pairs that share most."""
+    nth = F.row_number().over(W.partitionBy("b").orderBy(F.desc("shared"), "a"))
+    return pairs.withColumn("nth", nth).where(F.col("nth") <= most).select("a", "b")
+
+
+def _with_components(places: DataFrame, found: DataFrame) -> DataFrame:
+    return places.join(found, places["id"] == found["node"], "left").select("place", "id", "n", "shared", F.coalesce("component", "id").alias("component"))
+
+
 def _needed_bits(tags: DataFrame) -> np.ndarray:
     bit = F.pmod(F.col("tag"), F.lit(NEED_BITS))
     found = tags.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(tag, {NEED_BITS}) & 63 as int)))").alias("bits")).toArrow()
