@@ -36,7 +36,7 @@ SPLIT = 4096
 #: Bytes of a text whose segments are computed at once; places in it need PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 23, 24
 #: Strings of a shard that are sorted together hold so many bytes at most, unless one anchor has more.
-SORT_BYTES = 3 << 20
+SORT_BYTES = 1 << 20
 
 
 def segments(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
