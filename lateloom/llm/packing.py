@@ -33,7 +33,7 @@ from ._shared import materialize
 #: Pieces of a packing partition, about.
 PART_PIECES = 1 << 16
 #: Entries of a worker's cache of encoded words, which then starts anew, and the longest word it keeps.
-CACHE_ENTRIES, LONGEST = 600_000, 64
+CACHE_ENTRIES, LONGEST = 200_000, 64
 #: Partitions that meet in one when bins are exchanged, and bins that each gives up at least.
 MEET, GIVE = 16, 24
 

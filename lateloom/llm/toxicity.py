@@ -31,7 +31,7 @@ EVEN, LEAST_Z = 0.3, 3.0
 #: Lengths of the beginnings that are features. A beginning is proper: the word is longer.
 BEGINNINGS = range(4, 10)
 #: Entries of a worker's cache of words, which then starts anew.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 100_000
 
 _WORD = re.compile(r"\w+")
 
