@@ -69,12 +69,12 @@ def assemble(tokens: DataFrame, centroids: DataFrame, codebook: DataFrame | None
     return Index(centroids, postings(tokens), codebook, doc_packs(pq.encode(rest, codebook)))
 
 
-def build(tokens: DataFrame, p: ClusteringParams, *, m: int = PQ_M, max_train: int | None = None) -> Index:
+def build(tokens: DataFrame, p: ClusteringParams, *, m: int = PQ_M, max_train: int | None = None, base: str = "raw") -> Index:
     """Clusters, then encodes residuals. Each stage's table is kept in the shared folder while the next uses it."""
     model = clustering.cluster(tokens, p)
     centroids = materialize(model.centroids.withColumn("unit", normalize(F.col("raw"))))
     assigned = materialize(tokens.join(model.assign.select("doc_id", "pos", "centroid_id"), ["doc_id", "pos"]))
-    return assemble(assigned, centroids, m=m, seed=p.seed + 0xA1B2C3D4, max_train=max_train)
+    return assemble(assigned, centroids, m=m, seed=p.seed + 0xA1B2C3D4, max_train=max_train, base=base)
 
 
 def _figures(df: DataFrame) -> tuple[int, int]:

@@ -183,10 +183,10 @@ def test_index_is_verified(spark, sf, tmp_path):
 
 def test_built_index_finds_documents(spark, sf):
     t, q = catalogue.tok(spark, sf), catalogue.qt(spark, sf)
-    i = index.build(t, catalogue.ACTIVE)
-    found = retrieve.search(i, q, SearchParams(kappa_c=16, kappa_d=40, top_k=10))
+    i = index.build(t, catalogue.ACTIVE, base="unit")  # residuals to what is scored with: a token is rebuilt nearly exactly
+    found = retrieve.search(i, q, SearchParams(kappa_c=32, kappa_d=50, top_k=10))
     exact = retrieve.top(retrieve.brute_force(q, t), 10)
-    assert retrieve.overlap(exact, found, 10).agg(F.avg("overlap")).first()[0] > 0.6
+    assert retrieve.overlap(exact, found, 10).agg(F.avg("overlap")).first()[0] > 0.8
 
 
 def test_graph_recall():
