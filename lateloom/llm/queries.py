@@ -116,4 +116,15 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_topk_search": _OP2, "op10_url_filters": _OP10}
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+')"
+_OP1 = f"""
+WITH i AS (SELECT item_id, ws, least(5, len(ws)) AS k FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark)),
+ig AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS g FROM (SELECT item_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM i WHERE k > 0)),
+d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+dg AS (SELECT DISTINCT doc_id, k, array_to_string(list_slice(ws, p, p + k - 1), ' ') AS g FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM ig))),
+n AS (SELECT item_id, count(*) AS n_shingles FROM ig GROUP BY 1),
+s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (k, g) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM s JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_shingles
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": _OP1, "op2_exact_topk_search": _OP2, "op10_url_filters": _OP10}
