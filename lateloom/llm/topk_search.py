@@ -113,8 +113,9 @@ def _by_coordinates(lists: Lists, queries: _Pack, bucket: _Pack, i: int, focus:
         norms = np.maximum(bucket.norms[at], 1e-300)
         t = np.minimum(lists.least[i] / (queries.norms[i] * norms), 1.0)  # each vector's own threshold
         slack = np.sqrt(np.maximum((1 - t * t) * (1 - q[f] * q[f]), 0)) + 1e-7
-        p = bucket.x[at, f] / norms
-        at = at[np.abs(p - t * q[f]) <= slack]
+        off = bucket.x[at, f] / norms - t * q[f]
+        beyond = (np.abs(q[f]) + 1e-7 >= t) & (off * q[f] >= 0)  # the axis itself is near enough to the query: no end on that side
+        at = at[(np.abs(off) <= slack) | beyond]
     if len(at):
         _keep(lists, np.array([i]), bucket.ids[at], _products(queries.x[i : i + 1], bucket.x[at], kind), queries.ids[i : i + 1])
 

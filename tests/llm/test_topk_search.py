@@ -61,3 +61,21 @@ def test_high_thresholds_prune_by_coordinates():
     for i in range(500):
         best = sorted((-s[i, j], j) for j in range(500) if j != i)[:3]
         assert [(-int(a), int(b)) for a, b in zip(lists.score[lists.row == i], lists.id[lists.row == i], strict=True)] == best
+
+
+def test_dominant_components():
+    """Queries nearer to an axis than the threshold: vectors between query and axis, and beyond the axis, are found."""
+    rng = np.random.default_rng(3)
+    x = np.rint(rng.normal(size=(400, 8)) * 6).astype(np.int64)
+    x[:200, 0] += 150
+    x[200:, 3] -= 150
+    x[0] = [150, 0, 0, 0, 0, 0, 0, 0]
+    pack = topk_search._Pack(np.arange(400), x, np.sqrt((x.astype(float) ** 2).sum(1)))
+    s = x @ x.T
+    for k in (1, 20, 100):
+        lists = topk_search.Lists(400, k)
+        lists.least = np.array([sorted(np.delete(s[i], i))[-k] for i in range(400)], float)  # as found before
+        topk_search.search_bucket(lists, pack, pack, topk_search._focus(pack))
+        for i in range(400):
+            best = sorted((-s[i, j], j) for j in range(400) if j != i)[:k]
+            assert [(-int(a), int(b)) for a, b in zip(lists.score[lists.row == i], lists.id[lists.row == i], strict=True)] == best
