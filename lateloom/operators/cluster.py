@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,13 +14,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lateloom.functions.shared import materialize
-from lateloom.functions.vectors import normalize
+from lateloom.functions.vectors import l2sq, normalize
 from lateloom.params import AllZero, ClusteringParams, EmptyVectorSet, KmeansBudgetTooSmall
 
 from . import budget, stats
 
 #: Vectors of a token beyond which its fit is spread over tasks.
 GROUP_ROWS = 100_000
+#: Of such a fit: vectors of a block, about, and rounds that draw candidates for its start, at least where rows are left.
+BLOCK_ROWS, SEED_ROUNDS = 8192, 5
 
 
 @dataclass
@@ -40,12 +43,12 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, dist
 
 
-def seed_centroids(x: np.ndarray, k: int, rng: np.random.Generator, strict: bool) -> np.ndarray:
-    """k-means++. Where fewer than k rows differ, the last choice is repeated, or (strict) it is an error."""
-    chosen = [int(rng.integers(len(x)))]
+def seed_centroids(x: np.ndarray, k: int, rng: np.random.Generator, strict: bool, weights: np.ndarray | None = None) -> np.ndarray:
+    """k-means++, of rows that count weights times each. Where fewer than k rows differ, the last choice is repeated, or (strict) it is an error."""
+    chosen = [int(rng.integers(len(x))) if weights is None else int(rng.choice(len(x), p=weights / weights.sum()))]
     dist = ((x - x[chosen[0]]) ** 2).sum(1)
     while len(chosen) < k:
-        total = dist.cumsum()
+        total = (dist if weights is None else dist * weights).cumsum()
         if total[-1] <= 0:
             if strict:
                 raise AllZero("fewer vectors differ than there are centroids")
@@ -118,37 +121,109 @@ def cluster(tokens: DataFrame, p: ClusteringParams, group_rows: int = GROUP_ROWS
     return ClusterModel(budgets, centroids, ids.where("kind = 0").select("doc_id", "pos", "token_id", "centroid_id", "dist"))
 
 
-def _distributed(own: DataFrame, p: ClusteringParams) -> DataFrame:
-    """Lloyd's rounds for tokens with very many vectors: centroids are joined by token, sums are aggregated before they are shuffled."""
-    own = materialize(own)
-    order = W.partitionBy("token_id").orderBy(F.xxhash64(F.lit(p.seed), "doc_id", "pos"))
-    starts = own.withColumn("local_k", F.row_number().over(order) - 1).where("local_k < kappa_j").select("token_id", "local_k", F.col("vec").alias("raw"))
-    centroids = materialize(starts)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            best, dist = [], []
-            for v, c in zip(batch.column("vec").to_pylist(), batch.column("all").to_pylist(), strict=True):
-                k, d = nearest(np.array([v]), np.array([r["raw"] for r in sorted(c, key=lambda r: r["local_k"])]))
-                best.append(int(k[0]))
-                dist.append(float(d[0]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("token_id", "doc_id", "pos", "vec")), pa.array(best, pa.int32()), pa.array(dist, pa.float64())], ["token_id", "doc_id", "pos", "vec", "local_k", "dist"])
-
-    before = None
-    for _ in range(p.max_iters):
-        held = centroids.groupBy("token_id").agg(F.collect_list(F.struct("local_k", "raw")).alias("all"))  # kappa_j vectors
-        near = materialize(own.select("token_id", "doc_id", "pos", "vec").join(held, "token_id").mapInArrow(assign, "token_id long, doc_id long, pos int, vec array<double>, local_k int, dist double"))
-        wcss = near.agg(F.sum("dist")).first()[0]
-        means = near.select("token_id", "local_k", F.posexplode("vec").alias("d", "x")).groupBy("token_id", "local_k", "d").agg(F.avg("x").alias("x"))
-        moved = means.groupBy("token_id", "local_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("new"))
-        centroids = materialize(centroids.join(moved, ["token_id", "local_k"], "left").select("token_id", "local_k", F.coalesce("new", "raw").alias("raw")))
-        if before is not None and (before <= 0 or (before - wcss) / before < p.tol):
+def _in_blocks(rows: DataFrame, points: DataFrame) -> DataFrame:
+    """rows(token_id, block, doc_id, pos, vec) with near, the place of the nearest of the token's points(token_id, place, raw), and its squared distance.
+
+    near is null where the token has no point. Every block of rows, BLOCK_ROWS about, gets its token's points once.
+    """
+    dealt = points.join(rows.select("token_id", "block").distinct(), "token_id").select(F.col("token_id").alias("t"), F.col("block").alias("b"), "place", "raw")
+
+    def one(own: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        own = own.assign(near=None, dist=np.inf)
+        if len(own) and len(points):
+            points = points.sort_values("place", kind="stable")
+            x, c = np.stack(own["vec"].to_numpy()), np.stack(points["raw"].to_numpy())
+            k, _ = nearest(x, c)
+            own["near"], own["dist"] = points["place"].to_numpy()[k], ((x - c[k]) ** 2).sum(1)
+        return own[["token_id", "block", "doc_id", "pos", "vec", "near", "dist"]]
+
+    met = rows.select("token_id", "block", "doc_id", "pos", "vec").groupBy("token_id", "block").cogroup(dealt.groupBy("t", "b"))
+    return met.applyInPandas(one, "token_id long, block long, doc_id long, pos int, vec array<double>, near int, dist double")
+
+
+def _spread_seeds(own: DataFrame, p: ClusteringParams) -> DataFrame:
+    """kappa_j starts of each token, as (token_id, place, raw): k-means|| over all rows, then k-means++ over its weighted candidates.
+
+    Rounds go on until a token has as many different candidates as it needs, or none of its rows is away from all of them.
+    """
+    budgets = materialize(own.groupBy("token_id").agg(F.max("kappa_j").alias("kappa_j")))
+    draw = lambda r: F.xxhash64(F.lit(p.seed), F.lit(r), "token_id", "doc_id", "pos")
+    place = F.row_number().over(W.partitionBy("token_id").orderBy("raw")) - 1  # a token's candidates: a few times kappa_j
+    new = materialize(own.groupBy("token_id").agg(F.min_by("vec", F.struct(draw(0), "doc_id", "pos")).alias("raw")))
+    found, rows = new, own.withColumn("dist", F.lit(float("inf")))
+    for r in itertools.count(1):
+        closer = _in_blocks(rows, new.withColumn("place", place)).withColumnRenamed("dist", "now").drop("near", "vec", "block")
+        rows = materialize(rows.join(closer, ["token_id", "doc_id", "pos"]).withColumn("dist", F.least("dist", "now")).drop("now"))
+        have = found.groupBy("token_id").agg(F.count("*").alias("have"))
+        state = rows.groupBy("token_id").agg(F.sum("dist").alias("total"), F.max("dist").alias("most")).join(have, "token_id").join(budgets, "token_id")
+        state = materialize(state.where((F.col("most") > 0) & ((F.lit(r) <= SEED_ROUNDS) | (F.col("have") < F.col("kappa_j")))))  # the tokens not done
+        if not state.limit(1).count():
+            break
+        chance = 2 * F.col("kappa_j") * F.col("dist") / F.col("total")
+        uniform = F.pmod(draw(r), F.lit(1 << 32)) / float(1 << 32)
+        far = rows.drop("kappa_j").join(F.broadcast(state), "token_id")  # a row for each token of more than group_rows vectors
+        drawn = far.where((uniform < chance) | (F.col("dist") == F.col("most"))).select("token_id", F.col("vec").alias("raw")).distinct()
+        new = materialize(drawn.join(found, ["token_id", "raw"], "left_anti"))
+        if not new.limit(1).count():
             break
+        found = materialize(found.unionByName(new))
+    found = materialize(found.withColumn("place", place))
+    weights = _in_blocks(own, found).groupBy("token_id", F.col("near").alias("place")).agg(F.count("*").alias("weight"))
+    weighted = found.join(weights, ["token_id", "place"], "left").join(budgets, "token_id")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place", kind="stable")
+        token, k = int(pdf["token_id"].iloc[0]), int(pdf["kappa_j"].iloc[0])
+        chosen = seed_centroids(np.stack(pdf["raw"].to_numpy()), k, np.random.default_rng(p.seed ^ token), p.strict, pdf["weight"].fillna(0).clip(lower=1).to_numpy(np.float64))
+        return pd.DataFrame({"token_id": token, "place": np.arange(k), "raw": list(chosen)})
+
+    return weighted.groupBy("token_id").applyInPandas(choose, "token_id long, place int, raw array<double>")
+
+
+def _distributed(own: DataFrame, p: ClusteringParams) -> DataFrame:
+    """fit() for tokens with very many vectors: rows in blocks meet their token's centroids, sums are aggregated before they are shuffled.
+
+    As in fit(), empty centroids move to the farthest rows, and each token stops by its own wcss.
+    """
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n_j") / BLOCK_ROWS))
+    own = materialize(own.withColumn("block", F.pmod(F.xxhash64("doc_id", "pos"), blocks)).select("token_id", "block", "doc_id", "pos", "vec", "kappa_j", "n_j"))
+    alone = own.where("kappa_j >= n_j")  # each vector is its own centroid
+    alone = materialize(alone.select("token_id", "doc_id", "pos", "vec", (F.row_number().over(W.partitionBy("token_id").orderBy("doc_id", "pos")) - 1).alias("local_k")))
+    own = own.where("kappa_j < n_j").drop("n_j")
+    none, zero = F.lit(None).cast("array<double>"), F.lit(0)
+    kind_1 = lambda df: df.select(F.lit(1).alias("kind"), "token_id", zero.cast("long").alias("doc_id"), zero.alias("pos"), "local_k", F.lit(0.0).alias("dist"), F.col("raw"))
+    kind_0 = lambda df: df.select(F.lit(0).alias("kind"), "token_id", "doc_id", "pos", "local_k", "dist", none.alias("raw"))
+    done = kind_0(alone.withColumn("dist", F.lit(0.0))).unionByName(kind_1(alone.withColumn("raw", F.col("vec"))))
+    if not own.limit(1).count():
+        return done
+    centroids, before = materialize(_spread_seeds(own, p)), {}
+    for it in range(1, p.max_iters + 1):
+        near = materialize(_in_blocks(own, centroids))
+        wcss = {r["token_id"]: r["wcss"] for r in near.groupBy("token_id").agg(F.sum("dist").alias("wcss")).collect()}  # a row for each of these tokens
+        means = near.select("token_id", F.col("near").alias("place"), F.posexplode("vec").alias("d", "x")).groupBy("token_id", "place", "d").agg(F.avg("x").alias("x"))
+        moved = means.groupBy("token_id", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("new"))
+        moved = materialize(centroids.join(moved, ["token_id", "place"], "left"))
+        empty = moved.where("new is null").withColumn("rank", F.row_number().over(W.partitionBy("token_id").orderBy("place")))
+        empties = empty.groupBy("token_id").count().agg(F.max("count")).first()[0]
+        if empties:
+            order = (F.desc("dist"), F.asc("doc_id"), F.asc("pos"))
+            first = near.withColumn("rank", F.row_number().over(W.partitionBy("token_id", "block").orderBy(*order))).where(F.col("rank") <= empties)  # of each block, then of all
+            first = first.withColumn("rank", F.row_number().over(W.partitionBy("token_id").orderBy(*order))).where(F.col("rank") <= empties)
+            far = empty.select("token_id", "place", "rank").join(first.select("token_id", "rank", F.col("vec").alias("far")), ["token_id", "rank"])
+            moved = moved.join(far.drop("rank"), ["token_id", "place"], "left").withColumn("new", F.coalesce("new", "far"))
+        centroids = materialize(moved.select("token_id", "place", F.coalesce("new", "raw").alias("raw")))
+        ends = [t for t, w in wcss.items() if it == p.max_iters or it > 1 and (before[t] <= 0 or (before[t] - w) / before[t] < p.tol)]
+        if ends:
+            ended = F.broadcast(own.sparkSession.createDataFrame([(t,) for t in ends], "token_id long"))
+            last = centroids.join(ended, "token_id", "left_semi")
+            rows = near.join(ended, "token_id", "left_semi").join(last, (near["token_id"] == last["token_id"]) & (near["near"] == last["place"])).select(near["*"], last["raw"])
+            done = done.unionByName(kind_0(materialize(rows.select("token_id", "doc_id", "pos", F.col("near").alias("local_k"), l2sq(F.col("vec"), F.col("raw")).alias("dist")))))
+            done = done.unionByName(kind_1(materialize(last.withColumnRenamed("place", "local_k"))))
+            if len(ends) == len(wcss):
+                break
+            own, centroids = (df.join(ended, "token_id", "left_anti") for df in (own, centroids))
         before = wcss
-    none = F.lit(None).cast("array<double>")
-    rows = near.select(F.lit(0).alias("kind"), "token_id", "doc_id", "pos", "local_k", "dist", none.alias("raw"))
-    zero = F.lit(0)
-    return rows.unionByName(centroids.select(F.lit(1).alias("kind"), "token_id", zero.cast("long").alias("doc_id"), zero.alias("pos"), "local_k", F.lit(0.0).alias("dist"), "raw"))
+    return done
 
 
 def mean_centroids(tokens: DataFrame, digits: int = 9) -> DataFrame:

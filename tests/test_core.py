@@ -91,6 +91,26 @@ def test_cluster_and_partitions(spark, sf):
     assert own <= 1.3 * cluster.cluster(t, p).assign.agg(F.sum("dist")).first()[0]
 
 
+def test_distributed_fit_of_copies(spark):
+    """A third of the rows are copies: no centroid is lost to them, and a token of copies alone is an error where that is asked for."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.zeros((300, 3)), rng.normal(size=(20, 3)).repeat(30, 0) * 50 + rng.normal(size=(600, 3)) * 0.1])
+    rows = [(i // 10, i % 10, 1, v.tolist()) for i, v in enumerate(x)] + [(1000 + i // 10, i % 10, 2, rng.normal(size=3).tolist()) for i in range(200)]
+    t = spark.createDataFrame(rows, "doc_id long, pos int, token_id long, vec array<double>")
+    p = ClusteringParams(kappa=40, mu=4, tau=8, epsilon=1, theta=1)
+    model = cluster.cluster(t, p, group_rows=10)
+    by = {r.token_id: r for r in model.assign.groupBy("token_id").agg(F.countDistinct("centroid_id").alias("used"), F.sum("dist").alias("wcss"), F.count("*").alias("n")).collect()}
+    budgets = {r.token_id: r.kappa_j for r in model.budgets.collect()}
+    local = {r.token_id: r.wcss for r in cluster.cluster(t, p).assign.groupBy("token_id").agg(F.sum("dist").alias("wcss")).collect()}
+    assert budgets[1] > 21 and [by[k].n for k in (1, 2)] == [900, 200]
+    for k in (1, 2):
+        assert by[k].used == budgets[k] and by[k].wcss <= 1.3 * local[k]
+    same = t.withColumn("vec", F.array(F.lit(1.0), F.lit(2.0)))
+    assert cluster.cluster(same, p, group_rows=10).centroids.count() == 40
+    with pytest.raises(Exception, match="fewer vectors differ"):
+        cluster.cluster(same, ClusteringParams(kappa=40, mu=4, tau=8, epsilon=1, theta=1, strict=True), group_rows=10).assign.count()
+
+
 def test_pq():
     x = np.random.default_rng(2).normal(size=(300, 32))
     words = np.stack([cluster.fit(x[:, m : m + 1], 256, seed=m).centroids for m in range(32)])
