@@ -6,11 +6,13 @@ import html
 import re
 from dataclasses import dataclass, field
 
-#: Fixed values of HTML: elements without content, elements whose content is no text, and elements inside a line of text.
+#: Fixed values of HTML: elements without content, elements whose content is no text (RAW to the end of the page where it isn't closed), and elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OPAQUE = ("script", "style", "template", "noembed", "noframes", "iframe", "xmp", "svg", "math", "object", "audio", "video", "canvas")
+RAW = ("script", "style", "noembed", "noframes", "iframe")
+OPAQUE = frozenset("template svg object audio video canvas".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br"
+    " math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mpadded mphantom merror mfenced menclose mmultiscripts mtable mtr mtd semantics annotation".split()
 )
 #: An element that a start tag of the key closes, if one is open above the elements in the second set.
 _CLOSES = {
@@ -27,9 +29,10 @@ _HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
 _ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(OPAQUE)})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(textarea|title)\b({_ATTRIBUTES})>(.*?)(?:</\2\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*(?:>|\Z)",
+    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(textarea|title|xmp)(?=[\s/>])({_ATTRIBUTES})>(.*?)(?:</\2(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in OPAQUE}
 _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]{2,}")
 _SPACE = re.compile(r"\s+")
@@ -85,7 +88,7 @@ class _Parser:
             self.text(" ")
         elif tag == "a" and self.links:
             self.close("a")
-        if tag in VOID or attributes.endswith("/") and tag not in INLINE:
+        if tag in VOID or attributes.endswith("/") and (tag not in INLINE or tag == "math"):
             return
         top = self.stack[-1]
         named = (w for m in _NAMING.findall(attributes) for w in _WORDS.findall(m.lower())) if "=" in attributes else ()
@@ -122,19 +125,25 @@ def leaf_blocks(page: str) -> list[Block]:
     """The blocks of a page in order. Character references are decoded and white space inside a block is one space."""
     p = _Parser()
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         p.text(page[at : m.start()])
         at = m.end()
         if name := m[6]:
             tag = name.lower()
             if m[5]:
                 p.close(tag)
+            elif tag in OPAQUE and not m[7].endswith("/") and tag not in unclosed and (end := _ENDS[tag].search(page, at)):
+                p.flush()
+                at = end.end()
             else:
+                if tag in OPAQUE and not m[7].endswith("/"):
+                    unclosed.add(tag)
                 p.open(tag, m[7].strip())
         elif name := m[2]:
             p.flush()
             p.open(name.lower(), m[3])
-            p.text(m[4])
+            p.text(m[4] if name.lower() != "xmp" else m[4].replace("&", "&amp;"))  # has no character references
             p.close(name.lower())
         elif m[1]:
             p.flush()

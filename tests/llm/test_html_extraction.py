@@ -33,6 +33,23 @@ def test_leaf_blocks(page, want):
     assert [b.text for b in leaf_blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>a</p><svg width=1 /><p>b</p><svg><text>no</text></svg><p>c</p>", ["a", "b", "c"]),
+        ("<p>a <math/>b</p><p>c</p>", ["a b", "c"]),
+        ("<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>", ["where x=1 holds"]),
+        ("<video-player>a</video-player><object-card>b</object-card><p>c", ["a", "b", "c"]),
+        ("<title-bar>a</title-bar><p>b", ["a", "b"]),
+        ("<xmp>a <b> &amp;</xmp><p>c", ["a <b> &amp;", "c"]),
+        ("<p>a</p><video src=x><p>b</p>", ["a", "b"]),
+        ("<video>no</video ><object data=x/><p>a</p><object>no</object><script/>no</script x><p>b", ["a", "b"]),
+    ],
+)
+def test_text_beside_opaque_elements(page, want):
+    assert [b.text for b in leaf_blocks(page)] == want
+
+
 def test_viterbi_against_all_labellings():
     rng = random.Random(1)
     for _ in range(200):
