@@ -1,9 +1,9 @@
 """Best-fit packing with certified bounds.
 
 Documents become token ids, and pieces of at most one sequence. Pieces are dealt into packing partitions by hash; each
-partition packs its pieces by best-fit decreasing and compares its bins with lower bounds from dual feasible functions.
-Where all partitions together have more bins than the bound over all pieces, partitions give up their least filled bins,
-whose pieces meet in fewer partitions and are packed anew, round by round, until the bound is met or one partition is left.
+partition packs its pieces by best-fit decreasing. Where all partitions together have more bins than the lower bound that
+dual feasible functions give over all pieces, partitions give up every bin that has room left, whose pieces meet in fewer
+partitions and are packed anew, round by round, until the bound is met or one partition is left.
 
 Only lengths matter for packing, so a partition is packed as a histogram of at most one entry for each length: best-fit
 decreasing places equal pieces together, and its result is a list of bin patterns with multiplicities. Patterns become
@@ -34,8 +34,8 @@ from ._shared import materialize
 PART_PIECES = 1 << 16
 #: Entries of a worker's cache of encoded words, which then starts anew, and the longest word it keeps.
 CACHE_ENTRIES, LONGEST = 200_000, 64
-#: Partitions that meet in one when bins are exchanged, and bins that each gives up at least.
-MEET, GIVE = 16, 24
+#: Partitions that meet in one when bins are exchanged.
+MEET = 16
 
 #: How the byte-level pre-tokenizer parts a text (fixed by the tokenizer).
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -233,13 +233,8 @@ def pack(pieces: DataFrame, *, most: int = 1024, part_pieces: int = PART_PIECES)
     bound = lower_bound(lengths, most)
     settled = []
     while parts > 1 and (plan.agg(F.sum("bins")).first()[0] or 0) > bound - sum(x for _, x in settled):
-        # a partition gives up its least filled bins, as many as a bin's worth of room lies in, and GIVE at least
-        w = W.partitionBy("part").orderBy("used", "sizes", "origins")
-        ranked = plan.withColumn("before", F.sum("bins").over(w) - F.col("bins"))
-        given = F.least(F.greatest(F.lit(GIVE) - F.col("before"), F.lit(0)), F.col("bins"))
-        ranked = ranked.withColumn("given", F.when(F.col("used") < most, given).otherwise(0))
-        keep = ranked.withColumn("bins", F.col("bins") - F.col("given")).where("bins > 0").drop("before", "given")
-        give = ranked.withColumn("bins", F.col("given")).where("bins > 0").drop("before", "given")
+        # only bins without room stay: a partition that meets its own bound may have the pieces that fill another's
+        keep, give = plan.where(F.col("used") == most), plan.where(F.col("used") < most)
         parts = -(-parts // MEET)
 
         def again(pdf: pd.DataFrame) -> pd.DataFrame:

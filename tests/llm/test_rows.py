@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lateloom.llm import packing, sharding, token_counts, url_filters
@@ -136,6 +137,16 @@ def test_exchange(spark, part_pieces):
     assert len({r.sequence_id for r in found}) <= whole * 1.02 + 1
 
 
+def test_exchange_of_unbalanced_halves(spark):
+    """Pieces of 600 and 424 fill sequences in pairs; 16 partitions have too many of one or the other."""
+    n = 60_000
+    length = F.when(F.col("id") % 2 == 0, 600).otherwise(424).cast("long").alias("length")
+    pieces = spark.range(n).select(F.col("id").alias("key"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), length, F.lit(7).cast("long").alias("ids_crc32"))
+    found = packing.pack(pieces, most=1024, part_pieces=n // 16)
+    sequences = found.groupBy("sequence_id").agg(F.sum("length").alias("used"), F.count("*").alias("n")).collect()
+    assert len(sequences) == n // 2 and all((r.used, r.n) == (1024, 2) for r in sequences)
+
+
 def test_best_fit_is_plain_best_fit():
     rng = random.Random(3)
     for _ in range(200):
