@@ -96,6 +96,16 @@ def vec_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("a_id", "b_id", V.rounded(V.cosine(F.col("a"), F.col("b"))).alias("cosine"))
 
 
+@query
+def vec_pairs_growing(spark: SparkSession, d: str) -> DataFrame:
+    """dot, l2sq and cosine of each vector whose id is divisible by 50 with every vector."""
+    e = emb(spark, d)
+    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
+    pairs = a.join(e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b")))
+    measures = {"dot": V.dot, "l2sq": V.l2sq, "cosine": V.cosine}
+    return pairs.select("a_id", "b_id", *(V.rounded(f(F.col("a"), F.col("b"))).alias(n) for n, f in measures.items()))
+
+
 @query
 def vec_normalize(spark: SparkSession, d: str) -> DataFrame:
     scaled = emb(spark, d).select("vec_id", F.transform(V.doubles(F.col("embedding")), lambda x: x * (F.col("vec_id") % 5)).alias("v"))
@@ -358,6 +368,33 @@ def reconstruct_tokens(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("doc_id < 10").select("doc_id", "pos", F.posexplode("vec").alias("d", "x")).select("doc_id", "pos", "d", V.rounded(F.col("x")).alias("x"))
 
 
+def trained_index(spark: SparkSession, d: str) -> index.Index:
+    """As fine_index, with a codebook trained on all residuals."""
+    centroids = materialize(cluster.mean_centroids(fine(spark, d), DIGITS))
+    own = fine_tokens(spark, d, centroids)
+    book = materialize(pq.train(index.residuals(own, centroids, DIGITS)))
+    return index.assemble(own, centroids, book, digits=DIGITS)
+
+
+@query
+def reconstruct_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every token, from codes of the trained codebook."""
+    i = trained_index(spark, d)
+    rows = index.reconstruct(i.doc_packs, i.centroids, i.codebook)
+    return rows.select("doc_id", "pos", F.posexplode("vec").alias("d", "x")).select("doc_id", "pos", "d", V.rounded(F.col("x")).alias("x"))
+
+
+@query
+def pq_distance_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every query token against the trained codebook."""
+    return pq.distance_table(qt(spark, d), trained_index(spark, d).codebook).select("qid", "qpos", "m", "code", V.rounded(F.col("ip")).alias("ip"))
+
+
+@query
+def search_trained(spark: SparkSession, d: str) -> DataFrame:
+    return ranks(retrieve.search(trained_index(spark, d), qt(spark, d), SMALL))
+
+
 @query
 def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Saves, loads and verifies an index; hits of the loaded one."""

@@ -239,3 +239,13 @@ def test_stream(spark, sf, tmp_path):
     s.processAllAvailable()
     s.stop()
     assert {(r.qid, r.doc_id) for r in got} == {(r.qid, r.doc_id) for r in retrieve.search(i, q, catalogue.SMALL).collect()}
+
+
+def test_whole_queries(spark, sf):
+    tokens, queries = catalogue.tok(spark, sf), catalogue.qt(spark, sf)
+    n = tokens.count()
+    assert catalogue.QUERIES["reconstruct_all"](spark, sf).count() == 64 * n
+    assert catalogue.QUERIES["pq_distance_all"](spark, sf).count() == queries.count() * 32 * 256
+    assert catalogue.QUERIES["vec_pairs_growing"](spark, sf).count() == -(-n // 50) * n
+    found = catalogue.QUERIES["search_trained"](spark, sf).groupBy("qid").count().collect()
+    assert len(found) == queries.select("qid").distinct().count() and all(r["count"] == 10 for r in found)
