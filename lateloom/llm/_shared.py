@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +22,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (local tests), an own one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs on one machine (tests), an own one."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = f"file://{tempfile.mkdtemp(prefix='lateloom-')}"
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -50,6 +55,30 @@ def forget() -> None:
             return
 
 
+_held: dict[str, tuple[Any, Any]] = {}
+
+
+def held(owner: str, of: Any, make: Callable[[], Any]) -> Any:  # noqa: ANN401
+    """What make() gives for the object of, kept in a worker until an operator asks for something else: caches of others go then.
+
+    The object itself is held, so that no other can be taken for it; paths are compared by value.
+    """
+    found = _held.get(owner)
+    if found is None or not (found[0] is of or isinstance(of, str) and found[0] == of):
+        release()
+        _held[owner] = found = (of, make())
+    return found[1]
+
+
+def release() -> None:
+    """Gives back what a worker's caches and allocators hold: an operator that keeps nothing begins with it."""
+    _held.clear()
+    _powers[:] = _ONES
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -87,17 +116,24 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_ONES = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: list[np.ndarray] = list(_ONES)
+#: Powers that are kept; longer texts compute their own.
+_KEEP_POWERS = 1 << 21
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            x = np.full(max(n, 1 << 16), base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) >= n:
+        return _powers[0][:n], _powers[1][:n]
+    made = []
+    for base in (_BASE, _INVERSE):
+        x = np.full(max(n, 1 << 16), base, np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x, out=x))
+    if n <= _KEEP_POWERS:
+        _powers[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

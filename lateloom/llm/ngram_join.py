@@ -1,47 +1,50 @@
 """N-gram Jaccard join: documents whose sets of word shingles overlap enough, by blocked products of the document by n-gram incidence.
 
-1. Every text gives the set of its shingles' hashes. Texts with the same set are one class from here on.
+1. Every text gives the set of its shingles' hashes. Texts with the same set are one class, a row of the incidence matrix.
 2. Size-derived bounds: for a Jaccard similarity of t, a set of n shares at least ceil(t n) of its shingles, so it shares one of the
    first n - ceil(t n) + 1 in any order that is the same for all; and the other's size lies between t n and n / t. The order is
    rare shingles first, by counts over all documents in a table of fixed size, so that passages of many documents come last.
-3. Classes that share such a shingle meet by it. Not all pairs: at first a class is counted against a few others, of those that
-   come first where it meets them the ones with which it shares most.
-4. Overlaps are counted for blocks of classes against one at a time, which is a product of incidence rows; pairs below the
-   bound go. The links make components. Where a shingle's classes are in one component, nothing can be left to find; where
-   they are not, the pairs across components that can still reach the bound are counted too, the most promising first. So no link between components is lost, and a group of
-   thousands of near copies costs about one pair for each of them.
+   Classes meet at a place: the first shingles that exactly the same classes share.
+3. Rows are dealt into blocks, a class by the place where it meets most others; the block of a large place is split. Each block is
+   multiplied by its transpose (block_links): overlaps accumulate over the columns, pairs below the bound go, and what
+   links gives components. Only a spanning forest leaves a product, never its pairs.
+4. Where a place's classes are in one component, nothing is left to find. Elsewhere, pairs of blocks that meet there are
+   multiplied over the first shingles alone; pairs in different components that can still reach the bound by what they share there
+   tell which rows of the two blocks are needed. These rows are multiplied over all columns, and link the components that are left.
+
+So a link between components is never lost, a row's text is read once, and a group of thousands of near copies costs a few
+dense products of blocks.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import lists, materialize, mix, shingles, utf8, words
+from ._shared import lists, materialize, mix, release, shingles, utf8, words
 from .components import connected_components
 
 #: Counters of shingles, and the least count in a task that makes one count as frequent.
 COUNTERS, FREQUENT = 1 << 22, 16
-#: Bits that tell which texts' whole sets are needed (8 MB; with more texts than bits, more sets are read than needed).
+#: Bits that tell which texts' whole sets are needed (8 MB; with more texts than bits, more texts are compared by tag than needed).
 NEED_BITS = 1 << 26
-#: Classes that are counted against one in a task, about.
-SALT = 4096
-#: Pairs of a class that are counted in the first rounds; all that are left across components are, in the end.
-AT_ONCE = 4
+#: Classes of a block, about, and their shingles, about; a longer text is alone in its block.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+#: Columns of a product that are dense at once.
+COLUMNS = 4096
 
+_CODEC = "zstd"
 
-def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """Keys, shingle hashes, and how many come before each text."""
-    for batch in batches:
-        for i, j, data, off in utf8(batch.column(1)):
-            h, at = words(data, off)
-            yield batch.column(0).slice(i, j - i), *shingles(h, at, size)
+
+def _hashed(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """First row, row after the last, shingle hashes, and how many come before each text."""
+    for i, j, data, off in utf8(column):
+        h, at = words(data, off)
+        yield i, j, *shingles(h, at, size)
 
 
 def _sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,43 +55,34 @@ def _sets(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _signs(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of each set, that don't depend on order."""
-    sums = [np.concatenate([[0], np.cumsum(mix(h ^ np.uint64(c)))]).astype(np.uint64) for c in (0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)]
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(c)))]) for c in (0x1B873593CC9E2D51, 0x38B34AE5A1E38B93)]
     one, two = (s[at[1:]] - s[at[:-1]] for s in sums)
     return one.view(np.int64), two.view(np.int64)
 
 
-def _tags(one: np.ndarray, keys: pa.Array) -> np.ndarray:
-    k = keys.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return mix(one.view(np.uint64) ^ mix(k.view(np.uint64))).view(np.int64)
-
-
 def frequencies(rows: DataFrame, size: int) -> np.ndarray:
     """For each counter, the binary logarithm of how often its shingles occur, where that is often: over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen = np.zeros(COUNTERS, np.uint32)
-        for _, h, _ in _rows(batches, size):
-            np.add.at(seen, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
+        for batch in batches:
+            for _, _, h, _ in _hashed(batch.column(0), size):
+                np.add.at(seen, (h % np.uint64(COUNTERS)).astype(np.int64), 1)
         often = np.flatnonzero(seen >= FREQUENT)
         yield pa.RecordBatch.from_arrays([pa.array(often.astype(np.int32)), pa.array(seen[often].astype(np.int64))], ["counter", "n"])
 
-    found = rows.mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
+    found = rows.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows at most
     level = np.zeros(COUNTERS, np.uint8)
     level[found.column("counter").to_numpy()] = np.ceil(np.log2(found.column("n").to_numpy().astype(float))).astype(np.uint8)
     return level
 
 
-def needed_overlap(n: Column, m: Column, percent: int) -> Column:
-    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
-
-
-def _after_first(n: str, percent: int) -> Column:
-    """How many of a set's shingles are not among its first."""
-    return F.ceil(F.lit(percent) * F.col(n) / 100) - 1
-
-
-def _fits(n: str, m: str, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+def first_shingles(h: np.ndarray, percent: int, level: np.ndarray) -> np.ndarray:
+    """Of a set (ascending), those of which a set that links shares one: rare ones first, and then by hash."""
+    n = len(h)
+    own = level[(h % np.uint64(COUNTERS)).astype(np.int64)]
+    return h[np.argsort(own, kind="stable")[: n - -(-percent * n // 100) + 1]]
 
 
 def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -101,66 +95,25 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, key
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    rows = rows.select("key", "text", F.xxhash64("key", "text").alias("tag"), F.xxhash64("text", "key").alias("tag2"))
     levels = spark.sparkContext.broadcast(frequencies(rows, size))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         level = levels.value
-        for keys, h, at in _rows(batches, size):
-            h, at = _sets(h, at)
-            n = np.diff(at)
-            one, two = _signs(h, at)
-            prefix = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            own = level[(h % np.uint64(COUNTERS)).astype(np.int64)]
-            chosen = [h[a:b][np.argsort(own[a:b], kind="stable")[:p]] for a, b, p in zip(at[:-1].tolist(), at[1:].tolist(), prefix.tolist(), strict=True)]
-            flat = np.concatenate(chosen) if chosen else h[:0]
-            columns = [pa.array(x, pa.int64()) for x in (n, one, two, _tags(one, keys))]
-            yield pa.RecordBatch.from_arrays([keys, *columns, lists(flat.view(np.int64), np.cumsum([0, *prefix]), pa.int64())], ["key", "n", "one", "two", "tag", "prefix"])
-
-    described = materialize(rows.mapInArrow(describe, "key long, n long, one long, two long, tag long, prefix array<long>"))
-    grouped = described.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("key"), F.min(F.struct("tag", "prefix")).alias("first"))
-    classes = materialize(grouped.select("one", "two", "n", "key", "first.tag", "first.prefix", F.monotonically_increasing_id().alias("id")))
-
-    entries = classes.select("id", "n", F.explode("prefix").alias("h"))
-    here = W.partitionBy("h")
-    met = entries.select(
-        "id", "n", F.min(F.struct("id", "n")).over(here).alias("first"), F.bit_xor(F.xxhash64("id")).over(here).alias("place"), F.count("*").over(here).alias("many")
-    ).where("many > 1")
-    # shingles that the same classes share are one place where they meet
-    places = materialize(met.groupBy("place", "id", "n", F.col("first.id").alias("to"), F.col("first.n").alias("to_n")).agg(F.count("*").alias("shared")))
-    # first, each class against those that come first where it meets them, and of these the ones with which it shares most
-    other = places.where((F.col("id") != F.col("to")) & _fits("n", "to_n", percent))
-    common = other.groupBy(F.col("to").alias("a"), F.col("id").alias("b")).agg(F.sum("shared").alias("shared"))
-    tried = materialize(_most_promising(common))
-    links = count_overlaps(rows, classes, tried, size, percent)
-    found = connected_components(links)
-
-    at_place = materialize(_with_components(places, found))
-    open_places = at_place.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("place")
-    still = materialize(at_place.join(open_places, "place", "left_semi"))
-    x = still.withColumnsRenamed({c: f"a_{c}" for c in ("id", "n", "component")})
-    y = still.drop("shared").withColumnsRenamed({c: f"b_{c}" for c in ("id", "n", "component")})
-    across = x.join(y, "place").where((F.col("a_component") < F.col("b_component")) & _fits("a_n", "b_n", percent))
-    # of two components, all places where both meet are open: so all common first shingles are counted, and the rest can be common too
-    rest = F.greatest(_after_first("a_n", percent), _after_first("b_n", percent))
-    across = across.groupBy("a_id", "b_id", "a_n", "b_n").agg(F.sum("shared").alias("shared")).where(F.col("shared") + rest >= needed_overlap(F.col("a_n"), F.col("b_n"), percent))
-    across = across.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "shared")
-    known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    left = materialize(across.join(known, ["a", "b"], "left_anti"))
-    at_once = AT_ONCE
-    while (n := left.count()) > 0:
-        # as long as there are many pairs for each class, a few of them are counted (in each round twice as many), and joined components need no others
-        few = n <= 2 * at_once * left.select("b").distinct().count()
-        pairs = left.select("a", "b") if few else materialize(_most_promising(left, at_once))
-        at_once *= 2
-        links = links.union(count_overlaps(rows, classes, pairs, size, percent))
-        found = connected_components(links)
-        if few:
-            break
-        left = left.join(pairs, ["a", "b"], "left_anti")
-        for side in ("a", "b"):
-            own = found.withColumnsRenamed({"node": side, "component": f"of_{side}"})
-            left = left.join(own, side, "left").withColumn(f"of_{side}", F.coalesce(f"of_{side}", side))
-        left = materialize(left.where("of_a <> of_b").select("a", "b", "shared"))
+        for batch in batches:
+            for i, j, h, at in _hashed(batch.column(1), size):
+                h, at = _sets(h, at)
+                chosen = [first_shingles(h[a:b], percent, level) if b > a else h[:0] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                flat = np.concatenate(chosen) if chosen else h[:0]
+                columns = [pa.array(x, pa.int64()) for x in (np.diff(at), *_signs(h, at))]
+                own = [batch.column(c).slice(i, j - i) for c in (0, 2, 3)]
+                yield pa.RecordBatch.from_arrays([*own, *columns, lists(flat.view(np.int64), np.cumsum([0, *map(len, chosen)]), pa.int64())], ["key", "tag", "tag2", "n", "one", "two", "first"])
+
+    described = materialize(rows.mapInArrow(describe, "key long, tag long, tag2 long, n long, one long, two long, first array<long>"))
+    grouped = described.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("key"), F.min(F.struct("tag", "tag2", "first")).alias("own"))
+    classes = materialize(grouped.select("one", "two", "n", "key", "own.*", F.monotonically_increasing_id().alias("id")))
+    found = connected_components(_links(rows, classes, size, percent))
 
     named = classes.select("one", "two", "n", "key", "id").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
     names = named.groupBy("component").agg(F.min("key").alias("component_id"))
@@ -169,14 +122,124 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, key
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _most_promising(pairs: DataFrame, most: int = AT_ONCE) -> DataFrame:
-    """Of each b, the pairs that share most."""
-    nth = F.row_number().over(W.partitionBy("b").orderBy(F.desc("shared"), "a"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= most).select("a", "b")
+def _parts(many: Column, shingles_: Column) -> Column:
+    """How many blocks so many classes make."""
+    return F.ceil(F.greatest(many / BLOCK, shingles_ / BLOCK_SHINGLES)).cast("long")
+
+
+def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """a and b: a forest over the classes' ids that spans all their links."""
+    places = meeting_places(classes)
+    sizes = places.groupBy("place").agg(F.count("*").alias("many"), F.sum("n").alias("all"), F.min("id").alias("hub"))
+    largest = places.join(sizes, "place").groupBy("id", "n").agg(F.max(F.struct("many", "place", "all", "hub")).alias("home")).select("id", "n", "home.*")
+    homes = materialize(largest.select("id", "n", F.col("place").alias("home"), _parts(F.col("many"), F.col("all")).alias("split"), "hub"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("split")))
+    texts = _texts(rows, homes.join(classes.select("id", "tag", "tag2"), "id").select("id", "tag", "tag2"))
+
+    own = homes.select("id", block.alias("i"))
+    hubs = homes.where("split > 1").select(F.col("hub").alias("id"), block.alias("i")).distinct()  # holds a large place's blocks together
+    links = block_links(texts, own.union(hubs).withColumn("j", F.col("i")), size, percent)
+    found = connected_components(links)
 
+    needed = _still_needed(places, homes, found, percent)
+    if not needed.limit(1).count():
+        return links
+    return links.union(block_links(texts, needed, size, percent))
 
-def _with_components(places: DataFrame, found: DataFrame) -> DataFrame:
-    return places.join(found, places["id"] == found["node"], "left").select("place", "id", "n", "shared", F.coalesce("component", "id").alias("component"))
+
+def meeting_places(classes: DataFrame) -> DataFrame:
+    """place, id, n and shared (so many first shingles) where at least two classes meet. Shingles that the same classes share are one place."""
+    entries = classes.select("id", F.col("n").cast("int").alias("n"), F.explode("first").alias("h"))
+    met = entries.groupBy("h").agg(F.bit_xor(F.xxhash64("id")).alias("place"), F.count("*").alias("many")).where("many > 1").select("h", "place")
+    return materialize(entries.join(met, "h").groupBy("place", "id", "n").agg(F.count("*").cast("int").alias("shared")))
+
+
+def _still_needed(places: DataFrame, homes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """i, j (blocks) and id: rows that must be multiplied over all columns, as they may link different components."""
+    at_place = places.join(found, places["id"] == found["node"], "left").withColumn("component", F.coalesce("component", "id")).drop("node")
+    is_open = at_place.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("place")
+    still = materialize(at_place.join(is_open, "place", "left_semi"))
+    # blocks follow components now: a large component has blocks of its own, which need not meet each other
+    sizes = found.join(homes, found["node"] == homes["id"]).groupBy("component").agg(_parts(F.count("*"), F.sum("n")).alias("parts")).where("parts > 1")
+    where = still.select("id", "component").distinct().join(homes.select("id", "home", "split"), "id").join(sizes, "component", "left")
+    alone = F.col("parts").isNotNull()
+    block = F.when(alone, F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("component"), F.col("split"))))
+    dealt = materialize(still.join(where.select("id", block.alias("block"), F.when(alone, F.col("component")).alias("of")), "id"))
+    there = dealt.groupBy("place", F.col("block").alias("other"), F.col("of").alias("other_of")).agg(F.lit(1).alias("one")).drop("one")
+    same = F.col("of").isNotNull() & F.col("of").eqNullSafe(F.col("other_of"))
+    met = dealt.join(there, "place").where(~same).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "id", "n", "component", "shared")
+    product = met.repartition("i", "j").sortWithinPartitions("i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for (i, j), group in _groups(batches, 2):
+            ids = _reachable(*(group[c] for c in range(6)), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), x)) for x in (i, j)] + [pa.array(ids)], ["i", "j", "id"])
+
+    return materialize(product.mapInArrow(run, "i long, j long, id long"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], list[np.ndarray]]]:
+    """Of rows of integers that are sorted by the first columns: these, and the other columns of each group."""
+    names, rest = None, []
+
+    def flush() -> tuple[tuple[int, ...], list[np.ndarray]]:
+        return names, [np.concatenate(c) for c in zip(*rest, strict=True)]
+
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+        n = batch.num_rows
+        if not n:
+            continue
+        change = np.zeros(n, bool)
+        for c in columns[:keys]:
+            change[1:] |= c[1:] != c[:-1]
+        for a, b in zip([0, *np.flatnonzero(change).tolist()], [*np.flatnonzero(change).tolist(), n], strict=True):
+            at = tuple(int(c[a]) for c in columns[:keys])
+            if names is not None and at != names:
+                yield flush()
+                rest = []
+            names = at
+            rest.append([c[a:b] for c in columns[keys:]])
+    if names is not None:
+        yield flush()
+
+
+def _reachable(block: np.ndarray, place: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
+    """The ids of two blocks (or one) that may link across components, by what they share of their first shingles.
+
+    A product of the incidence of ids and places, weighted by the shingles of a place. Beyond the first shingles, the one whose
+    last first shingle comes earlier shares at most what it has left.
+    """
+    own, row = np.unique(ids, return_inverse=True)
+    at, column = np.unique(place, return_inverse=True)
+    first = np.zeros(len(own), np.int64)
+    first[row] = np.arange(len(row))
+    size, of, side = n[first], component[first], block[first]
+    weight = np.zeros(len(at), np.float32)
+    weight[column] = shared
+    a, b = (np.flatnonzero(side == x) for x in (side.min(), side.max()))
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    keep = np.zeros(len(own), bool)
+    common = np.zeros((len(a), len(b)), np.float32)
+    to_a, to_b = (np.full(len(own), -1) for _ in range(2))
+    to_a[a], to_b[b] = np.arange(len(a)), np.arange(len(b))
+    for c in range(0, len(at), COLUMNS):
+        x, y = np.searchsorted(column, (c, c + COLUMNS))
+        r, k = row[x:y], column[x:y] - c
+        left, right = (np.zeros((len(s), COLUMNS), np.float32) for s in (a, b))
+        left[to_a[r[to_a[r] >= 0]], k[to_a[r] >= 0]] = 1
+        right[to_b[r[to_b[r] >= 0]], k[to_b[r] >= 0]] = 1
+        w = weight[c : c + COLUMNS]
+        common += left[:, : len(w)] @ (right[:, : len(w)] * w).T
+    na, nb = size[a][:, None], size[b][None, :]
+    beyond = np.maximum(-(-percent * na // 100), -(-percent * nb // 100)) - 1
+    need = -(-percent * (na + nb) // (100 + percent))
+    may = (common > 0) & (common + beyond >= need) & (of[a][:, None] != of[b][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+    keep[a[may.any(1)]] = True
+    keep[b[may.any(0)]] = True
+    return own[keep]
 
 
 def _needed_bits(tags: DataFrame) -> np.ndarray:
@@ -187,46 +250,106 @@ def _needed_bits(tags: DataFrame) -> np.ndarray:
     return out
 
 
-def count_overlaps(rows: DataFrame, classes: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b: classes' ids) that link."""
-    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("blocks"))
-    dealt = pairs.join(blocks, "a").select(F.col("b").alias("id"), "a", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"), "b")
-    against = blocks.select(F.col("a").alias("id"), "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
-    asked = materialize(dealt.unionByName(against).join(classes.select("id", "tag", "one", "two"), "id").drop("id"))
+def _texts(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, size and packed (the text, compressed) for asked (id, tag, tag2). Rows with the same key and text may give it more than once."""
+    asked = materialize(asked)
     bits = rows.sparkSession.sparkContext.broadcast(_needed_bits(asked))
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The texts that are asked for. Compressed, they are a third of their sets of hashes."""
-        need = bits.value
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        need, given = bits.value, np.zeros(0, np.int64)
         for batch in batches:
-            for i, j, data, off in utf8(batch.column(1)):
-                h, at = _sets(*shingles(*words(data, off), size))
-                one, two = _signs(h, at)
-                tag = _tags(one, batch.column(0).slice(i, j - i))
-                b = tag & (NEED_BITS - 1)
-                take = np.flatnonzero(((need[b >> 6] >> (b & 63)) & 1).astype(bool) & (np.diff(at) > 0))
-                texts = pa.array([zlib.compress(data[off[k] : off[k + 1]], 1) for k in take], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[take]) for x in (tag, one, two)), texts], ["tag", "one", "two", "text"])
-
-    texts = rows.mapInArrow(whole, "tag long, one long, two long, text binary")
-    met = texts.join(asked.hint("merge"), ["tag", "one", "two"]).select("a", "block", "b", "text").repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-
-    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, row = None, np.zeros(0, np.uint64)
+            tag = batch.column(1).to_numpy()
+            b = tag & (NEED_BITS - 1)
+            take = np.flatnonzero(((need[b >> 6] >> (b & 63)) & 1).astype(bool) & ~np.isin(tag, given))
+            take = take[np.unique(tag[take], return_index=True)[1]]  # of repeated rows one
+            given = np.concatenate([given, tag[take]])
+            raw = [t.as_buffer() for t in batch.column(0).take(pa.array(take)).fill_null("")]
+            packed = [pa.compress(t, codec=_CODEC, asbytes=True) for t in raw]
+            columns = [*(batch.column(c).take(pa.array(take)) for c in (1, 2)), pa.array([t.size for t in raw], pa.int64()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["tag", "tag2", "size", "packed"])
+
+    texts = rows.select("text", "tag", "tag2").mapInArrow(pack, "tag long, tag2 long, size long, packed binary")
+    return materialize(texts.join(asked.hint("merge"), ["tag", "tag2"]).select("id", "size", "packed"))
+
+
+def block_links(texts: DataFrame, blocks: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: a forest over the ids that spans the links inside each group (i, j) of blocks (i, j, id)."""
+    met = texts.join(blocks.hint("merge"), "id").select("i", "j", "id", "size", "packed").repartition("i", "j").sortWithinPartitions("i", "j", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        at, ids, sets = None, [], []
+        a, b = [], []
+
+        def multiply() -> None:
+            for x, y in forest(product(sets, percent)):
+                a.append(ids[x])
+                b.append(ids[y])
+
         for batch in batches:
-            a, b = [], []
-            for x, _, y, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = np.frombuffer(zlib.decompress(s), np.uint8)
-                own = np.unique(shingles(*words(raw, np.array([0, len(raw)])), size)[0])
-                if y is None:
-                    at, row = x, own
-                    continue
-                if x != at:
-                    raise ValueError("a block lacks the class that it is counted against")
-                n = int((row[np.minimum(np.searchsorted(row, own), len(row) - 1)] == own).sum())
-                if 100 * n >= percent * (len(row) + len(own) - n):
-                    a.append(x)
-                    b.append(y)
+            i, j, own, sizes = (batch.column(c).to_numpy().tolist() for c in range(4))
+            for x, y, k, n, packed in zip(i, j, own, sizes, batch.column(4), strict=True):
+                if (x, y) != at:
+                    multiply()
+                    at, ids, sets = (x, y), [], []
+                if not ids or ids[-1] != k:
+                    raw = np.frombuffer(pa.decompress(packed.as_buffer(), n, codec=_CODEC), np.uint8)
+                    ids.append(k)
+                    sets.append(np.unique(shingles(*words(raw, np.array([0, n])), size)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return materialize(met.mapInArrow(overlap, "a long, b long"))
+            a, b = [], []
+        multiply()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return materialize(met.mapInArrow(run, "a long, b long"))
+
+
+def product(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the sets (hashes ascending) link, by the product of their incidence matrix with its transpose."""
+    n = np.array([len(s) for s in sets], np.int64)
+    m = len(sets)
+    if m < 2:
+        return np.zeros((m, m), bool)
+    if m == 2:
+        both = np.concatenate(sets)
+        both.sort()
+        common = np.zeros((2, 2), np.int64)
+        common[0, 1] = (both[1:] == both[:-1]).sum()
+    else:
+        common = _overlaps(np.concatenate(sets), np.repeat(np.arange(m), n), m)
+    return np.triu(100 * common >= percent * (n[:, None] + n[None, :] - common), 1)
+
+
+def _overlaps(h: np.ndarray, row: np.ndarray, m: int) -> np.ndarray:
+    """Common hashes of each two of m rows: columns with one entry add nothing, the others are dense in turn."""
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    new = np.append(True, h[1:] != h[:-1])
+    alone = new & np.append(new[1:], True)
+    row, column = row[~alone], np.cumsum(new[~alone]) - 1
+    columns = int(column[-1]) + 1 if len(column) else 0
+    common = np.zeros((m, m), np.float64)
+    for c in range(0, columns, COLUMNS):
+        a, b = np.searchsorted(column, (c, c + COLUMNS))
+        x = np.zeros((m, min(COLUMNS, columns - c)), np.float32)
+        x[row[a:b], column[a:b] - c] = 1
+        common += x @ x.T
+    return common.astype(np.int64)
+
+
+def forest(linked: np.ndarray) -> Iterator[tuple[int, int]]:
+    """For each component of the upper triangular matrix, its first row with each other."""
+    either = linked | linked.T
+    left = either.any(1)
+    while left.any():
+        root = int(left.argmax())
+        inside, edge = np.zeros(len(left), bool), np.zeros(len(left), bool)
+        inside[root] = edge[root] = True
+        while edge.any():
+            edge = either[edge].any(0) & ~inside
+            inside |= edge
+        left &= ~inside
+        inside[root] = False
+        for x in np.flatnonzero(inside).tolist():
+            yield root, x

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
@@ -49,7 +50,7 @@ def found(df):
 @pytest.mark.parametrize(("size", "percent", "frequent"), [(4, 85, 16), (5, 80, 2)])
 def test_edited_copies(spark, size, percent, frequent, monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "SALT", 10)
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
     rng = random.Random(size)
     vocab = [f"w{i}" for i in range(200)] + ["Ä", "B"]
     text = lambda n: [rng.choice(vocab) for _ in range(n)]
@@ -95,3 +96,39 @@ def test_components(spark):
         parent[root(a)] = root(b)
     assert set(got) == set(parent)
     assert len({(got[x], root(x)) for x in parent}) == len({root(x) for x in parent}) == len(set(got.values()))
+
+
+def test_signs_do_not_depend_on_place():
+    rng = np.random.default_rng(1)
+    own, other = (np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (50, 4000))
+    h, at = np.concatenate([other, own, own]), np.cumsum([0, len(other), len(own), len(own)])
+    one, two = ngram_join._signs(h, at)
+    assert one[1] == one[2] == ngram_join._signs(own, np.array([0, len(own)]))[0][0] and two[1] == two[2] and one[0] != one[1]
+
+
+def test_product_and_forest():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.choice(60, rng.integers(20, 40)).astype(np.uint64)) for _ in range(70)] + [np.arange(9000, dtype=np.uint64), np.arange(100, 9000, dtype=np.uint64)]
+    linked = ngram_join.product(sets, 40)
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            n = len(np.intersect1d(x, sets[j]))
+            assert linked[i, j] == (100 * n >= 40 * (len(x) + len(sets[j]) - n))
+    assert linked[70, 71] and (ngram_join.product(sets[70:], 40) == linked[70:, 70:]).all()
+    pairs = list(ngram_join.forest(linked))
+    assert len(pairs) == len({y for _, y in pairs}) and all(x < y for x, y in pairs)
+
+
+def test_hot_group_across_blocks(spark, monkeypatch):
+    """Copies with edits near the bound, in many blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 12)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(90)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(ngram_join.jaccard_components(df)) == brute(rows, 4, 85)
