@@ -1,9 +1,10 @@
 """Best-fit packing with certified bounds.
 
 Documents become token ids, and pieces of at most one sequence. Pieces are dealt into packing partitions by hash; each
-partition packs its pieces by best-fit decreasing. Where all partitions together have more bins than the lower bound that
-dual feasible functions give over all pieces, partitions give up every bin that has room left, whose pieces meet in fewer
-partitions and are packed anew, round by round, until the bound is met or one partition is left.
+partition packs its pieces by best-fit decreasing and certifies its count of bins by the lower bound that dual feasible functions
+give for its pieces. Partitions with a gap meet in fewer partitions, where their pieces (later on those of bins that have room) are
+packed anew and certified again, round by round. Where no partition has a gap, but all together have more bins than the bound over
+all pieces (each rounds up by itself), the certified ones exchange what has room too, until that bound is met or one partition is left.
 
 Only lengths matter for packing, so a partition is packed as a histogram of at most one entry for each length: best-fit
 decreasing places equal pieces together, and its result is a list of bin patterns with multiplicities. Patterns become
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import held, materialize
 
 #: Pieces of a packing partition, about.
 PART_PIECES = 1 << 16
@@ -106,15 +107,6 @@ class Encoder(dict):
         return array("I", self.fast(first)).tobytes() + b"".join(map(self.__getitem__, rest))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def cut(n: int, most: int) -> list[tuple[int, int]]:
     """Start and length of the pieces of a document of n ids: all but the first have most."""
     first = n % most or most
@@ -126,7 +118,7 @@ def token_pieces(docs: DataFrame, path: str, *, most: int = 1024, end_id: int =
     end = array("I", [end_id]).tobytes()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = held("encoder", path, lambda: Encoder(path))
         for batch in batches:
             row, piece, start, length, crc = array("q"), array("i"), array("q"), array("q"), array("q")
             for r, t in enumerate(batch.column(1).fill_null("")):
@@ -200,12 +192,24 @@ def lower_bound(counts: Counter[int], most: int) -> int:
     return best
 
 
-_PLAN = "part long, bins long, origins array<long>, sizes array<long>, used long"
+_PLAN = "part long, bins long, origins array<long>, sizes array<long>, used long, gap long"
 
 
-def _frame(part: int, patterns: Iterable[Pattern]) -> pd.DataFrame:
-    rows = [(part, n, [o for o, _ in items], [s for _, s in items], sum(s for _, s in items)) for items, n in patterns]
-    return pd.DataFrame(rows, columns=["part", "bins", "origins", "sizes", "used"])
+def certified(patterns: Iterable[Pattern], most: int) -> int:
+    """How many bins more than their lower bound the patterns have: 0 is a proof that no packing has fewer."""
+    counts: Counter[int] = Counter()
+    bins = 0
+    for items, n in patterns:
+        bins += n
+        for _, size in items:
+            counts[size] += n
+    return bins - lower_bound(counts, most)
+
+
+def _frame(part: int, patterns: list[Pattern], most: int) -> pd.DataFrame:
+    gap = certified(patterns, most)
+    rows = [(part, n, [o for o, _ in items], [s for _, s in items], sum(s for _, s in items), gap) for items, n in patterns]
+    return pd.DataFrame(rows, columns=["part", "bins", "origins", "sizes", "used", "gap"])
 
 
 def _gathered(pdf: pd.DataFrame) -> dict[tuple[int, int], int]:
@@ -226,27 +230,31 @@ def pack(pieces: DataFrame, *, most: int = 1024, part_pieces: int = PART_PIECES)
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(pdf["part"].iloc[0])
-        return _frame(part, best_fit_decreasing({(part, int(s)): int(n) for s, n in zip(pdf["length"], pdf["count"], strict=True)}, most))
+        return _frame(part, best_fit_decreasing({(part, int(s)): int(n) for s, n in zip(pdf["length"], pdf["count"], strict=True)}, most), most)
 
     plan = materialize(histogram.groupBy("part").applyInPandas(first, _PLAN))
     lengths = Counter({int(r["length"]): int(r["n"]) for r in histogram.groupBy("length").agg(F.sum("count").alias("n")).collect()})  # under most rows
     bound = lower_bound(lengths, most)
-    settled = []
-    while parts > 1 and (plan.agg(F.sum("bins")).first()[0] or 0) > bound - sum(x for _, x in settled):
-        # only bins without room stay: a partition that meets its own bound may have the pieces that fill another's
-        keep, give = plan.where(F.col("used") == most), plan.where(F.col("used") < most)
-        parts = -(-parts // MEET)
+    settled, full, waits = [], 0, False
+    while full + (plan.agg(F.sum("bins")).first()[0] or 0) > bound and (parts > 1 or waits):
+        waits = parts > 1 and plan.where("gap > 0").limit(1).count() > 0
+        exchanges = F.col("gap") > 0 if waits else F.lit(True)  # certified partitions wait as long as others have a gap
+        # at first, whole partitions meet: at most MEET entries for each length; later, bins without room stay
+        stay = (F.col("used") == most) & ~exchanges if not settled else F.col("used") == most
+        kept = materialize(plan.where(stay))
+        settled.append(kept)
+        full += kept.agg(F.sum("bins")).first()[0] or 0
 
         def again(pdf: pd.DataFrame) -> pd.DataFrame:
-            part = int(pdf["part"].iloc[0]) // MEET
             new = best_fit_decreasing(_gathered(pdf), most)
             old = [(tuple(zip(map(int, o), map(int, s), strict=True)), int(n)) for n, o, s in zip(pdf["bins"], pdf["origins"], pdf["sizes"], strict=True)]
-            return _frame(part, min(new, old, key=lambda p: sum(n for _, n in p)))
+            return _frame(int(pdf["part"].iloc[0]) // MEET, min(new, old, key=lambda p: sum(n for _, n in p)), most)
 
-        kept = materialize(keep)
-        settled.append((kept, kept.agg(F.sum("bins")).first()[0] or 0))
-        plan = materialize(give.groupBy(F.floor(F.col("part") / MEET)).applyInPandas(again, _PLAN))
-    for kept, _ in settled:
+        room = plan.where(~stay)
+        met = F.floor(F.col("part") / MEET)
+        plan = materialize(room.where(exchanges).groupBy(met).applyInPandas(again, _PLAN).unionByName(room.where(~exchanges).withColumn("part", met)))
+        parts = -(-parts // MEET)
+    for kept in settled:
         plan = plan.unionByName(kept)
     plan = materialize(plan)
 
