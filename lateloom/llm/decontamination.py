@@ -19,10 +19,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ._shared import MARKS, lists, materialize, shingles, utf8, words
+from ._shared import MARKS, held, lists, materialize, shingles, utf8, words
 
 #: Shingles of the items that one pass over the documents looks for, at most: 8 bytes each, and 2 MB of bits.
 BLOCK_SHINGLES = 2_000_000
@@ -100,28 +102,33 @@ def item_sets(items: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"key {kind}, text string, size int, hashes array<long>").where("size > 0")
 
 
+def _blocks(items: DataFrame, size: int, key: str, text: str) -> Iterator[Broadcast]:
+    """The items, broadcast in blocks of about BLOCK_SHINGLES shingles (an item is never parted)."""
+    sets = materialize(item_sets(items, size, key, text))
+    total = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_SHINGLES))
+    numbered = sets.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)))
+    for block in range(blocks):
+        own = numbered.where(F.col("block") == block).select("key", "text", "size", "hashes").toArrow()
+        yield items.sparkSession.sparkContext.broadcast(own)
+
+
 def find_contained(
     docs: DataFrame, items: DataFrame, *, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
     """key, item_key, n_shingles, n_shared and containment of every pair of a row of docs and an item of which it has at least percent of the shingles.
 
-    Words are runs of letters and digits, in lower case. An item with fewer words than size is one shingle of all its words. Null
-    and empty items and documents are in no pair. Repeated rows give repeated pairs. Further columns are not read.
+    Words are runs of letters and digits of ASCII and of all characters beyond it, in lower case. An item with fewer words than size
+    is one shingle of all its words. Null and empty items and documents are in no pair. Repeated rows give repeated pairs, and rows
+    with the same key pairs of their own. Further columns are not read.
     """
-    spark = docs.sparkSession
-    sets = materialize(item_sets(items, size, item_key, item_text))
-    total = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
-    numbered = sets.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)))
     doc_kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     found = []
-    for block in range(blocks):
-        own = numbered.where(F.col("block") == block).select("key", "text", "size", "hashes").toArrow()  # about BLOCK_SHINGLES
-        shared = spark.sparkContext.broadcast(own)
+    for shared in _blocks(items, size, item_key, item_text):
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            indexes = _indexes(shared.value, percent)
+        def search(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            indexes = held("contained", shared.value, lambda: _indexes(shared.value, percent))
             for batch in batches:
                 pairs = [x for i, j, data, off in utf8(_lower(batch.column(1))) for x in _search(indexes, i, data, off)]
                 keys = batch.column(0).take(pa.array([p[0] for p in pairs], pa.int64()))
@@ -134,20 +141,34 @@ def find_contained(
     return reduce(DataFrame.unionAll, found).withColumnsRenamed({"key": key, "item": item_key})
 
 
-_built: dict[int, list[Index]] = {}
+def without_contained(docs: DataFrame, items: DataFrame, *, size: int = 5, percent: int = 80, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that are in no pair of find_contained: decided row by row, whatever their keys, and with all their columns."""
+    out = docs
+    for shared in _blocks(items, size, item_key, item_text):
+
+        def clean(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            indexes = held("contained", shared.value, lambda: _indexes(shared.value, percent))
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                own = batch.column(batch.num_columns - 1).cast(pa.string())
+                keep[[x[0] for i, j, data, off in utf8(_lower(own)) for x in _search(indexes, i, data, off)]] = False
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep))
+
+        names = [f"c{k}" for k in range(len(docs.columns))]
+        numbered = out.toDF(*names).withColumn("text", F.col(names[docs.columns.index(text)]).cast("string"))
+        kept = StructType([StructField(n, f.dataType) for n, f in zip(names, docs.schema, strict=True)])
+        out = numbered.mapInArrow(clean, kept).toDF(*docs.columns)
+    return out
 
 
 def _indexes(own: pa.Table, percent: int) -> list[Index]:
-    if id(own) not in _built:
-        _built.clear()
-        sizes = own.column("size").to_numpy()
-        texts, hashes = own.column("text").to_pylist(), own.column("hashes").to_pylist()
-        _built[id(own)] = [
-            Index(int(s), at.tolist(), [texts[i].encode() for i in at], [np.sort(np.array(hashes[i], np.int64).view(np.uint64)) for i in at], percent)
-            for s in np.unique(sizes)
-            for at in [np.flatnonzero(sizes == s)]
-        ]
-    return _built[id(own)]
+    sizes = own.column("size").to_numpy()
+    texts, hashes = own.column("text").to_pylist(), own.column("hashes").to_pylist()
+    return [
+        Index(int(s), at.tolist(), [texts[i].encode() for i in at], [np.sort(np.array(hashes[i], np.int64).view(np.uint64)) for i in at], percent)
+        for s in np.unique(sizes)
+        for at in [np.flatnonzero(sizes == s)]
+    ]
 
 
 def _search(indexes: list[Index], first: int, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import held
 from .html_blocks import Block, leaf_blocks
 from .labelled_pages import labelled_page
 
@@ -142,9 +143,6 @@ def default_field() -> Field:
     return train((blocks, labels) for blocks, labels in made if len(blocks) == len(labels))
 
 
-_known: dict[int, dict[tuple[str, ...], float]] = {}
-
-
 def extract_text(pages: DataFrame, field: Field | None = None, *, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """key, the columns keep, text and n_chars (code points) for every row of pages.
 
@@ -156,9 +154,7 @@ def extract_text(pages: DataFrame, field: Field | None = None, *, key: str = "pa
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        if id(model) not in _known:
-            _known.clear()
-        known = _known.setdefault(id(model), {})
+        known = held("field", model, dict)
         for batch in batches:
             texts = [model.extract(p.as_py() or "", known) for p in batch.column("html")]
             columns = [*(batch.column(f.name) for f in fields), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]

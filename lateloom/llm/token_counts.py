@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import held, release
+
 #: Heavy hitters that leave a task; entries of the broadcast table; entries of a worker's cache, which then starts anew.
 TASK_HITTERS, TABLE_ENTRIES, CACHE_ENTRIES = 4096, 16384, 500_000
 #: Longest run of characters that is kept in a table or a cache.
@@ -26,28 +28,22 @@ LONGEST = 64
 #: Where str.split and a tokenizer may not agree on what white space is; a text with one of these is encoded whole.
 _RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
-_encoders: dict[tuple[str, str], Callable[[str], int]] = {}
-
-
 def counter(path: str) -> Callable[[str], int]:
     """A function that counts a text's tokens as the library for the file at path gives them. path must be readable where it is called."""
     kind = path.rpartition(".")[2]
-    if (path, kind) not in _encoders:
-        if kind == "json":
-            from tokenizers import Tokenizer
+    if kind == "json":
+        from tokenizers import Tokenizer
 
-            t = Tokenizer.from_file(path)
-            t.no_truncation()
-            t.no_padding()
-            _encoders[path, kind] = lambda s: len(t.encode(s, add_special_tokens=False).ids)
-        elif kind == "model":
-            import sentencepiece
+        t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
+        return lambda s: len(t.encode(s, add_special_tokens=False).ids)
+    if kind == "model":
+        import sentencepiece
 
-            p = sentencepiece.SentencePieceProcessor(model_file=path)
-            _encoders[path, kind] = lambda s: len(p.encode(s, num_threads=1))
-        else:
-            raise ValueError(f"neither a .json nor a .model file: {path}")
-    return _encoders[path, kind]
+        p = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda s: len(p.encode(s, num_threads=1))
+    raise ValueError(f"neither a .json nor a .model file: {path}")
 
 
 def additive(path: str) -> bool:
@@ -82,14 +78,11 @@ class Lengths(dict):
         return sum(map(self.__getitem__, text.split()))
 
 
-#: One for each file, as long as the worker lives.
-_caches: dict[str, Lengths] = {}
-
-
 def frequent_runs(docs: DataFrame, text: str = "text") -> list[str]:
     """The runs that most texts' tasks found frequent. Counted over all texts; a task keeps and sends its heavy hitters only."""
 
     def hitters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seen: Counter[str] = Counter()
         for batch in batches:
             for t in batch.column(0).to_pylist():
@@ -114,9 +107,7 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 2048, key: str = "d
     tiers = docs.sparkSession.sparkContext.broadcast({w: count(w) for w in frequent})
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _caches:
-            _caches[path] = Lengths(tiers.value, path)
-        cache = _caches[path]
+        cache = held("lengths", tiers.value, lambda: Lengths(tiers.value, path))
         for batch in batches:
             texts = batch.column(1).fill_null("")
             n = [cache.total(t) for t in texts.to_pylist()]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize
+from ._shared import held, materialize, release
 
 #: Labelled rows that the model is fitted on, at most: those of least hash. Everything else covers all rows.
 FIT_ROWS = 20_000
@@ -121,6 +121,7 @@ def held_out(key: str) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     for batch in batches:
         names: list[str] = []
         toxic: list[int] = []
@@ -166,11 +167,15 @@ def _scale(scores: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Learns from labelled rows that aren't held out, at most fit_rows of them. Without both classes, no text has evidence."""
+    """Learns from labelled rows that aren't held out, at most fit_rows of them. Without both classes, no text has evidence.
+
+    Of labels with the same key the greatest counts, of documents with the same key the least text; null keys and labels are left out.
+    """
     rows = labels.select(F.col(key).alias("key"), F.col(label).cast("long").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("key").isNotNull())
-    sample = rows.where(~held_out("key")).dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").limit(fit_rows)
+    sample = rows.where(~held_out("key")).groupBy("key").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("key"), "key").limit(fit_rows)
     texts = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    sample = materialize(texts.join(F.broadcast(sample), "key").select("text", "toxic"))  # fit_rows ids are broadcast
+    one = texts.join(F.broadcast(sample), "key").groupBy("key").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # fit_rows ids are broadcast
+    sample = materialize(one.select("text", "toxic"))
     n_toxic, n_all = sample.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     none = Model({}, 1.0, 0.0, 1.0, 0.0, -4.0)
     if not n_toxic or n_toxic == n_all:
@@ -183,6 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     draft = Model(scores, 1.0, 0.0, 1.0, 0.0, -4.0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         scorer = Scorer(draft)
         for batch in batches:
             out = [scorer.scan(t or "") for t in batch.column(0).to_pylist()]
@@ -219,9 +225,6 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(w[0]), 0.0), float(w[1])
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """key, score, n_tokens and passages (begin and end by character, and score, of every significant segment) of every row, and the columns in keep.
 
@@ -232,10 +235,7 @@ def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", text:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        if id(m) not in _scorers:
-            _scorers.clear()
-            _scorers[id(m)] = Scorer(m)
-        scorer = _scorers[id(m)]
+        scorer = held("toxicity", m, lambda: Scorer(m))
         for batch in batches:
             scores, sizes, passages = [], [], []
             for t in batch.column("__text"):
