@@ -16,47 +16,51 @@ SHINGLE, PERCENT = 5, 80
 PASSAGE = 200
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects toxic documents. Empty and null texts stay. The model learns from labelled rows of docs."""
+    """Rejects toxic documents, row by row. Empty and null texts stay. The model learns from labelled rows of docs."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    keep = tuple(docs.columns)
-    scored = toxicity.score_documents(docs.withColumnsRenamed({c: f"own_{c}" for c in keep}), model, key="own_doc_id", text="own_text", keep=tuple(f"own_{c}" for c in keep))
-    return scored.where(F.col("score") < TOXIC).select(*(F.col(f"own_{c}").alias(c) for c in keep))
+    keep = tuple(f"own_{c}" for c in docs.columns)
+    scored = toxicity.score_documents(docs.toDF(*keep), model, key="own_doc_id", text="own_text", keep=keep)
+    return scored.where(F.col("score") < TOXIC).select(*keep).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the one of least doc_id, of each group of near copies; those without words stay. Of repeated rows one stays."""
-    groups = ngram_join.jaccard_components(docs, size=SHINGLE, percent=PERCENT)
-    gone = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") != F.col("component_id"))).select("doc_id")
-    first = groups.where((F.col("n_shingles") > 0) & (F.col("doc_id") == F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select("doc_id")
-    gone, first = materialize(gone.distinct()), materialize(first)
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not first.limit(1).count():
-        return rest
-    repeated = rest.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(first, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+    """Keeps one row of each group of near copies: the one of least doc_id (a null is greatest), and of these the first stored.
+
+    Rows are told apart by a number in a stored table, not by doc_id: rows with one id and different texts stay, and of rows that
+    repeat each other one stays. Rows without words stay.
+    """
+    row = _free(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = ngram_join.jaccard_components(numbered, size=SHINGLE, percent=PERCENT, key=row).where("n_shingles > 0")
+    groups = materialize(groups.join(numbered.select(row, "doc_id"), row).select(row, "component_id", F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col(row).alias("at")).alias("order")))
+    stays = groups.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = groups.join(stays, "component_id").where(F.col("order.at") != F.col("first.at")).select(row)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every passage of PASSAGE bytes that also starts elsewhere; a document of which nothing is left goes, one that was empty stays."""
-    others = tuple(c for c in docs.columns if c not in ("text", "n_chars"))
-    null = F.col("text").isNull().alias("was_null")
-    cut = suffix_dedup.remove_repeats(docs.select(*others, "text", "n_chars", null), length=PASSAGE, keep=(*others, "n_chars", "was_null"), out="text")
-    left = cut.where((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0))
-    text = F.when(~F.col("was_null"), F.col("kept_text"))
-    return left.select(
-        *(
-            text.alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c)
-            for c in docs.columns
-        )
-    )
+    own = [f"own_{c}" for c in docs.columns]
+    renamed = docs.toDF(*own).withColumn("was_null", F.col("own_text").isNull())
+    cut = suffix_dedup.remove_repeats(renamed, length=PASSAGE, text="own_text", keep=(*(c for c in own if c != "own_text"), "was_null"), out="text")
+    changed = F.col("n_removed") > 0
+    left = cut.where(~changed | (F.length(F.trim("kept_text")) > 0)).withColumn("own_text", F.when(~F.col("was_null"), F.col("kept_text")))
+    if "own_n_chars" in own:
+        left = left.withColumn("own_n_chars", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("own_n_chars")))
+    return left.select(*own).toDF(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain a test item."""
-    leaks = decontamination.find_contained(docs, table(spark, sf_dir, "benchmark"), size=SHINGLE, percent=PERCENT)
-    leaks = materialize(leaks.select("doc_id").distinct())
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that contain a test item, row by row."""
+    return decontamination.without_contained(docs, table(spark, sf_dir, "benchmark"), size=SHINGLE, percent=PERCENT)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

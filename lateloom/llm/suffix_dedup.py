@@ -247,7 +247,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text:
         raise ValueError("gram must be less than length")
     spark = docs.sparkSession
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *columns)
+    # stored, as the rows are read more than once and their numbers must not change
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *columns))
     marks, texts = repeats(rows.select("row", "text"), length=length, gram=gram)
     marks = marks.groupBy("row").agg(F.collect_list(F.struct("own", "skip", "bits")).alias("marks"))  # of one text
     kind = "kept_sha256" if out == "sha256" else "kept_text"
