@@ -5,15 +5,15 @@
    first n - ceil(t n) + 1 in any order that is the same for all; and the other's size lies between t n and n / t. The order is
    rare shingles first, by counts over all documents in a table of fixed size, so that passages of many documents come last.
    Classes meet at a place: the first shingles that exactly the same classes share.
-3. Rows are dealt into blocks, a class by the place where it meets most others; the block of a large place is split. Each block is
-   multiplied by its transpose (block_links): overlaps accumulate over the columns, pairs below the bound go, and what
+3. Rows are dealt into blocks, a class by the place where it meets most others; the block of a large place is split. A block is
+   multiplied by its transpose, first over the first shingles alone: rows of which no pair can reach the bound by what it shares
+   there go. What is left is multiplied over all columns (block_links): overlaps accumulate, pairs below the bound go, and what
    links gives components. Only a spanning forest leaves a product, never its pairs.
 4. Where a place's classes are in one component, nothing is left to find. Elsewhere, pairs of blocks that meet there are
-   multiplied over the first shingles alone; pairs in different components that can still reach the bound by what they share there
-   tell which rows of the two blocks are needed. These rows are multiplied over all columns, and link the components that are left.
+   multiplied in the same two steps, where only pairs in different components count.
 
-So a link between components is never lost, a row's text is read once, and a group of thousands of near copies costs a few
-dense products of blocks.
+So a link between components is never lost, only texts that may link are fetched, each once, and a group of thousands of near
+copies costs a few dense products of blocks.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ COUNTERS, FREQUENT = 1 << 22, 16
 NEED_BITS = 1 << 26
 #: Classes of a block, about, and their shingles, about; a longer text is alone in its block.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
-#: Columns of a product that are dense at once.
-COLUMNS = 4096
+#: Columns of a product that are dense at once, and pairs of entries from which a product of first shingles is dense.
+COLUMNS, DENSE = 4096, 1 << 18
 
 _CODEC = "zstd"
 
@@ -134,17 +134,18 @@ def _links(rows: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     largest = places.join(sizes, "place").groupBy("id", "n").agg(F.max(F.struct("many", "place", "all", "hub")).alias("home")).select("id", "n", "home.*")
     homes = materialize(largest.select("id", "n", F.col("place").alias("home"), _parts(F.col("many"), F.col("all")).alias("split"), "hub"))
     block = F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("split")))
-    texts = _texts(rows, homes.join(classes.select("id", "tag", "tag2"), "id").select("id", "tag", "tag2"))
 
-    own = homes.select("id", block.alias("i"))
-    hubs = homes.where("split > 1").select(F.col("hub").alias("id"), block.alias("i")).distinct()  # holds a large place's blocks together
-    links = block_links(texts, own.union(hubs).withColumn("j", F.col("i")), size, percent)
-    found = connected_components(links)
+    inside = places.join(homes.select("id", block.alias("block")), "id").select(F.col("block").alias("i"), F.col("block").alias("j"), "block", "place", "id", "n", F.col("id").alias("component"), "shared")
+    own = _reachable(inside, percent)
+    hubs = homes.where("split > 1").select(block.alias("i"), F.col("hub").alias("id")).distinct()  # holds a large place's blocks together
+    own = materialize(own.unionByName(hubs.withColumn("j", F.col("i"))).distinct())
+    read = own.select("id").distinct()
+    texts = _texts(rows, read.join(classes.select("id", "tag", "tag2"), "id"))
+    links = block_links(texts, own, size, percent)
 
-    needed = _still_needed(places, homes, found, percent)
-    if not needed.limit(1).count():
-        return links
-    return links.union(block_links(texts, needed, size, percent))
+    across = _still_needed(places, homes, connected_components(links), percent)
+    more = across.select("id").distinct().join(read, "id", "left_anti").join(classes.select("id", "tag", "tag2"), "id")
+    return links.union(block_links(texts.union(_texts(rows, more)), across, size, percent))
 
 
 def meeting_places(classes: DataFrame) -> DataFrame:
@@ -164,82 +165,126 @@ def _still_needed(places: DataFrame, homes: DataFrame, found: DataFrame, percent
     where = still.select("id", "component").distinct().join(homes.select("id", "home", "split"), "id").join(sizes, "component", "left")
     alone = F.col("parts").isNotNull()
     block = F.when(alone, F.xxhash64("component", F.pmod(F.xxhash64("id"), F.col("parts")))).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("component"), F.col("split"))))
-    dealt = materialize(still.join(where.select("id", block.alias("block"), F.when(alone, F.col("component")).alias("of")), "id"))
-    there = dealt.groupBy("place", F.col("block").alias("other"), F.col("of").alias("other_of")).agg(F.lit(1).alias("one")).drop("one")
-    same = F.col("of").isNotNull() & F.col("of").eqNullSafe(F.col("other_of"))
-    met = dealt.join(there, "place").where(~same).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "id", "n", "component", "shared")
-    product = met.repartition("i", "j").sortWithinPartitions("i", "j")
+    dealt = materialize(still.join(where.select("id", block.alias("block")), "id"))
+    there = dealt.groupBy("place", F.col("block").alias("other")).agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # rows that find another component of like size there
+    useful = ((F.col("x") != F.col("y")) | (F.col("x") != F.col("component"))) & (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+    met = dealt.join(there, "place").where(useful)
+    return _reachable(met.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "place", "id", "n", "component", "shared"), percent)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for (i, j), group in _groups(batches, 2):
-            ids = _reachable(*(group[c] for c in range(6)), percent)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), x)) for x in (i, j)] + [pa.array(ids)], ["i", "j", "id"])
 
-    return materialize(product.mapInArrow(run, "i long, j long, id long"))
+def _reachable(met: DataFrame, percent: int) -> DataFrame:
+    """i, j and id, of rows (i, j, block: i or j, place, id, n, component, shared): those that may link across components, by what they share of their first shingles.
 
+    Beyond the first shingles, the set whose last one of them comes earlier shares at most what it has left.
+    """
+    dealt = met.repartition("i", "j").sortWithinPartitions("i", "j", "place", "block")
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], list[np.ndarray]]]:
-    """Of rows of integers that are sorted by the first columns: these, and the other columns of each group."""
-    names, rest = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for rows in _whole_groups(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in reachable(rows, percent)], ["i", "j", "id"])
+
+    return materialize(dealt.mapInArrow(run, "i long, j long, id long"))
 
-    def flush() -> tuple[tuple[int, ...], list[np.ndarray]]:
-        return names, [np.concatenate(c) for c in zip(*rest, strict=True)]
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of integers, sorted by the first two, in runs that end where these change."""
+    rest: list[list[np.ndarray]] = []
     for batch in batches:
         columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        change = np.zeros(n, bool)
-        for c in columns[:keys]:
-            change[1:] |= c[1:] != c[:-1]
-        for a, b in zip([0, *np.flatnonzero(change).tolist()], [*np.flatnonzero(change).tolist(), n], strict=True):
-            at = tuple(int(c[a]) for c in columns[:keys])
-            if names is not None and at != names:
-                yield flush()
-                rest = []
-            names = at
-            rest.append([c[a:b] for c in columns[keys:]])
-    if names is not None:
-        yield flush()
-
-
-def _reachable(block: np.ndarray, place: np.ndarray, ids: np.ndarray, n: np.ndarray, component: np.ndarray, shared: np.ndarray, percent: int) -> np.ndarray:
-    """The ids of two blocks (or one) that may link across components, by what they share of their first shingles.
-
-    A product of the incidence of ids and places, weighted by the shingles of a place. Beyond the first shingles, the one whose
-    last first shingle comes earlier shares at most what it has left.
-    """
-    own, row = np.unique(ids, return_inverse=True)
+        last = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut == 0 and rest and (rest[-1][0][-1] != columns[0][0] or rest[-1][1][-1] != columns[1][0]):
+            yield [np.concatenate(c) for c in zip(*rest, strict=True)]
+            rest = []
+        if cut:
+            yield [np.concatenate(c) for c in zip(*rest, [c[:cut] for c in columns], strict=True)]
+            rest = []
+        rest.append([c[cut:] for c in columns])
+    if rest:
+        yield [np.concatenate(c) for c in zip(*rest, strict=True)]
+
+
+def _limits(n: np.ndarray, m: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether sizes n and m can link, and of how many first shingles they need to share, then."""
+    need = -(-percent * (n + m) // (100 + percent))
+    beyond = np.maximum(-(-percent * n // 100), -(-percent * m // 100)) - 1
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m), np.maximum(need - beyond, 1)
+
+
+def reachable(rows: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """i, j and id of whole groups that may link. Small groups' products are taken together, a large group's alone and dense."""
+    i, j, block, place, ids, n, component, shared = rows
+    new = np.append(True, (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+    group = np.cumsum(new) - 1
+    cell = np.append(True, new[1:] | (place[1:] != place[:-1]))
+    begin = np.flatnonzero(cell)
+    end = np.append(begin[1:], len(i))
+    first = np.add.reduceat((block == i).astype(np.int64), begin)  # rows are sorted by block, and i is at most j
+    diagonal = (i == j)[begin]
+    split = np.where(diagonal, begin, begin + first)
+    p, q = np.where(diagonal, end, split) - begin, end - split
+    work = np.bincount(group[begin], p * q)
+    large = work > DENSE
+    out = [np.zeros(0, np.int64)]
+    for g in np.flatnonzero(large).tolist():
+        a, b = np.searchsorted(group, (g, g + 1))
+        out.append(a + _dense_rows(*(c[a:b] for c in (i, block, place, ids, n, component, shared)), percent))
+    small = np.flatnonzero(~large[group[begin]])
+    at = 0
+    while at < len(small):  # cells of whole groups, of DENSE pairs at most together
+        total = np.cumsum((p * q)[small[at:]])
+        to = at + max(1, int(np.searchsorted(total, DENSE, "right")))
+        while to < len(small) and group[begin[small[to]]] == group[begin[small[to - 1]]]:
+            to += 1
+        own = small[at:to]
+        out.append(_sparse_rows(group, begin[own], split[own], p[own], q[own], ids, n, component, shared, percent))
+        at = to
+    at = np.unique(np.concatenate(out))
+    return i[at], j[at], ids[at]
+
+
+def _sparse_rows(group, begin, split, p, q, ids, n, component, shared, percent) -> np.ndarray:  # noqa: ANN001, PLR0913
+    """Rows (one for each id of a group) that may link, by the pairs of each cell: p rows from begin with q rows from split."""
+    of = np.repeat(np.arange(len(p)), p * q)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(p * q) - p * q, p * q)
+    x, y = begin[of] + k // q[of], split[of] + k % q[of]
+    fits, least = _limits(n[x], n[y], percent)
+    keep = fits & (component[x] != component[y])
+    x, y, least = x[keep], y[keep], least[keep]
+    if not len(x):
+        return x
+    order = np.lexsort((ids[y], ids[x], group[x]))
+    x, y, least = x[order], y[order], least[order]
+    begins = np.flatnonzero(np.append(True, (group[x][1:] != group[x][:-1]) | (ids[x][1:] != ids[x][:-1]) | (ids[y][1:] != ids[y][:-1])))
+    enough = begins[np.add.reduceat(shared[x], begins) >= least[begins]]
+    found = np.concatenate([x[enough], y[enough]])
+    return found[np.unique(np.stack([group[found], ids[found]], 1), axis=0, return_index=True)[1]] if len(found) else found
+
+
+def _dense_rows(i, block, place, ids, n, component, shared, percent) -> np.ndarray:  # noqa: ANN001, PLR0913
+    """As _sparse_rows for one group, by a product of the incidence of ids and places, weighted by the shingles of a place."""
+    own, first, row = np.unique(ids, return_index=True, return_inverse=True)
     at, column = np.unique(place, return_inverse=True)
-    first = np.zeros(len(own), np.int64)
-    first[row] = np.arange(len(row))
-    size, of, side = n[first], component[first], block[first]
     weight = np.zeros(len(at), np.float32)
     weight[column] = shared
-    a, b = (np.flatnonzero(side == x) for x in (side.min(), side.max()))
+    left = block[first] == i[0]
+    a = np.flatnonzero(left)
+    b = np.flatnonzero(~left) if not left.all() else a
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    keep = np.zeros(len(own), bool)
-    common = np.zeros((len(a), len(b)), np.float32)
-    to_a, to_b = (np.full(len(own), -1) for _ in range(2))
-    to_a[a], to_b[b] = np.arange(len(a)), np.arange(len(b))
+    common = np.zeros((len(a), len(b)), np.float64)
     for c in range(0, len(at), COLUMNS):
         x, y = np.searchsorted(column, (c, c + COLUMNS))
-        r, k = row[x:y], column[x:y] - c
-        left, right = (np.zeros((len(s), COLUMNS), np.float32) for s in (a, b))
-        left[to_a[r[to_a[r] >= 0]], k[to_a[r] >= 0]] = 1
-        right[to_b[r[to_b[r] >= 0]], k[to_b[r] >= 0]] = 1
-        w = weight[c : c + COLUMNS]
-        common += left[:, : len(w)] @ (right[:, : len(w)] * w).T
-    na, nb = size[a][:, None], size[b][None, :]
-    beyond = np.maximum(-(-percent * na // 100), -(-percent * nb // 100)) - 1
-    need = -(-percent * (na + nb) // (100 + percent))
-    may = (common > 0) & (common + beyond >= need) & (of[a][:, None] != of[b][None, :]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-    keep[a[may.any(1)]] = True
-    keep[b[may.any(0)]] = True
-    return own[keep]
+        m = np.zeros((len(own), min(COLUMNS, len(at) - c)), np.float32)
+        m[row[x:y], column[x:y] - c] = 1
+        common += m[a] @ (m[b] * weight[c : c + COLUMNS]).T
+    fits, least = _limits(n[first[a]][:, None], n[first[b]][None, :], percent)
+    may = fits & (common >= least) & (component[first[a]][:, None] != component[first[b]][None, :])
+    return np.concatenate([first[a[may.any(1)]], first[b[may.any(0)]]])
 
 
 def _needed_bits(tags: DataFrame) -> np.ndarray:
