@@ -43,16 +43,60 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    """Deletes a table, as far as its session still lives; else its folder goes with the cluster's clean-up."""
+    with contextlib.suppress(Exception):
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def forget() -> None:
-    """Deletes what materialize() wrote, as far as the sessions still live."""
+    """Deletes what materialize() wrote and no temporary() has deleted."""
     while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session has ended; its folder goes with the cluster's clean-up
-            return
+        _delete(*_written.pop())
+
+
+@contextlib.contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside are deleted at the end. What is needed beyond goes through the function that this gives: a table that stays."""
+    mark, stay = len(_written), []
+
+    def result(df: DataFrame) -> DataFrame:
+        out = materialize(df)
+        stay.append(_written.pop())
+        return out
+
+    try:
+        yield result
+    finally:
+        own = _written[mark:]
+        _written[mark:] = stay
+        for table_ in own:
+            _delete(*table_)
+
+
+def tables() -> list[str]:
+    """The paths of tables that have not been deleted."""
+    return [path for _, path in _written]
+
+
+def discard(paths: list[str], but_for: DataFrame | None = None) -> None:
+    """Deletes those of tables() that are in paths, but for what a DataFrame still reads."""
+    read = "\n".join(but_for.inputFiles()) if but_for is not None and paths else ""
+    for table_ in [t for t in _written if t[1] in paths and t[1].rpartition("/")[2] not in read]:
+        _written.remove(table_)
+        _delete(*table_)
+
+
+#: Rows of a batch between the JVM and Python workers: with texts of some kB, some MB.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS, unless the session has chosen a number of its own: Spark's default holds tens of MB of texts several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, BATCH_ROWS)
 
 
 _held: dict[str, tuple[Any, Any]] = {}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lists, materialize, mix, release, shingles, utf8, words
+from ._shared import lists, materialize, mix, release, shingles, temporary, utf8, words
 from .components import connected_components
 
 #: Counters of shingles, and the least count in a task that makes one count as frequent.
@@ -110,14 +110,14 @@ def jaccard_components(docs: DataFrame, *, size: int = 4, percent: int = 85, key
                 own = [batch.column(c).slice(i, j - i) for c in (0, 2, 3)]
                 yield pa.RecordBatch.from_arrays([*own, *columns, lists(flat.view(np.int64), np.cumsum([0, *map(len, chosen)]), pa.int64())], ["key", "tag", "tag2", "n", "one", "two", "first"])
 
-    described = materialize(rows.mapInArrow(describe, "key long, tag long, tag2 long, n long, one long, two long, first array<long>"))
-    grouped = described.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("key"), F.min(F.struct("tag", "tag2", "first")).alias("own"))
-    classes = materialize(grouped.select("one", "two", "n", "key", "own.*", F.monotonically_increasing_id().alias("id")))
-    found = connected_components(_links(rows, classes, size, percent))
-
-    named = classes.select("one", "two", "n", "key", "id").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    names = named.groupBy("component").agg(F.min("key").alias("component_id"))
-    named = named.join(names, "component").select("one", "two", "n", "component_id")
+    with temporary() as result:
+        described = result(rows.mapInArrow(describe, "key long, tag long, tag2 long, n long, one long, two long, first array<long>"))
+        grouped = described.where("n > 0").groupBy("one", "two", "n").agg(F.min("key").alias("key"), F.min(F.struct("tag", "tag2", "first")).alias("own"))
+        classes = materialize(grouped.select("one", "two", "n", "key", "own.*", F.monotonically_increasing_id().alias("id")))
+        found = connected_components(_links(rows, classes, size, percent))
+        linked = classes.select("one", "two", "n", "key", "id").join(found, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+        names = linked.groupBy("component").agg(F.min("key").alias("component_id"))
+        named = result(linked.join(names, "component").select("one", "two", "n", "component_id"))
     out = described.select("key", "n", "one", "two").join(named, ["one", "two", "n"], "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import held, materialize
+from ._shared import held, materialize, temporary
 
 #: Pieces of a packing partition, about.
 PART_PIECES = 1 << 16
@@ -220,12 +220,8 @@ def _gathered(pdf: pd.DataFrame) -> dict[tuple[int, int], int]:
     return dict(counts)
 
 
-def pack(pieces: DataFrame, *, most: int = 1024, part_pieces: int = PART_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (with a length from 1 to most each). Sequences hold at most most, without gaps."""
-    pieces = materialize(pieces)
-    parts = max(1, -(-pieces.count() // part_pieces))
-    whole = pieces.where(F.col("length") == most)
-    pieces = materialize(pieces.where(F.col("length") != most).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))))
+def _plan(pieces: DataFrame, parts: int, most: int) -> DataFrame:
+    """The bins' patterns, for pieces (part, length) in parts partitions."""
     histogram = pieces.groupBy("part", "length").count()
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -256,7 +252,17 @@ def pack(pieces: DataFrame, *, most: int = 1024, part_pieces: int = PART_PIECES)
         parts = -(-parts // MEET)
     for kept in settled:
         plan = plan.unionByName(kept)
-    plan = materialize(plan)
+    return plan
+
+
+def pack(pieces: DataFrame, *, most: int = 1024, part_pieces: int = PART_PIECES) -> DataFrame:
+    """Adds sequence_id and offset to pieces (with a length from 1 to most each). Sequences hold at most most, without gaps."""
+    pieces = materialize(pieces)
+    parts = max(1, -(-pieces.count() // part_pieces))
+    whole = pieces.where(F.col("length") == most)
+    pieces = materialize(pieces.where(F.col("length") != most).withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts))))
+    with temporary() as result:
+        plan = result(_plan(pieces, parts, most))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bin_no = TaskContext.get().partitionId() << 40  # the plan is a stored table: a task that runs again has the same rows

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_extraction, ngram_join, packing, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filters
-from ._shared import table
+from ._shared import small_batches, table
 
 
 def tokenizer(name: str) -> str:
@@ -69,7 +70,19 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _batched(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL: dict[str, Query] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_topk_search": op2_exact_topk_search,
     "op3_html_extraction": op3_html_extraction,
@@ -81,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_url_filters": op10_url_filters,
 }
+QUERIES = {name: _batched(query) for name, query in _ALL.items()}
 
 _OP10 = r"""
 WITH urls AS (

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, ngram_join, packing, suffix_dedup, toxicity
-from ._shared import materialize, table
+from ._shared import discard, materialize, small_batches, table, tables, temporary
 
 #: A document with this score, or more, is rejected as toxic.
 TOXIC = 0.7
@@ -16,6 +19,28 @@ SHINGLE, PERCENT = 5, 80
 PASSAGE = 200
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Tables that results of stages read.
+_left: list[str] = []
+
+
+def _stage(f: Stage) -> Stage:
+    """A stage begins by deleting the tables that the ones before left for their results, which have been written by now, but for what docs still reads."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        discard(_left, but_for=docs)
+        before = set(tables())
+        _left[:] = before & set(_left)
+        out = f(spark, docs, sf_dir)
+        _left.extend(t for t in tables() if t not in before)
+        return out
+
+    return run
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that docs doesn't have."""
     while name in {c.lower() for c in docs.columns}:
@@ -23,6 +48,7 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects toxic documents, row by row. Empty and null texts stay. The model learns from labelled rows of docs."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -31,6 +57,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("score") < TOXIC).select(*keep).toDF(*docs.columns)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies: the one of least doc_id (a null is greatest), and of these the first stored.
 
@@ -39,13 +66,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     row = _free(docs, "row")
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = ngram_join.jaccard_components(numbered, size=SHINGLE, percent=PERCENT, key=row).where("n_shingles > 0")
-    groups = materialize(groups.join(numbered.select(row, "doc_id"), row).select(row, "component_id", F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col(row).alias("at")).alias("order")))
-    stays = groups.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-    gone = groups.join(stays, "component_id").where(F.col("order.at") != F.col("first.at")).select(row)
+    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col(row).alias("at"))
+    with temporary() as result:
+        groups = ngram_join.jaccard_components(numbered, size=SHINGLE, percent=PERCENT, key=row).where("n_shingles > 0")
+        groups = materialize(groups.join(numbered.select(row, "doc_id"), row).select("component_id", order.alias("order")))
+        stays = groups.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+        gone = result(groups.join(stays, "component_id").where(F.col("order.at") != F.col("first.at")).select(F.col("order.at").alias(row)))
     return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts every passage of PASSAGE bytes that also starts elsewhere; a document of which nothing is left goes, one that was empty stays."""
     own = [f"own_{c}" for c in docs.columns]
@@ -58,11 +88,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.select(*own).toDF(*docs.columns)
 
 
+@_stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that contain a test item, row by row."""
     return decontamination.without_contained(docs, table(spark, sf_dir, "benchmark"), size=SHINGLE, percent=PERCENT)
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 1024 tokens."""
     import public_tokenizers

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import induced_sort
-from ._shared import materialize, mix, powers, prefix_hash, utf8
+from ._shared import materialize, mix, powers, prefix_hash, release, temporary, utf8
 
 #: Bits of the bitmap that tells which texts have any mark (8 MB).
 ROW_BITS = 1 << 26
@@ -143,6 +143,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[Data
     spark = rows.sparkSession
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, _, data, off in utf8(batch.column(1)):
@@ -166,6 +167,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[Data
     bits = spark.sparkContext.broadcast(_hits(met))
 
     def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             own = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)], ["row", "text"]).filter(pa.array(_has(bits.value, batch.column(1).to_numpy())))
             packed = [zlib.compress(t.as_buffer(), 1) for t in own.column(1).cast(pa.binary())]
@@ -175,6 +177,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[Data
     asked = met.where("fetch").groupBy("row").agg(F.collect_list(F.struct("own", "single", "split")).alias("asked"))  # of one text
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             rows_, asked_ = batch.column(0).to_pylist(), batch.column(2)
             for i, j, data, off in utf8(_unpacked(batch.column(1))):
@@ -203,6 +206,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[Data
     dealt = wanted.mapInArrow(fetch, "anchor long, part int, row long, own long, single boolean, skip int, raw binary").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         group: list[tuple] = []
         size, at = 0, None
 
@@ -249,8 +253,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text:
     columns = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     # stored, as the rows are read more than once and their numbers must not change
     rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *columns))
-    marks, texts = repeats(rows.select("row", "text"), length=length, gram=gram)
-    marks = marks.groupBy("row").agg(F.collect_list(F.struct("own", "skip", "bits")).alias("marks"))  # of one text
     kind = "kept_sha256" if out == "sha256" else "kept_text"
 
     def result(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[int, int, int, str]:
@@ -262,6 +264,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text:
         return len(raw), removed, len(begins), b"".join(p.decode(errors="ignore").encode() for p in parts).decode()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, asked = batch.column(0).to_pylist(), batch.column(2)
             got: list[tuple] = []
@@ -286,8 +289,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate(kinds)], ["row", "n_bytes", "n_removed", "n_spans", kind])
 
-    changed = texts.join(marks.hint("merge"), "row").select("row", "packed", "marks").mapInArrow(cut, f"row long, n_bytes long, n_removed long, n_spans long, {kind} string")
-    changed = materialize(changed)
+    with temporary() as table:
+        marks, texts = repeats(rows.select("row", "text"), length=length, gram=gram)
+        marks = marks.groupBy("row").agg(F.collect_list(F.struct("own", "skip", "bits")).alias("marks"))  # of one text
+        changed = texts.join(marks.hint("merge"), "row").select("row", "packed", "marks").mapInArrow(cut, f"row long, n_bytes long, n_removed long, n_spans long, {kind} string")
+        changed = table(changed)
     bits = spark.sparkContext.broadcast(_hits(changed))
     names = [f"k{i}" for i in range(len(keep))]
     head = rows.select("row", F.xxhash64("row").alias("hashed"), *names, "text")
@@ -295,6 +301,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text:
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         none = np.zeros(0, np.int64)
         for batch in batches:
             maybe = _has(bits.value, batch.column("hashed").to_numpy())
