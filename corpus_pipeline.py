@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lateloom.functions.ship import ship
 from lateloom.llm import stages
-from lateloom.llm._shared import materialize
+from lateloom.llm._shared import discard, tables, temporary
 
 STAGES = [
     ("toxicity", stages.drop_toxic),
@@ -24,6 +24,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each one's result is a table that the next one reads."""
     ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    read: list[str] = []
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before = set(tables())
+        with temporary() as result:
+            docs = result(stage(spark, docs, sf_dir))
+        discard(read)
+        read = [t for t in tables() if t not in before]
     return docs
