@@ -6,7 +6,8 @@ above 1, the bucket is passed over; where it is high, coordinates are pruned: a
 focus coordinates lie outside of the range that this cosine allows is dropped; where it is low, vectors are pruned
 by length alone. What remains is verified by products of integers. All bounds are widened by a rounding margin, so results are exact.
 
-A cell gets its buckets once and every block of queries as one packed row. Only packed blocks are shuffled, and the lists of a
+A cell gets its buckets once, and a block of queries as one packed row if its longest vector can reach any of the block's least
+scores: cells are ordered by length, so these are the first so many. Only packed blocks are shuffled, and the lists of a
 block meet in one place, k entries for each query and cell at most; so neither many equal vectors nor many queries fill a task.
 """
 
@@ -33,30 +34,36 @@ _EXACT = float(1 << 53)
 
 @dataclass
 class _Pack:
-    """Vectors laid side by side: ids ascending, integer components, lengths."""
+    """Vectors laid side by side: ids ascending, whole components (doubles, where they are wide), lengths."""
 
     ids: np.ndarray
     x: np.ndarray
     norms: np.ndarray
 
     def packed(self) -> tuple[bytes, bytes, int]:
-        for kind in (np.int8, np.int16, np.int32, np.int64):
+        for kind in (np.int8, np.int16, np.int32):
             info = np.iinfo(kind)
             if not self.x.size or (self.x.min() >= info.min and self.x.max() <= info.max):
                 return self.ids.tobytes(), self.x.astype(kind).tobytes(), np.dtype(kind).itemsize
-        raise OverflowError
+        return self.ids.tobytes(), self.x.astype(np.float64).tobytes(), 8
 
     @classmethod
     def of(cls, ids: bytes, x: bytes, width: int) -> _Pack:
         got = np.frombuffer(ids, np.int64)
-        v = np.frombuffer(x, f"<i{width}").reshape(len(got), -1)
-        return cls(got, v, np.sqrt((v.astype(np.float64) ** 2).sum(1)))
+        v = np.frombuffer(x, f"<i{width}" if width < 8 else "<f8").reshape(len(got), -1)
+        return cls(got, v, _lengths(v))
 
     def numbers(self, other: _Pack) -> np.dtype:
-        most = float(self.norms.max(initial=0)) * float(other.norms.max(initial=0))
+        with np.errstate(over="ignore", invalid="ignore"):
+            most = np.float64(self.norms.max(initial=0)) * np.float64(other.norms.max(initial=0))
         return np.dtype(np.float32) if most < 1 << 23 else np.dtype(np.float64) if most < _EXACT else np.dtype(object)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):  # an endless length prunes nothing
+        return np.sqrt((x.astype(np.float64) ** 2).sum(-1))
+
+
 def _wide(packs: list[_Pack]) -> int:
     return max((p.x.shape[1] for p in packs), default=0)
 
@@ -65,6 +72,34 @@ def _pad(x: np.ndarray, n: int) -> np.ndarray:
     return x if x.shape[1] == n else np.pad(x, ((0, 0), (0, n - x.shape[1])))
 
 
+def _floats(score: np.ndarray) -> np.ndarray:
+    """In order, but not always distinct."""
+    if score.dtype != object:
+        return score.astype(np.float64)
+    most = int(np.finfo(np.float64).max)
+    return np.array([float(min(max(v, -most), most)) for v in score.ravel()]).reshape(score.shape)
+
+
+def _bytes(score: np.ndarray) -> bytes:
+    """Whole numbers of any size: the width of each, and then all."""
+    if score.dtype != object:
+        return b"\x08\x00" + score.astype("<i8").tobytes()
+    width = max([8, *(v.bit_length() // 8 + 1 for v in score.tolist())])
+    return width.to_bytes(2, "little") + b"".join(v.to_bytes(width, "little", signed=True) for v in score.tolist())
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    width = int.from_bytes(raw[:2], "little")
+    if width == 8:
+        return np.frombuffer(raw, "<i8", offset=2)
+    return np.array([int.from_bytes(raw[i : i + width], "little", signed=True) for i in range(2, len(raw), width)], object)
+
+
+def _longs(score: np.ndarray) -> np.ndarray:
+    info = np.iinfo(np.int64)
+    return score if score.dtype != object else np.array([min(max(v, info.min), info.max) for v in score.tolist()], np.int64)
+
+
 class Lists:
     """The k best (score, then smaller id) of each query of a block so far."""
 
@@ -75,24 +110,33 @@ class Lists:
 
     def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
         row, ids, score = np.concatenate([self.row, row]), np.concatenate([self.id, ids]), np.concatenate([self.score, score])
-        order = np.lexsort((ids, -score, row))
+        if score.dtype == object:
+            order = np.array(sorted(range(len(row)), key=lambda i: (row[i], -score[i], ids[i])), np.int64)
+        else:
+            order = np.lexsort((ids, -score, row))
         row, ids, score = row[order], ids[order], score[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         keep = rank < self.k
         self.row, self.id, self.score = row[keep], ids[keep], score[keep]
         last = rank == self.k - 1
-        self.least[row[last]] = np.maximum(self.least[row[last]], score[last])
+        self.least[row[last]] = np.maximum(self.least[row[last]], _floats(score[last]))
+
+
+_whole = np.frompyfunc(int, 1, 1)
 
 
 def _products(q: np.ndarray, c: np.ndarray, kind: np.dtype) -> np.ndarray:
+    if kind == object:
+        return _whole(q) @ _whole(c).T
     s = q.astype(kind) @ c.astype(kind).T
-    return s.astype(np.int64) if kind == object else np.rint(s, out=s)
+    return np.rint(s, out=s)
 
 
 def search_bucket(lists: Lists, queries: _Pack, bucket: _Pack, focus: np.ndarray) -> None:
     """Adds to lists what the bucket (its ids ascending) has for the queries. focus: the coordinates where each query is largest."""
     longest = float(bucket.norms.max(initial=0))
-    reach = queries.norms * longest
+    with np.errstate(over="ignore", invalid="ignore"):
+        reach = queries.norms * longest
     live = np.flatnonzero(~(lists.least > reach * (1 + 1e-9)))
     if not len(live) or not len(bucket.ids):
         return
@@ -101,7 +145,7 @@ def search_bucket(lists: Lists, queries: _Pack, bucket: _Pack, focus: np.ndarray
     kind = queries.numbers(bucket)
     for i in live[local >= COSINE]:
         _by_coordinates(lists, queries, bucket, int(i), focus[i], kind)
-    rest = live[local < COSINE]
+    rest = live[~(local >= COSINE)]
     if len(rest):
         _by_length(lists, queries, bucket, rest, kind)
 
@@ -123,17 +167,17 @@ def _by_coordinates(lists: Lists, queries: _Pack, bucket: _Pack, i: int, focus:
 def _by_length(lists: Lists, queries: _Pack, bucket: _Pack, rows: np.ndarray, kind: np.dtype) -> None:
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where(queries.norms[rows] > 0, lists.least[rows] / queries.norms[rows], -np.inf)
-    at = np.flatnonzero(bucket.norms * (1 + 1e-9) >= need.min())
+    at = np.flatnonzero(~(bucket.norms * (1 + 1e-9) < need.min()))
     if len(at):
         _keep(lists, rows, bucket.ids[at], _products(queries.x[rows], bucket.x[at], kind), queries.ids[rows])
 
 
 def _keep(lists: Lists, rows: np.ndarray, ids: np.ndarray, s: np.ndarray, own: np.ndarray) -> None:
-    hit = s >= lists.least[rows][:, None]
+    hit = _floats(s) >= lists.least[rows][:, None] if s.dtype == object else s >= lists.least[rows][:, None]
     hit &= ids[None, :] != own[:, None]
-    if hit.sum() > 8 * lists.k * len(rows):  # many ties, or lists not yet full: the k first of each row suffice
+    if s.dtype != object and hit.sum() > 8 * lists.k * len(rows):  # many ties, or lists not yet full: the k first of each row suffice
         n = s.shape[1]
-        order = np.where(hit, s, -np.inf) if s.dtype != np.int64 else np.where(hit, s.astype(np.float64), -np.inf)
+        order = np.where(hit, s, -np.inf)
         if n > lists.k:
             kth = -np.partition(-order, lists.k - 1, axis=1)[:, lists.k - 1 : lists.k]
             above = order > kth
@@ -141,12 +185,12 @@ def _keep(lists: Lists, rows: np.ndarray, ids: np.ndarray, s: np.ndarray, own: n
             tied &= np.cumsum(tied, 1) <= lists.k - above.sum(1, keepdims=True)  # ids ascend
             hit = (above | tied) & hit
     r, c = np.nonzero(hit)
-    lists.add(rows[r], ids[c], s[r, c].astype(np.int64))
+    lists.add(rows[r], ids[c], s[r, c] if s.dtype == object else s[r, c].astype(np.int64))
 
 
 def _focus(queries: _Pack) -> np.ndarray:
     n = min(FOCUS, queries.x.shape[1])
-    return np.argsort(-np.abs(queries.x.astype(np.int64)), 1, kind="stable")[:, :n]
+    return np.argsort(-np.abs(queries.x.astype(np.float64)), 1, kind="stable")[:, :n]
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], key: str, vector: str, scale: float) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
@@ -155,10 +199,11 @@ def _vectors(batches: Iterator[pa.RecordBatch], key: str, vector: str, scale: fl
         for i, v in zip(batch.column(key).to_pylist(), batch.column(vector), strict=True):
             if i is None or not v.is_valid or v.values.null_count:
                 continue
-            x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
-            if np.isfinite(x).all() and (np.abs(x) < _EXACT).all():
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = np.floor(v.values.to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+            if np.isfinite(x).all():
                 ids.append(i)
-                rows.append(x.astype(np.int64))
+                rows.append(x)
         if ids:
             yield np.array(ids, np.int64), rows
 
@@ -166,27 +211,29 @@ def _vectors(batches: Iterator[pa.RecordBatch], key: str, vector: str, scale: fl
 def _stack(rows: list[np.ndarray]) -> np.ndarray:
     if len({len(r) for r in rows}) == 1:
         return np.stack(rows)
-    x = np.zeros((len(rows), max(map(len, rows))), np.int64)
+    x = np.zeros((len(rows), max(map(len, rows))))
     for i, r in enumerate(rows):
         x[i, : len(r)] = r
     return x
 
 
-_PACKED = "cell int, kind int, seq long, n int, ids binary, x binary, width int, least binary"
-_NAMES = ["cell", "kind", "seq", "n", "ids", "x", "width", "least"]
+_PACKED = "cell int, kind int, seq long, n int, longest double, ids binary, x binary, width int, least binary"
+_NAMES = ["cell", "kind", "seq", "n", "longest", "ids", "x", "width", "least"]
 
 
 def _row(cell: int, kind: int, seq: int, pack: _Pack, least: bytes = b"") -> pa.RecordBatch:
     ids, x, width = pack.packed()
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((cell, kind, seq, len(pack.ids), ids, x, width, least), kinds, strict=True)], _NAMES)
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
+    values = (cell, kind, seq, len(pack.ids), float(_lengths(pack.x).max(initial=0)), ids, x, width, least)
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], _NAMES)
 
 
 def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64.0, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: for each row whose key is divisible by every, the k rows of other keys with the greatest inner product.
 
-    Components are floor(scale * x). Rows with a null key, a null vector, or null, non-finite or (beyond 2**53) inexact
-    components take no part; a shorter vector counts as ending in zeros. Rows with the query's own key are no candidates.
+    Components are floor(scale * x), in doubles. Rows with a null key, a null vector, or components that are null, or not finite after
+    that, take no part. Products are whole numbers of any size and order the result; a score beyond 64 bits shows as the nearest
+    long. A shorter vector counts as ending in zeros. Rows with the query's own key are no candidates.
     Repeated rows are candidates, or queries, each. Fewer than k candidates are all returned; an empty table gives no rows.
     """
     spark = vectors.sparkSession
@@ -194,10 +241,10 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, rows in _vectors(batches, "key", "vector", scale):
-            norms = [float(np.sqrt((r.astype(np.float64) ** 2).sum())) for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(norms, pa.float64()), pa.array(rows, pa.list_(pa.int64()))], ["key", "norm", "x"])
+            norms = [float(_lengths(r)) for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(norms, pa.float64()), pa.array(rows, pa.list_(pa.float64()))], ["key", "norm", "x"])
 
-    ready = materialize(own.mapInArrow(lengths, "key long, norm double, x array<long>"))
+    ready = materialize(own.mapInArrow(lengths, "key long, norm double, x array<double>"))
     n = ready.count()
     cells = max(1, -(-n // CELL), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // (2 * BUCKET))))
 
@@ -216,7 +263,7 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
 
             for batch in batches:
                 ids = np.concatenate([ids, batch.column(0).to_numpy()])
-                rows += [np.array(r, np.int64) for r in batch.column(1).to_numpy(zero_copy_only=False)]
+                rows += [np.array(r, np.float64) for r in batch.column(1).to_numpy(zero_copy_only=False)]
                 while len(ids) >= size:
                     yield flush(size)
             if len(ids):
@@ -227,8 +274,10 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
     by_length = ready.repartitionByRange(cells, F.desc("norm"), "key").sortWithinPartitions(F.desc("norm"), "key")
     buckets = materialize(by_length.select("key", "x").mapInArrow(pack(0, BUCKET), _PACKED))
     queries = ready.where(F.col("key") % every == 0).select("key", "x").mapInArrow(pack(1, BLOCK), _PACKED)
-    longest = [r.asDict() for r in buckets.orderBy("cell", "seq").limit(1).collect()]  # one bucket
-    seed = spark.sparkContext.broadcast(longest)
+    first_bucket = [r.asDict() for r in buckets.orderBy("cell", "seq").limit(1).collect()]  # one bucket
+    # 8 bytes for each CELL vectors; ranges are by falling length
+    ends = [tuple(r) for r in buckets.groupBy("cell").agg(F.max("longest")).collect()]
+    seed = spark.sparkContext.broadcast((first_bucket, ends))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Gives each block of queries its least useful scores."""
@@ -236,15 +285,19 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
             for r in batch.to_pylist():
                 block = _Pack.of(r["ids"], r["x"], r["width"])
                 lists = Lists(len(block.ids), k)
-                for s in seed.value:
+                for s in seed.value[0]:
                     bucket = _Pack.of(s["ids"], s["x"], s["width"])
                     wide = _wide([block, bucket])
                     block.x, bucket.x = _pad(block.x, wide), _pad(bucket.x, wide)
                     search_bucket(lists, block, bucket, _focus(block))
-                yield _row(0, 1, r["seq"], block, lists.least.tobytes())
-
-    blocks = materialize(queries.mapInArrow(first, _PACKED))
-    dealt = blocks.drop("cell").withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    need = np.where(block.norms > 0, lists.least / block.norms, -np.inf)
+                least = np.where(np.isnan(need), -np.inf, need).min(initial=np.inf)
+                last = max(cell for cell, longest in seed.value[1] if not longest * (1 + 1e-9) < least)
+                yield _row(last, 1, r["seq"], block, lists.least.tobytes())
+
+    blocks = materialize(queries.mapInArrow(first, _PACKED))  # cell: the last that a block must meet
+    dealt = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cell"))))
     met = buckets.unionByName(dealt.select(*_NAMES)).repartition(cells, "cell").sortWithinPartitions("cell", "kind", "seq")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +316,7 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
                     wide = _wide([pack, bucket])
                     pack.x, bucket.x = _pad(pack.x, wide), _pad(bucket.x, wide)
                     search_bucket(lists, pack, bucket, _focus(pack))
-                out = (r["seq"], r["ids"], lists.row.tobytes(), lists.id.tobytes(), lists.score.tobytes())
+                out = (r["seq"], r["ids"], lists.row.tobytes(), lists.id.tobytes(), _bytes(lists.score))
                 yield pa.RecordBatch.from_arrays([pa.array([out[0]], pa.int64()), *(pa.array([b], pa.binary()) for b in out[1:])], ["seq", "ids", "row", "found", "score"])
 
     partial = met.mapInArrow(search, "seq long, ids binary, row binary, found binary, score binary")
@@ -274,7 +327,7 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
 
         def result() -> pa.RecordBatch:
             rank = np.arange(len(lists.row)) - np.searchsorted(lists.row, lists.row) + 1
-            return pa.RecordBatch.from_arrays([pa.array(ids[lists.row]), pa.array(rank.astype(np.int32)), pa.array(lists.id), pa.array(lists.score)], ["query_id", "rank", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[lists.row]), pa.array(rank.astype(np.int32)), pa.array(lists.id), pa.array(_longs(lists.score))], ["query_id", "rank", "vec_id", "score"])
 
         for batch in batches:
             for r in batch.to_pylist():
@@ -283,7 +336,7 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
                         yield result()
                     at, ids = r["seq"], np.frombuffer(r["ids"], np.int64)
                     lists = Lists(len(ids), k)
-                lists.add(*(np.frombuffer(r[c], np.int64) for c in ("row", "found", "score")))
+                lists.add(*(np.frombuffer(r[c], np.int64) for c in ("row", "found")), _numbers(r["score"]))
         if at is not None:
             yield result()
 

@@ -6,14 +6,14 @@ from lateloom.llm import topk_search
 
 
 def brute(rows, k, every):
-    ok = [(i, np.floor(np.array(v, np.float64) * 64).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, np.array([int(x) for x in np.floor(np.array(v, np.float64) * 64)], object)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     wide = max((len(x) for _, x in ok), default=0)
-    ok = [(i, np.pad(x, (0, wide - len(x)))) for i, x in ok]
+    ok = [(i, np.append(x, [0] * (wide - len(x)))) for i, x in ok]
     out = set()
     for i, x in ok:
         if i % every == 0:
-            best = sorted((-int(x @ y), j) for j, y in ok if j != i)[:k]
-            out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+            best = sorted((-int((x * y).sum()), j) for j, y in ok if j != i)[:k]
+            out |= {(i, r + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j) in enumerate(best)}
     return out
 
 
@@ -79,3 +79,23 @@ def test_dominant_components():
         for i in range(400):
             best = sorted((-s[i, j], j) for j in range(400) if j != i)[:k]
             assert [(-int(a), int(b)) for a, b in zip(lists.score[lists.row == i], lists.id[lists.row == i], strict=True)] == best
+
+
+@pytest.mark.parametrize("large", [1e13, 1e17, 1e200, 1e307])
+def test_wide_components_are_exact(spark, large):
+    """Products beyond 53, 63 and 1024 bits."""
+    rng = np.random.default_rng(3)
+    rows = [(i, (np.rint(rng.normal(size=3) * 8) * large / (64 * 8)).tolist()) for i in range(45)] + [(45 + i, [1.0, 2.0, float(i)]) for i in range(20)]
+    rows += [(66, rows[0][1]), (67, [1.7e308, 0.0, 0.0])]  # times 64, that is not finite: no part
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found(topk_search.top_k(df, k=7)) == brute(rows[:-1], 7, 20)
+
+
+def test_short_cells_are_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BUCKET", 8)
+    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(160, 4))
+    x = np.abs(x) / np.linalg.norm(x, axis=1)[:, None] * np.repeat([100.0, 1.0], 80)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert found(topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3)) == brute(rows, 3, 20)
