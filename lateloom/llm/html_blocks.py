@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 #: Fixed values of HTML: elements without content, elements whose content is no text (RAW to the end of the page where it isn't closed), and elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noembed", "noframes", "iframe")
+TEXT = ("textarea", "title", "xmp")  # whose content is text without tags
 OPAQUE = frozenset("template svg object audio video canvas".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br"
@@ -27,12 +29,13 @@ _CLOSES = {
 }
 _HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
 
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW)})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)|<(textarea|title|xmp)(?=[\s/>])({_ATTRIBUTES})>(.*?)(?:</\2(?=[\s/>])[^>]*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)({_ATTRIBUTES})>|<[!?/][^>]*(?:>|\Z)",
-    re.DOTALL | re.IGNORECASE,
-)
-_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.IGNORECASE) for tag in OPAQUE}
+#: Where something begins that is no text: a comment, a tag or its end, another declaration.
+_START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/><]*)|[!?/])")
+#: From behind a tag's name up to the > that ends it; > in quotes doesn't.
+_TO_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in (*OPAQUE, *RAW, *TEXT)}
+#: Elements deeper than this belong to the one at this depth, as in browsers.
+DEPTH = 512
 _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]{2,}")
 _SPACE = re.compile(r"\s+")
@@ -90,6 +93,8 @@ class _Parser:
             self.close("a")
         if tag in VOID or attributes.endswith("/") and (tag not in INLINE or tag == "math"):
             return
+        if len(self.stack) > DEPTH:
+            return
         top = self.stack[-1]
         named = (w for m in _NAMING.findall(attributes) for w in _WORDS.findall(m.lower())) if "=" in attributes else ()
         context = top.context | {f"in:{tag}", *(f"name:{w}" for w in named)}
@@ -121,32 +126,93 @@ class _Parser:
                 return
 
 
+class _Ends:
+    """Where tags of a page end. In one pass from the right, once a tag without an end is met, so that many of these take no longer."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.places: list[int] | None = None
+        self.ends: list[int] = []
+
+    def after(self, at: int) -> int:
+        """The place of the > that ends the tag whose name ends at at; -1 without one."""
+        if self.places is None:
+            m = _TO_END.match(self.page, at)
+            if m:
+                return m.end() - 1
+            self._prepare()
+        k = bisect_left(self.places, at)
+        return self.ends[k]
+
+    def _prepare(self) -> None:
+        self.places = [m.start() for m in re.finditer("[>\"']", self.page)]
+        n = len(self.places)
+        self.ends = [-1] * (n + 1)
+        later = {'"': n, "'": n}  # the next quote of each kind
+        for k in range(n - 1, -1, -1):
+            c = self.page[self.places[k]]
+            if c == ">":
+                self.ends[k] = self.places[k]
+            else:
+                if later[c] < n:
+                    self.ends[k] = self.ends[later[c] + 1]
+                later[c] = k
+
+
+def _past(page: str, tag: str, at: int) -> tuple[int, int] | None:
+    """The next end tag of this name: its begin, and the place behind it."""
+    m = _ENDS[tag].search(page, at)
+    end = page.find(">", m.end()) if m else -1
+    return (m.start(), end + 1) if end >= 0 else None
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order. Character references are decoded and white space inside a block is one space."""
-    p = _Parser()
-    at = 0
+    """The blocks of a page in order. Character references are decoded and white space inside a block is one space.
+
+    Takes time in proportion to the page, whatever is left open: a < that begins nothing, or a tag that doesn't end, is text; an
+    end tag, declaration or comment without an end, and script and the like without an end tag, go up to the end of the page.
+    """
+    p, ends = _Parser(), _Ends(page)
+    at = look = 0
     unclosed: set[str] = set()
-    while m := _TOKEN.search(page, at):
+    while m := _START.search(page, look):
+        name, closing = (m[3] or "").lower(), bool(m[2])
+        end = ends.after(m.end()) if name else -1
+        if name and not closing and end < 0:
+            look = m.start() + 1
+            continue
         p.text(page[at : m.start()])
-        at = m.end()
-        if name := m[6]:
-            tag = name.lower()
-            if m[5]:
-                p.close(tag)
-            elif tag in OPAQUE and not m[7].endswith("/") and tag not in unclosed and (end := _ENDS[tag].search(page, at)):
+        if name and end >= 0:
+            at = end + 1
+            attributes = page[m.end() : end]
+            whole = page[m.end()] != "<"  # the name, that is
+            if closing:
+                p.close(name)
+            elif whole and name in RAW:
+                p.flush()
+                at = (_past(page, name, at) or (0, len(page)))[1]
+            elif whole and name in TEXT:
+                p.flush()
+                begin, behind = _past(page, name, at) or (len(page), len(page))
+                p.open(name, attributes)
+                content = page[at:begin]
+                p.text(content if name != "xmp" else content.replace("&", "&amp;"))  # has no character references
+                p.close(name)
+                at = behind
+            elif name in OPAQUE and not attributes.endswith("/") and name not in unclosed and (found := _past(page, name, at)):
                 p.flush()
-                at = end.end()
+                at = found[1]
             else:
-                if tag in OPAQUE and not m[7].endswith("/"):
-                    unclosed.add(tag)
-                p.open(tag, m[7].strip())
-        elif name := m[2]:
-            p.flush()
-            p.open(name.lower(), m[3])
-            p.text(m[4] if name.lower() != "xmp" else m[4].replace("&", "&amp;"))  # has no character references
-            p.close(name.lower())
+                if name in OPAQUE and not attributes.endswith("/"):
+                    unclosed.add(name)
+                p.open(name, attributes.strip())
         elif m[1]:
-            p.flush()
+            at = page.find("-->", m.end())
+            at = len(page) if at < 0 else at + 3
+        else:
+            at = page.find(">", m.end())
+            at = len(page) if at < 0 else at + 1
+        look = at
     p.text(page[at:])
     p.flush()
     return p.blocks

@@ -2,6 +2,7 @@ import html
 import itertools
 import random
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -97,3 +98,22 @@ def test_odd_pages(spark):
     by = {r.page_id: r.text for r in got}
     assert by[1] == by[2] == by[3] == "" and by[4].count("sentence") == 5000
     assert html_extraction.extract_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', "<a", "</title ", "<svg>", "<div>", "<div class=a>", "<!--", "</svg ", "<a '>\"", "<li>", "<title><"])
+def test_malformed_pages_take_linear_time(part):
+    begin = time.process_time()
+    leaf_blocks(part * (1_000_000 // len(part)))
+    leaf_blocks("<p>text<title>" + part * (500_000 // len(part)) + '">')
+    assert time.process_time() - begin < 10
+
+
+def test_unclosed_markup():
+    texts = lambda page: [b.text for b in leaf_blocks(page)]
+    assert texts("one <a two") == ["one <a two"]
+    assert texts("<p>1 < 2 <b>and</b> 3 > 2") == ["1 < 2 and 3 > 2"]
+    assert texts('<p>one</p><p title="a > b">two') == ["one", "two"]
+    assert texts("one</p two") == ["one"]
+    assert texts("<title>one</title two") == ["one</title two"]
+    assert texts("one<!-- two") == ["one"] and texts("one<script>two") == ["one"] and texts("one<!x>two") == ["onetwo"]
+    assert texts("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after") == ["deep", "after"]
