@@ -4,14 +4,17 @@ A token's score is its log-odds of standing in a toxic document. The odds are es
 Dirichlet priors that form a chain: a word's prior is centred on the odds of its longest known proper beginning, that one's
 on the next shorter, down to the odds of any token; so unseen inflections of a toxic stem still score. A constant drift makes
 ordinary text lose score, and one linear scan of a text finds all its maximal scoring segments. By extreme-value
-statistics, a segment of score S in a text of m tokens is as rare as K m exp(-lambda S); what a text's segments are rarer
-than chance adds up to its evidence, and a logistic curve, fitted on the labelled documents, turns that into a score.
+statistics, a segment of score S in a text of m tokens is as rare as K m exp(-lambda S): lambda is the positive root of
+mean(exp(lambda s)) = 1 over the scores s of clean texts' tokens, and K is what makes the number of their highest segments as
+expected. What a text's segments are rarer than chance adds up to its evidence, and a logistic curve, fitted on the labelled
+documents, turns that into a score.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +31,8 @@ FIT_ROWS = 20_000
 PRIOR, LEAST, DRIFT = 1.0, 3, 0.35
 #: Weight, in documents of each class, of the symmetric part of the prior; least log-odds of a feature in standard errors.
 EVEN, LEAST_Z = 0.3, 3.0
+#: Share of clean texts' segments below those that K is fitted on; weight of a toxic document, against a clean one, in the curve's fit.
+TAIL, TOXIC_WEIGHT = 0.97, 4.0
 #: Lengths of the beginnings that are features. A beginning is proper: the word is longer.
 BEGINNINGS = range(4, 10)
 #: Entries of a worker's cache of words, which then starts anew.
@@ -91,7 +96,7 @@ class Model:
         return sum(x for x in rarity if x > 0)
 
     def probability(self, evidence: float) -> float:
-        x = self.slope * evidence + self.intercept if evidence > 0 else self.base
+        x = self.slope * math.log1p(evidence) + self.intercept if evidence > 0 else self.base
         return 1 / (1 + math.exp(-min(max(x, -30.0), 30.0)))
 
 
@@ -157,15 +162,24 @@ def _log_odds(counts: dict[str, tuple[int, int]], n_toxic: int, n_clean: int) ->
     return {f: math.log(q / (1 - q)) for f, q in share.items()}
 
 
-def _scale(scores: np.ndarray) -> float:
-    """The positive root of mean(exp(x * scores)) = 1, for scores that are negative on average."""
-    low, high = 1e-4, 8.0
+def _scale(scores: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of mean(exp(x * scores)) = 1, for scores (so often each) that are negative on average."""
+    low, high = 1e-4, 20.0
+    share = counts / counts.sum()
     for _ in range(60):
         mid = (low + high) / 2
-        low, high = (mid, high) if np.exp(mid * scores).mean() < 1 else (low, mid)
+        low, high = (mid, high) if share @ np.exp(np.minimum(mid * scores, 700.0)) < 1 else (low, mid)
     return low
 
 
+def _log_k(found: np.ndarray, n_tokens: float, scale: float) -> float:
+    """log K, so that as many segments are as high as the highest of found (clean texts' segments) as expected."""
+    if not len(found):
+        return -math.log(n_tokens)
+    least = float(np.quantile(found, TAIL))
+    return math.log((found >= least).sum() / n_tokens) + scale * least
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Learns from labelled rows that aren't held out, at most fit_rows of them. Without both classes, no text has evidence.
 
@@ -188,41 +202,61 @@ def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str =
     draft = Model(scores, 1.0, 0.0, 1.0, 0.0, -4.0)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each text its tokens and segments, and with the first of a batch how often clean tokens have which score."""
         release()
         scorer = Scorer(draft)
         for batch in batches:
-            out = [scorer.scan(t or "") for t in batch.column(0).to_pylist()]
-            found = [[s for _, _, s in x] for _, x in out]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([n for n, _ in out], pa.int64()), pa.array(found, pa.list_(pa.float64()))], ["toxic", "n", "scores"])
-
-    seen = sample.mapInArrow(scan, "toxic long, n long, scores array<double>").toPandas()  # fit_rows rows
+            texts, toxic = batch.column(0).fill_null("").to_pylist(), batch.column(1).to_pylist()
+            out = [scorer.scan(t) for t in texts]
+            seen: Counter[float] = Counter()
+            for t, y in zip(texts, toxic, strict=True):
+                if not y:
+                    seen.update(map(scorer.__getitem__, _WORD.findall(t.lower())))
+            levels = [list(seen.items()), *[[]] * (len(out) - 1)][: len(out)]
+            columns = [[n for n, _ in out], [[s for _, _, s in x] for _, x in out], [[s for s, _ in x] for x in levels], [[n for _, n in x] for x in levels]]
+            kinds = [pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["toxic", "n", "scores", "levels", "times"])
+
+    seen = sample.mapInArrow(scan, "toxic long, n long, scores array<double>, levels array<double>, times array<long>").toPandas()  # fit_rows rows
     clean = seen[seen["toxic"] == 0]
-    found = np.concatenate([np.zeros(0), *clean["scores"]])
-    n_tokens = float(clean["n"].sum())
-    if len(found) < 20 or not n_tokens:
-        scale, log_k = 1.0, math.log((len(found) + 1) / max(n_tokens, 1.0))
-    else:  # the segments of clean texts: their number above a score falls off exponentially
-        scale = min(2.0, 1 / max(float(found.mean() - found.min() * 0.5), 0.25))
-        log_k = math.log(len(found) / n_tokens) + scale * float(np.quantile(found, 0.0))
+    levels, times = (np.concatenate([np.zeros(0), *seen[c]]) for c in ("levels", "times"))
+    scale = _scale(levels, times) if len(levels) else 1.0
+    log_k = _log_k(np.concatenate([np.zeros(0), *clean["scores"]]), max(float(clean["n"].sum()), 1.0), scale)
     model = Model(scores, scale, log_k, 1.0, 0.0, -4.0)
     x = np.array([model.evidence(n, [(0, 0, s) for s in own]) for n, own in zip(seen["n"], seen["scores"], strict=True)])
     y = seen["toxic"].to_numpy(float)
     some = x > 0
     base = math.log((y[~some].sum() + 0.5) / ((1 - y[~some]).sum() + 0.5))
-    slope, intercept = _logistic(x[some], y[some])
+    slope, intercept = _logistic(np.log1p(x[some]), y[some])
     return Model(scores, scale, log_k, slope, intercept, base)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (not negative) and intercept by Newton's method with a weak prior."""
-    w = np.array([0.5, -1.0])
-    a = np.stack([np.minimum(x, 60.0), np.ones_like(x)], 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + 0.02 * w
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + 0.02 * np.eye(2)
-        w -= np.clip(np.linalg.solve(hessian, gradient), -1, 1)
-    return max(float(w[0]), 0.0), float(w[1])
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.02) -> tuple[float, float]:
+    """Slope (not negative) and intercept that make y likeliest, toxic ones weighted, by Newton's method with step halving and a weak prior."""
+    if not len(x):
+        return 0.0, -1.0
+    unit = max(float(x.mean()), 1e-9)
+    a = np.stack([x / unit, np.ones_like(x)], 1)
+    weight = np.where(y > 0, TOXIC_WEIGHT, 1.0)
+    w = np.zeros(2)
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge / 2 * w @ w)
+
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        gradient = a.T @ (weight * (p - y)) + ridge * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), gradient)
+        part = 1.0
+        while part > 1e-6 and loss(w - part * step) > now:
+            part /= 2
+        w = w - part * step
+        before, now = now, loss(w)
+        if before - now < 1e-9:
+            break
+    return max(float(w[0]) / unit, 0.0), float(w[1])
 
 
 def score_documents(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
