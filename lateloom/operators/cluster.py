@@ -34,12 +34,24 @@ class Fit:
 
 
 def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centroid of each row, the first of equal ones, and its squared distance."""
+    """The nearest centroid of each row, the first of equal ones, and its squared distance: always the sum of squared differences.
+
+    A matrix product finds the centroids that can be the nearest ones, with a margin for its rounding; only these are compared.
+    """
     out, dist = np.empty(len(x), np.int64), np.empty(len(x))
-    for a in range(0, len(x), 4096):
-        d = ((x[a : a + 4096, None, :] - centroids[None]) ** 2).sum(-1) if centroids.size < 1 << 16 else (x[a : a + 4096] ** 2).sum(1)[:, None] - 2 * x[a : a + 4096] @ centroids.T + (centroids**2).sum(1)
-        out[a : a + 4096] = d.argmin(1)
-        dist[a : a + 4096] = np.maximum(d.min(1), 0)
+    squares = (centroids**2).sum(1)
+    step = max(1, (1 << 22) // max(len(centroids), 1))
+    for a in range(0, len(x), step):
+        own = x[a : a + step]
+        d = squares - 2 * own @ centroids.T
+        margin = 1e-12 * x.shape[1] * ((own**2).sum(1) + squares.max())
+        row, at = np.nonzero(d <= (d.min(1) + margin)[:, None])
+        exact = ((own[row] - centroids[at]) ** 2).sum(1)
+        begin = np.searchsorted(row, np.arange(len(own)))
+        least = np.minimum.reduceat(exact, begin)
+        first = np.flatnonzero(exact == least[row])
+        first = first[np.searchsorted(row[first], np.arange(len(own)))]
+        out[a : a + step], dist[a : a + step] = at[first], least
     return out, dist
 
 
@@ -72,8 +84,8 @@ def fit(x: np.ndarray, k: int, *, max_iters: int = 25, tol: float = 1e-4, seed:
     for it in range(1, max_iters + 1):
         own, dist = nearest(x, centroids)
         wcss = float(dist.sum())
-        sums, counts = np.zeros_like(centroids), np.bincount(own, minlength=k)
-        np.add.at(sums, own, x)
+        counts = np.bincount(own, minlength=k)
+        sums = np.stack([np.bincount(own, x[:, c], minlength=k) for c in range(x.shape[1])], 1)
         filled = counts > 0
         centroids[filled] = sums[filled] / counts[filled, None]
         far = iter(np.argsort(-dist, kind="stable"))

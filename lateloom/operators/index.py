@@ -62,14 +62,14 @@ def doc_packs(coded: DataFrame) -> DataFrame:
     return packed.select("doc_id", F.transform("t", lambda t: t["centroid_id"]).alias("centroid_ids"), F.transform("t", lambda t: t["residual_norm"]).alias("norms"), codes.alias("codes"))
 
 
-def assemble(tokens: DataFrame, centroids: DataFrame, codebook: DataFrame | None = None, *, m: int = PQ_M, seed: int = 42, max_train: int | None = None, digits: int | None = None, base: str = "raw") -> Index:
+def assemble(tokens: DataFrame, centroids: DataFrame, codebook: DataFrame | None = None, *, m: int = PQ_M, seed: int = 42, max_train: int = pq.MAX_TRAIN, digits: int | None = None, base: str = "raw") -> Index:
     """An index from tokens that carry centroid_id, and centroids with raw and unit."""
     rest = residuals(tokens, centroids, digits, base)
     codebook = codebook if codebook is not None else materialize(pq.train(rest, m=m, seed=seed, max_train=max_train))
     return Index(centroids, postings(tokens), codebook, doc_packs(pq.encode(rest, codebook)))
 
 
-def build(tokens: DataFrame, p: ClusteringParams, *, m: int = PQ_M, max_train: int | None = None, base: str = "raw") -> Index:
+def build(tokens: DataFrame, p: ClusteringParams, *, m: int = PQ_M, max_train: int = pq.MAX_TRAIN, base: str = "raw") -> Index:
     """Clusters, then encodes residuals. Each stage's table is kept in the shared folder while the next uses it."""
     model = clustering.cluster(tokens, p)
     centroids = materialize(model.centroids.withColumn("unit", normalize(F.col("raw"))))

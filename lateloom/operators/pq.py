@@ -17,12 +17,17 @@ from .cluster import fit
 _SCHEMA = "m int, code int, sub array<double>"
 
 
-def train(residuals: DataFrame, *, m: int = PQ_M, codes: int = PQ_CODES, seed: int = 42, max_train: int | None = None) -> DataFrame:
-    """The codebook (m, code, sub) from residuals(doc_id, pos, unit): one k-means per sub-space, on all rows or on max_train of them, in order of a hash."""
+#: Residuals that a codebook is trained on, about: 256 for each of its codewords. All are encoded.
+MAX_TRAIN = 65_536
+
+
+def train(residuals: DataFrame, *, m: int = PQ_M, codes: int = PQ_CODES, seed: int = 42, max_train: int = MAX_TRAIN) -> DataFrame:
+    """The codebook (m, code, sub) from residuals(doc_id, pos, unit): one k-means per sub-space, on all rows or, of more, on about max_train of least hash."""
     rows = residuals.select("doc_id", "pos", "unit")
-    if max_train:
-        rows = rows.orderBy(F.xxhash64("doc_id", "pos"), "doc_id", "pos").limit(max_train)
-    dim = rows.select(F.max(F.size("unit"))).first()[0] or 0
+    n_rows, dim = rows.agg(F.count("*"), F.max(F.size("unit"))).first()
+    if n_rows > max_train:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(1 << 32)) < F.lit((1 << 32) * max_train // n_rows))
+    dim = dim or 0
     if dim % m:
         raise DimNotDivisibleByM(f"{dim} is not divisible by {m}")
     n = dim // m

@@ -6,28 +6,69 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lateloom.functions.shared import materialize
 from lateloom.functions.vectors import dot
-from lateloom.params import SearchParams
+from lateloom.params import DimMismatch, SearchParams
 
-from . import pq
+from . import encode, pq
 
 #: Bytes of centroids that are broadcast at once; more are searched block by block.
 BLOCK_BYTES = 128 << 20
+#: Words of queries that are broadcast at once, and documents whose words are multiplied with them at once.
+WORD_BLOCK, WORD_DOCS = 1_000_000, 64
 
 
-def centroid_blocks(centroids: DataFrame, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrices of the centroids, in blocks of at most BLOCK_BYTES."""
+def n_blocks(centroids: DataFrame, column: str) -> int:
+    """How many blocks of at most BLOCK_BYTES the centroids make."""
     n, dim = centroids.agg(F.count("*"), F.max(F.size(column))).first()
-    blocks = max(1, -(-n * (dim or 1) * 8 // BLOCK_BYTES))
+    return max(1, -(-n * (dim or 1) * 8 // BLOCK_BYTES))
+
+
+def centroid_blocks(centroids: DataFrame, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrices of the centroids, block by block."""
+    blocks = n_blocks(centroids, column)
     for b in range(blocks):
         own = centroids if blocks == 1 else centroids.where(F.pmod(F.xxhash64("centroid_id"), F.lit(blocks)) == b)
         t = own.select("centroid_id", column).orderBy("centroid_id").toArrow()
         if t.num_rows:
-            yield t.column(0).to_numpy().astype(np.int32), np.array(t.column(1).to_pylist(), np.float64)
+            yield t.column(0).to_numpy().astype(np.int32), matrix(t.column(1))
+
+
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as rows of doubles, without a Python object for each number."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(vectors) and len(flat) % len(vectors) or vectors.null_count:
+        raise DimMismatch("vectors differ in length")
+    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
+
+
+def greatest(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest of each row, greatest first; of equal ones the first."""
+    rows, n = s.shape
+    if k < n:
+        least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+        above = s > least
+        tied = s == least
+        tied &= np.cumsum(tied, 1) <= k - above.sum(1, keepdims=True)
+        at = np.nonzero(above | tied)[1].reshape(rows, k)
+    else:
+        at = np.tile(np.arange(n), (rows, 1))
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(s, at, 1), 1, kind="stable"), 1)
+
+
+def check_dims(query_tokens: DataFrame, centroids: DataFrame, column: str = "unit") -> None:
+    """Raises unless all query tokens have as many components as the centroids."""
+    lo, hi = query_tokens.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
+    dim = centroids.select(F.max(F.size(column))).first()[0]
+    if lo is not None and dim is not None and not lo == hi == dim:
+        raise DimMismatch(f"queries have {lo} to {hi} components, the index has {dim}")
 
 
 def score_order(score: str = "score") -> list[Column]:
@@ -37,9 +78,9 @@ def score_order(score: str = "score") -> list[Column]:
 def centroid_topk(query_tokens: DataFrame, centroids: DataFrame, kappa_c: int, digits: int = 9) -> DataFrame:
     """qid, qpos, centroid_id, sim and rank of the kappa_c nearest centroids of each query token; the least id of equally near ones first."""
     out, blocks = None, 0
-    for ids, matrix in centroid_blocks(centroids, "unit"):
+    for block in centroid_blocks(centroids, "unit"):
         blocks += 1
-        shared = query_tokens.sparkSession.sparkContext.broadcast((ids, matrix))
+        shared = query_tokens.sparkSession.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             ids, c = shared.value
@@ -47,8 +88,11 @@ def centroid_topk(query_tokens: DataFrame, centroids: DataFrame, kappa_c: int, d
             for batch in batches:
                 for a in range(0, len(batch), 256):
                     own = batch.slice(a, 256)
-                    s = np.round(np.array(own.column("vec").to_pylist(), np.float64) @ c.T, digits) + 0.0
-                    order = np.argsort(-s, 1, kind="stable")[:, :k]  # ids ascend
+                    x = matrix(own.column("vec"))
+                    if x.shape[1] != c.shape[1]:
+                        raise DimMismatch(f"queries have {x.shape[1]} components, the index has {c.shape[1]}")
+                    s = np.round(x @ c.T, digits) + 0.0
+                    order = greatest(s, k)  # ids ascend
                     row = np.repeat(np.arange(len(own)), k)
                     flat = order.ravel()
                     keys = [own.column(n).take(pa.array(row)) for n in ("qid", "qpos")]
@@ -87,44 +131,53 @@ def query_packs(query_tokens: DataFrame) -> DataFrame:
 def refine(survivors: DataFrame, query_tokens: DataFrame, doc_packs: DataFrame, centroids: DataFrame, codebook: DataFrame) -> DataFrame:
     """qid, doc_id and score: the sum over a query's tokens of the best of a document's tokens, each its centroid plus norm times decoded residual.
 
-    Inner products with centroids and codewords are added, so no vector is rebuilt for scoring. Centroids travel with the
-    documents' packs where they are too many to be broadcast.
+    Inner products with centroids and codewords are added, so no vector is rebuilt for scoring, and those with codewords are taken
+    once for all documents of a query. Centroids are broadcast where they are one block, and travel with the documents' packs otherwise.
     """
     spark = survivors.sparkSession
-    blocks = list(centroid_blocks(centroids, "unit"))
     books = spark.sparkContext.broadcast(pq.book(codebook))
-    packs = doc_packs
-    small = len(blocks) == 1
-    ids, matrix = blocks[0] if small else (np.zeros(0, np.int32), np.zeros((0, 0)))
-    shared = spark.sparkContext.broadcast((ids, matrix))
-    if not small:
+    if n_blocks(centroids, "unit") == 1:
+        block = next(centroid_blocks(centroids, "unit"), (np.zeros(0, np.int32), np.zeros((0, 0))))
+        packs = doc_packs.withColumn("units", F.lit(None).cast("array<array<double>>"))
+    else:
+        block = (np.zeros(0, np.int32), np.zeros((0, 0)))
         one = doc_packs.select("doc_id", F.posexplode("centroid_ids").alias("at", "centroid_id")).join(centroids.select("centroid_id", "unit"), "centroid_id")
         vectors = one.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "unit"))), lambda s: s["unit"]).alias("units"))
         packs = doc_packs.join(vectors, "doc_id")
-    else:
-        packs = doc_packs.withColumn("units", F.lit(None).cast("array<array<double>>"))
-    joined = survivors.select("qid", "doc_id").join(packs, "doc_id").join(query_packs(query_tokens), "qid")
+    shared = spark.sparkContext.broadcast(block)
+    joined = survivors.select("qid", "doc_id").join(packs, "doc_id").select("qid", "doc_id", "centroid_ids", "norms", "codes", "units", F.lit(None).cast("array<array<double>>").alias("queries"))
+    none = {"doc_id": "long", "centroid_ids": "array<int>", "norms": "array<double>", "codes": "binary", "units": "array<array<double>>"}
+    asked = query_packs(query_tokens).select("qid", *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "queries")
+    # a query comes before its documents, kappa_d at most, which are dealt by query
+    met = joined.unionByName(asked).repartition("qid").sortWithinPartitions("qid", F.col("doc_id").asc_nulls_first())
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, c = shared.value
         words = books.value
         m, _, n = words.shape
+        at, q, near, table = None, np.zeros((0, 0)), np.zeros((0, 0)), np.zeros((0, 0, 0))
         for batch in batches:
-            out = []
-            for r in batch.select(["centroid_ids", "norms", "codes", "units", "queries"]).to_pylist():
-                q = np.array(r["queries"], np.float64)
-                if not r["centroid_ids"]:
-                    out.append(0.0)
+            qids, docs, out = [], [], []
+            for qid, doc, own, norms, codes, units, queries in zip(*batch.columns, strict=True):
+                if not doc.is_valid:
+                    at, q = qid.as_py(), matrix(queries.values)
+                    table = np.einsum("imn,mcn->mci", q.reshape(len(q), m, n), words)
+                    near = q @ c.T if len(c) else near
+                    continue
+                if qid.as_py() != at:  # a query without tokens
                     continue
-                own = np.array(r["units"], np.float64) if r["units"] is not None else c[np.searchsorted(ids, r["centroid_ids"])]
-                table = np.einsum("imn,mcn->mci", q.reshape(len(q), m, n), words)
-                codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, m)
-                rest = table[np.arange(m), codes].sum(1)  # a row for each of the document's tokens
-                s = q @ own.T + np.array(r["norms"])[None, :] * rest.T
-                out.append(float(s.max(1).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("qid"), batch.column("doc_id"), pa.array(out, pa.float64())], ["qid", "doc_id", "score"])
+                centroid = own.values.to_numpy()
+                total = 0.0
+                if len(centroid):
+                    rest = table[np.arange(m), np.frombuffer(codes.as_buffer(), np.uint8).reshape(-1, m)].sum(1)  # a row for each of the document's tokens
+                    base = q @ matrix(units.values).T if units.is_valid else near[:, np.searchsorted(ids, centroid)]
+                    total = float((base + norms.values.to_numpy()[None, :] * rest.T).max(1).sum())
+                qids.append(at)
+                docs.append(doc.as_py())
+                out.append(total)
+            yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), pa.array(docs, pa.int64()), pa.array(out, pa.float64())], ["qid", "doc_id", "score"])
 
-    return joined.select("qid", "doc_id", "centroid_ids", "norms", "codes", "units", "queries").mapInArrow(score, "qid long, doc_id long, score double")
+    return met.mapInArrow(score, "qid long, doc_id long, score double")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -133,8 +186,9 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def search(index, query_tokens: DataFrame, p: SearchParams) -> DataFrame:  # noqa: ANN001
-    """qid, rank, doc_id and score of the top_k documents of every query: gather, prune, refine."""
+    """qid, rank, doc_id and score of the top_k documents of every query: gather, prune, refine. A query without tokens has no hits."""
     p.check()
+    check_dims(query_tokens, index.centroids)
     hits = centroid_topk(query_tokens, index.centroids, p.kappa_c)
     survivors = prune(gather(hits, index.postings), p.kappa_d, p.alpha)
     scored = refine(survivors, query_tokens, index.doc_packs, index.centroids, index.codebook)
@@ -164,6 +218,56 @@ def brute_force(query_tokens: DataFrame, tokens: DataFrame) -> DataFrame:
     return packs.join(blocks).mapInArrow(score, "qid long, doc_id long, score double")
 
 
+def word_search(docs: DataFrame, queries: DataFrame, k: int, *, text: str = "text") -> DataFrame:
+    """qid, rank, doc_id and score, the number of distinct words that a document (doc_id) shares with a query (qid), of the k best documents.
+
+    The queries' words are broadcast in blocks of WORD_BLOCK, and documents meet them where they are read: a product of a batch's
+    documents by words with the block's words by queries, of which a task keeps the k best of each query. So a word that is in all
+    documents is neither a hot key, nor makes rows.
+    """
+    spark = docs.sparkSession
+    own = materialize(encode.token_ids(encode.words(queries, key="qid", text=text)).select("qid", "token_id").distinct())
+    blocks = max(1, -(-own.count() // WORD_BLOCK))
+    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_distinct(encode.word_list(F.col(text), False)).alias("words"))
+    out = None
+    for b in range(blocks):
+        t = own.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()  # about WORD_BLOCK rows
+        token, at = np.unique(t.column("token_id").to_numpy(), return_inverse=True)
+        names, to = np.unique(t.column("qid").to_numpy(), return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        shared = spark.sparkContext.broadcast((token, np.searchsorted(at[order], np.arange(len(token) + 1)), to[order], names))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            token, begin, to, names = shared.value
+            known: dict[str, int] = {}
+            best = [np.zeros(0, np.int64)] * 3  # query, document, score
+            for batch in batches:
+                words = batch.column(1).flatten().dictionary_encode()
+                ids = np.array([encode.token_number(w, known) for w in words.dictionary.to_pylist()], np.int64)
+                place = np.minimum(np.searchsorted(token, ids), max(len(token) - 1, 0))
+                place = np.where(token[place] == ids, place, -1) if len(token) else np.full(len(ids), -1)
+                doc = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy())
+                word = place[words.indices.to_numpy()]
+                doc, word = np.unique(np.stack([doc[word >= 0], word[word >= 0]]), axis=1)
+                for a in range(0, len(batch), WORD_DOCS):
+                    x, y = np.searchsorted(doc, (a, a + WORD_DOCS))
+                    many = begin[word[x:y] + 1] - begin[word[x:y]]
+                    entry = np.repeat(begin[word[x:y]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    counts = np.bincount(np.repeat(doc[x:y] - a, many) * len(names) + to[entry], minlength=0)
+                    hit = np.flatnonzero(counts)
+                    keys = batch.column(0).to_numpy()[a + hit // max(len(names), 1)]
+                    best = [np.concatenate(c) for c in zip(best, (hit % max(len(names), 1), keys, counts[hit]), strict=True)]
+                    order = np.lexsort((best[1], -best[2], best[0]))
+                    best = [c[order] for c in best]
+                    keep = np.arange(len(order)) - np.searchsorted(best[0], best[0]) < k
+                    best = [c[keep] for c in best]
+            yield pa.RecordBatch.from_arrays([pa.array(names[best[0]]), pa.array(best[1]), pa.array(best[2].astype(np.float64))], ["qid", "doc_id", "score"])
+
+        found = listed.mapInArrow(run, "qid long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return top(out, k)
+
+
 def gather_sql(query_tokens: DataFrame, centroids: DataFrame, postings: DataFrame, kappa_c: int) -> DataFrame:
     """The same as centroid_topk and gather, in the JVM alone."""
     sims = query_tokens.join(F.broadcast(centroids.select("centroid_id", "unit"))).select("qid", "qpos", "centroid_id", F.round(dot(F.col("vec"), F.col("unit")), 9).alias("sim"))

@@ -11,7 +11,8 @@ def frequency(tokens: DataFrame, dense: bool = False) -> DataFrame:
     counts = tokens.groupBy("token_id").agg(F.count("*").alias("n_j"))
     if not dense:
         return counts
-    ids = tokens.agg(F.explode(F.sequence(F.lit(0).cast("long"), F.max("token_id"))).alias("token_id"))
+    last = tokens.agg(F.max("token_id")).first()[0]
+    ids = tokens.sparkSession.range(0 if last is None else last + 1).select(F.col("id").alias("token_id"))
     return ids.join(counts, "token_id", "left").select("token_id", F.coalesce("n_j", F.lit(0).cast("long")).alias("n_j"))
 
 

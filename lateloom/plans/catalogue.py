@@ -60,11 +60,12 @@ def fine_tokens(spark: SparkSession, d: str, centroids: DataFrame) -> DataFrame:
 
 
 def fine_index(spark: SparkSession, d: str) -> index.Index:
-    """A mean centroid for each of 125 token ids, and the first 200 residuals as codewords."""
+    """A mean centroid for each of 125 token ids, and as codewords 256 residuals (a codebook's size), evenly from the whole table."""
     centroids = materialize(cluster.mean_centroids(fine(spark, d), DIGITS))
     own = fine_tokens(spark, d, centroids)
-    first = index.residuals(own.where((F.col("doc_id") * 10 + F.col("pos")) < 200), centroids, DIGITS)
-    book = materialize(pq.train(first))
+    n = own.count()
+    even = index.residuals(own.where((F.col("doc_id") * 10 + F.col("pos")) * 256 % F.lit(n) < 256), centroids, DIGITS)
+    book = materialize(pq.train(even))
     return index.assemble(own, centroids, book, digits=DIGITS)
 
 
@@ -77,7 +78,7 @@ def ranks(df: DataFrame) -> DataFrame:
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     e = emb(spark, d)
-    a = e.where("vec_id < 50").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
+    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
     return a.join(e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b")))
 
 
@@ -96,16 +97,6 @@ def vec_cosine(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("a_id", "b_id", V.rounded(V.cosine(F.col("a"), F.col("b"))).alias("cosine"))
 
 
-@query
-def vec_pairs_growing(spark: SparkSession, d: str) -> DataFrame:
-    """dot, l2sq and cosine of each vector whose id is divisible by 50 with every vector."""
-    e = emb(spark, d)
-    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a_id"), F.col("embedding").alias("a"))
-    pairs = a.join(e.select(F.col("vec_id").alias("b_id"), F.col("embedding").alias("b")))
-    measures = {"dot": V.dot, "l2sq": V.l2sq, "cosine": V.cosine}
-    return pairs.select("a_id", "b_id", *(V.rounded(f(F.col("a"), F.col("b"))).alias(n) for n, f in measures.items()))
-
-
 @query
 def vec_normalize(spark: SparkSession, d: str) -> DataFrame:
     scaled = emb(spark, d).select("vec_id", F.transform(V.doubles(F.col("embedding")), lambda x: x * (F.col("vec_id") % 5)).alias("v"))
@@ -124,8 +115,8 @@ def vec_argmax(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def l2_batch_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """For each vector the nearest of the first 50, the least id of equally near ones."""
-    points = emb(spark, d).where("vec_id < 50").select(F.col("vec_id").cast("int").alias("centroid_id"), F.col("embedding").cast("array<double>").alias("raw"))
+    """For each vector the nearest of those whose id is divisible by 50, the least id of equally near ones."""
+    points = emb(spark, d).where("vec_id % 50 = 0").select(F.col("vec_id").cast("int").alias("centroid_id"), F.col("embedding").cast("array<double>").alias("raw"))
     own = emb(spark, d).select(F.col("vec_id").alias("doc_id"), F.lit(0).alias("pos"), F.col("vec_id").alias("token_id"), F.col("embedding").cast("array<double>").alias("vec"))
     near = cluster.assign_nearest(own, points)
     return near.select(F.col("doc_id").alias("vec_id"), F.col("centroid_id").alias("nearest"), V.rounded(F.col("dist")).alias("dist"))
@@ -341,8 +332,7 @@ def pq_decode(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pq_distance_table(spark: SparkSession, d: str) -> DataFrame:
-    own = qt(spark, d).where("qid = 1 and qpos < 2")
-    return pq.distance_table(own, fine_index(spark, d).codebook).select("qid", "qpos", "m", "code", V.rounded(F.col("ip")).alias("ip"))
+    return pq.distance_table(qt(spark, d), fine_index(spark, d).codebook).select("qid", "qpos", "m", "code", V.rounded(F.col("ip")).alias("ip"))
 
 
 @query
@@ -365,7 +355,7 @@ def pq_train(spark: SparkSession, d: str) -> DataFrame:
 def reconstruct_tokens(spark: SparkSession, d: str) -> DataFrame:
     i = fine_index(spark, d)
     rows = index.reconstruct(i.doc_packs, i.centroids, i.codebook)
-    return rows.where("doc_id < 10").select("doc_id", "pos", F.posexplode("vec").alias("d", "x")).select("doc_id", "pos", "d", V.rounded(F.col("x")).alias("x"))
+    return rows.select("doc_id", "pos", F.posexplode("vec").alias("d", "x")).select("doc_id", "pos", "d", V.rounded(F.col("x")).alias("x"))
 
 
 def trained_index(spark: SparkSession, d: str) -> index.Index:
@@ -609,19 +599,15 @@ def encode_keep_mask(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def drop_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of which only every third keeps its text: how many give no token."""
-    texts = T.read(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.lit(" . ! ")).alias("text"))
-    return encode.dropped(texts).groupBy("reason").agg(F.count("*").alias("n"))
+    """Documents, and how many of them give no token."""
+    texts = T.read(spark, d, "documents")
+    return texts.agg(F.count("*").alias("n")).join(encode.dropped(texts).agg(F.count("*").alias("n_dropped")))
 
 
 @query
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark texts as queries against documents, both hash-encoded: documents by the words of the query that they have."""
-    docs, items = T.read(spark, d, "documents"), T.read(spark, d, "benchmark")
-    have = encode.token_ids(encode.words(docs)).select("doc_id", "token_id").distinct()
-    want = encode.token_ids(encode.words(items, key="item_id")).select(F.col("item_id").alias("qid"), "token_id").distinct()
-    found = want.join(have, "token_id").groupBy("qid", "doc_id").agg(F.count("*").cast("double").alias("score"))
-    return ranks(retrieve.top(found, 10))
+    return ranks(retrieve.word_search(T.read(spark, d, "documents"), T.read(spark, d, "benchmark").withColumnRenamed("item_id", "qid"), 10))
 
 
 @query

@@ -6,9 +6,10 @@ _VIEWS = {
     "e": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "tok": "SELECT vec_id // 10 AS doc_id, CAST(vec_id % 10 AS INTEGER) AS pos, CAST(label AS BIGINT) AS token_id, v AS vec FROM e",
     "fine": "SELECT vec_id // 10 AS doc_id, CAST(vec_id % 10 AS INTEGER) AS pos, vec_id % 125 AS token_id, v AS vec FROM e",
-    "qt": "SELECT vec_id // 4 + 1 AS qid, CAST(vec_id % 4 AS INTEGER) AS qpos, v AS vec FROM e WHERE vec_id < 40",
-    "qrels": "SELECT vec_id // 4 + 1 AS qid, vec_id // 10 AS doc_id, CAST(count(*) AS INTEGER) AS rel FROM e WHERE vec_id < 40 GROUP BY 1, 2",
-    "pairs": "SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.v AS a, b.v AS b FROM e a, e b WHERE a.vec_id < 50",
+    "asked": "SELECT *, vec_id // 50 + 1 AS qid, CAST(vec_id % 50 - 8 * (vec_id // 50 % 2) AS INTEGER) AS qpos FROM e",
+    "qt": "SELECT qid, qpos, v AS vec FROM asked WHERE qpos BETWEEN 0 AND 3",
+    "qrels": "SELECT qid, vec_id // 10 AS doc_id, CAST(count(*) AS INTEGER) AS rel FROM asked WHERE qpos BETWEEN 0 AND 3 GROUP BY 1, 2",
+    "pairs": "SELECT a.vec_id AS a_id, b.vec_id AS b_id, a.v AS a, b.v AS b FROM e a, e b WHERE a.vec_id % 50 = 0",
     # budgets
     "spread": "SELECT token_id, max(n) AS n_j, round(sum(s), 9) AS s_j FROM (SELECT token_id, d, count(*) AS n, var_pop(x) AS s FROM (SELECT token_id, unnest(vec) AS x, unnest(range(64)) AS d FROM tok) GROUP BY 1, 2) GROUP BY 1",
     "tiers": "SELECT *, CASE WHEN n_j = 0 THEN 'empty' WHEN n_j < 46 THEN 'micro' WHEN n_j < 50 THEN 'small' ELSE 'active' END AS tier FROM spread",
@@ -37,10 +38,11 @@ _VIEWS = {
     "lengths": "SELECT doc_id, pos, centroid_id, sqrt(sum((x - c) * (x - c) ORDER BY d)) AS n FROM parts GROUP BY 1, 2, 3",
     "units": "SELECT p.doc_id, p.pos, p.centroid_id, p.d, CASE WHEN n = 0 THEN round(x - c, 9) ELSE round((x - c) / n, 9) END AS u FROM parts p JOIN lengths USING (doc_id, pos)",
     "norms": "SELECT doc_id, pos, centroid_id, round(n, 9) AS residual_norm FROM lengths",
-    "book": "SELECT CAST(d // 2 AS INTEGER) AS m, CAST(code AS INTEGER) AS code, CAST(d % 2 AS INTEGER) AS d, u AS x FROM units, range(256) r(code) WHERE doc_id * 10 + pos = least(code, 199)",
+    "size": "SELECT count(*) AS rows_all FROM fine",
+    "book": "SELECT CAST(d // 2 AS INTEGER) AS m, CAST((doc_id * 10 + pos) * 256 // rows_all AS INTEGER) AS code, CAST(d % 2 AS INTEGER) AS d, u AS x FROM units, size WHERE (doc_id * 10 + pos) * 256 % rows_all < 256",
     "book2": "SELECT m, code, max(x) FILTER (d = 0) AS c0, max(x) FILTER (d = 1) AS c1 FROM book GROUP BY 1, 2",
     "unit2": "SELECT doc_id, pos, CAST(d // 2 AS INTEGER) AS m, max(u) FILTER (d % 2 = 0) AS u0, max(u) FILTER (d % 2 = 1) AS u1 FROM units GROUP BY 1, 2, 3",
-    "codes": "SELECT doc_id, pos, m, CAST(arg_min(code, (dist, code)) AS INTEGER) AS code FROM (SELECT doc_id, pos, u.m, code, (u0 - c0) * (u0 - c0) + (u1 - c1) * (u1 - c1) AS dist FROM unit2 u JOIN book2 b ON u.m = b.m AND b.code < 200) GROUP BY 1, 2, 3",
+    "codes": "SELECT doc_id, pos, m, CAST(arg_min(code, (dist, code)) AS INTEGER) AS code FROM (SELECT doc_id, pos, u.m, code, (u0 - c0) * (u0 - c0) + (u1 - c1) * (u1 - c1) AS dist FROM unit2 u JOIN book2 b ON u.m = b.m) GROUP BY 1, 2, 3",
     "decoded": "SELECT doc_id, pos, CAST(c.m * 2 + b.d AS INTEGER) AS d, b.x FROM codes c JOIN book b ON c.m = b.m AND c.code = b.code",
     "cparts": "SELECT centroid_id, unnest(range(64)) AS d, unnest(unit) AS cu FROM cent",
     "recon": "SELECT t.doc_id, t.pos, CAST(t.d AS INTEGER) AS d, cu + residual_norm * t.x AS x FROM decoded t JOIN norms n ON t.doc_id = n.doc_id AND t.pos = n.pos JOIN cparts c ON c.centroid_id = n.centroid_id AND c.d = t.d",
@@ -100,10 +102,10 @@ s AS (SELECT qid, doc_id, round(sum(sim), 9) AS score FROM (SELECT k.qid, k.doc_
 c AS (SELECT grid.*, p.qid, p.doc_id, s.score FROM p JOIN grid ON p.kappa_c = grid.kappa_c AND place <= kappa_d AND (alpha IS NULL OR best <= 0 OR gs >= alpha * best) JOIN s ON s.qid = p.qid AND s.doc_id = p.doc_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY kappa_c, kappa_d, alpha, qid ORDER BY score DESC, doc_id) AS rank FROM c),
 judged AS (SELECT * FROM qrels WHERE rel >= 2),
-asked AS (SELECT * FROM grid, (SELECT DISTINCT qid FROM judged)),
+cells AS (SELECT * FROM grid, (SELECT DISTINCT qid FROM judged)),
 firsts AS (SELECT kappa_c, kappa_d, coalesce(alpha, -1) AS a, t.qid, min(rank) AS r FROM t JOIN judged j ON t.qid = j.qid AND t.doc_id = j.doc_id WHERE rank <= 10 GROUP BY ALL)
-SELECT asked.kappa_c, asked.kappa_d, CAST(coalesce(round(alpha * 100), -1) AS INTEGER) AS alpha_x100, count(*) AS n_queries, round(avg(coalesce(1.0 / r, 0)), 6) AS quality
-FROM asked LEFT JOIN firsts f ON asked.kappa_c = f.kappa_c AND asked.kappa_d = f.kappa_d AND coalesce(alpha, -1) = a AND asked.qid = f.qid GROUP BY 1, 2, 3
+SELECT cells.kappa_c, cells.kappa_d, CAST(coalesce(round(alpha * 100), -1) AS INTEGER) AS alpha_x100, count(*) AS n_queries, round(avg(coalesce(1.0 / r, 0)), 6) AS quality
+FROM cells LEFT JOIN firsts f ON cells.kappa_c = f.kappa_c AND cells.kappa_d = f.kappa_d AND coalesce(alpha, -1) = a AND cells.qid = f.qid GROUP BY 1, 2, 3
 """
 
 
@@ -158,9 +160,9 @@ ORACLE_SQL: dict[str, str] = {
     "pq_codebook_degenerate": _sql("SELECT m, code, d, round(x, 6) + 0.0 AS x FROM book"),
     "pq_encode": _sql("SELECT doc_id, pos, m, code FROM codes"),
     "pq_decode": _sql("SELECT doc_id, pos, d, round(x, 6) + 0.0 AS x FROM decoded"),
-    "pq_distance_table": _sql("SELECT qid, qpos, m, code, round(vec[m * 2 + 1] * c0 + vec[m * 2 + 2] * c1, 6) + 0.0 AS ip FROM qt, book2 WHERE qid = 1 AND qpos < 2"),
+    "pq_distance_table": _sql("SELECT qid, qpos, m, code, round(vec[m * 2 + 1] * c0 + vec[m * 2 + 2] * c1, 6) + 0.0 AS ip FROM qt, book2"),
     "pq_recon_error": _sql("SELECT centroid_id, round(avg((u - x) * (u - x)), 6) + 0.0 AS mse FROM units JOIN decoded USING (doc_id, pos, d) GROUP BY 1"),
-    "reconstruct_tokens": _sql("SELECT doc_id, pos, d, round(x, 6) + 0.0 AS x FROM recon WHERE doc_id < 10"),
+    "reconstruct_tokens": _sql("SELECT doc_id, pos, d, round(x, 6) + 0.0 AS x FROM recon"),
     "index_roundtrip": _sql(f"{_RANKS} found"),
     "centroid_topk": _sql("SELECT qid, qpos, centroid_id, round(sim, 6) + 0.0 AS sim, rank FROM ranked WHERE rank <= 16"),
     "gather_scores": _sql("SELECT qid, doc_id, round(raw_score, 6) + 0.0 AS score FROM gathered"),
@@ -207,7 +209,7 @@ SELECT doc_id, count(*) AS n_tokens, CAST(sum(CAST(('0x' || substr(md5(word), 1,
     "encode_keep_mask": _sql(
         "SELECT item_id, CAST(len(list_filter(string_split(s, ' '), lambda w: w <> '' AND NOT list_contains(['.', ',', '!', '?', ';', ':', '-'], w))) AS BIGINT) AS kept, CAST(len(list_filter(string_split(s, ' '), lambda w: w <> '')) AS BIGINT) AS \"all\" FROM itemspaced"
     ),
-    "drop_rate": "SELECT CASE WHEN doc_id % 3 = 2 THEN 'null' ELSE 'no tokens' END AS reason, count(*) AS n FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1",
+    "drop_rate": f"SELECT count(*) AS n, count(*) - count(DISTINCT CASE WHEN w.doc_id IS NOT NULL THEN d.doc_id END) AS n_dropped FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_words('documents', 'doc_id')})) w USING (doc_id)",
     "text_search": f"""
 WITH h AS (SELECT DISTINCT doc_id, substr(md5(word), 1, 8) AS id FROM ({_words('documents', 'doc_id')})), q AS (SELECT DISTINCT item_id AS qid, substr(md5(word), 1, 8) AS id FROM ({_words('benchmark', 'item_id')})),
 s AS (SELECT qid, doc_id, CAST(count(*) AS DOUBLE) AS score FROM q JOIN h USING (id) GROUP BY 1, 2)

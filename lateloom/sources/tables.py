@@ -20,15 +20,20 @@ def tokens_from_embeddings(embeddings: DataFrame, per_doc: int = 10, fine: int |
     )
 
 
-def queries_from_embeddings(embeddings: DataFrame, vectors: int = 40, per_query: int = 4) -> DataFrame:
-    own = embeddings.where(F.col("vec_id") < vectors)
-    return own.select((F.expr(f"vec_id div {per_query}") + 1).alias("qid"), (F.col("vec_id") % per_query).cast("int").alias("qpos"), F.col("embedding").cast("array<double>").alias("vec"))
+def _asked(embeddings: DataFrame, every: int, per_query: int) -> DataFrame:
+    """qid, qpos and the vectors of query tokens: a query for each run of every ids, per_query in a row from its first (or, in every second run, from its ninth, where two documents meet)."""
+    place = F.col("vec_id") % every - F.when(F.expr(f"vec_id div {every}") % 2 == 1, 8).otherwise(0)
+    return embeddings.where(place.between(0, per_query - 1)).withColumns({"qid": F.expr(f"vec_id div {every}") + 1, "qpos": place.cast("int")})
 
 
-def qrels_from_embeddings(embeddings: DataFrame, vectors: int = 40, per_query: int = 4, per_doc: int = 10) -> DataFrame:
+def queries_from_embeddings(embeddings: DataFrame, every: int = 50, per_query: int = 4) -> DataFrame:
+    """A set of queries that grows with the table."""
+    return _asked(embeddings, every, per_query).select("qid", "qpos", F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def qrels_from_embeddings(embeddings: DataFrame, every: int = 50, per_query: int = 4, per_doc: int = 10) -> DataFrame:
     """The documents that hold a query's tokens, and how many."""
-    own = embeddings.where(F.col("vec_id") < vectors)
-    pairs = own.select((F.expr(f"vec_id div {per_query}") + 1).alias("qid"), F.expr(f"vec_id div {per_doc}").alias("doc_id"))
+    pairs = _asked(embeddings, every, per_query).select("qid", F.expr(f"vec_id div {per_doc}").alias("doc_id"))
     return pairs.groupBy("qid", "doc_id").agg(F.count("*").cast("int").alias("rel"))
 
 
