@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lateloom.functions.shared import materialize
 from lateloom.functions.vectors import norm, normalize
-from lateloom.params import PQ_M, ClusteringParams, IndexCorrupt
+from lateloom.params import PQ_M, ClusteringParams, IndexCorrupt, IndexExists
 
 from . import cluster as clustering
 from . import pq
@@ -83,8 +84,26 @@ def _figures(df: DataFrame) -> tuple[int, int]:
     return int(r[0]), int(r[1])
 
 
+def lookup(packs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and centroid_ids of the documents asked for (doc_id); one that the index doesn't have has no tokens."""
+    own = packs.select("doc_id", "centroid_ids")
+    return doc_ids.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", F.greatest(F.coalesce(F.size("centroid_ids"), F.lit(0)), F.lit(0)).alias("n_tokens"), "centroid_ids")
+
+
 def save(index: Index, path: str, *, doc_parts: int | None = None) -> None:
-    """Writes the tables below path, which must not exist. The meta table is written last: a folder without it is no index."""
+    """Writes the tables beside path, which must not exist, and then renames the folder. The meta table is written last: a folder without it is no index."""
+    spark = index.centroids.sparkSession
+    jvm = spark.sparkContext._jvm
+    target, hidden = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.{uuid.uuid4().hex}"))
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        raise IndexExists(path)
+    _write(index, hidden.toString(), doc_parts)
+    if not fs.rename(hidden, target):
+        raise IndexExists(path)
+
+
+def _write(index: Index, path: str, doc_parts: int | None) -> None:
     spark = index.centroids.sparkSession
     meta = []
     for name in _TABLES:

@@ -195,6 +195,14 @@ def search(index, query_tokens: DataFrame, p: SearchParams) -> DataFrame:  # noq
     return top(scored.withColumn("score", F.round("score", 9)), p.top_k)
 
 
+def summary(queries: DataFrame, query_tokens: DataFrame, hits: DataFrame) -> DataFrame:
+    """qid, n_tokens, n_hits and best (score) of each of queries (qid). One without tokens is skipped by a search: it has none of these."""
+    tokens = query_tokens.groupBy("qid").agg(F.count("*").alias("n_tokens"))
+    found = hits.groupBy("qid").agg(F.count("*").alias("n_hits"), F.max("score").alias("best"))
+    zero = F.lit(0).cast("long")
+    return queries.select("qid").distinct().join(tokens, "qid", "left").join(found, "qid", "left").select("qid", F.coalesce("n_tokens", zero).alias("n_tokens"), F.coalesce("n_hits", zero).alias("n_hits"), "best")
+
+
 def brute_force(query_tokens: DataFrame, tokens: DataFrame) -> DataFrame:
     """qid, doc_id and score over whole vectors: each block of queries against all tokens, without an index."""
     blocks = query_tokens.groupBy(F.floor(F.col("qid") / 1024).alias("block")).agg(F.collect_list(F.struct("qid", "qpos", "vec")).alias("queries"))  # a block's few tokens

@@ -37,6 +37,8 @@ DuplicatePair = _error("DuplicatePair")
 NoOverlap = _error("NoOverlap")
 UnknownMetric = _error("UnknownMetric")
 QidCountMismatch = _error("QidCountMismatch")
+QidOutOfRange = _error("QidOutOfRange")
+IndexExists = _error("IndexExists")
 DropRateExceeded = _error("DropRateExceeded")
 BroadcastTooLarge = _error("BroadcastTooLarge")
 

@@ -385,6 +385,68 @@ def search_trained(spark: SparkSession, d: str) -> DataFrame:
     return ranks(retrieve.search(trained_index(spark, d), qt(spark, d), SMALL))
 
 
+@query
+def search_built(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters, trains and encodes all tokens, and searches: with residuals to the centroids that are scored with."""
+    return ranks(retrieve.search(index.build(tok(spark, d), ACTIVE, base="unit"), qt(spark, d), SMALL))
+
+
+@query
+def search_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the exact ten best documents that a built index finds, for both bases of residuals, on a made corpus of 2,000 documents with themes: a tenth is refined."""
+    t = materialize(token_dump.synthetic(spark, docs=2000, dim=32, vocab=300, avg_len=12, seed=7).withColumn("vec", F.col("vec").cast("array<double>")))
+    asked = t.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("pos").alias("qpos"), "vec")
+    exact = materialize(retrieve.top(retrieve.brute_force(asked, t), 10))
+    out = None
+    for base in ("raw", "unit"):
+        built = index.build(t, ClusteringParams(kappa=768, mu=16, tau=32, epsilon=1, theta=8), base=base)
+        found = retrieve.search(built, asked, SearchParams(kappa_c=80, kappa_d=200, top_k=10))
+        one = retrieve.overlap(exact, found, 10).agg(F.lit(base).alias("base"), F.count("*").alias("n_queries"), F.avg("overlap").alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def search_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's tokens, hits and best score, and a query without tokens, which is skipped."""
+    asked = qt(spark, d)
+    ids = asked.select("qid").union(spark.createDataFrame([(0,)], "qid long"))
+    return retrieve.summary(ids, asked, search_topk(spark, d)).withColumn("best", V.rounded(F.col("best")))
+
+
+@query
+def index_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The centroids of the documents whose number is divisible by 50, and of one that isn't there."""
+    asked = emb(spark, d).select(F.expr("vec_id div 10").alias("doc_id")).where("doc_id % 50 = 0").union(spark.createDataFrame([(-1,)], "doc_id long"))
+    found = index.lookup(fine_index(spark, d).doc_packs, asked)
+    return found.select("doc_id", "n_tokens", F.array_join(F.transform("centroid_ids", lambda x: x.cast("string")), ",").alias("centroids"))
+
+
+@query
+def cluster_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What holds for any clustering: all centroids of the budget, each row in one of its own token's, and less scatter than around one mean a token."""
+    t = tok(spark, d)
+    model = cluster.cluster(t, ACTIVE)
+    joined = model.assign.join(model.centroids.select("centroid_id", F.col("token_id").alias("of")), "centroid_id", "left")
+    own = joined.agg(F.count("*").alias("n_assigned"), F.count_if(~F.col("of").eqNullSafe(F.col("token_id"))).alias("n_outside"), F.sum("dist").alias("wcss"), F.countDistinct("centroid_id").alias("n_used"))
+    means = t.select("token_id", F.posexplode("vec").alias("d", "x")).groupBy("token_id", "d").agg((F.var_pop("x") * F.count("*")).alias("s")).agg(F.sum("s").alias("bound"))
+    total = model.centroids.agg(F.countDistinct("centroid_id").alias("n_centroids"))
+    return total.join(own).join(means).select("n_centroids", "n_used", "n_assigned", "n_outside", (F.col("wcss") <= F.col("bound")).cast("int").alias("within"))
+
+
+@query
+def pq_quality(spark: SparkSession, d: str) -> DataFrame:
+    """A codebook of 256 words a sub-vector on 1,024 made vectors, one number a sub-vector: the mean squared error is below a thousandth."""
+    import numpy as np
+
+    x = np.random.default_rng(2).normal(size=(1024, 32))
+    rows = materialize(spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "doc_id long, pos int, unit array<double>"))
+    book = materialize(pq.train(rows))
+    back = pq.decode(pq.explode_codes(pq.encode(rows, book)), book)
+    plain = rows.select("doc_id", F.posexplode("unit").alias("d", "u"))
+    return plain.join(back.select("doc_id", "d", "x"), ["doc_id", "d"]).agg(F.count("*").alias("n"), (F.avg((F.col("u") - F.col("x")) ** 2) < 1e-3).cast("int").alias("within"))
+
+
 @query
 def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Saves, loads and verifies an index; hits of the loaded one."""
@@ -604,6 +666,41 @@ def drop_rate(spark: SparkSession, d: str) -> DataFrame:
     return texts.agg(F.count("*").alias("n")).join(encode.dropped(texts).agg(F.count("*").alias("n_dropped")))
 
 
+@query
+def encode_marked(spark: SparkSession, d: str) -> DataFrame:
+    """What an encoder of 32 entries is given of each document: its first words, with a marker as the second."""
+    texts = encode.by_length(T.read(spark, d, "documents"))
+    own = encode.marked(encode.word_list(F.col("text"), False), 32)
+    return texts.select("doc_id", F.size(own).alias("n"), F.md5(F.array_join(own, " ").cast("binary")).alias("md5"))
+
+
+@query
+def dump_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The description of a dump, written as JSON and read back; what is the same at every run."""
+    path = shared_path(spark) + "/meta.json"
+    token_dump.write_metadata(token_dump.metadata(tok(spark, d), mode="docs", encoder="given"), path)
+    back = spark.read.schema("format_version int, mode string, encoder string, encoder_dim int, n_docs long, n_tokens long, dropped long").json(path)
+    return back.select("*")
+
+
+@query
+def qids_sidecar(spark: SparkSession, d: str) -> DataFrame:
+    """Query ids, written as a sidecar and read back."""
+    path = shared_path(spark) + "/queries.qids"
+    ids = [r["qid"] * 7 for r in qt(spark, d).select("qid").distinct().orderBy("qid").collect()]  # 4 bytes a query in the file
+    token_dump.write_query_ids(spark, path, ids)
+    back = token_dump.read_query_ids(spark, path, len(ids))
+    return spark.createDataFrame(list(enumerate(back)), "ordinal long, qid long")
+
+
+@query
+def sweep_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The cells of a sweep as CSV, written and read back."""
+    path = shared_path(spark)
+    evaluate.write_csv(evaluate.csv_rows(sweep_grid(spark, d), dataset="given", git_sha="none"), path, {"metric": "mrr at 10"})
+    return spark.read.csv(path, header=True).select("dataset", "kappa_c", "kappa_d", "alpha_x100", "n_queries", "avg_total_ms", "git_sha")
+
+
 @query
 def text_search(spark: SparkSession, d: str) -> DataFrame:
     """Benchmark texts as queries against documents, both hash-encoded: documents by the words of the query that they have."""

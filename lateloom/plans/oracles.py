@@ -164,6 +164,18 @@ ORACLE_SQL: dict[str, str] = {
     "pq_recon_error": _sql("SELECT centroid_id, round(avg((u - x) * (u - x)), 6) + 0.0 AS mse FROM units JOIN decoded USING (doc_id, pos, d) GROUP BY 1"),
     "reconstruct_tokens": _sql("SELECT doc_id, pos, d, round(x, 6) + 0.0 AS x FROM recon"),
     "index_roundtrip": _sql(f"{_RANKS} found"),
+    "search_summary": _sql("SELECT qid, n_tokens, n_hits, round(best, 6) + 0.0 AS best FROM (SELECT qid, count(*) AS n_tokens FROM qt GROUP BY 1) JOIN (SELECT qid, count(*) AS n_hits, max(round(score, 6)) AS best FROM found GROUP BY 1) USING (qid) UNION ALL SELECT 0, 0, 0, NULL"),
+    "index_lookup": _sql("SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(CAST(centroid_id AS VARCHAR), ',' ORDER BY pos) AS centroids FROM ft WHERE doc_id % 50 = 0 GROUP BY 1 UNION ALL SELECT -1, 0, NULL"),
+    "cluster_invariants": _sql("SELECT CAST(32 AS BIGINT) AS n_centroids, CAST(32 AS BIGINT) AS n_used, count(*) AS n_assigned, CAST(0 AS BIGINT) AS n_outside, CAST(1 AS INTEGER) AS within FROM tok"),
+    "pq_quality": "SELECT CAST(1024 * 32 AS BIGINT) AS n, CAST(1 AS INTEGER) AS within",
+    "encode_marked": _sql(
+        "SELECT doc_id, CAST(len(m) AS INTEGER) AS n, md5(array_to_string(m, ' ')) AS md5 FROM (SELECT doc_id, CASE WHEN len(ws) = 0 THEN ws ELSE list_concat(list_concat(ws[1:1], ['[D]']), ws[2:31]) END AS m FROM (SELECT doc_id, coalesce(ws, []) AS ws FROM docwords))"
+    ),
+    "dump_metadata": _sql("SELECT CAST(2 AS INTEGER) AS format_version, 'docs' AS mode, 'given' AS encoder, CAST(64 AS INTEGER) AS encoder_dim, max(doc_id) + 1 AS n_docs, count(*) AS n_tokens, CAST(0 AS BIGINT) AS dropped FROM tok"),
+    "qids_sidecar": _sql("SELECT row_number() OVER (ORDER BY qid) - 1 AS ordinal, qid * 7 AS qid FROM (SELECT DISTINCT qid FROM qt)"),
+    "sweep_csv": _sql(
+        "SELECT 'given' AS dataset, CAST(c AS VARCHAR) AS kappa_c, CAST(d AS VARCHAR) AS kappa_d, CAST(a AS VARCHAR) AS alpha_x100, CAST((SELECT count(DISTINCT qid) FROM qrels WHERE rel >= 2) AS VARCHAR) AS n_queries, CAST(NULL AS VARCHAR) AS avg_total_ms, 'none' AS git_sha FROM (SELECT unnest([8, 16]) AS c), (SELECT unnest([10, 20]) AS d), (SELECT unnest([-1, 40, 50]) AS a)"
+    ),
     "centroid_topk": _sql("SELECT qid, qpos, centroid_id, round(sim, 6) + 0.0 AS sim, rank FROM ranked WHERE rank <= 16"),
     "gather_scores": _sql("SELECT qid, doc_id, round(raw_score, 6) + 0.0 AS score FROM gathered"),
     "gather_in_jvm": _sql("SELECT qid, doc_id, round(raw_score, 6) + 0.0 AS score FROM gathered"),

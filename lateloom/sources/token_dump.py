@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lateloom.params import MAX_DIM, InvalidTokenDump, QidCountMismatch
+from lateloom.params import MAX_DIM, MAX_ID, InvalidTokenDump, QidCountMismatch, QidOutOfRange
 
 #: Fixed values of the format.
 MAGIC, FORMAT, HEADER = b"TAC_TKN1", 2, struct.Struct("<8sIIQQB7s")
+TOOL = "1"
 TOKENS = "doc_id long, pos int, token_id long, vec array<float>"
 
 
@@ -79,22 +80,17 @@ def export(tokens: DataFrame, n_docs: int) -> bytes:
     return to_bytes(np.concatenate([[0], np.cumsum(counts)]), t.column("token_id").to_numpy(), np.array(t.column("vec").to_pylist(), np.float32))
 
 
-def write(tokens: DataFrame, path: str, docs_per_file: int = 100_000) -> None:
-    """A folder of dumps, each of up to docs_per_file documents (of the last one, up to its last document with a token). Each is written under a hidden name and then renamed."""
+def write(tokens: DataFrame, path: str, docs_per_file: int = 100_000) -> DataFrame:
+    """A folder of dumps, each of up to docs_per_file documents (of the last one, up to its last document with a token). Each is written under a hidden name and then renamed. Gives statistics()."""
     spark = tokens.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     last = tokens.agg(F.max("doc_id")).first()[0]
     if last is None:
         raise InvalidTokenDump("there are no tokens")
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf)
     for k in range(last // docs_per_file + 1):  # files, of a bounded size each
         lo, hi = k * docs_per_file, min((k + 1) * docs_per_file, last + 1)
         raw = export(tokens.where(F.col("doc_id").between(lo, hi - 1)).withColumn("doc_id", F.col("doc_id") - lo), hi - lo)
-        hidden, name = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}{k:06d}.bin") for x in ("_", "part-"))
-        out = fs.create(hidden, True)
-        out.write(bytearray(raw))
-        out.close()
-        fs.rename(hidden, name)
+        _put(spark, f"{path}/part-{k:06d}.bin", raw)
+    return statistics(tokens)
 
 
 def query_ids(n: int, sidecar: bytes | None, strict: bool = False) -> list[int]:
@@ -108,6 +104,57 @@ def query_ids(n: int, sidecar: bytes | None, strict: bool = False) -> list[int]:
     return np.frombuffer(sidecar, "<u4").tolist()
 
 
+def query_id_bytes(ids: list[int]) -> bytes:
+    """A sidecar of 32-bit numbers; an id that is none is refused."""
+    for i in ids:
+        if not isinstance(i, int) or isinstance(i, bool) or not 0 <= i <= MAX_ID:
+            raise QidOutOfRange(f"{i!r} is no number of 32 bits")
+    return np.array(ids, "<u4").tobytes()
+
+
+def write_query_ids(spark: SparkSession, path: str, ids: list[int]) -> None:
+    """The sidecar of a dump of queries. Written under a hidden name and then renamed."""
+    _put(spark, path, query_id_bytes(ids))
+
+
+def read_query_ids(spark: SparkSession, path: str, n: int) -> list[int]:
+    rows = spark.read.format("binaryFile").load(path).select("content").collect()  # 4 bytes a query
+    return query_ids(n, bytes(rows[0]["content"]))
+
+
+def _put(spark: SparkSession, path: str, raw: bytes) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    hidden = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(hidden, True)
+    out.write(bytearray(raw))
+    out.close()
+    fs.delete(target, False)
+    fs.rename(hidden, target)
+
+
+def statistics(tokens: DataFrame) -> DataFrame:
+    """One row: n_docs, n_tokens and dim, as a dump's header has them."""
+    own = tokens.agg(F.max("doc_id").alias("last"), F.count("*").alias("n_tokens"), F.max(F.size("vec")).alias("dim"))
+    return own.select((F.coalesce("last", F.lit(-1)) + 1).alias("n_docs"), "n_tokens", "dim")
+
+
+def metadata(tokens: DataFrame, *, mode: str, encoder: str, dropped: int = 0, source: str | None = None, notes: str | None = None) -> DataFrame:
+    """One row that describes a dump: format, mode (docs or queries), encoder, statistics and origin."""
+    if mode not in ("docs", "queries"):
+        raise InvalidTokenDump(f"unknown mode {mode}")
+    text = lambda v: F.lit(v).cast("string")
+    head = [F.lit(FORMAT).alias("format_version"), text(mode).alias("mode"), text(encoder).alias("encoder")]
+    tail = [F.lit(dropped).cast("long").alias("dropped"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("built_at"), text("lateloom").alias("tool"), text(TOOL).alias("tool_version"), text(source).alias("source_jsonl"), text(notes).alias("notes")]
+    return statistics(tokens).select(*head, F.col("dim").alias("encoder_dim"), "n_docs", "n_tokens", *tail)
+
+
+def write_metadata(row: DataFrame, path: str) -> None:
+    """The row of metadata() as one JSON file."""
+    _put(row.sparkSession, path, row.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first()["j"].encode())
+
+
 def synthetic(spark: SparkSession, *, docs: int, dim: int, vocab: int, avg_len: int, seed: int = 42, noise: float = 0.1) -> DataFrame:
     """Documents of 1 to 2 * avg_len tokens, ids as 1 / (rank + 1), vectors of length 1 around a theme for each id. Each document has its own seed."""
     themes = np.random.default_rng(seed).normal(size=(vocab, dim))
