@@ -61,3 +61,22 @@ def test_given_tables(spark, sf):
     assert got == brute(read("documents", "doc_id"), read("benchmark", "item_id")) and got
     assert decontamination.find_contained(docs.limit(0), items).count() == 0
     assert decontamination.find_contained(docs, items.limit(0)).count() == 0
+
+
+def test_other_items_are_not_found_by_an_index_that_was_kept(spark):
+    """Many calls in one session, each with items of its own."""
+    for i in range(12):
+        words = " ".join(f"q{i}w{k}" for k in range(9))
+        docs = spark.createDataFrame([(1, f"a b c {words} d"), (2, "nothing of that kind is here at all"), (1, "no item, but the same id")], "doc_id long, text string").coalesce(1)
+        items = spark.createDataFrame([(i, words), (99, " ".join(f"z{i}w{k}" for k in range(9)))], "item_id long, text string")
+        assert [(r.doc_id, r.item_id) for r in decontamination.find_contained(docs, items).collect()] == [(1, i)]
+        assert sorted(r.text[:2] for r in decontamination.without_contained(docs, items).collect()) == ["no", "no"]
+
+
+def test_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_SHINGLES", 10)
+    text = lambda i: " ".join(f"i{i}w{k}" for k in range(12))
+    docs = spark.createDataFrame([(i, text(i) if i % 2 else f"clean {i}") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text(i)) for i in range(20)] + [(50, None), (51, "")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_contained(docs, items).collect()} == {(i, i) for i in range(1, 20, 2)}
+    assert {r.doc_id for r in decontamination.without_contained(docs, items).collect()} == set(range(0, 20, 2))

@@ -78,3 +78,28 @@ def test_run(spark, sf):
 
     out = corpus_pipeline.run(spark, sf)
     assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_stages_tell_rows_apart(spark, sf):
+    """Rows with the same doc_id, or none, and different texts are documents of their own; extra columns of any name stay."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda i, n=60: " ".join(f"w{i}x{k}" for k in range(n))
+    item = pq.read_table(f"{sf}/benchmark.parquet")["text"].to_pylist()[0]
+    near = text(3) + " end"
+    rows = [(1, text(1)), (1, text(2)), (9, near), (9, text(4)), (5, text(3)), (None, text(5)), (None, text(5)), (None, text(6)), (7, text(7) + " " + item), (7, text(8)), (8, ""), (8, None), (8, None)]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, row int, own_text string, was_null boolean, kept_text string, `__text` string, c0 string, key string"
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or ""), 1, "o", False, "k", "t", "c", "y") for k, t in rows], columns).coalesce(1)
+    got = lambda name: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, sf).collect()), key=str)
+    less = lambda *gone: sorted((r for i, r in enumerate(rows) if i not in gone), key=str)
+    assert got("toxicity") == less()
+    assert got("ngram_jaccard_join") == less(2, 6)  # of 5 and 9 the least id stays, of a repeated row one
+    assert got("benchmark_decontamination") == less(8)
+    for name in ("toxicity", "ngram_jaccard_join", "suffix_array_dedup", "benchmark_decontamination"):
+        out = stages[name](spark, docs, sf)
+        assert out.columns == docs.columns and {(r.row, r.own_text, r.was_null, r.kept_text, r.c0, r.key) for r in out.collect()} == {(1, "o", False, "k", "c", "y")}
+    cut = stages["suffix_array_dedup"](spark, docs, sf).collect()
+    assert sorted((r.doc_id, r.text) for r in cut if r.doc_id in (1, 7)) == sorted((k, t) for k, t in rows if k in (1, 7))
+    assert sorted(str(r.text) for r in cut if r.doc_id == 8) == ["", "None", "None"]
+    assert stages["best_fit_packing"](spark, docs, sf).count() == len(rows)
