@@ -4,8 +4,9 @@ Suffixes that begin at a local minimum (leftmost of a run that then rises) are s
 such places and by doubling of ranks, which ends early as only the first `depth` bytes count. From their order, one scan
 over the symbols upwards induces the order of all suffixes that fall, and one downwards that of all that rise: a suffix that is taken
 from its symbol's queue puts its left neighbour into that neighbour's queue. The queues are a priority queue over the symbols:
-since suffixes are taken in order, each symbol's entries arrive in order. What exceeds a bound of memory is kept in an
-anonymous scratch file of the task.
+since suffixes are taken in order, each symbol's entries arrive in order. An entry carries, besides its place, how many symbols it
+shares with the entry before it: one more than the least that neighbours shared between the two suffixes that induced them. What
+exceeds a bound of memory is kept in an anonymous scratch file of the task.
 """
 
 from __future__ import annotations
@@ -14,47 +15,108 @@ import tempfile
 
 import numpy as np
 
-#: Bytes of queue entries that are held in memory.
-MEMORY = 64 << 20
+#: Bytes of queue entries that are held in memory: half of what the positions of a batch of suffix_dedup.SORT_BYTES take.
+MEMORY = 4 << 20
 #: The symbol after each string, and the one that is last of all; bytes are moved up by two.
 END, LAST, BYTES = 1, 0, 2
 
 
+Entries = tuple[np.ndarray, np.ndarray]  # places, and common prefixes with the entry before
+
+
+def _joined(blocks: list[Entries]) -> Entries:
+    if not blocks:
+        return np.zeros(0, np.int64), np.zeros(0, np.int16)
+    return tuple(np.concatenate(c) for c in zip(*blocks, strict=True))
+
+
 class Queues:
-    """First-in-first-out queues of positions, one for each symbol, in blocks that go to disk beyond MEMORY bytes."""
+    """First-in-first-out queues of entries, one for each symbol, in blocks that go to disk beyond MEMORY bytes."""
 
     def __init__(self, symbols: int, memory: int | None = None) -> None:
-        self.blocks: list[list[np.ndarray | tuple[int, int]]] = [[] for _ in range(symbols)]
+        self.blocks: list[list[Entries | tuple[int, int]]] = [[] for _ in range(symbols)]
         self.held, self.memory = 0, MEMORY if memory is None else memory
         self.file = None
 
-    def put(self, symbol: int, positions: np.ndarray) -> None:
-        if self.held + positions.nbytes > self.memory:
+    def put(self, symbol: int, entries: Entries) -> None:
+        size = entries[0].nbytes + entries[1].nbytes
+        if self.held + size > self.memory:
             self.file = self.file or tempfile.TemporaryFile()  # noqa: SIM115  it has no name, and goes with the task
             at = self.file.seek(0, 2)
-            self.file.write(positions.tobytes())
-            self.blocks[symbol].append((at, len(positions)))
+            for x in entries:
+                self.file.write(x.tobytes())
+            self.blocks[symbol].append((at, len(entries[0])))
         else:
-            self.held += positions.nbytes
-            self.blocks[symbol].append(positions)
+            self.held += size
+            self.blocks[symbol].append(entries)
 
-    def take(self, symbol: int) -> np.ndarray:
+    def take(self, symbol: int) -> Entries:
         out = []
         for b in self.blocks[symbol]:
-            if isinstance(b, tuple):
+            if isinstance(b[0], int):
                 self.file.seek(b[0])
-                out.append(np.frombuffer(self.file.read(8 * b[1]), np.int64))
+                out.append((np.frombuffer(self.file.read(8 * b[1]), np.int64), np.frombuffer(self.file.read(2 * b[1]), np.int16)))
             else:
-                self.held -= b.nbytes
+                self.held -= b[0].nbytes + b[1].nbytes
                 out.append(b)
         self.blocks[symbol] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return _joined(out)
 
     def close(self) -> None:
         if self.file:
             self.file.close()
 
 
+class _Scan:
+    """One scan: what it takes in order induces left neighbours of one kind, with the symbols that these share."""
+
+    def __init__(self, t: np.ndarray, left: np.ndarray, queue: Queues, depth: int) -> None:
+        self.t, self.kind, self.queue, self.depth = t, left, queue, depth
+        self.least = np.zeros(256 + BYTES, np.int16)  # shared by all that was taken since a symbol's last entry; 0 without one
+        self.seen = np.zeros(256 + BYTES, bool)
+
+    def take(self, found: np.ndarray, shared: np.ndarray) -> None:
+        """found: places in the scan's order; shared: with the place taken before."""
+        if not len(found):
+            return
+        at = np.flatnonzero(found > 0)
+        at = at[self.kind[found[at] - 1]]
+        to = self.t[found[at] - 1]
+        order = np.argsort(to, kind="stable")
+        at, to = at[order], to[order]
+        cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
+        common = np.empty(len(at), np.int16)
+        so_far = np.minimum.accumulate(shared)
+        if len(at):
+            inner = np.ones(len(at), bool)
+            inner[cuts] = False
+            k = np.flatnonzero(inner)
+            common[k] = _range_minima(shared, at[k - 1] + 1, at[k] + 1)
+            common[cuts] = np.minimum(self.least[to[cuts]], so_far[at[cuts]])
+        self.least = np.minimum(self.least, so_far[-1])
+        if len(at):
+            last = np.append(cuts[1:], len(at)) - 1
+            after = np.append(np.minimum.accumulate(shared[::-1])[::-1], np.int16(self.depth))
+            self.least[to[last]] = after[at[last] + 1]
+            common = np.where(to <= END, 0, np.minimum(common + 1, self.depth)).astype(np.int16)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
+                if not self.seen[to[a]]:
+                    self.seen[to[a]], common[a] = True, 0
+                self.queue.put(int(to[a]), (found[at[a:b]] - 1, common[a:b]))
+
+
+def _range_minima(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The least of x[begin:end] of each (not empty) range, by minima over powers of two."""
+    out = np.empty(len(begin), x.dtype)
+    level = np.log2(np.maximum(end - begin, 1)).astype(np.int64)
+    table = x
+    for k in range(int(level.max(initial=-1)) + 1):
+        own = np.flatnonzero(level == k)
+        out[own] = np.minimum(table[begin[own]], table[end[own] - (1 << k)])
+        table = np.minimum(table[: -(1 << k)], table[1 << k :]) if len(table) > 1 << k else table
+    return out
+
+
 def _rising(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one. The last one, of LAST alone, counts as rising."""
     n = len(t)
@@ -112,52 +174,53 @@ def _minima_order(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at[np.argsort(rank, kind="stable")]
 
 
-def suffix_array(t: np.ndarray, depth: int, memory: int | None = None) -> np.ndarray:
-    """Start places of all suffixes of t (its last symbol is LAST, and no other is), sorted by their first depth symbols at least."""
+def suffix_array(t: np.ndarray, depth: int, memory: int | None = None) -> Entries:
+    """Start places of all suffixes of t (its last symbol is LAST, and no other is), sorted by their first depth symbols at least, and how many of these, depth at most, each shares with the one before."""
     rising = _rising(t)
     minima = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     seeds = _minima_order(t, minima, depth)
+    seed_shared = common_prefixes(t, seeds, depth).astype(np.int16)
     symbols = 256 + BYTES
-    seed_symbol = t[seeds]
-    bounds = np.searchsorted(seed_symbol, np.arange(symbols + 1))
-
-    falling_queue, fallen = Queues(symbols, memory), Queues(symbols, memory)
+    bounds = np.searchsorted(t[seeds], np.arange(symbols + 1))
 
-    def induce(queue: Queues, found: np.ndarray, rises: bool) -> None:
-        left = found[found > 0] - 1
-        left = left[rising[left] == rises]
-        to = t[left]
-        order = np.argsort(to, kind="stable")
-        left, to = left[order], to[order]
-        cuts = np.flatnonzero(np.diff(to)) + 1
-        for part in np.split(left, cuts) if len(left) else ():
-            queue.put(int(t[part[0]]), part)
+    def border(a: int, b: int) -> int:
+        n = min(depth, len(t) - max(a, b))
+        x, y = t[a : a + n], t[b : b + n]
+        ends = np.flatnonzero((x != y) | (x <= END))
+        return int(ends[0]) if len(ends) else n
 
+    falling_queue, fallen, rising_queue = (Queues(symbols, memory) for _ in range(3))
+    down = _Scan(t, ~rising, falling_queue, depth)
     for c in range(symbols):
-        while len(found := falling_queue.take(c)):
+        last = -1
+        while len((found := falling_queue.take(c))[0]):
+            last = int(found[0][-1])
             fallen.put(c, found)
-            induce(falling_queue, found, False)
-        own = seeds[bounds[c] : bounds[c + 1]]
+            down.take(*found)
+        own, shared = seeds[bounds[c] : bounds[c + 1]], seed_shared[bounds[c] : bounds[c + 1]].copy()
         if len(own):
-            induce(falling_queue, own, False)
-    rising_queue = Queues(symbols, memory)
-    out = []
+            shared[0] = border(last, int(own[0])) if last >= 0 else 0
+            down.take(own, shared)
+    up = _Scan(t, rising, rising_queue, depth)
+    out: list[Entries] = []
     for c in range(symbols - 1, -1, -1):
-        risen = []
-        while len(found := rising_queue.take(c)):
-            risen.append(found)
-            induce(rising_queue, found, True)
+        least = -1  # the least that rises, the last to be taken
+        while len((found := rising_queue.take(c))[0]):
+            least = int(found[0][-1])
+            out.append(found)
+            up.take(*found)
         if c == LAST:
-            risen.append(np.array([len(t) - 1], np.int64))
-        fell = fallen.take(c)
-        induce(rising_queue, fell[::-1], True)
-        if risen:
-            out.append(np.concatenate(risen))
-        if len(fell):
-            out.append(fell[::-1])
+            least = len(t) - 1
+            out.append((np.array([least], np.int64), np.zeros(1, np.int16)))
+        places, shared = (x[::-1] for x in fallen.take(c))
+        if len(places):  # each shares with the one before that in this order, the greater, what that one carries
+            shared = np.append(np.int16(border(int(places[0]), least) if least >= 0 else 0), shared[:-1])
+            out.append((places, shared))
+            up.take(places, shared)
     for q in (falling_queue, fallen, rising_queue):
         q.close()
-    return np.concatenate(out)[::-1]
+    places, shared = _joined(out)
+    return places[::-1], np.append(np.zeros(1, np.int16), shared[1:][::-1])
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:

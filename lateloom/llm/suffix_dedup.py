@@ -66,7 +66,6 @@ def segments(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple
     inside = np.cumsum(valid[:windows]) > 0
     first = inside.copy()
     first[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
-    first[off[:-1][off[:-1] < windows]] &= True
     starts = np.zeros(windows + 1, bool)
     starts[off[long]] = True
     begin = np.flatnonzero(first | (starts[:windows] & inside))
@@ -109,17 +108,17 @@ def _has(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return ((bits[b >> 6] >> (b & 63)) & 1).astype(bool)
 
 
-def repeated_windows(t: np.ndarray, length: int) -> np.ndarray:
+def repeated_windows(t: np.ndarray, length: int, memory: int | None = None) -> np.ndarray:
     """Whether the window that starts at each place of t (symbols of induced_sort) starts elsewhere too."""
-    order = induced_sort.suffix_array(t, length)
-    same = induced_sort.common_prefixes(t, order, length) >= length
+    order, shared = induced_sort.suffix_array(t, length, memory)
+    same = shared >= length
     out = np.zeros(len(t), bool)
     out[order[same]] = True
     out[order[:-1][same[1:]]] = True
     return out
 
 
-def _sort_shard(group: list[tuple], length: int) -> Iterator[tuple[int, int, int, bytes]]:
+def _sort_shard(group: list[tuple], length: int, memory: int | None) -> Iterator[tuple[int, int, int, bytes]]:
     """row, own, first window of the slice, and a bit for each of its windows, of the segments to be marked."""
     size = sum(len(g[5]) + 1 for g in group) + 1
     t = np.full(size, induced_sort.END, np.int16)
@@ -130,7 +129,7 @@ def _sort_shard(group: list[tuple], length: int) -> Iterator[tuple[int, int, int
         t[at : at + len(g[5])] += induced_sort.BYTES
         at += len(g[5]) + 1
     t[-1] = induced_sort.LAST
-    again = repeated_windows(t, length)
+    again = repeated_windows(t, length, memory)
     for (_, row, own, mark, skip, raw), b in zip(group, begins, strict=True):
         if mark:
             found = again[b : b + len(raw) - length + 1]
@@ -138,7 +137,7 @@ def _sort_shard(group: list[tuple], length: int) -> Iterator[tuple[int, int, int
                 yield row, own, skip, np.packbits(found).tobytes()
 
 
-def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[DataFrame, DataFrame]:
+def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40, memory: int | None = None) -> tuple[DataFrame, DataFrame]:
     """For rows (row: a number of its own, text): marks (row, own, skip, bits) of segments with repeated windows, and the texts (row, packed: compressed) that may have any."""
     spark = rows.sparkSession
 
@@ -211,7 +210,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40) -> tuple[Data
         size, at = 0, None
 
         def marks() -> pa.RecordBatch:
-            found = list(_sort_shard(group, length))
+            found = list(_sort_shard(group, length, memory))
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["row", "own", "skip", "bits"])
 
@@ -240,12 +239,12 @@ def _spans(n: int, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     return change[::2], change[1::2]
 
 
-def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "sha256") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, memory: int | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), out: str = "sha256") -> DataFrame:
     """The columns keep, n_bytes, n_removed, n_spans (runs removed) and kept_sha256 (hexadecimal) or, with out="text", kept_text, for every row of docs.
 
     kept_text drops a character of which a byte goes, so that it stays UTF-8; the counts are of bytes. Null texts are empty; a
     text under length bytes has no windows. Repeated rows are documents of their own, and so repeat each other. Other columns
-    than keep are not read.
+    than keep are not read. memory: bytes of a sort's queues beyond which they go to the task's scratch file (induced_sort.MEMORY).
     """
     if gram >= length:
         raise ValueError("gram must be less than length")
@@ -290,7 +289,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, text:
             yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], t) for c, t in enumerate(kinds)], ["row", "n_bytes", "n_removed", "n_spans", kind])
 
     with temporary() as table:
-        marks, texts = repeats(rows.select("row", "text"), length=length, gram=gram)
+        marks, texts = repeats(rows.select("row", "text"), length=length, gram=gram, memory=memory)
         marks = marks.groupBy("row").agg(F.collect_list(F.struct("own", "skip", "bits")).alias("marks"))  # of one text
         changed = texts.join(marks.hint("merge"), "row").select("row", "packed", "marks").mapInArrow(cut, f"row long, n_bytes long, n_removed long, n_spans long, {kind} string")
         changed = table(changed)
