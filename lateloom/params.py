@@ -40,7 +40,6 @@ QidCountMismatch = _error("QidCountMismatch")
 QidOutOfRange = _error("QidOutOfRange")
 IndexExists = _error("IndexExists")
 DropRateExceeded = _error("DropRateExceeded")
-BroadcastTooLarge = _error("BroadcastTooLarge")
 
 
 def ef_search(k: int) -> int:
