@@ -5,7 +5,6 @@ With one more shard, a row either stays or goes to the new shard, so about one r
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from ._shared import materialize, utf8
+from ._shared import materialize
 
 _STEP = np.uint64(2862933555777941757)
 
@@ -40,7 +40,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", te
     """key, size, text_crc32, law, shard, slot and grown_shard for every row of docs.
 
     size is the text's UTF-8 bytes plus 1 (null: 1, with the CRC of nothing). Slots of a shard are gapless from 0.
-    A null key counts as 0. Repeated rows go to the same shard and have slots of their own. Further columns are not read.
+    A null key counts as 0; one that is no integer counts as a 64-bit hash of it. Repeated rows go to the same shard and have slots of
+    their own. Further columns are not read.
 
     Only 40 bytes a row are shuffled. A shard's rows are numbered inside many buckets, which rows of one key share evenly,
     and the buckets' counts (a fixed number of rows) give where each begins; so no task holds a whole shard or a hot key.
@@ -50,21 +51,15 @@ def shard_documents(docs: DataFrame, shards: int = 8, *, key: str = "doc_id", te
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crc: list[int] = []
-            size: list[int] = []
-            for _, _, data, off in utf8(batch.column(1)):
-                raw = data.tobytes()
-                for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-                    crc.append(zlib.crc32(raw[a:b]))
-                    size.append(b - a + 1)
-            k = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(jump_hash(k, shards).astype(np.int32)), pa.array(jump_hash(k, shards + 1).astype(np.int32))],
-                ["key", "size", "text_crc32", "shard", "grown_shard"],
-            )
+            k = batch.column("jump").to_numpy()
+            found = [pa.array(jump_hash(k, n).astype(np.int32)) for n in (shards, shards + 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "size", "text_crc32")), *found], ["key", "size", "text_crc32", "shard", "grown_shard"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
-    placed = rows.mapInArrow(place, "key long, size long, text_crc32 long, shard int, grown_shard int")
+    kind = docs.schema[key].dataType
+    jump = F.col(key).cast("long") if isinstance(kind, IntegralType) else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key)))
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(jump, F.lit(0).cast("long")).alias("jump"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"))
+    placed = rows.mapInArrow(place, f"key {kind.simpleString()}, size long, text_crc32 long, shard int, grown_shard int")  # texts stay in the JVM
     placed = materialize(placed.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)).cast("int")))
     ranked = placed.withColumn("n", F.row_number().over(W.partitionBy("shard", "bucket").orderBy("key", "text_crc32")))
     ends = ranked.groupBy("shard", "bucket").agg(F.max("n").alias("rows"))
