@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, ngram_join, packing, sharding, suffix_dedup, token_counts, topk_search, toxicity, url_filters
+from . import decontamination, html_extraction, ngram_join, packing, sharding, source_audit, suffix_dedup, token_counts, topk_search, toxicity, url_filters
 from ._shared import small_batches, table
 
 
@@ -70,6 +70,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"), least=3, top=200)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -93,6 +97,7 @@ _ALL: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_url_filters": op10_url_filters,
+    "op11_source_divergence": op11_source_divergence,
 }
 QUERIES = {name: _batched(query) for name, query in _ALL.items()}
 
@@ -141,4 +146,35 @@ s AS (SELECT doc_id, item_id, count(*) AS n_shared FROM dg JOIN ig USING (k, g)
 SELECT doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles AS containment FROM s JOIN n USING (item_id) WHERE 100 * n_shared >= 80 * n_shingles
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": _OP1, "op2_exact_topk_search": _OP2, "op10_url_filters": _OP10}
+_OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang
+), own AS (
+  SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT lang, source, coalesce(v, 0) AS v, coalesce(langs.n, 0) AS lang_n, coalesce(own_n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN langs USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS own_n FROM own GROUP BY ALL) USING (lang, source)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, CAST(1 + 1000000000 * CAST(coalesce(c, 0) + 1 AS HUGEINT) // (g.n + g.v) AS HUGEINT) AS p, CAST(1 + 1000000000 * CAST(k.total + 1 AS HUGEINT) // (g.lang_n + g.v) AS HUGEINT) AS q
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN own USING (lang, source, term)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE c > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": _OP1, "op2_exact_topk_search": _OP2, "op10_url_filters": _OP10, "op11_source_divergence": _OP11}
