@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, ngram_join, packing, sharding, source_audit, suffix_dedup, token_counts, topk_search, toxicity, url_filters
+from . import decontamination, html_extraction, ngram_join, packing, pii, sharding, source_audit, suffix_dedup, token_alignment, token_counts, topk_search, toxicity, url_filters
 from ._shared import small_batches, table
 
 
@@ -74,6 +74,25 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit_sources(table(spark, sf_dir, "documents"), least=3, top=200)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_scores(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_identifiers(table(spark, sf_dir, "documents"))
+
+    def shown(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(of: Column, kind: str) -> Column:
+        return F.size(F.filter(of, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    plain = F.filter("spans", lambda s: ~s["disguised"])
+    counts = [count(plain, kind) for kind in pii.KINDS]
+    disguised = F.size(F.filter("spans", lambda s: s["disguised"])).cast("long").alias("n_disguised")
+    return found.select("doc_id", *counts, F.sha2(shown(plain), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"), disguised)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -98,6 +117,8 @@ _ALL: dict[str, Query] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_url_filters": op10_url_filters,
     "op11_source_divergence": op11_source_divergence,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_pii": op13_pii,
 }
 QUERIES = {name: _batched(query) for name, query in _ALL.items()}
 
