@@ -14,10 +14,9 @@ own first. Pairs that are frequent enough that at most FREQUENT are as frequent
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterable, Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +27,8 @@ from pyspark.sql import functions as F
 from ._shared import held, materialize, release, temporary
 from .packing import _RARE, Encoder
 
-#: Pairs that are broadcast at most; words of a worker's cache, which then starts anew, and the longest it keeps; pairs that a task gathers before it sends them.
-FREQUENT, CACHE_ENTRIES, LONGEST, GATHER = 1 << 18, 150_000, 64, 1 << 20
+#: Pairs that are broadcast at most; words of a worker's cache, which then starts anew, the longest it keeps, and how many are learned at once; pairs that a task gathers before it sends them.
+FREQUENT, CACHE_ENTRIES, LONGEST, LEARN, GATHER = 1 << 18, 150_000, 64, 1 << 13, 1 << 20
 #: U+2581, which stands for a space in pieces.
 _SPACE = "▁"
 #: White space whose neighbours depend on each other in either tokenizer.
@@ -39,36 +38,26 @@ _TIED = re.compile(r"\s |^ | $| \s")
 class IntervalIndex:
     """Intervals that follow each other without gaps, given by their ends; the first begins at 0."""
 
-    def __init__(self, ends: Iterable[int]) -> None:
-        self.ends = list(ends)
-        self.begins = [0, *self.ends[:-1]]
+    def __init__(self, ends: np.ndarray) -> None:
+        self.ends = np.asarray(ends, np.int64)
+        self.begins = np.append(0, self.ends)[:-1]
 
-    def overlapping(self, begin: int, end: int) -> tuple[int, int]:
-        """The first interval that overlaps [begin, end), and the one after the last."""
-        return bisect_right(self.ends, begin), bisect_left(self.begins, end)
+    def overlapping(self, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each [begin, end) the first interval that overlaps it, and the one after the last, by bisection."""
+        return np.searchsorted(self.ends, begin, "right"), np.searchsorted(self.begins, end, "left")
 
 
-Group = tuple[int, int, int, int]  # first token of A and the one after the last, and of B
-
-
-def align(a: Iterable[int], b: Iterable[int]) -> tuple[list[Group], list[tuple[int, int]]]:
-    """Groups, and pairs of tokens that end together, by place, of two lists of token ends over the same bytes."""
-    index = IntervalIndex(b)
-    groups: list[Group] = []
-    links: list[tuple[int, int]] = []
-    begin = first_a = first_b = upto = 0
-    for i, end in enumerate(a):
-        low, high = index.overlapping(begin, end)
-        if i and low >= upto:  # nothing spans the gap before low
-            groups.append((first_a, i, first_b, low))
-            first_a, first_b = i, low
-        if index.ends[high - 1] == end:
-            links.append((i, high - 1))
-        begin, upto = end, high
-        last = i + 1
-    if index.ends:
-        groups.append((first_a, last, first_b, len(index.ends)))
-    return groups, links
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the ends of two lists of tokens over the same bytes: the group of each token of A, of each of B, and for each of A the place of the one of B that ends with it, or -1."""
+    a, index = np.asarray(a, np.int64), IntervalIndex(b)
+    low, high = index.overlapping(np.append(0, a)[:-1], a)
+    spans = np.zeros(len(index.ends) + 1, np.int64)  # tokens of A that begin or end to span the gap after each token of B
+    np.add.at(spans, low, 1)
+    np.add.at(spans, high - 1, -1)
+    parted = np.cumsum(spans)[: len(index.ends)] == 0
+    group_b = np.append(0, np.cumsum(parted))[: len(index.ends)]
+    ends = index.ends[high - 1] == a if len(a) else np.zeros(0, bool)
+    return group_b[low], group_b, np.where(ends, high - 1, -1)
 
 
 class BytePieces(Encoder):
@@ -104,42 +93,89 @@ class SpacePieces:
 Aligned = tuple[bytes, bytes, int, int]  # the groups as text, the pairs as numbers (a << 32 | b), tokens of A << 32 | tokens of B, groups
 
 
+class _Names:
+    """What is written for each id, with what follows it."""
+
+    def __init__(self, bytes_of: dict[int, bytes], more: str, last: str) -> None:
+        top = max(bytes_of) + 1
+        self.bytes_of = [bytes_of.get(i, b"") for i in range(top)]
+        self.lengths = np.array(list(map(len, self.bytes_of)), np.int64)
+        self.more, self.last = (np.array([f"{i}{mark}" for i in range(top)], object) for mark in (more, last))
+
+
 class Aligner(dict):
-    """What words of texts give, learned as they come."""
+    """What words of texts give, learned as they come, many at once."""
 
     def __init__(self, a: str, b: str) -> None:
         super().__init__()
         self.a, self.b = BytePieces(a), SpacePieces(b)
+        self.names_a, self.names_b = _Names(self.a.bytes_of, ",", "|"), _Names(self.b.bytes_of, ",", ";")
+
+    def aligned(self, texts: list[str], encode: Callable[[str], list[int]]) -> list[Aligned | None]:
+        """Each text by itself; encode gives the tokens of A for a space and a text. None where the bytes of either side's tokens aren't those of a space and the text."""
+        if not texts:
+            return []
+        spaced = [" " + t for t in texts]
+        raw = [t.encode() for t in spaced]
+        each = [list(map(encode, spaced)), self.b.library.encode(texts, num_threads=1)]
+        counts = [np.array(list(map(len, e)), np.int64) for e in each]
+        flat = [np.fromiter(itertools.chain.from_iterable(e), np.int64, int(n.sum())) for e, n in zip(each, counts, strict=True)]
+        upto = np.cumsum(list(map(len, raw)))
+        ends = []
+        for names, ids, n in zip((self.names_a, self.names_b), flat, counts, strict=True):
+            end = np.cumsum(names.lengths[ids])
+            last = np.cumsum(n)
+            fits = (n > 0).all() and len(end) and (end[last - 1] == upto).all() and b"".join(map(names.bytes_of.__getitem__, ids.tolist())) == b"".join(raw)
+            if not fits:  # halves, down to the ones that don't
+                half = len(texts) // 2
+                return self.aligned(texts[:half], encode) + self.aligned(texts[half:], encode) if half else [None]
+            ends.append(end)
+        group_a, group_b, met = align(*ends)
+        (ids_a, ids_b), (last_a, last_b) = flat, (np.cumsum(n) for n in counts)
+        begin_b, end_a = np.searchsorted(group_b, np.arange(group_b[-1] + 1)), np.searchsorted(group_a, np.arange(group_b[-1] + 1), "right")
+        shown = np.empty(len(ids_a) + len(ids_b), object)  # tokens of A of a group, then those of B
+        closes_a, closes_b = (np.append(g[1:] != g[:-1], True) for g in (group_a, group_b))
+        at_a, at_b = np.arange(len(ids_a)) + begin_b[group_a], np.arange(len(ids_b)) + end_a[group_b]
+        for at, ids, closes, names in ((at_a, ids_a, closes_a, self.names_a), (at_b, ids_b, closes_b, self.names_b)):
+            shown[at[~closes]], shown[at[closes]] = names.more[ids[~closes]], names.last[ids[closes]]
+        linked = np.flatnonzero(met >= 0)
+        pairs = ids_a[linked] << 32 | ids_b[met[linked]]
+        cut = np.append(0, last_a + last_b).tolist()
+        cut_pairs = np.append(0, np.searchsorted(linked, last_a)).tolist()
+        groups = np.diff(np.append(0, group_a[last_a - 1] + 1)).tolist()
+        shown, both = shown.tolist(), (counts[0] << 32 | counts[1]).tolist()
+        return [("".join(shown[cut[k] : cut[k + 1]])[:-1].encode(), pairs[cut_pairs[k] : cut_pairs[k + 1]].tobytes(), both[k], groups[k]) for k in range(len(texts))]
 
     def whole(self, text: str) -> Aligned | None:
-        """None where the bytes of either side's tokens aren't those of a space and the text."""
-        raw = (" " + text).encode()
-        a, b = self.a.pieces(" " + text), self.b.pieces(text)
-        of_a, of_b = [self.a.bytes_of[i] for i in a], [self.b.bytes_of[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw:
-            return None
-        groups, links = align(accumulate(map(len, of_a)), accumulate(map(len, of_b)))
-        shown = ";".join(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in groups)
-        pairs = np.array([a[i] << 32 | b[j] for i, j in links], np.int64)
-        return shown.encode(), pairs.tobytes(), len(a) << 32 | len(b), len(groups)
-
-    def __missing__(self, word: str) -> Aligned | None:
-        found = self.whole(word)
-        if len(word) <= LONGEST:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[word] = found
+        return self.aligned([text], self.a.pieces)[0]
+
+    def learn(self, words: list[str]) -> dict[str, Aligned | None]:
+        """The words that aren't known, LEARN at once; what is short enough is kept."""
+        found: dict[str, Aligned | None] = {}
+        for k in range(0, len(words), LEARN):
+            part = words[k : k + LEARN]
+            found.update(zip(part, self.aligned(part, self.a.fast), strict=True))
+        if len(self) + len(found) > CACHE_ENTRIES:
+            self.clear()
+        self.update((w, f) for w, f in itertools.islice(found.items(), CACHE_ENTRIES) if len(w) <= LONGEST)
         return found
 
-    def text(self, text: str) -> Aligned | None:
-        if not text:
-            return None
-        if self.a.fast is None or not self.b.by_word or _TIED.search(text) or _RARE.search(text):
-            return self.whole(text)
-        found = [self[w] for w in text.split(" ")]
-        if None in found:
-            return self.whole(text)
-        return b";".join([f[0] for f in found]), b"".join([f[1] for f in found]), sum([f[2] for f in found]), sum([f[3] for f in found])
+    def texts(self, texts: list[str | None]) -> list[Aligned | None]:
+        apart = [t.split(" ") if t and self.a.fast and self.b.by_word and not _TIED.search(t) and not _RARE.search(t) else None for t in texts]
+        wanted = dict.fromkeys(itertools.chain.from_iterable(filter(None, apart)))
+        known = {w: f for w in wanted if (f := self.get(w))}
+        known |= self.learn([w for w in wanted if w not in known])
+        out: list[Aligned | None] = []
+        for text, words in zip(texts, apart, strict=True):
+            if not words:
+                out.append(self.whole(text) if text else None)
+                continue
+            found = [known[w] for w in words]
+            if None in found:
+                out.append(self.whole(text))
+            else:
+                out.append((b";".join([f[0] for f in found]), b"".join([f[1] for f in found]), sum([f[2] for f in found]), sum([f[3] for f in found])))
+        return out
 
 
 _PAIRED = "key {}, row long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, a array<int>, b array<int>, times array<int>"
@@ -155,7 +191,7 @@ def aligned_documents(docs: DataFrame, a: str, b: str, *, key: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = held("aligner", f"{a}\n{b}", lambda: Aligner(a, b))
         for batch in batches:
-            found = [aligner.text(t.as_py() or "") for t in batch.column("text")]
+            found = aligner.texts(batch.column("text").to_pylist())
             pairs = [np.unique(np.frombuffer(f[1], np.int64), return_counts=True) if f else (np.empty(0, np.int64), np.empty(0, np.int64)) for f in found]
             at = np.concatenate([[0], np.cumsum([len(p) for p, _ in pairs])])
             flat, times = np.concatenate([p for p, _ in pairs]), np.concatenate([n for _, n in pairs])

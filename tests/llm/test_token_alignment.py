@@ -1,9 +1,11 @@
 """Alignment of tokenizers against plain definitions with the libraries themselves."""
 
+import bisect
 import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -81,11 +83,22 @@ def test_align_against_shared_ends():
     for _ in range(500):
         n = rng.randrange(1, 30)
         a, b = (sorted({n, *rng.sample(range(1, n + 1), rng.randrange(n))}) for _ in range(2))
-        groups, links = token_alignment.align(a, b)
+        group_a, group_b, met = token_alignment.align(np.array(a), np.array(b))
         shared = sorted(set(a) & set(b))
-        assert [(a[j - 1], b[m - 1]) for _, j, _, m in groups] == [(e, e) for e in shared]
-        assert [g[0] for g in groups] == [0, *(g[1] for g in groups[:-1])] and [g[2] for g in groups] == [0, *(g[3] for g in groups[:-1])]
-        assert links == [(a.index(e), b.index(e)) for e in shared]
+        for ends, groups in ((a, group_a), (b, group_b)):
+            assert groups.tolist() == [bisect.bisect_left(shared, e) for e in ends]
+        assert met.tolist() == [b.index(e) if e in shared else -1 for e in a]
         index = token_alignment.IntervalIndex(b)
         lo, hi = sorted(rng.sample(range(n + 1), 2))
-        assert list(range(*index.overlapping(lo, hi))) == [i for i, (x, y) in enumerate(zip([0, *b[:-1]], b, strict=True)) if x < hi and y > lo]
+        first, last = index.overlapping(np.array([lo]), np.array([hi]))
+        assert list(range(first[0], last[0])) == [i for i, (x, y) in enumerate(zip([0, *b[:-1]], b, strict=True)) if x < hi and y > lo]
+
+
+def test_small_caches(monkeypatch):
+    """What is learned again gives the same."""
+    texts = [" ".join(random.Random(k).choices(["one", "twö", "three,", "日本", "x" * 100, "e"], k=9)) for k in range(30)] + ["lone \ud7ff", "a"]
+    whole = token_alignment.Aligner(A, B).texts(texts)
+    monkeypatch.setattr(token_alignment, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(token_alignment, "LEARN", 2)
+    small = token_alignment.Aligner(A, B)
+    assert [small.texts([t])[0] for t in texts] == whole == small.texts(texts) == [small.whole(t) for t in texts]
