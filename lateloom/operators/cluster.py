@@ -1,100 +1,23 @@
-"""Clustering of token vectors: a k-means kernel, one fit per token id, and the means that budgets of one come to."""
+"""Clustering of token vectors: one k-means per token id, and the means that budgets of one come to."""
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lateloom.functions.shared import materialize
-from lateloom.functions.vectors import l2sq, normalize
-from lateloom.params import AllZero, ClusteringParams, EmptyVectorSet, KmeansBudgetTooSmall
+from lateloom.functions.shared import materialize, temporary
+from lateloom.functions.vectors import normalize
+from lateloom.params import ClusteringParams
 
-from . import budget, stats
+from . import budget, kmeans, stats
+from .kmeans import Fit, fit, nearest
 
-#: Vectors of a token beyond which its fit is spread over tasks.
-GROUP_ROWS = 100_000
-#: Of such a fit: vectors of a block, about, and rounds that draw candidates for its start, at least where rows are left.
-BLOCK_ROWS, SEED_ROUNDS = 8192, 5
-
-
-@dataclass
-class Fit:
-    centroids: np.ndarray
-    assignments: np.ndarray
-    wcss: float
-    iterations: int
-
-
-def nearest(x: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centroid of each row, the first of equal ones, and its squared distance: always the sum of squared differences.
-
-    A matrix product finds the centroids that can be the nearest ones, with a margin for its rounding; only these are compared.
-    """
-    out, dist = np.empty(len(x), np.int64), np.empty(len(x))
-    squares = (centroids**2).sum(1)
-    step = max(1, (1 << 22) // max(len(centroids), 1))
-    for a in range(0, len(x), step):
-        own = x[a : a + step]
-        d = squares - 2 * own @ centroids.T
-        margin = 1e-12 * x.shape[1] * ((own**2).sum(1) + squares.max())
-        row, at = np.nonzero(d <= (d.min(1) + margin)[:, None])
-        exact = ((own[row] - centroids[at]) ** 2).sum(1)
-        begin = np.searchsorted(row, np.arange(len(own)))
-        least = np.minimum.reduceat(exact, begin)
-        first = np.flatnonzero(exact == least[row])
-        first = first[np.searchsorted(row[first], np.arange(len(own)))]
-        out[a : a + step], dist[a : a + step] = at[first], least
-    return out, dist
-
-
-def seed_centroids(x: np.ndarray, k: int, rng: np.random.Generator, strict: bool, weights: np.ndarray | None = None) -> np.ndarray:
-    """k-means++, of rows that count weights times each. Where fewer than k rows differ, the last choice is repeated, or (strict) it is an error."""
-    chosen = [int(rng.integers(len(x))) if weights is None else int(rng.choice(len(x), p=weights / weights.sum()))]
-    dist = ((x - x[chosen[0]]) ** 2).sum(1)
-    while len(chosen) < k:
-        total = (dist if weights is None else dist * weights).cumsum()
-        if total[-1] <= 0:
-            if strict:
-                raise AllZero("fewer vectors differ than there are centroids")
-            chosen += [chosen[-1]] * (k - len(chosen))
-            break
-        chosen.append(min(int(np.searchsorted(total, rng.random() * total[-1], "right")), len(x) - 1))
-        dist = np.minimum(dist, ((x - x[chosen[-1]]) ** 2).sum(1))
-    return x[chosen].copy()
-
-
-def fit(x: np.ndarray, k: int, *, max_iters: int = 25, tol: float = 1e-4, seed: int = 42, strict: bool = False) -> Fit:
-    """Lloyd's algorithm. With k rows or fewer, each is its own centroid and the last fills up. Assignments and wcss belong to the centroids before the last update."""
-    if k < 1:
-        raise KmeansBudgetTooSmall("k must be positive")
-    if not len(x):
-        raise EmptyVectorSet("there are no vectors")
-    x = np.asarray(x, np.float64)
-    if k >= len(x):
-        return Fit(np.concatenate([x, np.repeat(x[-1:], k - len(x), 0)]), np.arange(len(x)), 0.0, 0)
-    centroids, before = seed_centroids(x, k, np.random.default_rng(seed), strict), np.inf
-    for it in range(1, max_iters + 1):
-        own, dist = nearest(x, centroids)
-        wcss = float(dist.sum())
-        counts = np.bincount(own, minlength=k)
-        sums = np.stack([np.bincount(own, x[:, c], minlength=k) for c in range(x.shape[1])], 1)
-        filled = counts > 0
-        centroids[filled] = sums[filled] / counts[filled, None]
-        far = iter(np.argsort(-dist, kind="stable"))
-        for j in np.flatnonzero(~filled):
-            centroids[j] = x[next(far)]
-        if it > 1 and (before <= 0 or (before - wcss) / before < tol):
-            break
-        before = wcss
-    return Fit(centroids, own, wcss, it)
+__all__ = ["ClusterModel", "Fit", "assign_nearest", "cluster", "degenerate", "fit", "mean_centroids", "nearest"]
 
 
 @dataclass
@@ -109,133 +32,59 @@ class ClusterModel:
 _OUT = "kind int, token_id long, doc_id long, pos int, local_k int, dist double, raw array<double>"
 
 
-def cluster(tokens: DataFrame, p: ClusteringParams, group_rows: int = GROUP_ROWS) -> ClusterModel:
-    """Budgets, then one fit per token id, its seed derived from the id. Tokens of over group_rows vectors are fitted by distributed rounds."""
-    p.check()
-    budgets = materialize(budget.allocate(stats.spread(tokens), p))
-    budget.check(budgets, p)
-    own = tokens.join(budgets.select("token_id", "n_j", "kappa_j"), "token_id")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "pos"], kind="stable")
-        token, k = int(pdf["token_id"].iloc[0]), int(pdf["kappa_j"].iloc[0])
-        f = fit(np.stack(pdf["vec"].to_numpy()), k, max_iters=p.max_iters, tol=p.tol, seed=p.seed ^ token, strict=p.strict)
-        x = np.stack(pdf["vec"].to_numpy())
-        rows = pd.DataFrame({"kind": 0, "token_id": token, "doc_id": pdf["doc_id"], "pos": pdf["pos"], "local_k": f.assignments, "dist": ((x - f.centroids[f.assignments]) ** 2).sum(1), "raw": None})
-        return pd.concat([rows, pd.DataFrame({"kind": 1, "token_id": token, "doc_id": 0, "pos": 0, "local_k": np.arange(k), "dist": 0.0, "raw": list(f.centroids)})])
+def cluster(tokens: DataFrame, p: ClusteringParams, task_rows: int | None = None) -> ClusterModel:
+    """Budgets, then one k-means per token id, its seed derived from the id.
 
-    done = materialize(own.where(F.col("n_j") <= group_rows).groupBy("token_id").applyInPandas(one, _OUT))
-    if budgets.where(F.col("n_j") > group_rows).limit(1).count():
-        done = done.unionByName(_distributed(own.where(F.col("n_j") > group_rows), p))
-    lo = budgets.select("token_id", "centroid_lo")
-    ids = done.join(lo, "token_id").withColumn("centroid_id", (F.col("centroid_lo") + F.col("local_k")).cast("int"))
+    A token of at most task_rows vectors (kmeans.TASK_ROWS) is fitted in one task, a larger one in blocks: by the same algorithm, with
+    the same result. Only the result's tables stay.
+    """
+    p.check()
+    most = kmeans.TASK_ROWS if task_rows is None else task_rows
+    with temporary() as result:
+        budgets = result(budget.allocate(stats.spread(tokens), p))
+        budget.check(budgets, p)
+        own = tokens.join(budgets.select("token_id", "n_j", "kappa_j"), "token_id")
+
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["doc_id", "pos"], kind="stable")
+            token, k = int(pdf["token_id"].iloc[0]), int(pdf["kappa_j"].iloc[0])
+            x = np.stack(pdf["vec"].to_numpy())
+            f = fit(x, k, max_iters=p.max_iters, tol=p.tol, seed=p.seed ^ token, strict=p.strict)
+            rows = pd.DataFrame({"kind": 0, "token_id": token, "doc_id": pdf["doc_id"], "pos": pdf["pos"], "local_k": f.assignments, "dist": ((x - f.centroids[f.assignments]) ** 2).sum(1), "raw": None})
+            return pd.concat([rows, pd.DataFrame({"kind": 1, "token_id": token, "doc_id": 0, "pos": 0, "local_k": np.arange(k), "dist": 0.0, "raw": list(f.centroids)})])
+
+        done = own.where(F.col("n_j") <= most).groupBy("token_id").applyInPandas(one, _OUT)
+        if budgets.where(F.col("n_j") > most).limit(1).count():
+            done = done.unionByName(_in_blocks(own.where(F.col("n_j") > most), p))
+        done = result(done)
+    ids = done.join(budgets.select("token_id", "centroid_lo"), "token_id").withColumn("centroid_id", (F.col("centroid_lo") + F.col("local_k")).cast("int"))
     centroids = ids.where("kind = 1").select("centroid_id", "token_id", "local_k", "raw")
     return ClusterModel(budgets, centroids, ids.where("kind = 0").select("doc_id", "pos", "token_id", "centroid_id", "dist"))
 
 
-def _in_blocks(rows: DataFrame, points: DataFrame) -> DataFrame:
-    """rows(token_id, block, doc_id, pos, vec) with near, the place of the nearest of the token's points(token_id, place, raw), and its squared distance.
-
-    near is null where the token has no point. Every block of rows, BLOCK_ROWS about, gets its token's points once.
-    """
-    dealt = points.join(rows.select("token_id", "block").distinct(), "token_id").select(F.col("token_id").alias("t"), F.col("block").alias("b"), "place", "raw")
-
-    def one(own: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        own = own.assign(near=None, dist=np.inf)
-        if len(own) and len(points):
-            points = points.sort_values("place", kind="stable")
-            x, c = np.stack(own["vec"].to_numpy()), np.stack(points["raw"].to_numpy())
-            k, _ = nearest(x, c)
-            own["near"], own["dist"] = points["place"].to_numpy()[k], ((x - c[k]) ** 2).sum(1)
-        return own[["token_id", "block", "doc_id", "pos", "vec", "near", "dist"]]
-
-    met = rows.select("token_id", "block", "doc_id", "pos", "vec").groupBy("token_id", "block").cogroup(dealt.groupBy("t", "b"))
-    return met.applyInPandas(one, "token_id long, block long, doc_id long, pos int, vec array<double>, near int, dist double")
-
-
-def _spread_seeds(own: DataFrame, p: ClusteringParams) -> DataFrame:
-    """kappa_j starts of each token, as (token_id, place, raw): k-means|| over all rows, then k-means++ over its weighted candidates.
-
-    Rounds go on until a token has as many different candidates as it needs, or none of its rows is away from all of them.
-    """
-    budgets = materialize(own.groupBy("token_id").agg(F.max("kappa_j").alias("kappa_j")))
-    draw = lambda r: F.xxhash64(F.lit(p.seed), F.lit(r), "token_id", "doc_id", "pos")
-    place = F.row_number().over(W.partitionBy("token_id").orderBy("raw")) - 1  # a token's candidates: a few times kappa_j
-    new = materialize(own.groupBy("token_id").agg(F.min_by("vec", F.struct(draw(0), "doc_id", "pos")).alias("raw")))
-    found, rows = new, own.withColumn("dist", F.lit(float("inf")))
-    for r in itertools.count(1):
-        closer = _in_blocks(rows, new.withColumn("place", place)).withColumnRenamed("dist", "now").drop("near", "vec", "block")
-        rows = materialize(rows.join(closer, ["token_id", "doc_id", "pos"]).withColumn("dist", F.least("dist", "now")).drop("now"))
-        have = found.groupBy("token_id").agg(F.count("*").alias("have"))
-        state = rows.groupBy("token_id").agg(F.sum("dist").alias("total"), F.max("dist").alias("most")).join(have, "token_id").join(budgets, "token_id")
-        state = materialize(state.where((F.col("most") > 0) & ((F.lit(r) <= SEED_ROUNDS) | (F.col("have") < F.col("kappa_j")))))  # the tokens not done
-        if not state.limit(1).count():
-            break
-        chance = 2 * F.col("kappa_j") * F.col("dist") / F.col("total")
-        uniform = F.pmod(draw(r), F.lit(1 << 32)) / float(1 << 32)
-        far = rows.drop("kappa_j").join(F.broadcast(state), "token_id")  # a row for each token of more than group_rows vectors
-        drawn = far.where((uniform < chance) | (F.col("dist") == F.col("most"))).select("token_id", F.col("vec").alias("raw")).distinct()
-        new = materialize(drawn.join(found, ["token_id", "raw"], "left_anti"))
-        if not new.limit(1).count():
-            break
-        found = materialize(found.unionByName(new))
-    found = materialize(found.withColumn("place", place))
-    weights = _in_blocks(own, found).groupBy("token_id", F.col("near").alias("place")).agg(F.count("*").alias("weight"))
-    weighted = found.join(weights, ["token_id", "place"], "left").join(budgets, "token_id")
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place", kind="stable")
-        token, k = int(pdf["token_id"].iloc[0]), int(pdf["kappa_j"].iloc[0])
-        chosen = seed_centroids(np.stack(pdf["raw"].to_numpy()), k, np.random.default_rng(p.seed ^ token), p.strict, pdf["weight"].fillna(0).clip(lower=1).to_numpy(np.float64))
-        return pd.DataFrame({"token_id": token, "place": np.arange(k), "raw": list(chosen)})
-
-    return weighted.groupBy("token_id").applyInPandas(choose, "token_id long, place int, raw array<double>")
-
-
-def _distributed(own: DataFrame, p: ClusteringParams) -> DataFrame:
-    """fit() for tokens with very many vectors: rows in blocks meet their token's centroids, sums are aggregated before they are shuffled.
-
-    As in fit(), empty centroids move to the farthest rows, and each token stops by its own wcss.
-    """
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n_j") / BLOCK_ROWS))
-    own = materialize(own.withColumn("block", F.pmod(F.xxhash64("doc_id", "pos"), blocks)).select("token_id", "block", "doc_id", "pos", "vec", "kappa_j", "n_j"))
-    alone = own.where("kappa_j >= n_j")  # each vector is its own centroid
-    alone = materialize(alone.select("token_id", "doc_id", "pos", "vec", (F.row_number().over(W.partitionBy("token_id").orderBy("doc_id", "pos")) - 1).alias("local_k")))
-    own = own.where("kappa_j < n_j").drop("n_j")
+def _in_blocks(own: DataFrame, p: ClusteringParams) -> DataFrame:
+    """Rows of _OUT for tokens that are too large for a task."""
     none, zero = F.lit(None).cast("array<double>"), F.lit(0)
-    kind_1 = lambda df: df.select(F.lit(1).alias("kind"), "token_id", zero.cast("long").alias("doc_id"), zero.alias("pos"), "local_k", F.lit(0.0).alias("dist"), F.col("raw"))
-    kind_0 = lambda df: df.select(F.lit(0).alias("kind"), "token_id", "doc_id", "pos", "local_k", "dist", none.alias("raw"))
-    done = kind_0(alone.withColumn("dist", F.lit(0.0))).unionByName(kind_1(alone.withColumn("raw", F.col("vec"))))
-    if not own.limit(1).count():
-        return done
-    centroids, before = materialize(_spread_seeds(own, p)), {}
-    for it in range(1, p.max_iters + 1):
-        near = materialize(_in_blocks(own, centroids))
-        wcss = {r["token_id"]: r["wcss"] for r in near.groupBy("token_id").agg(F.sum("dist").alias("wcss")).collect()}  # a row for each of these tokens
-        means = near.select("token_id", F.col("near").alias("place"), F.posexplode("vec").alias("d", "x")).groupBy("token_id", "place", "d").agg(F.avg("x").alias("x"))
-        moved = means.groupBy("token_id", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("new"))
-        moved = materialize(centroids.join(moved, ["token_id", "place"], "left"))
-        empty = moved.where("new is null").withColumn("rank", F.row_number().over(W.partitionBy("token_id").orderBy("place")))
-        empties = empty.groupBy("token_id").count().agg(F.max("count")).first()[0]
-        if empties:
-            order = (F.desc("dist"), F.asc("doc_id"), F.asc("pos"))
-            first = near.withColumn("rank", F.row_number().over(W.partitionBy("token_id", "block").orderBy(*order))).where(F.col("rank") <= empties)  # of each block, then of all
-            first = first.withColumn("rank", F.row_number().over(W.partitionBy("token_id").orderBy(*order))).where(F.col("rank") <= empties)
-            far = empty.select("token_id", "place", "rank").join(first.select("token_id", "rank", F.col("vec").alias("far")), ["token_id", "rank"])
-            moved = moved.join(far.drop("rank"), ["token_id", "place"], "left").withColumn("new", F.coalesce("new", "far"))
-        centroids = materialize(moved.select("token_id", "place", F.coalesce("new", "raw").alias("raw")))
-        ends = [t for t, w in wcss.items() if it == p.max_iters or it > 1 and (before[t] <= 0 or (before[t] - w) / before[t] < p.tol)]
-        if ends:
-            ended = F.broadcast(own.sparkSession.createDataFrame([(t,) for t in ends], "token_id long"))
-            last = centroids.join(ended, "token_id", "left_semi")
-            rows = near.join(ended, "token_id", "left_semi").join(last, (near["token_id"] == last["token_id"]) & (near["near"] == last["place"])).select(near["*"], last["raw"])
-            done = done.unionByName(kind_0(materialize(rows.select("token_id", "doc_id", "pos", F.col("near").alias("local_k"), l2sq(F.col("vec"), F.col("raw")).alias("dist")))))
-            done = done.unionByName(kind_1(materialize(last.withColumnRenamed("place", "local_k"))))
-            if len(ends) == len(wcss):
-                break
-            own, centroids = (df.join(ended, "token_id", "left_anti") for df in (own, centroids))
-        before = wcss
-    return done
+
+    def kinds(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+        rows = rows.select(zero.alias("kind"), "token_id", "doc_id", "pos", F.col("local_k").cast("int").alias("local_k"), "dist", none.alias("raw"))
+        return rows.unionByName(centroids.select(F.lit(1).alias("kind"), "token_id", zero.cast("long").alias("doc_id"), zero.alias("pos"), F.col("local_k").cast("int").alias("local_k"), F.lit(0.0).alias("dist"), "raw"))
+
+    alone = own.where("kappa_j >= n_j")  # each vector is its own centroid, and the last fills up
+    each = alone.withColumn("local_k", F.row_number().over(W.partitionBy("token_id").orderBy("doc_id", "pos")) - 1).withColumn("dist", F.lit(0.0))
+    fill = each.where("local_k = n_j - 1 AND kappa_j > n_j").select("token_id", F.explode(F.expr("sequence(n_j, kappa_j - 1)")).alias("local_k"), F.col("vec").alias("raw"))
+    out = kinds(each, each.select("token_id", "local_k", F.col("vec").alias("raw")).unionByName(fill))
+    rest = own.where("kappa_j < n_j").withColumn("vec", F.col("vec").cast("array<double>"))
+    if not rest.limit(1).count():
+        return out
+    blocks = materialize(kmeans.pack(rest.withColumnRenamed("token_id", "group").withColumn("pos", F.col("pos").cast("int"))))
+    size = F.greatest(F.array_max(F.col("vec")), -F.array_min(F.col("vec")))
+    groups = materialize(rest.groupBy("token_id", "kappa_j").agg(F.max(size).alias("largest"), F.max(F.size("vec")).alias("dim")))
+    dim = groups.agg(F.max("dim")).first()[0]
+    seed = F.col("group").bitwiseXOR(F.lit(p.seed).cast("long"))
+    state = kmeans.fit_blocks(blocks, groups.select(F.col("token_id").alias("group"), F.col("kappa_j").alias("k"), "largest").withColumn("seed", seed), dim, max_iters=p.max_iters, tol=p.tol, strict=p.strict)
+    centroids = kmeans.centroid_rows(state).select(F.col("group").alias("token_id"), F.col("place").alias("local_k"), "raw")
+    return out.unionByName(kinds(kmeans.assignments(blocks, state).withColumnRenamed("group", "token_id"), centroids))
 
 
 def mean_centroids(tokens: DataFrame, digits: int = 9) -> DataFrame:
@@ -252,24 +101,16 @@ def degenerate(tokens: DataFrame) -> DataFrame:
 
 
 def assign_nearest(vectors: DataFrame, centroids: DataFrame, column: str = "raw") -> DataFrame:
-    """Adds centroid_id and dist of the nearest of all centroids, the least id of equal ones. Centroids are broadcast in bounded blocks."""
-    from .retrieve import centroid_blocks
+    """Adds centroid_id and dist of the nearest of all centroids, the least id of equal ones.
 
-    out = None
-    for ids, matrix in centroid_blocks(centroids, column):
-        shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+    Centroids that fit a block are broadcast; of more, each block meets the vectors in tasks of its own, and the nearest of all blocks stays.
+    """
+    from . import blocks
 
-        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, c = shared.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.array(batch.column("vec").to_pylist(), np.float64)
-                k, _ = nearest(x, c)
-                d = ((x - c[k]) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("doc_id", "pos", "token_id")), pa.array(ids[k]), pa.array(d)], ["doc_id", "pos", "token_id", "centroid_id", "dist"])
+    def near(ids: np.ndarray, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, dist = nearest(x, c)
+        return ids[at][:, None], dist[:, None]
 
-        found = vectors.select("doc_id", "pos", "token_id", "vec").mapInArrow(near, "doc_id long, pos int, token_id long, centroid_id int, dist double")
-        out = found if out is None else out.unionByName(found)
+    found = blocks.meet(vectors, ["doc_id", "pos", "token_id"], centroids, column, near, "centroid_id int, dist double")
     best = F.min(F.struct("dist", "centroid_id")).alias("best")
-    return out.groupBy("doc_id", "pos", "token_id").agg(best).select("doc_id", "pos", "token_id", "best.centroid_id", "best.dist")
+    return found.groupBy("doc_id", "pos", "token_id").agg(best).select("doc_id", "pos", "token_id", "best.centroid_id", "best.dist")

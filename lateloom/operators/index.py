@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lateloom.functions.arrays import lists, matrix
 from lateloom.functions.shared import materialize
 from lateloom.functions.vectors import norm, normalize
 from lateloom.params import PQ_M, ClusteringParams, IndexCorrupt, IndexExists
@@ -32,11 +33,11 @@ class Index:
     doc_packs: DataFrame
 
 
-def residuals(tokens: DataFrame, centroids: DataFrame, digits: int | None = None, base: str = "raw") -> DataFrame:
+def residuals(tokens: DataFrame, centroids: DataFrame, digits: int | None = None, base: str = "unit") -> DataFrame:
     """doc_id, pos, centroid_id, residual_norm and unit (the residual at length 1; a zero residual stays).
 
-    tokens must carry centroid_id. The residual is to the raw mean while scoring uses the unit centroid, as in the
-    established definition; base="unit" makes both the same.
+    tokens must carry centroid_id. The residual is to the centroid at length 1, which scoring uses too; base="raw" takes it to
+    the mean as it is, as in the established definition, and finds less.
     """
     r = F.zip_with("vec", base, lambda x, c: x - c)
     own = tokens.join(centroids.select("centroid_id", base), "centroid_id").withColumn("residual", r)
@@ -63,14 +64,14 @@ def doc_packs(coded: DataFrame) -> DataFrame:
     return packed.select("doc_id", F.transform("t", lambda t: t["centroid_id"]).alias("centroid_ids"), F.transform("t", lambda t: t["residual_norm"]).alias("norms"), codes.alias("codes"))
 
 
-def assemble(tokens: DataFrame, centroids: DataFrame, codebook: DataFrame | None = None, *, m: int = PQ_M, seed: int = 42, max_train: int = pq.MAX_TRAIN, digits: int | None = None, base: str = "raw") -> Index:
+def assemble(tokens: DataFrame, centroids: DataFrame, codebook: DataFrame | None = None, *, m: int = PQ_M, seed: int = 42, max_train: int | None = None, digits: int | None = None, base: str = "unit") -> Index:
     """An index from tokens that carry centroid_id, and centroids with raw and unit."""
     rest = residuals(tokens, centroids, digits, base)
     codebook = codebook if codebook is not None else materialize(pq.train(rest, m=m, seed=seed, max_train=max_train))
     return Index(centroids, postings(tokens), codebook, doc_packs(pq.encode(rest, codebook)))
 
 
-def build(tokens: DataFrame, p: ClusteringParams, *, m: int = PQ_M, max_train: int = pq.MAX_TRAIN, base: str = "raw") -> Index:
+def build(tokens: DataFrame, p: ClusteringParams, *, m: int = PQ_M, max_train: int | None = None, base: str = "unit") -> Index:
     """Clusters, then encodes residuals. Each stage's table is kept in the shared folder while the next uses it."""
     model = clustering.cluster(tokens, p)
     centroids = materialize(model.centroids.withColumn("unit", normalize(F.col("raw"))))
@@ -84,10 +85,22 @@ def _figures(df: DataFrame) -> tuple[int, int]:
     return int(r[0]), int(r[1])
 
 
+#: Ids that a lookup hands to the scan.
+LOOKUP_IDS = 10_000
+
+
 def lookup(packs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and centroid_ids of the documents asked for (doc_id); one that the index doesn't have has no tokens."""
+    """doc_id, n_tokens and centroid_ids of the documents asked for (doc_id); one that the index doesn't have has no tokens.
+
+    Up to LOOKUP_IDS ids are part of the scan's filter, so that of a saved index, whose packs are in order of doc_id, only the row groups
+    that can hold them are read; more ids are joined.
+    """
+    asked = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = [r["doc_id"] for r in asked.limit(LOOKUP_IDS + 1).collect()]
     own = packs.select("doc_id", "centroid_ids")
-    return doc_ids.select("doc_id").distinct().join(own, "doc_id", "left").select("doc_id", F.greatest(F.coalesce(F.size("centroid_ids"), F.lit(0)), F.lit(0)).alias("n_tokens"), "centroid_ids")
+    if len(ids) <= LOOKUP_IDS:
+        own = own.where(F.col("doc_id").isin([i for i in ids if i is not None]))
+    return asked.join(own, "doc_id", "left").select("doc_id", F.greatest(F.coalesce(F.size("centroid_ids"), F.lit(0)), F.lit(0)).alias("n_tokens"), "centroid_ids")
 
 
 def save(index: Index, path: str, *, doc_parts: int | None = None) -> None:
@@ -147,10 +160,10 @@ def reconstruct(packs: DataFrame, centroids: DataFrame, codebook: DataFrame, col
         words = shared.value
         m = words.shape[0]
         for batch in batches:
-            out = []
-            for pos, n, codes, c in zip(*(batch.column(x).to_pylist() for x in ("pos", "norm", "codes", "c")), strict=True):
-                own = np.frombuffer(codes, np.uint8)[pos * m : (pos + 1) * m]
-                out.append(np.array(c) + n * pq.decode_rows(own[None], words)[0])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pos"), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "pos", "vec"])
+            if not len(batch):
+                continue
+            own = np.frombuffer(b"".join(c[p * m : (p + 1) * m] for c, p in zip(batch.column("codes").to_pylist(), batch.column("pos").to_pylist(), strict=True)), np.uint8).reshape(-1, m)
+            x = matrix(batch.column("c")) + batch.column("norm").to_numpy()[:, None] * pq.decode_rows(own, words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pos"), lists(x)], ["doc_id", "pos", "vec"])
 
     return joined.select("doc_id", "pos", "norm", "codes", "c").mapInArrow(run, "doc_id long, pos int, vec array<double>")

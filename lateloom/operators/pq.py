@@ -10,33 +10,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lateloom.functions.shared import materialize, temporary
 from lateloom.params import PQ_CODES, PQ_M, DimNotDivisibleByM
 
-from .cluster import fit
+from . import kmeans
 
 _SCHEMA = "m int, code int, sub array<double>"
 
 
-#: Residuals that a codebook is trained on, about: 256 for each of its codewords. All are encoded.
-MAX_TRAIN = 65_536
+def train(residuals: DataFrame, *, m: int = PQ_M, codes: int = PQ_CODES, seed: int = 42, max_train: int | None = None, task_rows: int | None = None) -> DataFrame:
+    """The codebook (m, code, sub) from residuals(doc_id, pos, unit): one k-means per sub-space, of all rows.
 
-
-def train(residuals: DataFrame, *, m: int = PQ_M, codes: int = PQ_CODES, seed: int = 42, max_train: int = MAX_TRAIN) -> DataFrame:
-    """The codebook (m, code, sub) from residuals(doc_id, pos, unit): one k-means per sub-space, on all rows or, of more, on about max_train of least hash."""
-    rows = residuals.select("doc_id", "pos", "unit")
-    n_rows, dim = rows.agg(F.count("*"), F.max(F.size("unit"))).first()
-    if n_rows > max_train:
+    At most task_rows (kmeans.TASK_ROWS) go to a task for each sub-space; more are packed whole, and each pass over
+    the blocks adds up all sub-spaces: the same algorithm, with the same result. max_train, where given, takes about so many rows of least hash.
+    """
+    most = kmeans.TASK_ROWS if task_rows is None else task_rows
+    rows = residuals.select("doc_id", F.col("pos").cast("int").alias("pos"), F.col("unit").cast("array<double>").alias("vec"))
+    size = F.greatest(F.array_max("vec"), -F.array_min("vec"))
+    n_rows, dim, largest = rows.agg(F.count("*"), F.max(F.size("vec")), F.max(size)).first()
+    if max_train is not None and n_rows > max_train:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", "pos"), F.lit(1 << 32)) < F.lit((1 << 32) * max_train // n_rows))
+        n_rows, largest = rows.agg(F.count("*"), F.max(size)).first()
     dim = dim or 0
     if dim % m:
         raise DimNotDivisibleByM(f"{dim} is not divisible by {m}")
     n = dim // m
-    parts = rows.select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.struct(i.alias("m"), F.slice("unit", i * n + 1, n).alias("sub")))).alias("p"))
+    if n_rows > max(most, codes):
+        with temporary() as result:
+            packed = materialize(kmeans.pack(rows.withColumn("group", F.lit(0).cast("long"))))
+            group = rows.sparkSession.createDataFrame([(0, codes, seed, float(largest))], "group long, k int, seed long, largest double")
+            state = kmeans.fit_blocks(packed, group, n, subs=m)
+            return result(kmeans.centroid_rows(state).select(F.col("sub").alias("m"), F.col("place").alias("code"), F.col("raw").alias("sub")))
+    parts = rows.select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.struct(i.alias("m"), F.slice("vec", i * n + 1, n).alias("sub")))).alias("p"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "pos"], kind="stable")
         k = int(pdf["m"].iloc[0])
-        return pd.DataFrame({"m": k, "code": np.arange(codes), "sub": list(fit(np.stack(pdf["sub"].to_numpy()), codes, seed=seed + k).centroids)})
+        return pd.DataFrame({"m": k, "code": np.arange(codes), "sub": list(kmeans.fit(np.stack(pdf["sub"].to_numpy()), codes, seed=seed + k, largest=largest).centroids)})
 
     return parts.select("doc_id", "pos", "p.m", "p.sub").groupBy("m").applyInPandas(one, _SCHEMA)
 

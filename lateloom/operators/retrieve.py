@@ -11,44 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lateloom.functions.arrays import matrix
 from lateloom.functions.shared import materialize
 from lateloom.functions.vectors import dot
 from lateloom.params import DimMismatch, SearchParams
 
-from . import encode, pq
+from . import blocks, encode, pq
 
-#: Bytes of centroids that are broadcast at once; more are searched block by block.
-BLOCK_BYTES = 128 << 20
 #: Words of queries that are broadcast at once, and documents whose words are multiplied with them at once.
 WORD_BLOCK, WORD_DOCS = 1_000_000, 64
 
 
-def n_blocks(centroids: DataFrame, column: str) -> int:
-    """How many blocks of at most BLOCK_BYTES the centroids make."""
-    n, dim = centroids.agg(F.count("*"), F.max(F.size(column))).first()
-    return max(1, -(-n * (dim or 1) * 8 // BLOCK_BYTES))
-
-
-def centroid_blocks(centroids: DataFrame, column: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and matrices of the centroids, block by block."""
-    blocks = n_blocks(centroids, column)
-    for b in range(blocks):
-        own = centroids if blocks == 1 else centroids.where(F.pmod(F.xxhash64("centroid_id"), F.lit(blocks)) == b)
-        t = own.select("centroid_id", column).orderBy("centroid_id").toArrow()
-        if t.num_rows:
-            yield t.column(0).to_numpy().astype(np.int32), matrix(t.column(1))
-
-
-def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Lists of one length as rows of doubles, without a Python object for each number."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if len(vectors) and len(flat) % len(vectors) or vectors.null_count:
-        raise DimMismatch("vectors differ in length")
-    return flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
-
-
 def greatest(s: np.ndarray, k: int) -> np.ndarray:
     """Places of the k greatest of each row, greatest first; of equal ones the first."""
     rows, n = s.shape
@@ -75,36 +48,22 @@ def score_order(score: str = "score") -> list[Column]:
     return [F.desc(score), F.col("doc_id")]
 
 
-def centroid_topk(query_tokens: DataFrame, centroids: DataFrame, kappa_c: int, digits: int = 9) -> DataFrame:
-    """qid, qpos, centroid_id, sim and rank of the kappa_c nearest centroids of each query token; the least id of equally near ones first."""
-    out, blocks = None, 0
-    for block in centroid_blocks(centroids, "unit"):
-        blocks += 1
-        shared = query_tokens.sparkSession.sparkContext.broadcast(block)
+def centroid_topk(query_tokens: DataFrame, centroids: DataFrame, kappa_c: int, digits: int = 9, block_bytes: int | None = None) -> DataFrame:
+    """qid, qpos, centroid_id, sim and rank of the kappa_c nearest centroids of each query token; the least id of equally near ones first.
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            ids, c = shared.value
-            k = min(kappa_c, len(ids))
-            for batch in batches:
-                for a in range(0, len(batch), 256):
-                    own = batch.slice(a, 256)
-                    x = matrix(own.column("vec"))
-                    if x.shape[1] != c.shape[1]:
-                        raise DimMismatch(f"queries have {x.shape[1]} components, the index has {c.shape[1]}")
-                    s = np.round(x @ c.T, digits) + 0.0
-                    order = greatest(s, k)  # ids ascend
-                    row = np.repeat(np.arange(len(own)), k)
-                    flat = order.ravel()
-                    keys = [own.column(n).take(pa.array(row)) for n in ("qid", "qpos")]
-                    rank = np.tile(np.arange(1, k + 1, dtype=np.int32), len(own))
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(ids[flat]), pa.array(s[row, flat]), pa.array(rank)], ["qid", "qpos", "centroid_id", "sim", "rank"])
-
-        found = query_tokens.select("qid", "qpos", "vec").mapInArrow(search, "qid long, qpos int, centroid_id int, sim double, rank int")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return query_tokens.sparkSession.createDataFrame([], "qid long, qpos int, centroid_id int, sim double, rank int")
-    rank = F.row_number().over(W.partitionBy("qid", "qpos").orderBy(F.desc("sim"), "centroid_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= kappa_c) if blocks > 1 else out
+    Centroids of more than block_bytes are parted, and each part is searched in tasks of its own.
+    """
+
+    def best(ids: np.ndarray, c: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = np.round(x @ c.T, digits) + 0.0
+        order = greatest(s, min(kappa_c, len(ids)))  # ids ascend
+        return ids[order], np.take_along_axis(s, order, 1)
+
+    found = blocks.meet(query_tokens, ["qid", "qpos"], centroids, "unit", best, "centroid_id int, sim double", block_bytes)
+    if blocks.n_blocks(centroids, "unit", block_bytes) == 1:
+        return found
+    rank = F.row_number().over(W.partitionBy("qid", "qpos").orderBy(F.desc("sim"), "centroid_id"))  # kappa_c rows of each block
+    return found.withColumn("rank", rank).where(F.col("rank") <= kappa_c)
 
 
 def gather(hits: DataFrame, postings: DataFrame) -> DataFrame:
@@ -136,8 +95,8 @@ def refine(survivors: DataFrame, query_tokens: DataFrame, doc_packs: DataFrame,
     """
     spark = survivors.sparkSession
     books = spark.sparkContext.broadcast(pq.book(codebook))
-    if n_blocks(centroids, "unit") == 1:
-        block = next(centroid_blocks(centroids, "unit"), (np.zeros(0, np.int32), np.zeros((0, 0))))
+    if blocks.n_blocks(centroids, "unit") == 1:
+        block = blocks.one_block(centroids, "unit")
         packs = doc_packs.withColumn("units", F.lit(None).cast("array<array<double>>"))
     else:
         block = (np.zeros(0, np.int32), np.zeros((0, 0)))
@@ -205,7 +164,7 @@ def summary(queries: DataFrame, query_tokens: DataFrame, hits: DataFrame) -> Dat
 
 def brute_force(query_tokens: DataFrame, tokens: DataFrame) -> DataFrame:
     """qid, doc_id and score over whole vectors: each block of queries against all tokens, without an index."""
-    blocks = query_tokens.groupBy(F.floor(F.col("qid") / 1024).alias("block")).agg(F.collect_list(F.struct("qid", "qpos", "vec")).alias("queries"))  # a block's few tokens
+    asked = query_tokens.groupBy(F.floor(F.col("qid") / 1024).alias("block")).agg(F.collect_list(F.struct("qid", "qpos", "vec")).alias("queries"))  # a block's few tokens
     packs = tokens.groupBy("doc_id").agg(F.collect_list("vec").alias("vecs"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +182,7 @@ def brute_force(query_tokens: DataFrame, tokens: DataFrame) -> DataFrame:
                 scores += np.add.reduceat(best, at).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(qids, pa.int64()), pa.array(docs, pa.int64()), pa.array(scores, pa.float64())], ["qid", "doc_id", "score"])
 
-    return packs.join(blocks).mapInArrow(score, "qid long, doc_id long, score double")
+    return packs.join(asked).mapInArrow(score, "qid long, doc_id long, score double")
 
 
 def word_search(docs: DataFrame, queries: DataFrame, k: int, *, text: str = "text") -> DataFrame:
@@ -235,11 +194,11 @@ def word_search(docs: DataFrame, queries: DataFrame, k: int, *, text: str = "tex
     """
     spark = docs.sparkSession
     own = materialize(encode.token_ids(encode.words(queries, key="qid", text=text)).select("qid", "token_id").distinct())
-    blocks = max(1, -(-own.count() // WORD_BLOCK))
+    parts = max(1, -(-own.count() // WORD_BLOCK))
     listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_distinct(encode.word_list(F.col(text), False)).alias("words"))
     out = None
-    for b in range(blocks):
-        t = own.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()  # about WORD_BLOCK rows
+    for b in range(parts):
+        t = own.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == b).toArrow()  # about WORD_BLOCK rows
         token, at = np.unique(t.column("token_id").to_numpy(), return_inverse=True)
         names, to = np.unique(t.column("qid").to_numpy(), return_inverse=True)
         order = np.argsort(at, kind="stable")
@@ -278,7 +237,7 @@ def word_search(docs: DataFrame, queries: DataFrame, k: int, *, text: str = "tex
 
 def gather_sql(query_tokens: DataFrame, centroids: DataFrame, postings: DataFrame, kappa_c: int) -> DataFrame:
     """The same as centroid_topk and gather, in the JVM alone."""
-    sims = query_tokens.join(F.broadcast(centroids.select("centroid_id", "unit"))).select("qid", "qpos", "centroid_id", F.round(dot(F.col("vec"), F.col("unit")), 9).alias("sim"))
+    sims = query_tokens.join(centroids.select("centroid_id", "unit")).select("qid", "qpos", "centroid_id", F.round(dot(F.col("vec"), F.col("unit")), 9).alias("sim"))
     rank = F.row_number().over(W.partitionBy("qid", "qpos").orderBy(F.desc("sim"), "centroid_id"))
     return gather(sims.withColumn("rank", rank).where(F.col("rank") <= kappa_c), postings)
 

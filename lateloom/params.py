@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import functions as F
+
 #: Budget thresholds, product quantisation, centroid graph.
 MU, TAU, EPSILON, THETA = 128, 256, 4, 39
 PQ_M, PQ_CODES = 32, 256
@@ -42,9 +44,9 @@ IndexExists = _error("IndexExists")
 DropRateExceeded = _error("DropRateExceeded")
 
 
-def ef_search(k: int) -> int:
-    """Width of a graph search for k results."""
-    return k * 3 // 2
+def ef_search(k):  # noqa: ANN001, ANN201
+    """Width of a graph search for k results: of a number, or of a column."""
+    return k * 3 // 2 if isinstance(k, int) else F.floor(k * 3 / 2).cast("long")
 
 
 @dataclass(frozen=True)

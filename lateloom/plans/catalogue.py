@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lateloom.functions import sampling
 from lateloom.functions import vectors as V
 from lateloom.functions.shared import materialize, shared_path
-from lateloom.operators import budget, cluster, encode, evaluate, hnsw, index, pq, retrieve, stats
+from lateloom.operators import budget, cluster, encode, evaluate, hnsw, index, parity, pq, retrieve, stats
 from lateloom.params import ClusteringParams, SearchParams, ef_search
 from lateloom.sources import qrels as qrels_source
 from lateloom.sources import tables as T
@@ -64,9 +65,9 @@ def fine_index(spark: SparkSession, d: str) -> index.Index:
     centroids = materialize(cluster.mean_centroids(fine(spark, d), DIGITS))
     own = fine_tokens(spark, d, centroids)
     n = own.count()
-    even = index.residuals(own.where((F.col("doc_id") * 10 + F.col("pos")) * 256 % F.lit(n) < 256), centroids, DIGITS)
+    even = index.residuals(own.where((F.col("doc_id") * 10 + F.col("pos")) * 256 % F.lit(n) < 256), centroids, DIGITS, "raw")
     book = materialize(pq.train(even))
-    return index.assemble(own, centroids, book, digits=DIGITS)
+    return index.assemble(own, centroids, book, digits=DIGITS, base="raw")
 
 
 def ranks(df: DataFrame) -> DataFrame:
@@ -152,8 +153,8 @@ def damped_weight(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ef_rule(spark: SparkSession, d: str) -> DataFrame:
-    rows = [(k, ef_search(k)) for k in (0, 1, 3, 15, 20, 40, 80, 100, 120)]
-    return spark.createDataFrame(rows, "k int, ef int")
+    """The width of a graph search for as many results as each token id has rows."""
+    return stats.frequency(fine(spark, d)).select("token_id", F.col("n_j").alias("k"), ef_search(F.col("n_j")).alias("ef"))
 
 
 def _mixed_params(kappa: int) -> ClusteringParams:
@@ -286,7 +287,7 @@ def kmeans_vanilla(spark: SparkSession, d: str) -> DataFrame:
 @query
 def residual_norms(spark: SparkSession, d: str) -> DataFrame:
     c = cluster.mean_centroids(fine(spark, d))
-    return index.residuals(fine_tokens(spark, d, c), c, DIGITS).select("doc_id", "pos", "centroid_id", V.rounded(F.col("residual_norm")).alias("residual_norm"))
+    return index.residuals(fine_tokens(spark, d, c), c, DIGITS, "raw").select("doc_id", "pos", "centroid_id", V.rounded(F.col("residual_norm")).alias("residual_norm"))
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
@@ -339,7 +340,7 @@ def pq_distance_table(spark: SparkSession, d: str) -> DataFrame:
 def pq_recon_error(spark: SparkSession, d: str) -> DataFrame:
     """Mean squared error of decoded unit residuals, by token id."""
     c = materialize(cluster.mean_centroids(fine(spark, d)))
-    unit = index.residuals(fine_tokens(spark, d, c), c, DIGITS).select("doc_id", "pos", "centroid_id", F.posexplode("unit").alias("d", "u"))
+    unit = index.residuals(fine_tokens(spark, d, c), c, DIGITS, "raw").select("doc_id", "pos", "centroid_id", F.posexplode("unit").alias("d", "u"))
     codes, book = _codes(spark, d)
     joined = unit.join(pq.decode(pq.explode_codes(codes), book), ["doc_id", "pos", "d"])
     return joined.groupBy("centroid_id").agg(V.rounded(F.avg((F.col("u") - F.col("x")) * (F.col("u") - F.col("x")))).alias("mse"))
@@ -348,7 +349,7 @@ def pq_recon_error(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pq_train(spark: SparkSession, d: str) -> DataFrame:
     c = cluster.mean_centroids(fine(spark, d))
-    return pq.train(index.residuals(fine_tokens(spark, d, c), c)).select("m", "code", F.size("sub").alias("n"))
+    return pq.train(index.residuals(fine_tokens(spark, d, c), c, base="raw")).select("m", "code", F.size("sub").alias("n"))
 
 
 @query
@@ -362,8 +363,8 @@ def trained_index(spark: SparkSession, d: str) -> index.Index:
     """As fine_index, with a codebook trained on all residuals."""
     centroids = materialize(cluster.mean_centroids(fine(spark, d), DIGITS))
     own = fine_tokens(spark, d, centroids)
-    book = materialize(pq.train(index.residuals(own, centroids, DIGITS)))
-    return index.assemble(own, centroids, book, digits=DIGITS)
+    book = materialize(pq.train(index.residuals(own, centroids, DIGITS, "raw")))
+    return index.assemble(own, centroids, book, digits=DIGITS, base="raw")
 
 
 @query
@@ -388,24 +389,32 @@ def search_trained(spark: SparkSession, d: str) -> DataFrame:
 @query
 def search_built(spark: SparkSession, d: str) -> DataFrame:
     """Clusters, trains and encodes all tokens, and searches: with residuals to the centroids that are scored with."""
-    return ranks(retrieve.search(index.build(tok(spark, d), ACTIVE, base="unit"), qt(spark, d), SMALL))
+    p, search = fitting(spark, d)
+    return ranks(retrieve.search(index.build(tok(spark, d), p), qt(spark, d), search))
 
 
-@query
-def search_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the exact ten best documents that a built index finds, for both bases of residuals, on a made corpus of 2,000 documents with themes: a tenth is refined."""
-    t = materialize(token_dump.synthetic(spark, docs=2000, dim=32, vocab=300, avg_len=12, seed=7).withColumn("vec", F.col("vec").cast("array<double>")))
-    asked = t.where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.col("pos").alias("qpos"), "vec")
-    exact = materialize(retrieve.top(retrieve.brute_force(asked, t), 10))
+def recall(tokens: DataFrame, asked: DataFrame, p: ClusteringParams, search: SearchParams) -> DataFrame:
+    """base, n_queries and recall: the share of the exact ten best documents that an index finds, by what residuals are taken to."""
+    exact = materialize(retrieve.top(retrieve.brute_force(asked, tokens), 10))
     out = None
     for base in ("raw", "unit"):
-        built = index.build(t, ClusteringParams(kappa=768, mu=16, tau=32, epsilon=1, theta=8), base=base)
-        found = retrieve.search(built, asked, SearchParams(kappa_c=80, kappa_d=200, top_k=10))
+        found = retrieve.search(index.build(tokens, p, base=base), asked, search)
         one = retrieve.overlap(exact, found, 10).agg(F.lit(base).alias("base"), F.count("*").alias("n_queries"), F.avg("overlap").alias("recall"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def fitting(spark: SparkSession, d: str) -> tuple[ClusteringParams, SearchParams]:
+    """Parameters by which the given vectors, which are noise around ten centres, are found again: a centroid for every two vectors, and four documents in five refined."""
+    n = tok(spark, d).count()
+    return ClusteringParams(kappa=n // 2, mu=4, tau=8, epsilon=1, theta=1), SearchParams(kappa_c=n // 8, kappa_d=n * 4 // 50, top_k=10)
+
+
+@query
+def search_recall(spark: SparkSession, d: str) -> DataFrame:
+    return recall(materialize(tok(spark, d)), qt(spark, d), *fitting(spark, d))
+
+
 @query
 def search_summary(spark: SparkSession, d: str) -> DataFrame:
     """Each query's tokens, hits and best score, and a query without tokens, which is skipped."""
@@ -424,27 +433,52 @@ def index_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def cluster_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """What holds for any clustering: all centroids of the budget, each row in one of its own token's, and less scatter than around one mean a token."""
+    """By token id what holds for any clustering: its budget of centroids, all of its rows in one of these, and no more scatter than around its mean (the bound)."""
     t = tok(spark, d)
-    model = cluster.cluster(t, ACTIVE)
-    joined = model.assign.join(model.centroids.select("centroid_id", F.col("token_id").alias("of")), "centroid_id", "left")
-    own = joined.agg(F.count("*").alias("n_assigned"), F.count_if(~F.col("of").eqNullSafe(F.col("token_id"))).alias("n_outside"), F.sum("dist").alias("wcss"), F.countDistinct("centroid_id").alias("n_used"))
-    means = t.select("token_id", F.posexplode("vec").alias("d", "x")).groupBy("token_id", "d").agg((F.var_pop("x") * F.count("*")).alias("s")).agg(F.sum("s").alias("bound"))
-    total = model.centroids.agg(F.countDistinct("centroid_id").alias("n_centroids"))
-    return total.join(own).join(means).select("n_centroids", "n_used", "n_assigned", "n_outside", (F.col("wcss") <= F.col("bound")).cast("int").alias("within"))
+    model = cluster.cluster(t, ClusteringParams(kappa=40, **MIXED))
+    of = model.centroids.select("centroid_id", F.col("token_id").alias("of"))
+    own = model.assign.join(of, "centroid_id", "left").groupBy("token_id").agg(F.count("*").alias("n_assigned"), F.count_if(~F.col("of").eqNullSafe(F.col("token_id"))).alias("n_outside"), F.sum("dist").alias("wcss"))
+    bound = t.select("token_id", F.posexplode("vec").alias("d", "x")).groupBy("token_id", "d").agg((F.var_pop("x") * F.count("*")).alias("s")).groupBy("token_id").agg(F.sum("s").alias("bound"))
+    n = of.groupBy(F.col("of").alias("token_id")).agg(F.count("*").alias("n_centroids"))
+    rows = own.join(n, "token_id").join(bound, "token_id")
+    return rows.select("token_id", "n_centroids", "n_assigned", "n_outside", V.rounded(F.col("bound")).alias("bound"), (F.col("wcss") <= F.col("bound") + 1e-9).cast("int").alias("within"))
 
 
 @query
 def pq_quality(spark: SparkSession, d: str) -> DataFrame:
-    """A codebook of 256 words a sub-vector on 1,024 made vectors, one number a sub-vector: the mean squared error is below a thousandth."""
-    import numpy as np
+    """By sub-space the mean squared error of the plain codebook (256 rows of the table as they are), and whether the one trained on all rows has no more."""
+    c = materialize(cluster.mean_centroids(fine(spark, d), DIGITS))
+    rest = materialize(index.residuals(fine_tokens(spark, d, c), c, DIGITS, "raw"))
+    unit = rest.select("doc_id", "pos", F.posexplode("unit").alias("d", "u"))
+    out = None
+    for name, book in (("plain", fine_index(spark, d).codebook), ("trained", materialize(pq.train(rest)))):
+        back = pq.decode(pq.explode_codes(pq.encode(rest, book)), book)
+        error = unit.join(back, ["doc_id", "pos", "d"]).groupBy(F.expr("d div 2").cast("int").alias("m")).agg(F.count("*").alias("n"), F.avg((F.col("u") - F.col("x")) ** 2).alias(name))
+        out = error if out is None else out.join(error.drop("n"), "m")
+    return out.select("m", "n", V.rounded(F.col("plain")).alias("plain"), (F.col("trained") <= F.col("plain")).cast("int").alias("within"))
 
-    x = np.random.default_rng(2).normal(size=(1024, 32))
-    rows = materialize(spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "doc_id long, pos int, unit array<double>"))
-    book = materialize(pq.train(rows))
-    back = pq.decode(pq.explode_codes(pq.encode(rows, book)), book)
-    plain = rows.select("doc_id", F.posexplode("unit").alias("d", "u"))
-    return plain.join(back.select("doc_id", "d", "x"), ["doc_id", "d"]).agg(F.count("*").alias("n"), (F.avg((F.col("u") - F.col("x")) ** 2) < 1e-3).cast("int").alias("within"))
+
+@query
+def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Five documents of each language without replacement, by their length: the same for every partitioning, and for every engine."""
+    rows = T.read(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("n"))
+    top = sampling.weighted_sample(rows, 5, F.col("n").cast("double"), ["doc_id"], seed=42, by=["lang"])
+    return top.select("lang", F.col("order").cast("int").alias("order"), "doc_id", V.rounded(F.col("sample_key"), 9).alias("sample_key"))
+
+
+@query
+def encoder_parity(spark: SparkSession, d: str) -> DataFrame:
+    """Two settings of the hash encoder, doubles in stored order and floats in order of length, held against each other on all documents."""
+    texts = T.read(spark, d, "documents")
+    items = T.read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+    def floats(df: DataFrame) -> DataFrame:
+        return df.withColumn("vec", F.col("vec").cast("array<float>"))
+
+    a = materialize(encode.hash_encode(texts, dim=4))
+    b, again = (materialize(floats(encode.hash_encode(encode.by_length(texts.repartition(n)), dim=4))) for n in (3, 5))
+    asked = materialize(encode.hash_encode(items, dim=4, key="qid").withColumnRenamed("pos", "qpos"))
+    return parity.gates(a, b, again, asked, floats(asked)).select("gate", "n", F.col("ok").cast("int").alias("ok"))
 
 
 @query
@@ -464,6 +498,13 @@ def centroid_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("qid", "qpos", "centroid_id", V.rounded(F.col("sim")).alias("sim"), "rank")
 
 
+@query
+def centroid_topk_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The same with parts of at most 20 centroids, each searched in tasks of its own."""
+    found = retrieve.centroid_topk(qt(spark, d), cluster.mean_centroids(fine(spark, d)), 16, block_bytes=20 * 64 * 8)
+    return found.select("qid", "qpos", "centroid_id", V.rounded(F.col("sim")).alias("sim"), "rank")
+
+
 def _gathered(spark: SparkSession, d: str, kappa_c: int) -> DataFrame:
     c = materialize(cluster.mean_centroids(fine(spark, d)))
     return retrieve.gather(retrieve.centroid_topk(qt(spark, d), c, kappa_c), index.postings(fine_tokens(spark, d, c)))
@@ -695,10 +736,14 @@ def qids_sidecar(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sweep_csv(spark: SparkSession, d: str) -> DataFrame:
-    """The cells of a sweep as CSV, written and read back."""
+    """The cells of a timed sweep as CSV, written and read back: quality, and whether each stage has its time."""
     path = shared_path(spark)
-    evaluate.write_csv(evaluate.csv_rows(sweep_grid(spark, d), dataset="given", git_sha="none"), path, {"metric": "mrr at 10"})
-    return spark.read.csv(path, header=True).select("dataset", "kappa_c", "kappa_d", "alpha_x100", "n_queries", "avg_total_ms", "git_sha")
+    i, rules = fine_index(spark, d), evaluate.Protocol(slices=2, warm_up=False)
+    rows = evaluate.timed_sweep(i, qt(spark, d), qrels(spark, d), f"{path}/cells", preset="msmarco_v1", kappa_cs=(8, 16), kappa_ds=(20,), alphas=(None, 0.4), min_rel=2, protocol=rules)
+    evaluate.write_csv(evaluate.csv_rows(rows, dataset="given", git_sha="none"), f"{path}/csv", {"metric": "mrr at 10", "slices": "2"})
+    back = spark.read.csv(f"{path}/csv", header=True)
+    stages = [c for c in back.columns if c.endswith("_ms")]
+    return back.select("dataset", "kappa_c", "kappa_d", "alpha_x100", "n_queries", V.rounded(F.col("quality").cast("double")).alias("quality"), sum(((F.col(c).cast("double") > 0).cast("int") for c in stages), F.lit(0)).alias("n_timed"), "git_sha")
 
 
 @query
@@ -709,7 +754,8 @@ def text_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def synthetic_corpus(spark: SparkSession, d: str) -> DataFrame:
-    t = token_dump.synthetic(spark, docs=50, dim=32, vocab=16, avg_len=8, seed=20260501)
+    """As many documents as are given, made up: by token id their tokens and documents."""
+    t = token_dump.synthetic(spark, docs=T.read(spark, d, "documents").count(), dim=32, vocab=16, avg_len=8, seed=20260501)
     return t.groupBy("token_id").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 

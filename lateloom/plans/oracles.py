@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+_TOKENS = r"string_split_regex(lower(coalesce(text, '')), '\s+')"
+_WORD_LIST = rf"list_filter(list_transform({_TOKENS}, lambda w: regexp_replace(w, '[.,!?;:-]+$', '')), lambda w: w <> '')"
+
 _VIEWS = {
     "e": "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
     "tok": "SELECT vec_id // 10 AS doc_id, CAST(vec_id % 10 AS INTEGER) AS pos, CAST(label AS BIGINT) AS token_id, v AS vec FROM e",
@@ -66,10 +69,8 @@ _VIEWS = {
     "fields": r"SELECT list_filter(string_split_regex(line, '[\t ]+'), lambda x: x <> '') AS f FROM (SELECT regexp_replace(value, '\r$', '') AS line FROM lines) WHERE line <> '' AND NOT starts_with(line, '#')",
     "typed": "SELECT len(f) AS n, try_cast(f[1] AS BIGINT) AS qid, try_cast(CASE WHEN len(f) = 4 THEN f[3] ELSE f[2] END AS BIGINT) AS doc_id, try_cast(CASE len(f) WHEN 2 THEN '1' WHEN 3 THEN f[3] WHEN 4 THEN f[4] END AS INTEGER) AS rel FROM fields",
     "lenient": "SELECT qid, doc_id, rel, CASE WHEN n NOT BETWEEN 2 AND 4 THEN 'columns' WHEN rel IS NULL THEN 'relevance' WHEN rel < 1 THEN NULL WHEN qid IS NULL OR doc_id IS NULL THEN 'id' END AS error FROM typed",
-    "spaced": r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '([.,!?;:-]) ', ' \1 ', 'g'), '\s+', ' ', 'g')) AS s FROM documents",
-    "docwords": "SELECT doc_id, list_filter(string_split(s, ' '), lambda w: w <> '' AND NOT list_contains(['.', ',', '!', '?', ';', ':', '-'], w)) AS ws FROM spaced",
+    "docwords": rf"SELECT doc_id, {_WORD_LIST} AS ws FROM documents",
     "words": "SELECT doc_id, unnest(ws) AS word FROM docwords",
-    "itemspaced": r"SELECT item_id, trim(regexp_replace(regexp_replace(lower(text), '([.,!?;:-]) ', ' \1 ', 'g'), '\s+', ' ', 'g')) AS s FROM benchmark",
 }
 
 _ORDER = list(_VIEWS)
@@ -110,8 +111,7 @@ FROM cells LEFT JOIN firsts f ON cells.kappa_c = f.kappa_c AND cells.kappa_d = f
 
 
 def _words(table: str, key: str) -> str:
-    return rf"""SELECT {key}, unnest(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '([.,!?;:-]) ', ' \1 ', 'g'), '\s+', ' ', 'g')), ' '),
-        lambda w: w <> '' AND NOT list_contains(['.', ',', '!', '?', ';', ':', '-'], w))) AS word FROM {table}"""
+    return f"SELECT {key}, unnest({_WORD_LIST}) AS word FROM {table}"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -131,7 +131,7 @@ ORACLE_SQL: dict[str, str] = {
     "vocab_alias_share": _sql("SELECT count(*) AS n_tokens, count(*) FILTER (n >= 2) / count(*) AS share FROM (SELECT token_id, count(*) AS n FROM fine GROUP BY 1)"),
     "token_tier": _sql("SELECT token_id, n_j, tier FROM tiers"),
     "damped_weight": _sql("SELECT token_id, round(sqrt(n_j) * s_j, 6) AS w FROM spread"),
-    "ef_rule": "SELECT CAST(k AS INTEGER) AS k, CAST(k * 3 // 2 AS INTEGER) AS ef FROM (SELECT unnest([0, 1, 3, 15, 20, 40, 80, 100, 120]) AS k)",
+    "ef_rule": _sql("SELECT token_id, count(*) AS k, CAST(count(*) * 3 // 2 AS BIGINT) AS ef FROM fine GROUP BY 1"),
     "budget_tail": _sql("SELECT token_id, n_j, tier, k_tail, left_over FROM left_over"),
     "budget_damped": _sql("SELECT token_id, CAST(k_damped AS BIGINT) AS k_damped, round(CAST(frac AS DOUBLE), 5) AS frac FROM damped"),
     "budget_zero_spread": _sql(
@@ -166,16 +166,25 @@ ORACLE_SQL: dict[str, str] = {
     "index_roundtrip": _sql(f"{_RANKS} found"),
     "search_summary": _sql("SELECT qid, n_tokens, n_hits, round(best, 6) + 0.0 AS best FROM (SELECT qid, count(*) AS n_tokens FROM qt GROUP BY 1) JOIN (SELECT qid, count(*) AS n_hits, max(round(score, 6)) AS best FROM found GROUP BY 1) USING (qid) UNION ALL SELECT 0, 0, 0, NULL"),
     "index_lookup": _sql("SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(CAST(centroid_id AS VARCHAR), ',' ORDER BY pos) AS centroids FROM ft WHERE doc_id % 50 = 0 GROUP BY 1 UNION ALL SELECT -1, 0, NULL"),
-    "cluster_invariants": _sql("SELECT CAST(32 AS BIGINT) AS n_centroids, CAST(32 AS BIGINT) AS n_used, count(*) AS n_assigned, CAST(0 AS BIGINT) AS n_outside, CAST(1 AS INTEGER) AS within FROM tok"),
-    "pq_quality": "SELECT CAST(1024 * 32 AS BIGINT) AS n, CAST(1 AS INTEGER) AS within",
+    "cluster_invariants": _sql(
+        "SELECT token_id, kappa_j AS n_centroids, n_j AS n_assigned, CAST(0 AS BIGINT) AS n_outside, round(bound, 6) + 0.0 AS bound, CAST(1 AS INTEGER) AS within FROM budgets JOIN (SELECT token_id, n_j, n_j * s_j AS bound FROM (SELECT token_id, max(n) AS n_j, sum(s) AS s_j FROM (SELECT token_id, d, count(*) AS n, var_pop(x) AS s FROM (SELECT token_id, unnest(vec) AS x, unnest(range(64)) AS d FROM tok) GROUP BY 1, 2) GROUP BY 1)) USING (token_id)",
+        kappa="SELECT 40 AS kappa",
+    ),
+    "pq_quality": _sql("SELECT CAST(d // 2 AS INTEGER) AS m, count(*) AS n, round(avg((u - x) * (u - x)), 6) + 0.0 AS plain, CAST(1 AS INTEGER) AS within FROM units JOIN decoded USING (doc_id, pos, d) GROUP BY 1"),
+    "seeded_sample": """
+WITH k AS (SELECT lang, doc_id, -ln((CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5) / 4503599627370496.0) / length(text) AS key FROM documents WHERE length(text) > 0)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY key, doc_id) AS INTEGER) AS "order", doc_id, round(key, 9) + 0.0 AS sample_key FROM k QUALIFY "order" <= 5
+""",
+    "encoder_parity": f"""
+WITH w AS ({_words('documents', 'doc_id')}), n AS (SELECT count(*) AS tokens, count(DISTINCT substr(md5(word), 1, 8)) AS ids FROM w), q AS (SELECT count(DISTINCT item_id) AS asked FROM ({_words('benchmark', 'item_id')}))
+SELECT gate, CASE gate WHEN 'centroids' THEN ids WHEN 'ranking' THEN asked ELSE tokens END AS n, CAST(1 AS INTEGER) AS ok FROM n, q, (SELECT unnest(['ids', 'vectors', 'runs', 'centroids', 'ranking']) AS gate)
+""",
     "encode_marked": _sql(
         "SELECT doc_id, CAST(len(m) AS INTEGER) AS n, md5(array_to_string(m, ' ')) AS md5 FROM (SELECT doc_id, CASE WHEN len(ws) = 0 THEN ws ELSE list_concat(list_concat(ws[1:1], ['[D]']), ws[2:31]) END AS m FROM (SELECT doc_id, coalesce(ws, []) AS ws FROM docwords))"
     ),
     "dump_metadata": _sql("SELECT CAST(2 AS INTEGER) AS format_version, 'docs' AS mode, 'given' AS encoder, CAST(64 AS INTEGER) AS encoder_dim, max(doc_id) + 1 AS n_docs, count(*) AS n_tokens, CAST(0 AS BIGINT) AS dropped FROM tok"),
     "qids_sidecar": _sql("SELECT row_number() OVER (ORDER BY qid) - 1 AS ordinal, qid * 7 AS qid FROM (SELECT DISTINCT qid FROM qt)"),
-    "sweep_csv": _sql(
-        "SELECT 'given' AS dataset, CAST(c AS VARCHAR) AS kappa_c, CAST(d AS VARCHAR) AS kappa_d, CAST(a AS VARCHAR) AS alpha_x100, CAST((SELECT count(DISTINCT qid) FROM qrels WHERE rel >= 2) AS VARCHAR) AS n_queries, CAST(NULL AS VARCHAR) AS avg_total_ms, 'none' AS git_sha FROM (SELECT unnest([8, 16]) AS c), (SELECT unnest([10, 20]) AS d), (SELECT unnest([-1, 40, 50]) AS a)"
-    ),
+    "centroid_topk_parts": _sql("SELECT qid, qpos, centroid_id, round(sim, 6) + 0.0 AS sim, rank FROM ranked WHERE rank <= 16"),
     "centroid_topk": _sql("SELECT qid, qpos, centroid_id, round(sim, 6) + 0.0 AS sim, rank FROM ranked WHERE rank <= 16"),
     "gather_scores": _sql("SELECT qid, doc_id, round(raw_score, 6) + 0.0 AS score FROM gathered"),
     "gather_in_jvm": _sql("SELECT qid, doc_id, round(raw_score, 6) + 0.0 AS score FROM gathered"),
@@ -218,9 +227,7 @@ c AS (SELECT doc_id, word, list_transform(range(4), lambda i: CAST(('0x' || subs
 u AS (SELECT doc_id, word, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c)
 SELECT doc_id, count(*) AS n_tokens, CAST(sum(CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT)) AS BIGINT) AS ids, round(sum(round(v[1], 6) + 2 * round(v[2], 6) + 3 * round(v[3], 6) + 4 * round(v[4], 6)), 3) AS x FROM u GROUP BY 1
 """,
-    "encode_keep_mask": _sql(
-        "SELECT item_id, CAST(len(list_filter(string_split(s, ' '), lambda w: w <> '' AND NOT list_contains(['.', ',', '!', '?', ';', ':', '-'], w))) AS BIGINT) AS kept, CAST(len(list_filter(string_split(s, ' '), lambda w: w <> '')) AS BIGINT) AS \"all\" FROM itemspaced"
-    ),
+    "encode_keep_mask": rf"""SELECT item_id, CAST(len({_WORD_LIST}) AS BIGINT) AS kept, CAST(len({_WORD_LIST}) + list_sum(list_transform({_TOKENS}, lambda w: length(regexp_extract(w, '[.,!?;:-]+$')))) AS BIGINT) AS "all" FROM benchmark""",
     "drop_rate": f"SELECT count(*) AS n, count(*) - count(DISTINCT CASE WHEN w.doc_id IS NOT NULL THEN d.doc_id END) AS n_dropped FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_words('documents', 'doc_id')})) w USING (doc_id)",
     "text_search": f"""
 WITH h AS (SELECT DISTINCT doc_id, substr(md5(word), 1, 8) AS id FROM ({_words('documents', 'doc_id')})), q AS (SELECT DISTINCT item_id AS qid, substr(md5(word), 1, 8) AS id FROM ({_words('benchmark', 'item_id')})),
@@ -229,3 +236,10 @@ SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY sco
 """,
     "token_dump_roundtrip": _sql("SELECT doc_id, pos, token_id, CAST(d AS INTEGER) AS d, round(x, 6) + 0.0 AS x FROM (SELECT doc_id, pos, token_id, unnest(range(64)) AS d, unnest(vec) AS x FROM tok)"),
 }
+
+# The cells of a sweep, of which the timed one has some.
+ORACLE_SQL["sweep_csv"] = (
+    "SELECT 'given' AS dataset, CAST(kappa_c AS VARCHAR) AS kappa_c, CAST(kappa_d AS VARCHAR) AS kappa_d, CAST(alpha_x100 AS VARCHAR) AS alpha_x100, CAST(n_queries AS VARCHAR) AS n_queries, quality, CAST(7 AS INTEGER) AS n_timed, 'none' AS git_sha FROM ("
+    + ORACLE_SQL["sweep_grid"]
+    + ") WHERE kappa_d = 20 AND alpha_x100 IN (-1, 40)"
+)

@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
+from lateloom.functions.arrays import lists, matrix
 from lateloom.params import MAX_DIM, MAX_ID, InvalidTokenDump, QidCountMismatch, QidOutOfRange
 
 #: Fixed values of the format.
@@ -21,15 +28,7 @@ TOKENS = "doc_id long, pos int, token_id long, vec array<float>"
 
 def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets, token ids and vectors; anything but a sound dump is refused."""
-    if len(raw) < HEADER.size:
-        raise InvalidTokenDump("shorter than the header")
-    magic, version, dim, docs, tokens, kind, zeros = HEADER.unpack_from(raw)
-    if magic != MAGIC or version != FORMAT or kind or zeros != bytes(7):
-        raise InvalidTokenDump("no dump, or one of another version or type")
-    if not 0 < dim <= MAX_DIM or not tokens:
-        raise InvalidTokenDump(f"dimension {dim}, {tokens} tokens")
-    if len(raw) != HEADER.size + 8 * (docs + 1) + 4 * tokens + 4 * tokens * dim:
-        raise InvalidTokenDump("another length than the header tells")
+    dim, docs, tokens = _head(raw, len(raw))
     offsets = np.frombuffer(raw, "<u8", docs + 1, HEADER.size)
     ids = np.frombuffer(raw, "<u4", tokens, HEADER.size + 8 * (docs + 1))
     vectors = np.frombuffer(raw, "<f4", tokens * dim, HEADER.size + 8 * (docs + 1) + 4 * tokens).reshape(tokens, dim)
@@ -46,29 +45,166 @@ def to_bytes(offsets: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> bytes
     return raw
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Tokens of one dump, or of a folder of them: documents are numbered on from file to file, in the order of their names."""
-    files = spark.read.format("binaryFile").load(path)
-    heads = files.select("path", F.substring("content", 1, HEADER.size).alias("head")).orderBy("path").collect()  # 40 bytes a file
-    begin, first = {}, 0
-    for r in heads:
-        if len(r["head"]) < HEADER.size:
-            raise InvalidTokenDump("shorter than the header")
-        begin[r["path"]] = first
-        first += HEADER.unpack(r["head"])[3]
+def read(spark: SparkSession, path: str, *, docs_per_part: int = 4096) -> DataFrame:
+    """Tokens of one dump, or of a folder of them, by the data source: documents are numbered on from file to file, in the order of their names."""
+    spark.dataSource.register(TokenDumpSource)
+    return spark.read.format("tokendump").option("docs_per_part", str(docs_per_part)).load(path)
+
+
+def _file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri(path if path.startswith("file:") else f"file://{path}")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                offsets, ids, vectors = parse(raw.as_buffer().to_pybytes())
-                doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets.astype(np.int64)))
-                pos = np.arange(len(ids)) - offsets.astype(np.int64)[doc]
-                for a in range(0, len(ids), 4096):
-                    s = slice(a, a + 4096)
-                    columns = [pa.array(doc[s] + begin[name]), pa.array(pos[s].astype(np.int32)), pa.array(ids[s].astype(np.int64)), pa.array(list(vectors[s]), pa.list_(pa.float32()))]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "token_id", "vec"])
 
-    return files.select("path", "content").mapInArrow(rows, TOKENS)
+def _files(path: str) -> tuple[fs.FileSystem, list[fs.FileInfo]]:
+    system, own = _file_system(path)
+    info = system.get_file_info(own)
+    found = [info] if info.is_file else system.get_file_info(fs.FileSelector(own, allow_not_found=True))
+    return system, sorted((f for f in found if f.is_file and not f.base_name.startswith(("_", "."))), key=lambda f: f.base_name)
+
+
+def _head(raw: bytes, size: int) -> tuple[int, int, int]:
+    """dim, documents and tokens of a header, of a file of that size."""
+    if len(raw) < HEADER.size:
+        raise InvalidTokenDump("shorter than the header")
+    magic, version, dim, docs, tokens, kind, zeros = HEADER.unpack_from(raw)
+    if magic != MAGIC or version != FORMAT or kind or zeros != bytes(7):
+        raise InvalidTokenDump("no dump, or one of another version or type")
+    if not 0 < dim <= MAX_DIM or not tokens:
+        raise InvalidTokenDump(f"dimension {dim}, {tokens} tokens")
+    if size != HEADER.size + 8 * (docs + 1) + 4 * tokens + 4 * tokens * dim:
+        raise InvalidTokenDump("another length than the header tells")
+    return dim, docs, tokens
+
+
+@dataclass
+class DocRange(InputPartition):
+    """Documents begin to end of a file, whose first is number first."""
+
+    file: str
+    dim: int
+    docs: int
+    tokens: int
+    begin: int
+    end: int
+    first: int
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, path: str, docs_per_part: int) -> None:
+        self.path, self.docs_per_part = path, docs_per_part
+
+    def partitions(self) -> list[DocRange]:
+        """Ranges of documents; of each file only the header is read."""
+        system, files = _files(self.path)
+        out, first = [], 0
+        for f in files:
+            with system.open_input_file(f.path) as file:
+                dim, docs, tokens = _head(file.read(HEADER.size), f.size)
+            out += [DocRange(f.path, dim, docs, tokens, a, min(a + self.docs_per_part, docs), first) for a in range(0, docs, self.docs_per_part)]
+            first += docs
+        if not out:
+            raise InvalidTokenDump(f"{self.path} has no dump")
+        return out
+
+    def read(self, part: DocRange) -> Iterator[pa.RecordBatch]:
+        """The range's offsets, then its ids and vectors in runs; each place in the file is read once."""
+        system, _ = _file_system(self.path)
+        ids_at = HEADER.size + 8 * (part.docs + 1)
+        with system.open_input_file(part.file) as file:
+            offsets = np.frombuffer(file.read_at(8 * (part.end - part.begin + 1), HEADER.size + 8 * part.begin), "<u8").astype(np.int64)
+            if (np.diff(offsets) < 0).any() or offsets[0] < 0 or offsets[-1] > part.tokens or part.begin == 0 and offsets[0] or part.end == part.docs and offsets[-1] != part.tokens:
+                raise InvalidTokenDump("offsets are not in order")
+            doc = np.repeat(np.arange(part.begin, part.end), np.diff(offsets))
+            pos = np.arange(offsets[0], offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+            for a in range(0, len(doc), 4096):
+                n, at = min(4096, len(doc) - a), int(offsets[0]) + a
+                ids = np.frombuffer(file.read_at(4 * n, ids_at + 4 * at), "<u4")
+                vectors = np.frombuffer(file.read_at(4 * n * part.dim, ids_at + 4 * part.tokens + 4 * at * part.dim), "<f4").reshape(n, part.dim)
+                if not np.isfinite(vectors).all():
+                    raise InvalidTokenDump("a component is not finite")
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a : a + n] + part.first), pa.array(pos[a : a + n].astype(np.int32)), pa.array(ids.astype(np.int64)), lists(vectors)], ["doc_id", "pos", "token_id", "vec"])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[int, str]]
+
+
+class _Writer(DataSourceArrowWriter):
+    """Each task writes whole files under hidden names, and the commit renames them. Rows must come by file and in order."""
+
+    def __init__(self, path: str, docs_per_file: int, docs: int) -> None:
+        self.path, self.docs_per_file, self.docs = path, docs_per_file, docs
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        system, own = _file_system(self.path)
+        system.create_dir(own)
+        out = _Written([])
+        file, counts = -1, np.zeros(0, np.int64)
+        parts = (tempfile.TemporaryFile(), tempfile.TemporaryFile())  # noqa: SIM115  ids and vectors, until their numbers are known; they go with the task
+        dim = 0
+
+        def close() -> None:
+            hidden = f"{own}/_{uuid.uuid4().hex}"
+            with system.open_output_stream(hidden) as target:
+                target.write(HEADER.pack(MAGIC, FORMAT, dim, len(counts), int(counts.sum()), 0, bytes(7)) + np.append(0, np.cumsum(counts)).astype("<u8").tobytes())
+                for p in parts:
+                    p.seek(0)
+                    while block := p.read(1 << 20):
+                        target.write(block)
+                    p.seek(0)
+                    p.truncate()
+            out.files.append((file, hidden))
+
+        for batch in iterator:
+            doc, ids, x = batch.column("doc_id").to_numpy(), batch.column("token_id").to_numpy(), matrix(batch.column("vec"))
+            if len(doc) and (ids.min() < 0 or ids.max() > MAX_ID or not np.isfinite(x).all()):
+                raise InvalidTokenDump("a token id or a component can't be written")
+            of = doc // self.docs_per_file
+            for k in np.unique(of).tolist():
+                if k != file:
+                    if file >= 0:
+                        close()
+                    file, dim = k, x.shape[1]
+                    counts = np.zeros(min(self.docs_per_file, self.docs - k * self.docs_per_file), np.int64)
+                at = of == k
+                if x.shape[1] != dim:
+                    raise InvalidTokenDump("vectors differ in length")
+                counts += np.bincount(doc[at] - k * self.docs_per_file, minlength=len(counts))
+                parts[0].write(ids[at].astype("<u4").tobytes())
+                parts[1].write(x[at].astype("<f4").tobytes())
+        if file >= 0:
+            close()
+        return out
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        system, own = _file_system(self.path)
+        for m in messages:
+            for k, hidden in m.files if m else ():
+                system.move(hidden, f"{own}/part-{k:06d}.bin")
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        system, _ = _file_system(self.path)
+        for m in messages:
+            for _, hidden in m.files if m else ():
+                system.delete_file(hidden)
+
+
+class TokenDumpSource(DataSource):
+    """Dumps as a data source: path, and as options docs_per_part (read) or docs_per_file and docs (write)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tokendump"
+
+    def schema(self) -> str:
+        return TOKENS
+
+    def reader(self, schema: StructType) -> _Reader:
+        return _Reader(self.options["path"], int(self.options.get("docs_per_part", "4096")))
+
+    def writer(self, schema: StructType, overwrite: bool) -> _Writer:
+        return _Writer(self.options["path"], int(self.options["docs_per_file"]), int(self.options["docs"]))
 
 
 def export(tokens: DataFrame, n_docs: int) -> bytes:
@@ -81,15 +217,21 @@ def export(tokens: DataFrame, n_docs: int) -> bytes:
 
 
 def write(tokens: DataFrame, path: str, docs_per_file: int = 100_000) -> DataFrame:
-    """A folder of dumps, each of up to docs_per_file documents (of the last one, up to its last document with a token). Each is written under a hidden name and then renamed. Gives statistics()."""
+    """A folder of dumps, each of up to docs_per_file documents (of the last one, up to its last document with a token), written by tasks. Gives statistics().
+
+    A run of docs_per_file documents without any token between others can't be written: the format has no file without tokens.
+    """
     spark = tokens.sparkSession
-    last = tokens.agg(F.max("doc_id")).first()[0]
+    file = F.expr(f"doc_id div {docs_per_file}")
+    last, files = tokens.agg(F.max("doc_id"), F.countDistinct(file)).first()
     if last is None:
         raise InvalidTokenDump("there are no tokens")
-    for k in range(last // docs_per_file + 1):  # files, of a bounded size each
-        lo, hi = k * docs_per_file, min((k + 1) * docs_per_file, last + 1)
-        raw = export(tokens.where(F.col("doc_id").between(lo, hi - 1)).withColumn("doc_id", F.col("doc_id") - lo), hi - lo)
-        _put(spark, f"{path}/part-{k:06d}.bin", raw)
+    if files != last // docs_per_file + 1:
+        raise InvalidTokenDump("a file would have no tokens; docs_per_file must be greater")
+    spark.dataSource.register(TokenDumpSource)
+    rows = tokens.select("doc_id", F.col("pos").cast("int").alias("pos"), "token_id", F.col("vec").cast("array<float>").alias("vec"))
+    dealt = rows.repartitionByRange(files, file).sortWithinPartitions("doc_id", "pos")
+    dealt.write.format("tokendump").mode("append").option("docs_per_file", str(docs_per_file)).option("docs", str(last + 1)).save(path)
     return statistics(tokens)
 
 

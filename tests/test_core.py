@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lateloom import params
+from lateloom.functions import sampling, shared
 from lateloom.functions import vectors as V
-from lateloom.operators import budget, cluster, encode, evaluate, hnsw, index, pq, retrieve, stats
+from lateloom.operators import blocks, budget, cluster, encode, evaluate, hnsw, index, kmeans, parity, pq, retrieve, stats
 from lateloom.params import ClusteringParams, SearchParams
 from lateloom.plans import catalogue
 from lateloom.sources import qrels, tables, token_dump
@@ -80,35 +81,102 @@ def test_kmeans():
         cluster.fit(x[:0], 2)
 
 
-def test_cluster_and_partitions(spark, sf):
+def test_cluster_and_partitions(spark, sf, monkeypatch):
+    """The same result for every partitioning, and in blocks of any size."""
     t = catalogue.tok(spark, sf)
     p = ClusteringParams(kappa=32, mu=4, tau=8, epsilon=1, theta=1)
-    a, b = (sorted((r.centroid_id, *np.round(r.raw, 9)) for r in cluster.cluster(t.repartition(n), p).centroids.collect()) for n in (1, 5))
-    assert a == b and [r[0] for r in a] == list(range(32))
-    spread_out = cluster.cluster(t, p, group_rows=10)
-    assert spread_out.centroids.count() == 32 and spread_out.assign.count() == t.count()
-    own = spread_out.assign.agg(F.sum("dist")).first()[0]
-    assert own <= 1.3 * cluster.cluster(t, p).assign.agg(F.sum("dist")).first()[0]
 
+    def got(model):
+        return sorted((r.centroid_id, r.token_id, *r.raw) for r in model.centroids.collect()), sorted((r.doc_id, r.pos, r.centroid_id, r.dist) for r in model.assign.collect())
 
-def test_distributed_fit_of_copies(spark):
+    a = got(cluster.cluster(t.repartition(1), p))
+    assert a == got(cluster.cluster(t.repartition(5), p)) and [r[0] for r in a[0]] == list(range(32))
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(kmeans, "HELD", 500)
+    before = shared.tables()
+    model = cluster.cluster(t.repartition(3), p, task_rows=10)
+    assert a == got(model) and shared.tables() - before == 2  # budgets and the result
+
+
+def test_fit_of_copies(spark, monkeypatch):
     """A third of the rows are copies: no centroid is lost to them, and a token of copies alone is an error where that is asked for."""
     rng = np.random.default_rng(4)
     x = np.concatenate([np.zeros((300, 3)), rng.normal(size=(20, 3)).repeat(30, 0) * 50 + rng.normal(size=(600, 3)) * 0.1])
     rows = [(i // 10, i % 10, 1, v.tolist()) for i, v in enumerate(x)] + [(1000 + i // 10, i % 10, 2, rng.normal(size=3).tolist()) for i in range(200)]
     t = spark.createDataFrame(rows, "doc_id long, pos int, token_id long, vec array<double>")
     p = ClusteringParams(kappa=40, mu=4, tau=8, epsilon=1, theta=1)
-    model = cluster.cluster(t, p, group_rows=10)
-    by = {r.token_id: r for r in model.assign.groupBy("token_id").agg(F.countDistinct("centroid_id").alias("used"), F.sum("dist").alias("wcss"), F.count("*").alias("n")).collect()}
-    budgets = {r.token_id: r.kappa_j for r in model.budgets.collect()}
-    local = {r.token_id: r.wcss for r in cluster.cluster(t, p).assign.groupBy("token_id").agg(F.sum("dist").alias("wcss")).collect()}
-    assert budgets[1] > 21 and [by[k].n for k in (1, 2)] == [900, 200]
-    for k in (1, 2):
-        assert by[k].used == budgets[k] and by[k].wcss <= 1.3 * local[k]
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 64)
+    models = cluster.cluster(t, p, task_rows=10), cluster.cluster(t, p, task_rows=10_000)
+    a, b = (sorted((r.centroid_id, *r.raw) for r in m.centroids.collect()) for m in models)
+    assert a == b
+    by = {r.token_id: r for r in models[0].assign.groupBy("token_id").agg(F.countDistinct("centroid_id").alias("used"), F.sum("dist").alias("wcss"), F.count("*").alias("n")).collect()}
+    budgets = {r.token_id: r.kappa_j for r in models[0].budgets.collect()}
+    assert budgets[1] > 21 and [by[k].n for k in (1, 2)] == [900, 200] and by[1].wcss < 60
+    assert all(by[k].used == budgets[k] for k in (1, 2))
     same = t.withColumn("vec", F.array(F.lit(1.0), F.lit(2.0)))
-    assert cluster.cluster(same, p, group_rows=10).centroids.count() == 40
-    with pytest.raises(Exception, match="fewer vectors differ"):
-        cluster.cluster(same, ClusteringParams(kappa=40, mu=4, tau=8, epsilon=1, theta=1, strict=True), group_rows=10).assign.count()
+    assert cluster.cluster(same, p, task_rows=10).centroids.count() == 40
+    for rows_ in (10, 10_000):
+        with pytest.raises(Exception, match="fewer vectors differ"):
+            cluster.cluster(same, ClusteringParams(kappa=40, mu=4, tau=8, epsilon=1, theta=1, strict=True), task_rows=rows_)
+    few = t.where("token_id = 2").limit(15)
+    assert sorted(r.dist for r in cluster.cluster(few, ClusteringParams(kappa=15, mu=4, tau=8, epsilon=1, theta=1), task_rows=3).assign.collect()) == [0.0] * 15
+
+
+def test_fit_is_as_good_as_plain_starts():
+    """Against k-means++ starts over all rows, the best of five."""
+    rng = np.random.default_rng(5)
+    for n, k, dim in ((2000, 40, 8), (500, 100, 2)):
+        x = rng.normal(size=(12, dim))[rng.integers(0, 12, n)] * 4 + rng.normal(size=(n, dim))
+        best = np.inf
+        for s in range(5):
+            c = kmeans.seed_centroids(x, k, np.random.default_rng(s), False, np.ones(n))
+            for _ in range(25):
+                own, dist = kmeans.nearest(x, c)
+                c = np.stack([x[own == j].mean(0) if (own == j).any() else c[j] for j in range(k)])
+            best = min(best, dist.sum())
+        assert kmeans.fit(x, k).wcss < 1.1 * best
+
+
+def test_train_in_blocks(spark, monkeypatch):
+    """One pass for all sub-spaces gives the codebook of one task for each; all rows give no greater error than a sample."""
+    x = np.random.default_rng(6).normal(size=(700, 8))
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "doc_id long, pos int, unit array<double>").repartition(3)
+    book = lambda **o: pq.book(pq.train(df, m=4, codes=32, **o))
+    whole = book()
+    monkeypatch.setattr(kmeans, "BLOCK_ROWS", 90)
+    assert (book(task_rows=100) == whole).all()
+    error = lambda w: ((pq.decode_rows(pq.encode_rows(x, w), w) - x) ** 2).mean()
+    assert error(whole) <= error(book(max_train=150))
+
+
+def test_many_blocks_of_centroids(spark, sf, monkeypatch):
+    """Searches with blocks in tasks of their own give what one broadcast gives."""
+    c, q, t = catalogue.cluster.mean_centroids(catalogue.fine(spark, sf)), catalogue.qt(spark, sf), catalogue.fine(spark, sf)
+    runs = lambda: (sorted(map(tuple, retrieve.centroid_topk(q, c, 10).collect())), sorted(map(tuple, cluster.assign_nearest(t, c).collect())))
+    one = runs()
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 64 * 8 * 20)
+    monkeypatch.setattr(blocks, "SLICE_ROWS", 100)
+    monkeypatch.setattr(blocks, "one_block", None)  # no block reaches the driver
+    many = runs()
+    assert [r[:3] + r[4:] for r in many[0]] == [r[:3] + r[4:] for r in one[0]] and many[1] == one[1]
+    with pytest.raises(Exception, match="components"):
+        retrieve.centroid_topk(q.withColumn("vec", F.slice("vec", 1, 63)), c, 10).collect()
+
+
+def test_graph_parts(spark, monkeypatch):
+    """Every vector twenty times, and several parts: equal centroids are one node, and the ten best are found."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    c = spark.createDataFrame([(i, x[i % 120].tolist()) for i in range(2400)], "centroid_id int, unit array<double>").repartition(4)
+    q = spark.createDataFrame([(i, 0, rng.normal(size=16).tolist()) for i in range(30)], "qid long, qpos int, vec array<double>")
+    exact = {(r.qid, r.centroid_id) for r in retrieve.centroid_topk(q, c, 30).collect()}
+    for rows in (4096, 50):
+        monkeypatch.setattr(hnsw, "PART_ROWS", rows)
+        nodes = hnsw.graph(c, m=8, ef_build=60).cache()
+        assert nodes.count() == 120 and nodes.select("part").distinct().count() == -(-120 // rows)
+        found = {(r.qid, r.centroid_id) for r in hnsw.search(q, nodes, 30, ef=40).collect()}
+        assert len(found) == 900 and len(found & exact) / 900 >= 0.95
 
 
 def test_pq():
@@ -180,6 +248,107 @@ def test_token_dump(spark, tmp_path):
         token_dump.query_ids(1, None, strict=True)
 
 
+def test_dump_source(spark, sf, tmp_path):
+    """One file read in eight parts, files written by tasks, documents without tokens, and damaged files."""
+    t = catalogue.tok(spark, sf)
+    rows = lambda df: sorted((r.doc_id, r.pos, r.token_id, tuple(r.vec)) for r in df.collect())
+    want = rows(t.withColumn("vec", F.col("vec").cast("array<float>")))
+    token_dump.write(t, f"file://{tmp_path}/one")
+    one = token_dump.read(spark, f"file://{tmp_path}/one", docs_per_part=-(-len({r[0] for r in want}) // 8))
+    assert [p.name for p in (tmp_path / "one").iterdir()] == ["part-000000.bin"] and one.rdd.getNumPartitions() == 8 and rows(one) == want
+    gaps = t.where("doc_id % 7 = 3").withColumn("pos", F.col("pos").cast("int"))
+    token_dump.write(gaps, f"{tmp_path}/many", docs_per_file=10)
+    back = token_dump.read(spark, f"{tmp_path}/many", docs_per_part=3)
+    assert len(list((tmp_path / "many").iterdir())) == 5 and rows(back) == [r for r in want if r[0] % 7 == 3]
+    assert {k: v for k, v in token_dump.statistics(back).first().asDict().items()} == token_dump.statistics(gaps).first().asDict()
+    with pytest.raises(params.InvalidTokenDump):
+        token_dump.write(t.where("doc_id > 30"), f"{tmp_path}/none", docs_per_file=10)
+    raw = (tmp_path / "one/part-000000.bin").read_bytes()
+    for bad in (raw[:20], raw[:-1], raw[:12] + struct.pack("<I", 5000) + raw[16:], raw[:-4] + struct.pack("<f", float("nan")), raw[:48] + struct.pack("<Q", 1 << 40) + raw[56:]):
+        (tmp_path / "bad.bin").write_bytes(bad)
+        with pytest.raises(Exception, match="header|dimension|length|finite|order"):
+            token_dump.read(spark, f"file://{tmp_path}/bad.bin").count()
+    with pytest.raises(Exception, match="can't be written"):
+        token_dump.write(t.withColumn("vec", F.array(F.lit(float("inf")))), f"{tmp_path}/inf")
+
+
+def test_lookup_reads_little(spark, sf, tmp_path):
+    i = catalogue.fine_index(spark, sf)
+    index.save(i, f"file://{tmp_path}/index", doc_parts=10)
+    packs = index.load(spark, f"file://{tmp_path}/index").doc_packs
+    asked = spark.createDataFrame([(3,), (3,), (17,), (10**9,), (None,)], "doc_id long")
+    found = index.lookup(packs, asked)
+    assert "PushedFilters: [In(doc_id, [" in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.n_tokens for r in found.collect()} == {3: 10, 17: 10, 10**9: 0, None: 0}
+
+
+def test_lookup_of_many(spark, sf, monkeypatch):
+    packs = catalogue.fine_index(spark, sf).doc_packs
+    few = sorted(map(str, index.lookup(packs, packs.select("doc_id")).collect()))
+    monkeypatch.setattr(index, "LOOKUP_IDS", 2)
+    assert sorted(map(str, index.lookup(packs, packs.select("doc_id")).collect())) == few
+
+
+def test_words_at_line_ends(spark):
+    df = spark.createDataFrame([(1, "Hello, world. Bye.\nNext!"), (2, "?! -- ..."), (3, "a.b, e.g. 1,5\tx;\n"), (4, None), (5, "." * 200_000 + "a")], "doc_id long, text string")
+    got = {r.doc_id: (r.docs, r.queries) for r in df.select("doc_id", encode.word_list(F.col("text"), False).alias("docs"), encode.word_list(F.col("text"), True).alias("queries")).collect()}
+    assert got[1] == (["hello", "world", "bye", "next"], ["hello", ",", "world", ".", "bye", ".", "next", "!"])
+    assert got[2] == ([], list("?!--...")) and got[3][0] == ["a.b", "e.g", "1,5", "x"] and got[4] == ([], []) and len(got[5][0]) == 1
+    assert {r.doc_id: r.reason for r in encode.dropped(df).collect()} == {2: "no tokens", 4: "null"}
+
+
+def test_encoder_guards(spark):
+    good = spark.createDataFrame([(1, 0, 5, [1.0, 2.0])], "doc_id long, pos int, token_id long, vec array<double>")
+    assert encode.checked(good, 2).count() == 1 and encode.checked(good, 2).collect()[0].vec == [1.0, 2.0]
+    for bad in (good.withColumn("token_id", F.lit(-1)), good.withColumn("vec", F.array(F.lit(1.0))), good.withColumn("vec", F.array(F.lit(float("nan")), F.lit(1.0)))):
+        with pytest.raises(Exception, match="faulty token"):
+            encode.checked(bad, 2).collect()
+
+
+def test_parity_gates_fail(spark, sf):
+    """Each gate notices what it is for."""
+    a = catalogue.tok(spark, sf).where("doc_id < 30")
+    q = catalogue.qt(spark, sf).where("qid < 5")
+    ok = lambda b, again=None, asked=None: {r.gate: r.ok for r in parity.gates(a, b, b if again is None else again, q, q if asked is None else asked, k=5).collect()}
+    noise = a.withColumn("vec", F.transform("vec", lambda x: x * 0.9 + F.lit(0.05)))
+    assert all(ok(a).values()) and len(ok(a)) == 5
+    assert not ok(a.withColumn("token_id", F.col("token_id") + F.when(F.col("doc_id") == 3, 1).otherwise(0)))["ids"]
+    assert not ok(a.where("doc_id <> 3 or pos <> 9"))["ids"]
+    scaled = ok(a.withColumn("vec", F.transform("vec", lambda x: x * 1.01)))
+    assert scaled["ids"] and not scaled["vectors"] and scaled["centroids"] and scaled["ranking"]
+    assert not ok(a, again=noise)["runs"] and ok(a, again=noise)["vectors"]
+    turned = ok(a.withColumn("vec", F.reverse("vec")))
+    assert not turned["centroids"] and not turned["ranking"]
+
+
+def test_timed_sweep_goes_on(spark, sf, tmp_path):
+    i, q, judged = catalogue.fine_index(spark, sf), catalogue.qt(spark, sf), catalogue.qrels(spark, sf)
+    o = {"kappa_ds": (20,), "min_rel": 2, "protocol": evaluate.Protocol(slices=2, warm_up=False)}
+    path = f"file://{tmp_path}/cells"
+    first = evaluate.timed_sweep(i, q, judged, path, kappa_cs=(8,), alphas=(None,), **o).collect()
+    both = evaluate.timed_sweep(i, q, judged, path, kappa_cs=(8, 16), alphas=(None,), **o).collect()
+    assert len(first) == 1 and len(both) == 2 and first[0] in both  # the finished cell wasn't run again
+    want = {(r.kappa_c, r.quality) for r in evaluate.sweep(i, q, judged, kappa_cs=(8, 16), kappa_ds=(20,), alphas=(None,), min_rel=2).collect()}
+    assert {(r.kappa_c, r.quality) for r in both} == want
+    assert all(r.avg_total_ms > 0 and r.p50_total_ms <= r.p95_total_ms and min(r.avg_gather_ms, r.avg_prune_ms, r.avg_table_ms, r.avg_refine_ms) > 0 for r in both)
+    with pytest.raises(KeyError):
+        evaluate.timed_sweep(i, q, judged, path, preset="other")
+    with pytest.raises(params.NoOverlap):
+        evaluate.timed_sweep(i, q, judged.where("qid < 0"), path, **o)
+
+
+def test_weighted_samples(spark):
+    """The same for every partitioning, prefixes of each other, and by weight."""
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 3).alias("kind"), F.when(F.col("id") % 10 == 0, 9.0).when(F.col("id") % 10 == 1, 0.0).otherwise(1.0).alias("w"))
+    draw = lambda n, k, by=None: [(r.kind if by else 0, r.order, r.id) for r in sampling.weighted_sample(df.repartition(n), k, F.col("w"), ["id"], seed=1, by=by).orderBy(*(by or []), "order").collect()]
+    assert draw(1, 50) == draw(7, 50) == draw(3, 200)[:50] and draw(2, 20, ["kind"]) == draw(5, 20, ["kind"])
+    ids = [i for _, _, i in draw(2, 600)]
+    assert len(set(ids)) == 600 and not any(i % 10 == 1 for i in ids) and sum(i % 10 == 0 for i in ids) > 180  # 300 of 2,700 rows have more than half of the weight
+    u = sampling.uniform(np.arange(20_000).astype(np.uint64), 3)
+    assert abs(u.mean() - 0.5) < 0.01 and 0 < u.min() and u.max() < 1 and len(set(u.tolist())) == 20_000
+    assert (sampling.content(np.array([[0.0, 1.0], [-0.0, 1.0], [1.0, 0.0]])) == sampling.content(np.array([[0.0, 1.0]]))).tolist() == [True, True, False]
+
+
 def test_validate(spark, sf):
     t = catalogue.tok(spark, sf)
     assert tables.validate(t)["n_tokens"] == t.count()
@@ -213,10 +382,15 @@ def test_built_index_finds_documents(spark, sf):
 
 def test_recall_on_a_corpus_with_themes(spark):
     """The established definition (raw) and residuals to what is scored with (unit), where a tenth of the documents is refined."""
-    got = {r.base: r.recall for r in catalogue.QUERIES["search_recall"](spark, "").collect()}
+    t = token_dump.synthetic(spark, docs=1000, dim=16, vocab=100, avg_len=8, seed=7).withColumn("vec", F.col("vec").cast("array<double>")).cache()
+    got = {r.base: r.recall for r in catalogue.recall(t, t.where("doc_id % 25 = 0").select(F.col("doc_id").alias("qid"), F.col("pos").alias("qpos"), "vec"), ClusteringParams(kappa=400, mu=16, tau=32, epsilon=1, theta=8), SearchParams(kappa_c=80, kappa_d=100, top_k=10)).collect()}
     assert got["unit"] >= 0.95 and got["raw"] >= 0.85
 
 
+def test_recall_on_given_tables(spark, sf):
+    assert {r.base: r.recall for r in catalogue.QUERIES["search_recall"](spark, sf).collect()}["unit"] >= 0.9
+
+
 def test_nearest_is_exact():
     """Ties, far from the origin and with very many centroids: always the first of those with the least sum of squared differences."""
     rng = np.random.default_rng(8)
