@@ -382,7 +382,7 @@ def test_built_index_finds_documents(spark, sf):
 
 def test_recall_on_a_corpus_with_themes(spark):
     """The established definition (raw) and residuals to what is scored with (unit), where a tenth of the documents is refined."""
-    t = token_dump.synthetic(spark, docs=1000, dim=16, vocab=100, avg_len=8, seed=7).withColumn("vec", F.col("vec").cast("array<double>")).cache()
+    t = token_dump.synthetic(spark, docs=1000, dim=32, vocab=100, avg_len=8, seed=7).withColumn("vec", F.col("vec").cast("array<double>")).cache()
     got = {r.base: r.recall for r in catalogue.recall(t, t.where("doc_id % 25 = 0").select(F.col("doc_id").alias("qid"), F.col("pos").alias("qpos"), "vec"), ClusteringParams(kappa=400, mu=16, tau=32, epsilon=1, theta=8), SearchParams(kappa_c=80, kappa_d=100, top_k=10)).collect()}
     assert got["unit"] >= 0.95 and got["raw"] >= 0.85
 
