@@ -80,10 +80,9 @@ def tables() -> list[str]:
     return [path for _, path in _written]
 
 
-def discard(paths: list[str], but_for: DataFrame | None = None) -> None:
-    """Deletes those of tables() that are in paths, but for what a DataFrame still reads."""
-    read = "\n".join(but_for.inputFiles()) if but_for is not None and paths else ""
-    for table_ in [t for t in _written if t[1] in paths and t[1].rpartition("/")[2] not in read]:
+def discard(paths: list[str]) -> None:
+    """Deletes those of tables() that are in paths."""
+    for table_ in [t for t in _written if t[1] in paths]:
         _written.remove(table_)
         _delete(*table_)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, ngram_join, packing, suffix_dedup, toxicity
-from ._shared import discard, materialize, small_batches, table, tables, temporary
+from ._shared import materialize, small_batches, table, temporary
 
 #: A document with this score, or more, is rejected as toxic.
 TOXIC = 0.7
@@ -21,22 +21,14 @@ PASSAGE = 200
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Tables that results of stages read.
-_left: list[str] = []
-
 
 def _stage(f: Stage) -> Stage:
-    """A stage begins by deleting the tables that the ones before left for their results, which have been written by now, but for what docs still reads."""
+    """Tables that a stage's result reads stay as long as the session: results may be read at any time, and in any order. Who knows that a result has been read deletes them (tables(), discard())."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         small_batches(spark)
-        discard(_left, but_for=docs)
-        before = set(tables())
-        _left[:] = before & set(_left)
-        out = f(spark, docs, sf_dir)
-        _left.extend(t for t in tables() if t not in before)
-        return out
+        return f(spark, docs, sf_dir)
 
     return run
 
@@ -59,20 +51,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near copies: the one of least doc_id (a null is greatest), and of these the first stored.
+    """Keeps one row of each group of near copies: the one of least doc_id (a null is greatest), of these that of least checksum.
 
-    Rows are told apart by a number in a stored table, not by doc_id: rows with one id and different texts stay, and of rows that
-    repeat each other one stays. Rows without words stay.
+    Rows are told apart by two checksums of all their columns, not by doc_id: rows with one id and different texts stay, and of rows
+    that are equal in all columns one stays. Rows without words stay. docs is read again by the result, and nothing but checksums is
+    stored beside it. Two different rows with the same first checksum, should there be any, both stay.
     """
-    row = _free(docs, "row")
-    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
-    order = F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"), F.col(row).alias("at"))
+    one, two = _free(docs, "row"), _free(docs, "row2")
+    plain = [F.col(f"`{f.name}`") if f.dataType.typeName() not in ("map", "struct", "array", "variant") else F.col(f"`{f.name}`").cast("string") for f in docs.schema]
+    summed = docs.withColumns({one: F.xxhash64(*plain), two: F.xxhash64(F.lit(2), *reversed(plain))})
     with temporary() as result:
-        groups = ngram_join.jaccard_components(numbered, size=SHINGLE, percent=PERCENT, key=row).where("n_shingles > 0")
-        groups = materialize(groups.join(numbered.select(row, "doc_id"), row).select("component_id", order.alias("order")))
-        stays = groups.groupBy("component_id").agg(F.min("order").alias("first"), F.count("*").alias("rows")).where("rows > 1")
-        gone = result(groups.join(stays, "component_id").where(F.col("order.at") != F.col("first.at")).select(F.col("order.at").alias(row)))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+        rows = materialize(summed.groupBy(one, two).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")))
+        alone = rows.groupBy(one).agg(F.first(two).alias(two), F.first("id").alias("id"), F.first("copies").alias("copies"), F.count("*").alias("with")).where("with = 1")
+        groups = ngram_join.jaccard_components(summed, size=SHINGLE, percent=PERCENT, key=one).where("n_shingles > 0").select(one, "component_id").distinct()
+        order = F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col(one).alias("at"))
+        groups = materialize(groups.join(alone, one).select(one, two, "component_id", "copies", order.alias("order")))
+        stays = groups.groupBy("component_id").agg(F.min("order").alias("first"))
+        ranked = groups.join(stays, "component_id").withColumn("goes", F.col("order.at") != F.col("first.at"))
+        changed = result(ranked.where("goes OR copies > 1").select(one, two, "goes"))
+    kept = summed.join(changed, [one, two], "left_anti")
+    if changed.where("NOT goes").limit(1).count():
+        kept = kept.unionByName(summed.join(changed.where("NOT goes"), [one, two], "left_semi").dropDuplicates([one, two]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 @_stage

@@ -103,3 +103,16 @@ def test_stages_tell_rows_apart(spark, sf):
     assert sorted((r.doc_id, r.text) for r in cut if r.doc_id in (1, 7)) == sorted((k, t) for k, t in rows if k in (1, 7))
     assert sorted(str(r.text) for r in cut if r.doc_id == 8) == ["", "None", "None"]
     assert stages["best_fit_packing"](spark, docs, sf).count() == len(rows)
+
+
+def test_results_live_beside_each_other(spark, sf):
+    """A stage's result can be read after other stages, or the same one again, have run."""
+    import corpus_pipeline
+
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    frame = lambda ids: spark.createDataFrame([(i, text(i), "en", "s", 9) for i in ids], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        a = stage(spark, frame([1, 2, 2, 3]), sf)
+        b = stage(spark, frame([4, 5, 6, 7, 8]), sf)
+        assert b.count() >= 4 and a.count() in (1, 2, 3, 4), name
+        assert b.count() >= 4 and a.where("doc_id = 3").count() == 1, name
