@@ -8,6 +8,7 @@ points nor a block pass through the driver.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,20 @@ BLOCK_BYTES, SLICE_ROWS, ROWS = 128 << 20, 1 << 16, 256
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+_sizes: WeakKeyDictionary[DataFrame, tuple[int, int]] = WeakKeyDictionary()
+
+
+def size_of(points: DataFrame, column: str) -> tuple[int, int]:
+    """How many points there are, and their components: counted once for a DataFrame, which never changes."""
+    if points not in _sizes:
+        n, dim = points.agg(F.count("*"), F.max(F.size(column))).first()
+        _sizes[points] = n, dim or 0
+    return _sizes[points]
+
+
 def n_blocks(points: DataFrame, column: str, block_bytes: int | None = None) -> int:
     """How many blocks of at most block_bytes (BLOCK_BYTES) the points make."""
-    n, dim = points.agg(F.count("*"), F.max(F.size(column))).first()
+    n, dim = size_of(points, column)
     return max(1, -(-n * (dim or 1) * 8 // (BLOCK_BYTES if block_bytes is None else block_bytes)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -14,23 +14,30 @@ from pyspark.sql import functions as F
 from lateloom.functions.arrays import lists, matrix
 from lateloom.functions.shared import materialize
 from lateloom.functions.vectors import norm, normalize
-from lateloom.params import PQ_M, ClusteringParams, IndexCorrupt, IndexExists
+from lateloom.params import HNSW_M, PQ_M, ClusteringParams, IndexCorrupt, IndexExists
 
 from . import cluster as clustering
-from . import pq
+from . import hnsw, pq
 
 VERSION = 1
 _TABLES = ("centroids", "postings", "codebook", "doc_packs")
+_OPTIONAL = ("graph",)
 
 
 @dataclass
 class Index:
-    """centroids(centroid_id, token_id, raw, unit), postings(centroid_id, doc_id), codebook(m, code, sub), doc_packs(doc_id, centroid_ids, norms, codes)."""
+    """centroids(centroid_id, token_id, raw, unit), postings(centroid_id, doc_id), codebook(m, code, sub), doc_packs(doc_id, centroid_ids, norms, codes), and graph, if it has one (hnsw.graph)."""
 
     centroids: DataFrame
     postings: DataFrame
     codebook: DataFrame
     doc_packs: DataFrame
+    graph: DataFrame | None = None
+
+
+def with_graph(index: Index, *, m: int = HNSW_M, ef_build: int = 200, seed: int = 42) -> Index:
+    """The same index with graphs over its centroids, built by tasks and stored."""
+    return replace(index, graph=materialize(hnsw.graph(index.centroids, m=m, ef_build=ef_build, seed=seed)))
 
 
 def residuals(tokens: DataFrame, centroids: DataFrame, digits: int | None = None, base: str = "unit") -> DataFrame:
@@ -119,7 +126,7 @@ def save(index: Index, path: str, *, doc_parts: int | None = None) -> None:
 def _write(index: Index, path: str, doc_parts: int | None) -> None:
     spark = index.centroids.sparkSession
     meta = []
-    for name in _TABLES:
+    for name in (*_TABLES, *(o for o in _OPTIONAL if getattr(index, o) is not None)):
         df: DataFrame = getattr(index, name)
         key = {"doc_packs": "doc_id", "postings": "centroid_id"}.get(name)
         if key:
@@ -135,10 +142,10 @@ def load(spark: SparkSession, path: str, *, verify: bool = True) -> Index:
         meta = {r["name"]: r for r in spark.read.parquet(f"{path}/meta").collect()}
     except Exception as e:
         raise IndexCorrupt(f"{path} has no meta table") from e
-    if set(meta) != set(_TABLES) or any(r["version"] != VERSION for r in meta.values()):
+    if not set(_TABLES) <= set(meta) <= {*_TABLES, *_OPTIONAL} or any(r["version"] != VERSION for r in meta.values()):
         raise IndexCorrupt(f"{path} has another version or other tables")
     tables = {}
-    for name in _TABLES:
+    for name in meta:
         try:
             tables[name] = spark.read.parquet(f"{path}/{name}")
             if verify and _figures(tables[name]) != (meta[name]["n_rows"], meta[name]["checksum"]):

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from lateloom.functions.arrays import matrix
 from lateloom.functions.shared import materialize
 from lateloom.functions.vectors import dot
-from lateloom.params import DimMismatch, SearchParams
+from lateloom.params import DimMismatch, NoGraph, SearchParams
 
-from . import blocks, encode, pq
+from . import blocks, encode, hnsw, pq
 
 #: Words of queries that are broadcast at once, and documents whose words are multiplied with them at once.
 WORD_BLOCK, WORD_DOCS = 1_000_000, 64
@@ -39,8 +39,8 @@ def greatest(s: np.ndarray, k: int) -> np.ndarray:
 def check_dims(query_tokens: DataFrame, centroids: DataFrame, column: str = "unit") -> None:
     """Raises unless all query tokens have as many components as the centroids."""
     lo, hi = query_tokens.agg(F.min(F.size("vec")), F.max(F.size("vec"))).first()
-    dim = centroids.select(F.max(F.size(column))).first()[0]
-    if lo is not None and dim is not None and not lo == hi == dim:
+    n, dim = blocks.size_of(centroids, column)
+    if lo is not None and n and not lo == hi == dim:
         raise DimMismatch(f"queries have {lo} to {hi} components, the index has {dim}")
 
 
@@ -144,11 +144,19 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(index, query_tokens: DataFrame, p: SearchParams) -> DataFrame:  # noqa: ANN001
-    """qid, rank, doc_id and score of the top_k documents of every query: gather, prune, refine. A query without tokens has no hits."""
+def search(index, query_tokens: DataFrame, p: SearchParams, *, ef: int | None = None) -> DataFrame:  # noqa: ANN001
+    """qid, rank, doc_id and score of the top_k documents of every query: gather, prune, refine. A query without tokens has no hits.
+
+    Centroids are searched exactly or, with ef (the width of the search), by the index's graph.
+    """
     p.check()
     check_dims(query_tokens, index.centroids)
-    hits = centroid_topk(query_tokens, index.centroids, p.kappa_c)
+    if ef is None:
+        hits = centroid_topk(query_tokens, index.centroids, p.kappa_c)
+    elif index.graph is None:
+        raise NoGraph("the index has no graph")
+    else:
+        hits = hnsw.search(query_tokens, index.graph, p.kappa_c, ef=ef)
     survivors = prune(gather(hits, index.postings), p.kappa_d, p.alpha)
     scored = refine(survivors, query_tokens, index.doc_packs, index.centroids, index.codebook)
     return top(scored.withColumn("score", F.round("score", 9)), p.top_k)

@@ -41,6 +41,7 @@ UnknownMetric = _error("UnknownMetric")
 QidCountMismatch = _error("QidCountMismatch")
 QidOutOfRange = _error("QidOutOfRange")
 IndexExists = _error("IndexExists")
+NoGraph = _error("NoGraph")
 DropRateExceeded = _error("DropRateExceeded")
 
 

@@ -70,6 +70,12 @@ def fine_index(spark: SparkSession, d: str) -> index.Index:
     return index.assemble(own, centroids, book, digits=DIGITS, base="raw")
 
 
+def stored_index(spark: SparkSession, d: str) -> index.Index:
+    """fine_index, with all of its tables written."""
+    i = fine_index(spark, d)
+    return index.Index(i.centroids, materialize(i.postings), i.codebook, materialize(i.doc_packs))
+
+
 def ranks(df: DataFrame) -> DataFrame:
     return df.select("qid", F.col("rank").cast("int").alias("rank"), "doc_id", V.rounded(F.col("score")).alias("score"))
 
@@ -564,6 +570,14 @@ def search_topk(spark: SparkSession, d: str) -> DataFrame:
 QUERIES["search_topk"] = search_topk
 
 
+@query
+def search_by_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The same, with centroids found by graphs of a stored index, as wide as there are centroids."""
+    path = shared_path(spark)
+    index.save(index.with_graph(fine_index(spark, d)), path)
+    return ranks(retrieve.search(index.load(spark, path), qt(spark, d), SMALL, ef=125))
+
+
 @query
 def search_topk_alpha(spark: SparkSession, d: str) -> DataFrame:
     return ranks(retrieve.search(fine_index(spark, d), qt(spark, d), SearchParams(16, 20, 0.4, 10)))

@@ -194,6 +194,7 @@ SELECT gate, CASE gate WHEN 'centroids' THEN ids WHEN 'ranking' THEN asked ELSE
     "prune_alpha_guard": _sql(f"{_RANKS} pruned WHERE top <= 0 OR score >= 0.4 * top", scores="SELECT qid, doc_id, -abs(round(raw_score, 9)) AS score FROM gathered"),
     "refine_scores": _sql("SELECT qid, doc_id, round(score, 6) + 0.0 AS score FROM refined"),
     "search_topk": _sql(f"{_RANKS} found"),
+    "search_by_graph": _sql(f"{_RANKS} found"),
     "search_topk_alpha": _sql(f"{_RANKS} found", kept="SELECT * FROM pruned WHERE top <= 0 OR score >= 0.4 * top"),
     "maxsim_bruteforce": _sql(f"{_RANKS} exact_top"),
     "topk_overlap": _sql("SELECT x.qid, round(count(p.doc_id) / 10, 6) AS overlap FROM exact_top x LEFT JOIN pruned p ON x.qid = p.qid AND x.doc_id = p.doc_id AND p.rank <= 10 GROUP BY 1"),

@@ -365,6 +365,11 @@ def test_index_is_verified(spark, sf, tmp_path):
     with pytest.raises(params.IndexExists):
         index.save(i, path)
     assert index.load(spark, path).postings.count() == i.postings.count()
+    with pytest.raises(params.NoGraph):
+        retrieve.search(i, catalogue.qt(spark, sf), catalogue.SMALL, ef=10)
+    index.save(index.with_graph(i), f"{path}-graph")
+    again = index.load(spark, f"{path}-graph")
+    assert again.graph.agg(F.sum(F.size("ids"))).first()[0] == i.centroids.count() and index.load(spark, path).graph is None
     i.postings.limit(1).write.mode("append").parquet(f"{path}/postings")
     with pytest.raises(params.IndexCorrupt):
         index.load(spark, path)
