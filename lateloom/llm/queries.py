@@ -198,4 +198,22 @@ SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lan
 FROM found QUALIFY part = 'pair' OR rank <= 200
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": _OP1, "op2_exact_topk_search": _OP2, "op10_url_filters": _OP10, "op11_source_divergence": _OP11}
+_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "len(list_filter(string_split(s, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(right('000' || x, 3) AS INTEGER) > 255)) = 0"),
+    "card": (r"[0-9](?:[\x20-]?[0-9])+", "length(dg) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(dg)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(dg, length(dg) - i, 1) AS INTEGER) ELSE 2 * CAST(substr(dg, length(dg) - i, 1) AS INTEGER) - CASE WHEN CAST(substr(dg, length(dg) - i, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "length(dg) BETWEEN 8 AND 15"),
+}
+_FOUND = "\nUNION ALL\n".join(f"SELECT r, '{kind}' AS kind, {nr} AS nr, regexp_extract_all(t, '{p}') AS found, string_split_regex(t, '{p}') AS parts FROM d" for nr, (kind, (p, _)) in enumerate(_KINDS.items()))
+#: The given tables have no disguised data, so all spans are plain ones, which SQL can find; those that the method adds are tested on planted cases.
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({_FOUND}),
+e AS (SELECT *, unnest(found) AS s, unnest(range(1, len(found) + 1)) AS i FROM f WHERE len(found) > 0),
+p AS (SELECT r, kind, nr, s, regexp_replace(s, '[^0-9]', '', 'g') AS dg, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS b FROM e),
+k AS (SELECT * FROM p WHERE CASE kind {' '.join(f"WHEN '{kind}' THEN {ok}" for kind, (_, ok) in _KINDS.items())} END),
+g AS (SELECT r, {', '.join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in _KINDS)}, string_agg(kind || ':' || b || ':' || (b + length(s)), ',' ORDER BY nr, b) AS spans FROM k GROUP BY r)
+SELECT doc_id, {', '.join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in _KINDS)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(0 AS BIGINT) AS n_disguised FROM d LEFT JOIN g USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": _OP1, "op2_exact_topk_search": _OP2, "op10_url_filters": _OP10, "op11_source_divergence": _OP11, "op13_pii": _OP13}
