@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 #: Fixed values of HTML: elements without content, elements whose content is no text (RAW to the end of the page where it isn't closed), and elements inside a line of text.
@@ -34,42 +36,62 @@ _START = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/><]*)|[!?/])")
 #: From behind a tag's name up to the > that ends it; > in quotes doesn't.
 _TO_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE) for tag in (*OPAQUE, *RAW, *TEXT)}
-#: Elements deeper than this belong to the one at this depth, as in browsers.
-DEPTH = 512
 _NAMING = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]{2,}")
 _SPACE = re.compile(r"\s+")
 
 
+class Context:
+    """What the ancestors of a block say: the features of an element that none above it has, and the context of these.
+
+    Elements side by side that say the same share one, so a page has as many features as it has attributes.
+    """
+
+    __slots__ = ("new", "parent")
+
+    def __init__(self, parent: Context | None = None, new: tuple[str, ...] = ()) -> None:
+        self.parent, self.new = parent, new
+
+    def __iter__(self) -> Iterator[str]:
+        at: Context | None = self
+        while at:
+            yield from at.new
+            at = at.parent
+
+
 @dataclass
 class Block:
     text: str
     tag: str
-    context: tuple[str, ...]  # features of the ancestors
+    context: Context
     linked: int  # characters inside links
 
 
 @dataclass
 class _Frame:
     tag: str
-    context: frozenset[str]
+    context: Context
     block: str  # the nearest element that isn't inline
+    new: tuple[str, ...] = ()
 
 
 @dataclass
 class _Parser:
-    stack: list[_Frame] = field(default_factory=lambda: [_Frame("", frozenset(), "")])
+    stack: list[_Frame] = field(default_factory=lambda: [_Frame("", Context(), "")])
+    where: defaultdict[str, list[int]] = field(default_factory=lambda: defaultdict(list))  # places of open elements, by name
+    solid: list[int] = field(default_factory=lambda: [0])  # places of those that aren't inline
+    said: set[str] = field(default_factory=set)  # features of open elements
+    contexts: dict[tuple[Context, tuple[str, ...]], Context] = field(default_factory=dict)
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: int = 0
-    links: int = 0
     frame: _Frame | None = None
 
     def flush(self) -> None:
         if self.parts:
             text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
             if text:
-                self.blocks.append(Block(text, self.frame.block, tuple(self.frame.context), min(self.linked, len(text))))
+                self.blocks.append(Block(text, self.frame.block, self.frame.context, min(self.linked, len(text))))
             self.parts, self.linked, self.frame = [], 0, None
 
     def text(self, raw: str) -> None:
@@ -80,7 +102,7 @@ class _Parser:
                 return
             self.frame = self.stack[-1]
         self.parts.append(raw)
-        if self.links:
+        if self.where["a"]:
             self.linked += len(raw.strip())
 
     def open(self, tag: str, attributes: str) -> None:
@@ -89,41 +111,45 @@ class _Parser:
             self.imply(tag)
         elif tag == "br":
             self.text(" ")
-        elif tag == "a" and self.links:
+        elif tag == "a" and self.where["a"]:
             self.close("a")
         if tag in VOID or attributes.endswith("/") and (tag not in INLINE or tag == "math"):
             return
-        if len(self.stack) > DEPTH:
-            return
         top = self.stack[-1]
         named = (w for m in _NAMING.findall(attributes) for w in _WORDS.findall(m.lower())) if "=" in attributes else ()
-        context = top.context | {f"in:{tag}", *(f"name:{w}" for w in named)}
-        self.stack.append(_Frame(tag, context, top.block if tag in INLINE else tag))
-        self.links += tag == "a"
+        new = tuple(sorted({f"in:{tag}", *(f"name:{w}" for w in named)} - self.said))
+        context = self.contexts.setdefault((top.context, new), Context(top.context, new)) if new else top.context
+        self.said.update(new)
+        self.where[tag].append(len(self.stack))
+        if tag not in INLINE:
+            self.solid.append(len(self.stack))
+        self.stack.append(_Frame(tag, context, top.block if tag in INLINE else tag, new))
 
     def imply(self, tag: str) -> None:
+        """Closes what a start tag of this name ends."""
         closed, within = _CLOSES.get(tag, (set(), set()))
-        for k in range(len(self.stack) - 1, 0, -1):
-            t = self.stack[k].tag
-            if t == "p" or t in closed or t in _HEADINGS and tag in _HEADINGS:
-                self.pop(k)
-            elif t in within or t not in INLINE and not closed:
-                break
+        if closed:
+            low = max((self.where[t][-1] for t in within if self.where[t]), default=0)
+            above = [self.where[t][k] for t in (*closed, "p") if (k := bisect_right(self.where[t], low)) < len(self.where[t])]
+            if above:
+                self.pop(min(above))
+            return
+        while (t := self.stack[self.solid[-1]].tag) == "p" or t in _HEADINGS and tag in _HEADINGS:
+            self.pop(self.solid[-1])
 
     def pop(self, k: int) -> None:
         for f in self.stack[k:]:
-            self.links -= f.tag == "a"
+            self.where[f.tag].pop()
+            self.said.difference_update(f.new)
+        while self.solid[-1] >= k:
+            self.solid.pop()
         del self.stack[k:]
 
     def close(self, tag: str) -> None:
         if tag not in INLINE:
             self.flush()
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                self.pop(k)
-                return
-            if tag in INLINE and self.stack[k].tag not in INLINE:
-                return
+        if self.where[tag] and (tag not in INLINE or self.where[tag][-1] > self.solid[-1]):
+            self.pop(self.where[tag][-1])
 
 
 class _Ends:

@@ -18,18 +18,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import held
-from .html_blocks import Block, leaf_blocks
+from ._shared import release
+from .html_blocks import Block, Context, leaf_blocks
 from .labelled_pages import labelled_page
 
 #: Labelled pages to train on, steps of ascent, and the least pages a feature must be in.
 PAGES, STEPS, LEAST = 600, 110, 3
 
 
-def block_features(blocks: list[Block]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
+def _kind(block: Block) -> str:
+    """Links, a few words, a line, or prose."""
+    n = block.text.count(" ") + 1
+    return "links" if block.linked > 0.8 * len(block.text) else "few" if n < 5 else "line" if n < 12 else "prose"
+
+
+def block_features(blocks: list[Block]) -> list[tuple[Context, tuple[str, ...]]]:
     """For each block the features of its ancestors, and those of its text and neighbours."""
     out = []
     last = len(blocks) - 1
+    kinds = ["none", *map(_kind, blocks), "none"]
     for i, b in enumerate(blocks):
         n = b.text.count(" ") + 1
         share = b.linked / len(b.text)
@@ -39,9 +46,11 @@ def block_features(blocks: list[Block]) -> list[tuple[tuple[str, ...], tuple[str
             "links:all" if share > 0.8 else "links:some" if share > 0.2 else "links:few",
             "stop" if b.text[-1] in ".!?…\"'”’)" else "no stop",
             "copyright" if "©" in b.text else "",
+            f"kinds:{kinds[i]} {kinds[i + 1]} {kinds[i + 2]}",
+            f"kind in {b.tag}:{kinds[i + 1]}",
             "first" if i == 0 else "",
             "last" if i == last else "",
-            f"turn:{b.tag}" if i == 0 or blocks[i - 1].context != b.context else "same",
+            f"turn:{b.tag}" if i == 0 or blocks[i - 1].context is not b.context else "same",
             "after heading" if i and blocks[i - 1].tag in ("h1", "h2", "h3") else "",
         )
         out.append((b.context, own))
@@ -74,17 +83,22 @@ class Field:
             out.append(label)
         return out[::-1]
 
-    def extract(self, page: str, known: dict[tuple[str, ...], float]) -> str:
-        """known: scores of ancestors' features, which few pages vary."""
+    def of_context(self, context: Context, known: dict[Context, float]) -> float:
+        """The score of ancestors' features: that of the ones above, and what an element adds. known: contexts of the page that have theirs."""
+        chain: list[Context] = []
+        at: Context | None = context
+        while at is not None and at not in known:
+            chain.append(at)
+            at = at.parent
+        score = self.bias if at is None else known[at]
+        for c in reversed(chain):
+            known[c] = score = score + sum(self.weights.get(f, 0.0) for f in c.new)
+        return score
+
+    def extract(self, page: str) -> str:
         blocks = leaf_blocks(page)
-        scores = []
-        for context, own in block_features(blocks):
-            s = known.get(context)
-            if s is None:
-                if len(known) > 100_000:
-                    known.clear()
-                s = known[context] = self.bias + sum(self.weights.get(f, 0.0) for f in context)
-            scores.append(s + sum(self.weights.get(f, 0.0) for f in own))
+        known: dict[Context, float] = {}
+        scores = [self.of_context(context, known) + sum(self.weights.get(f, 0.0) for f in own) for context, own in block_features(blocks)]
         return " ".join(b.text for b, label in zip(blocks, self.labels(scores), strict=True) if label)
 
 
@@ -153,10 +167,10 @@ def extract_text(pages: DataFrame, field: Field | None = None, *, key: str = "pa
     fields = [f for f in own.schema if f.name != "html"]
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         model = shared.value
-        known = held("field", model, dict)
         for batch in batches:
-            texts = [model.extract(p.as_py() or "", known) for p in batch.column("html")]
+            texts = [model.extract(p.as_py() or "") for p in batch.column("html")]
             columns = [*(batch.column(f.name) for f in fields), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), "text", "n_chars"])
 

@@ -6,6 +6,7 @@ The words are made up, so that a model learns from markup and shape and not from
 from __future__ import annotations
 
 import random
+import re
 from dataclasses import dataclass, field
 
 _SYLLABLES = "an be co der el fi gar hu in jo ka lo mi ner os pra qui re sta tion um ver wha xi yo zen é ü ñ ch".split()
@@ -56,7 +57,10 @@ class _Page:
 
 def _menu(p: _Page) -> None:
     end = p.wrap(*p.rng.choice([("nav", []), ("nav", ["main-nav", "menu"]), ("div", ["menu", "nav", "navbar", "navigation", "topnav", "breadcrumbs", "toolbar"])]))
-    p.links(p.rng.randint(2, 9), p.rng.choice(["li", "li", "div"]))
+    if p.rng.random() < 0.2:  # in one line
+        p.add(p.rng.choice(["div", "p", "td"]), p.rng.choice(["", " | ", "<br>"]).join(f'<a href="/{p.word()}">{p.words(1, 3)}</a> ' for _ in range(p.rng.randint(2, 7))), 0)
+    else:
+        p.links(p.rng.randint(2, 9), p.rng.choice(["li", "li", "div"]))
     p.html.append(end)
 
 
@@ -151,8 +155,10 @@ def _article(p: _Page) -> None:
         if p.rng.random() < 0.5:
             ends.append(p.wrap("article", []))
     else:
-        ends.append(p.wrap(p.rng.choice(["div", "div", "section"]), p.rng.choice([["content", "post", "entry-content", "article-body", "story", "main", "post-body", "text", "article"], []])))
-    if p.rng.random() < 0.85:
+        ends.append(p.wrap(p.rng.choice(["div", "div", "section"]), p.rng.choice([["content", "post", "entry-content", "article-body", "story", "main", "post-body", "postbody", "message", "text", "article"], []])))
+    if p.rng.random() < 0.12:
+        p.add(p.rng.choice(["h3", "div", "h2"]), p.words(2, 9), 1)
+    elif p.rng.random() < 0.85:
         if p.rng.random() < 0.15:
             p.html.append("<header>")
             p.add("h1", p.words(2, 12), 1)
@@ -161,10 +167,11 @@ def _article(p: _Page) -> None:
             p.add("h1", p.words(1, 12), 1)
     if p.rng.random() < 0.15:
         ends.append(p.wrap("div", ["body", "article-body", "entry-content", "text", "content"]))
+    plain = "div" if p.rng.random() < 0.05 else "p"
     for _ in range(p.rng.choice([1, 2, 4, 8, 14])):
         kind = p.rng.random()
         if kind < 0.72:
-            p.add("p", p.prose() if p.rng.random() < 0.85 else p.words(1, 4) + ".", 1)
+            p.add(plain, p.prose() if p.rng.random() < 0.85 else p.words(1, 4) + ".", 1)
         elif kind < 0.80:
             p.add(p.rng.choice(["h2", "h3"]), p.words(1, 8), 1)
         elif kind < 0.85:
@@ -208,10 +215,25 @@ def labelled_page(seed: int) -> tuple[str, list[int]]:
     if p.rng.random() < 0.8:
         after.append(_footer)
     ends = [p.wrap(p.rng.choice(["div", "main", "div"]), ["page", "wrapper", "container", "site"])] if p.rng.random() < 0.25 else []
-    for f in before:
-        f(p)
-    _article(p)
-    for f in after:
+    cell = ("<td>", "</td>") if p.rng.random() < 0.1 else ("", "")  # a table for a layout
+    p.html.append("<table><tr>" if cell[0] else "")
+    for f in (*before, _article, *after):
+        p.html.append(cell[0])
         f(p)
+        p.html.append(cell[1])
+    p.html.append("</tr></table>" if cell[0] else "")
     p.html += [*ends, "</body></html>" if p.rng.random() < 0.9 else ""]
-    return p.rng.choice(["", "", "\n"]).join(p.html), p.labels
+    page = p.rng.choice(["", "", "\n"]).join(p.html)
+    return (_unnamed(p.rng, page) if p.rng.random() < UNNAMED else page), p.labels
+
+
+#: Share of pages whose classes and ids say nothing, as where they are generated; of half of these no element says what it is for either.
+UNNAMED = 0.35
+
+
+def _unnamed(rng: random.Random, page: str) -> str:
+    made: dict[str, str] = {}
+    stem = rng.choice(["css-", "sc-", "_", "x", "jss"])
+    name = lambda m: f'{m[1]}="{made.setdefault(m[2], stem + format(rng.getrandbits(24), "x"))}"'
+    page = re.sub(r'\b(class|id)="([^"]*)"', name, page)
+    return re.sub(r"(</?)(?:article|main|nav|header|footer|aside|section)\b", r"\1div", page) if rng.random() < 0.5 else page

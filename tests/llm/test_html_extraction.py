@@ -117,3 +117,45 @@ def test_unclosed_markup():
     assert texts("<title>one</title two") == ["one</title two"]
     assert texts("one<!-- two") == ["one"] and texts("one<script>two") == ["one"] and texts("one<!x>two") == ["onetwo"]
     assert texts("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after") == ["deep", "after"]
+
+
+def test_many_names_and_deep_pages():
+    begin = time.process_time()
+    page = f'<div class="{" ".join(f"name{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}x" for i in range(40_000))}">' + "<p>word one</p>" * 60_000
+    text = html_extraction.default_field().extract(page)
+    assert len(leaf_blocks(page)) == 60_000 and isinstance(text, str)
+    for part in ("<b>", "<hr>", "<td>", "</i>", "<div><b>", "<option>"):
+        leaf_blocks("<b>" * 100_000 + part * 100_000 + "x")
+    assert time.process_time() - begin < 30
+    inside = leaf_blocks('<div class="sidebar">' + "<div>" * 600 + "</div>" * 600 + "<p>in the sidebar</p></div><p>after")
+    assert "name:sidebar" in set(inside[0].context) and "name:sidebar" not in set(inside[1].context)
+
+
+def _prose(k, n=3):
+    words = "the river carried old boats past quiet houses while people watched from bridges and spoke of weather trade and distant towns".split()
+    rng = random.Random(k)
+    return " ".join(" ".join(rng.choices(words, k=rng.randint(9, 18))).capitalize() + "." for _ in range(n))
+
+
+MAIN = [_prose(k) for k in range(6)]
+JUNK = ["Log in", "Home", "About us", "Contact", "Privacy policy", "Terms of use", "Subscribe now", "Next page"]
+_links = lambda names: "".join(f'<li><a href="/{n}">{n}</a></li>' for n in names)
+_paragraphs = lambda texts: "".join(f"<p>{t}</p>" for t in texts)
+#: Layouts that the generator of labelled pages doesn't make, written by hand.
+LAYOUTS = {
+    "hashed classes": f'<div class="css-1a2b3c"><div class="css-9f8e7d"><ul>{_links(JUNK[:4])}</ul></div><div class="css-77aa01"><h1>Boats on the river</h1>{_paragraphs(MAIN)}</div><div class="css-0c0c0c"><ul>{_links(JUNK[4:])}</ul></div></div>',
+    "hashed, divs only": f'<div class="x1"><div class="x2"><a href="/">Home</a><a href="/a">About us</a></div><div class="x3"><div class="x4">Boats on the river</div>{"".join(f"<div class=x5>{t}</div>" for t in MAIN)}</div><div class="x6"><a href="/p">Privacy policy</a> <a href="/t">Terms of use</a></div></div>',
+    "forum post": f'<div id="topbar"><ul>{_links(JUNK[:4])}</ul></div><div class="thread"><div class="postbody"><h3>Boats on the river</h3><div class="content">{MAIN[0]}<br><br>{MAIN[1]}</div><div class="content">{MAIN[2]}</div></div></div><div id="footer"><p><a href="/p">Privacy policy</a></p></div>',
+    "encyclopedia": f'<div id="mw-page"><div id="mw-head"><ul>{_links(JUNK[:3])}</ul></div><div id="content"><h1 id="firstHeading">Boats</h1><div id="bodyContent"><div class="mw-parser-output">{_paragraphs(MAIN[:3])}<h2>History</h2>{_paragraphs(MAIN[3:])}</div></div></div><div id="mw-panel"><ul>{_links(JUNK[3:])}</ul></div></div>',
+    "grid": f'<div class="grid"><div class="col-3"><ul>{_links(JUNK)}</ul></div><div class="col-9"><h1>Boats on the river</h1>{_paragraphs(MAIN)}</div></div>',
+    "table": f'<table><tr><td><a href="/">Home</a><br><a href="/a">About us</a></td><td><h1>Boats on the river</h1>{_paragraphs(MAIN)}</td></tr><tr><td colspan="2"><a href="/p">Privacy policy</a></td></tr></table>',
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_that_are_not_generated(name):
+    page = f"<html><head><title>t</title></head><body>{LAYOUTS[name]}</body></html>"
+    text = html_extraction.default_field().extract(page)
+    own = [t for t in MAIN if t in LAYOUTS[name]]
+    assert [t for t in own if t not in text] == []
+    assert [j for j in JUNK if j in LAYOUTS[name] and j in text] == []
