@@ -44,6 +44,21 @@ def test_urls(spark):
     assert by[3].rule is None and by[4].rule == "org/" and by[5].host == "a.org" and by[6].verdict == "block"
 
 
+def test_rules_as_a_table(spark):
+    """Joined or in a trie, the same verdicts."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choices("ab", k=rng.randint(0, n)))
+    rules = [(".".join(rng.choice(["a", "b", "A"]) for _ in range(rng.randint(1, 3))), "/" + "/".join(word(2) for _ in range(rng.randint(0, 2))), rng.choice(["allow", "block"])) for _ in range(60)]
+    urls = [None, "", "x", "x://", "x://a", "x://a/?/b"] + [f"h://{'.'.join(rng.choice('abAc') for _ in range(rng.randint(1, 4)))}/{word(2)}/{word(3)}{rng.choice(['', '?q', '#f'])}" for _ in range(400)]
+    pages = spark.createDataFrame([(i % 300, u, 1) for i, u in enumerate(urls)], "page_id long, url string, host int")
+    table = spark.createDataFrame([*rules, (None, "/", "block"), ("a", None, "block")], "host string, path string, verdict string")
+    run = lambda **o: sorted(((r.page_id, r.host, r.path, (r.rule or "").lower(), r.verdict) for r in url_filters.judge_by_table(pages, table, **o).collect()), key=str)
+    assert run() == run(max_chars=0) and len({r[4] for r in run()}) == 2
+    assert url_filters.judge_by_table(pages.limit(0), table, max_chars=0).count() == 0
+    with pytest.raises(ValueError, match="neither"):
+        url_filters.judge_by_table(pages, table.withColumn("verdict", F.lit("maybe")), max_chars=0)
+
+
 def test_trie_against_brute_force():
     rng = random.Random(5)
     label = lambda: rng.choice("ab")
