@@ -271,7 +271,7 @@ def lloyd_one_step(spark: SparkSession, d: str) -> DataFrame:
 @query
 def kmeans_fit(spark: SparkSession, d: str) -> DataFrame:
     model = cluster.cluster(tok(spark, d), ACTIVE)
-    return model.centroids.select("centroid_id", "token_id", "local_k")
+    return _components(model.centroids, "raw")
 
 
 @query
@@ -355,7 +355,7 @@ def pq_recon_error(spark: SparkSession, d: str) -> DataFrame:
 @query
 def pq_train(spark: SparkSession, d: str) -> DataFrame:
     c = cluster.mean_centroids(fine(spark, d))
-    return pq.train(index.residuals(fine_tokens(spark, d, c), c, base="raw")).select("m", "code", F.size("sub").alias("n"))
+    return pq.train(index.residuals(fine_tokens(spark, d, c), c, base="raw")).select("m", "code", F.posexplode("sub").alias("d", "x")).select("m", "code", "d", V.rounded(F.col("x")).alias("x"))
 
 
 @query
