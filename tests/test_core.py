@@ -12,7 +12,7 @@ from lateloom.functions import vectors as V
 from lateloom.operators import blocks, budget, cluster, encode, evaluate, hnsw, index, kmeans, parity, pq, retrieve, stats
 from lateloom.params import ClusteringParams, SearchParams
 from lateloom.plans import catalogue
-from lateloom.sources import qrels, tables, token_dump
+from lateloom.sources import qrels, tables, texts, token_dump
 
 
 def table(spark, n, s=None):
@@ -297,6 +297,18 @@ def test_words_at_line_ends(spark):
     assert {r.doc_id: r.reason for r in encode.dropped(df).collect()} == {2: "no tokens", 4: "null"}
 
 
+def test_made_texts(spark, tmp_path):
+    """The same for every run, and documents of one theme find each other."""
+    rows = lambda: [tuple(r) for r in texts.made_texts(spark, 60).orderBy("doc_id").collect()]
+    made = rows()
+    assert made == rows() and made[0][0] == "doc-000" and len({r[2] for r in made}) > 50 and [r[1] for r in made[:4]] == ["garden", "train", "library", "garden"]
+    encode.write_jsonl(texts.made_texts(spark, 60).select("doc_id", "text"), f"{tmp_path}/docs")
+    back = encode.read_jsonl(spark, f"{tmp_path}/docs").withColumn("doc_id", F.substring("ext_id", 5, 9).cast("long"))
+    asked = spark.createDataFrame([(1, "train on the line"), (2, "the rose needs pruning")], "qid long, text string")
+    found = retrieve.word_search(back, asked, 5).collect()
+    assert {(r.qid, r.doc_id % 3) for r in found} == {(1, 1), (2, 0)}
+
+
 def test_encoder_guards(spark):
     good = spark.createDataFrame([(1, 0, 5, [1.0, 2.0])], "doc_id long, pos int, token_id long, vec array<double>")
     assert encode.checked(good, 2).count() == 1 and encode.checked(good, 2).collect()[0].vec == [1.0, 2.0]
