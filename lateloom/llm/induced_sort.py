@@ -24,6 +24,11 @@ END, LAST, BYTES = 1, 0, 2
 Entries = tuple[np.ndarray, np.ndarray]  # places, and common prefixes with the entry before
 
 
+def counts_of(depth: int) -> type:
+    """The type of common prefixes of at most depth symbols."""
+    return np.int16 if depth < 1 << 15 else np.int32
+
+
 def _joined(blocks: list[Entries]) -> Entries:
     if not blocks:
         return np.zeros(0, np.int64), np.zeros(0, np.int16)
@@ -34,7 +39,7 @@ class Queues:
     """First-in-first-out queues of entries, one for each symbol, in blocks that go to disk beyond MEMORY bytes."""
 
     def __init__(self, symbols: int, memory: int | None = None) -> None:
-        self.blocks: list[list[Entries | tuple[int, int]]] = [[] for _ in range(symbols)]
+        self.blocks: list[list[Entries | tuple[int, int, np.dtype]]] = [[] for _ in range(symbols)]
         self.held, self.memory = 0, MEMORY if memory is None else memory
         self.file = None
 
@@ -45,7 +50,7 @@ class Queues:
             at = self.file.seek(0, 2)
             for x in entries:
                 self.file.write(x.tobytes())
-            self.blocks[symbol].append((at, len(entries[0])))
+            self.blocks[symbol].append((at, len(entries[0]), entries[1].dtype))
         else:
             self.held += size
             self.blocks[symbol].append(entries)
@@ -55,7 +60,7 @@ class Queues:
         for b in self.blocks[symbol]:
             if isinstance(b[0], int):
                 self.file.seek(b[0])
-                out.append((np.frombuffer(self.file.read(8 * b[1]), np.int64), np.frombuffer(self.file.read(2 * b[1]), np.int16)))
+                out.append((np.frombuffer(self.file.read(8 * b[1]), np.int64), np.frombuffer(self.file.read(b[2].itemsize * b[1]), b[2])))
             else:
                 self.held -= b[0].nbytes + b[1].nbytes
                 out.append(b)
@@ -72,7 +77,7 @@ class _Scan:
 
     def __init__(self, t: np.ndarray, left: np.ndarray, queue: Queues, depth: int) -> None:
         self.t, self.kind, self.queue, self.depth = t, left, queue, depth
-        self.least = np.zeros(256 + BYTES, np.int16)  # shared by all that was taken since a symbol's last entry; 0 without one
+        self.least = np.zeros(256 + BYTES, counts_of(depth))  # shared by all that was taken since a symbol's last entry; 0 without one
         self.seen = np.zeros(256 + BYTES, bool)
 
     def take(self, found: np.ndarray, shared: np.ndarray) -> None:
@@ -85,7 +90,7 @@ class _Scan:
         order = np.argsort(to, kind="stable")
         at, to = at[order], to[order]
         cuts = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else np.zeros(0, np.int64)
-        common = np.empty(len(at), np.int16)
+        common = np.empty(len(at), counts_of(self.depth))
         so_far = np.minimum.accumulate(shared)
         if len(at):
             inner = np.ones(len(at), bool)
@@ -96,9 +101,9 @@ class _Scan:
         self.least = np.minimum(self.least, so_far[-1])
         if len(at):
             last = np.append(cuts[1:], len(at)) - 1
-            after = np.append(np.minimum.accumulate(shared[::-1])[::-1], np.int16(self.depth))
+            after = np.append(np.minimum.accumulate(shared[::-1])[::-1], counts_of(self.depth)(self.depth))
             self.least[to[last]] = after[at[last] + 1]
-            common = np.where(to <= END, 0, np.minimum(common + 1, self.depth)).astype(np.int16)
+            common = np.where(to <= END, 0, np.minimum(common + 1, self.depth)).astype(counts_of(self.depth))
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True):
                 if not self.seen[to[a]]:
                     self.seen[to[a]], common[a] = True, 0
@@ -179,7 +184,7 @@ def suffix_array(t: np.ndarray, depth: int, memory: int | None = None) -> Entrie
     rising = _rising(t)
     minima = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     seeds = _minima_order(t, minima, depth)
-    seed_shared = common_prefixes(t, seeds, depth).astype(np.int16)
+    seed_shared = common_prefixes(t, seeds, depth).astype(counts_of(depth))
     symbols = 256 + BYTES
     bounds = np.searchsorted(t[seeds], np.arange(symbols + 1))
 
@@ -211,16 +216,16 @@ def suffix_array(t: np.ndarray, depth: int, memory: int | None = None) -> Entrie
             up.take(*found)
         if c == LAST:
             least = len(t) - 1
-            out.append((np.array([least], np.int64), np.zeros(1, np.int16)))
+            out.append((np.array([least], np.int64), np.zeros(1, counts_of(depth))))
         places, shared = (x[::-1] for x in fallen.take(c))
         if len(places):  # each shares with the one before that in this order, the greater, what that one carries
-            shared = np.append(np.int16(border(int(places[0]), least) if least >= 0 else 0), shared[:-1])
+            shared = np.append(counts_of(depth)(border(int(places[0]), least) if least >= 0 else 0), shared[:-1])
             out.append((places, shared))
             up.take(places, shared)
     for q in (falling_queue, fallen, rising_queue):
         q.close()
     places, shared = _joined(out)
-    return places[::-1], np.append(np.zeros(1, np.int16), shared[1:][::-1])
+    return places[::-1], np.append(np.zeros(1, counts_of(depth)), shared[1:][::-1])
 
 
 def common_prefixes(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
