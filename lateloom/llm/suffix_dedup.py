@@ -31,8 +31,8 @@ from ._shared import materialize, mix, powers, prefix_hash, release, temporary,
 
 #: Bits of the bitmap that tells which texts have any mark (8 MB).
 ROW_BITS = 1 << 26
-#: Different segments of an anchor that stay in one shard.
-SPLIT = 4096
+#: Different segments of an anchor that stay in one shard; of more, each is cut into slices by place, SLICES at most, which are dealt by what they have in common with others.
+SPLIT, SLICES = 4096, 8
 #: Bytes of a text whose segments are computed at once; places in it need PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 23, 24
 #: Strings of a shard that are sorted together hold so many bytes at most, unless one anchor has more.
@@ -160,7 +160,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40, memory: int |
     met = met.withColumns({"total": F.sum("many").over(by_own), "one": F.min("row").over(by_own)})
     met = met.withColumns({"all": F.sum("many").over(by_anchor), "least": F.min("total").over(by_anchor), "kinds": F.sum(F.when(F.col("row") == F.col("one"), 1).otherwise(0)).over(by_anchor)})
     met = met.where("all > 1").select(
-        "anchor", "own", "row", (F.col("total") == 1).alias("single"), ((F.col("least") == 1) & (F.col("row") == F.col("one"))).alias("fetch"), F.ceil(F.col("kinds") / SPLIT).cast("int").alias("split")
+        "anchor", "own", "row", (F.col("total") == 1).alias("single"), ((F.col("least") == 1) & (F.col("row") == F.col("one"))).alias("fetch"), F.least(F.ceil(F.col("kinds") / SPLIT), F.lit(SLICES)).cast("int").alias("split")
     )
     met = materialize(met)
     bits = spark.sparkContext.broadcast(_hits(met))
@@ -182,7 +182,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40, memory: int |
             for i, j, data, off in utf8(_unpacked(batch.column(1))):
                 text, begin, count, place, anchor, own = _pieces(data, off, length, gram)
                 bounds = np.searchsorted(text, np.arange(j - i + 1))
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(8)]
                 for k in range(i, j):
                     a, b = bounds[k - i], bounds[k - i + 1]
                     where = {int(o): a + x for x, o in reversed(list(enumerate(own[a:b].tolist())))}
@@ -195,14 +195,17 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40, memory: int |
                             part = (shift - x) // step
                             y = n if q["split"] == 1 else min(n, max(shift - part * step + 1, x + 1))
                             raw = data[first + x : first + y - 1 + length].tobytes()
-                            for c, v in zip(out, (int(anchor[s]), 0 if q["split"] == 1 else part, rows_[k], q["own"], q["single"], x, raw), strict=True):
+                            # the bytes that all windows at these places have: equal windows are dealt alike, however many share the anchor
+                            latest, earliest = int(place[s]) - part * step, int(place[s]) - min(part * step + step - 1, length - gram)
+                            core = 0 if q["split"] == 1 else zlib.crc32(data[latest : earliest + length].tobytes())
+                            for c, v in zip(out, (int(anchor[s]), 0 if q["split"] == 1 else part, core, rows_[k], q["own"], q["single"], x, raw), strict=True):
                                 c.append(v)
                             x = y
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["anchor", "part", "row", "own", "single", "skip", "raw"])
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["anchor", "part", "core", "row", "own", "single", "skip", "raw"])
 
     wanted = texts.join(asked.hint("merge"), "row").select("row", "packed", "asked")
-    dealt = wanted.mapInArrow(fetch, "anchor long, part int, row long, own long, single boolean, skip int, raw binary").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
+    dealt = wanted.mapInArrow(fetch, "anchor long, part int, core long, row long, own long, single boolean, skip int, raw binary").repartition("anchor", "part", "core").sortWithinPartitions("anchor", "part", "core")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -215,11 +218,11 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40, memory: int |
             return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate(kinds)], ["row", "own", "skip", "bits"])
 
         for batch in batches:
-            for anchor, part, row, own, single, skip, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > SORT_BYTES and (anchor, part) != at:
+            for anchor, part, core, row, own, single, skip, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if size > SORT_BYTES and (anchor, part, core) != at:
                     yield marks()
                     group, size = [], 0
-                at = (anchor, part)
+                at = (anchor, part, core)
                 group.append((at, row, own, single, skip, raw))
                 size += len(raw)
         if group:

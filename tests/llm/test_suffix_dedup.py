@@ -1,5 +1,8 @@
 import hashlib
+import os
 import random
+import tempfile
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -74,3 +77,36 @@ def test_induced_sort():
             while r and n < depth and a + n < len(x) and b + n < len(x) and x[a + n] == x[b + n] > induced_sort.END:
                 n += 1
             assert k == n == shared[r]
+
+
+def test_long_passages(spark):
+    """Prefixes of more than 32,767 bytes are counted."""
+    rng = random.Random(2)
+    common = "".join(rng.choices("abcdefgh ", k=40_500))
+    rows = [(1, "one " + common), (2, common + " two"), (3, "".join(rng.choices("abcdefgh ", k=41_000)))]
+    got = found(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40_000))
+    assert [r[2] for r in sorted(got)] == [40_500, 40_500, 0]
+
+
+def test_one_line_in_all_documents(spark, monkeypatch):
+    """Slices of a line's anchor are dealt by content: no sort holds much more than SORT_BYTES, and passages beside the line that repeat are found."""
+    sizes = []
+    sort = suffix_dedup._sort_shard
+
+    def noted(group, length, memory):
+        open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w").write(str(sum(len(g[5]) for g in group)))
+        return sort(group, length, memory)
+
+    folder = tempfile.mkdtemp()
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 20)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 5000)
+    monkeypatch.setattr(suffix_dedup, "_sort_shard", noted)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choices("abcdefgh ijklmnop", k=n))
+    line = text(60)
+    beside = text(200)
+    rows = [(i, text(150) + line + (beside if i % 50 == 7 else text(150))) for i in range(1000)]
+    got = found(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), length=200, gram=40))
+    assert got == brute(rows, 200) and sum(r[2] > 0 for r in got) == 20
+    sizes = [int(open(f"{folder}/{f}").read()) for f in os.listdir(folder)]
+    assert len(sizes) > 20 and max(sizes) < 40_000  # all segments of the line together have over 350,000 bytes
