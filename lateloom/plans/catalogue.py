@@ -703,7 +703,7 @@ def encode_hash_docs(spark: SparkSession, d: str) -> DataFrame:
     """Every word of every document, encoded; the vectors summed up by document."""
     own = encode.hash_encode(T.read(spark, d, "documents"), dim=4)
     parts = own.select("doc_id", "token_id", F.posexplode("vec").alias("d", "x"))
-    return parts.groupBy("doc_id").agg(F.count_if(F.col("d") == 0).alias("n_tokens"), F.sum(F.when(F.col("d") == 0, F.col("token_id")).otherwise(0)).alias("ids"), F.round(F.sum(F.round("x", 6) * (F.col("d") + 1)), 3).alias("x"))
+    return parts.groupBy("doc_id").agg(F.count_if(F.col("d") == 0).alias("n_tokens"), F.sum(F.when(F.col("d") == 0, F.col("token_id")).otherwise(0)).alias("ids"), F.sum(F.round(F.col("x") * 1_000_000).cast("long") * (F.col("d") + 1)).alias("millionths"))
 
 
 @query

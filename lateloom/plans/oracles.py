@@ -226,7 +226,7 @@ SELECT event_type, n, round(m, 4) AS avg, a[least(n * 1 // 100, n - 1) + 1] AS p
 WITH w AS ({_words('documents', 'doc_id')}),
 c AS (SELECT doc_id, word, list_transform(range(4), lambda i: CAST(('0x' || substr(md5(word || '#' || CAST(i AS VARCHAR)), 1, 4)) AS BIGINT) / 32767.5 - 1) AS v FROM w),
 u AS (SELECT doc_id, word, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM c)
-SELECT doc_id, count(*) AS n_tokens, CAST(sum(CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT)) AS BIGINT) AS ids, round(sum(round(v[1], 6) + 2 * round(v[2], 6) + 3 * round(v[3], 6) + 4 * round(v[4], 6)), 3) AS x FROM u GROUP BY 1
+SELECT doc_id, count(*) AS n_tokens, CAST(sum(CAST(('0x' || substr(md5(word), 1, 8)) AS BIGINT)) AS BIGINT) AS ids, CAST(sum(list_sum(list_transform(range(1, 5), lambda i: i * CAST(round(v[i] * 1000000) AS BIGINT)))) AS BIGINT) AS millionths FROM u GROUP BY 1
 """,
     "encode_keep_mask": rf"""SELECT item_id, CAST(len({_WORD_LIST}) AS BIGINT) AS kept, CAST(len({_WORD_LIST}) + list_sum(list_transform({_TOKENS}, lambda w: length(regexp_extract(w, '[.,!?;:-]+$')))) AS BIGINT) AS "all" FROM benchmark""",
     "drop_rate": f"SELECT count(*) AS n, count(*) - count(DISTINCT CASE WHEN w.doc_id IS NOT NULL THEN d.doc_id END) AS n_dropped FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM ({_words('documents', 'doc_id')})) w USING (doc_id)",
