@@ -18,7 +18,7 @@ from . import kmeans
 _SCHEMA = "m int, code int, sub array<double>"
 
 
-def train(residuals: DataFrame, *, m: int = PQ_M, codes: int = PQ_CODES, seed: int = 42, max_train: int | None = None, task_rows: int | None = None) -> DataFrame:
+def train(residuals: DataFrame, *, m: int = PQ_M, codes: int = PQ_CODES, seed: int = 42, max_train: int | None = None, task_rows: int | None = None, max_iters: int = 25) -> DataFrame:
     """The codebook (m, code, sub) from residuals(doc_id, pos, unit): one k-means per sub-space, of all rows.
 
     At most task_rows (kmeans.TASK_ROWS) go to a task for each sub-space; more are packed whole, and each pass over
@@ -39,14 +39,14 @@ def train(residuals: DataFrame, *, m: int = PQ_M, codes: int = PQ_CODES, seed: i
         with temporary() as result:
             packed = materialize(kmeans.pack(rows.withColumn("group", F.lit(0).cast("long"))))
             group = rows.sparkSession.createDataFrame([(0, codes, seed, float(largest))], "group long, k int, seed long, largest double")
-            state = kmeans.fit_blocks(packed, group, n, subs=m)
+            state = kmeans.fit_blocks(packed, group, n, subs=m, max_iters=max_iters)
             return result(kmeans.centroid_rows(state).select(F.col("sub").alias("m"), F.col("place").alias("code"), F.col("raw").alias("sub")))
     parts = rows.select("doc_id", "pos", F.explode(F.transform(F.sequence(F.lit(0), F.lit(m - 1)), lambda i: F.struct(i.alias("m"), F.slice("vec", i * n + 1, n).alias("sub")))).alias("p"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "pos"], kind="stable")
         k = int(pdf["m"].iloc[0])
-        return pd.DataFrame({"m": k, "code": np.arange(codes), "sub": list(kmeans.fit(np.stack(pdf["sub"].to_numpy()), codes, seed=seed + k, largest=largest).centroids)})
+        return pd.DataFrame({"m": k, "code": np.arange(codes), "sub": list(kmeans.fit(np.stack(pdf["sub"].to_numpy()), codes, seed=seed + k, largest=largest, max_iters=max_iters).centroids)})
 
     return parts.select("doc_id", "pos", "p.m", "p.sub").groupBy("m").applyInPandas(one, _SCHEMA)
 

@@ -84,7 +84,7 @@ def test_kmeans():
 def test_cluster_and_partitions(spark, sf, monkeypatch):
     """The same result for every partitioning, and in blocks of any size."""
     t = catalogue.tok(spark, sf)
-    p = ClusteringParams(kappa=32, mu=4, tau=8, epsilon=1, theta=1)
+    p = ClusteringParams(kappa=32, mu=4, tau=8, epsilon=1, theta=1, max_iters=5)
 
     def got(model):
         return sorted((r.centroid_id, r.token_id, *r.raw) for r in model.centroids.collect()), sorted((r.doc_id, r.pos, r.centroid_id, r.dist) for r in model.assign.collect())
@@ -104,7 +104,7 @@ def test_fit_of_copies(spark, monkeypatch):
     x = np.concatenate([np.zeros((300, 3)), rng.normal(size=(20, 3)).repeat(30, 0) * 50 + rng.normal(size=(600, 3)) * 0.1])
     rows = [(i // 10, i % 10, 1, v.tolist()) for i, v in enumerate(x)] + [(1000 + i // 10, i % 10, 2, rng.normal(size=3).tolist()) for i in range(200)]
     t = spark.createDataFrame(rows, "doc_id long, pos int, token_id long, vec array<double>")
-    p = ClusteringParams(kappa=40, mu=4, tau=8, epsilon=1, theta=1)
+    p = ClusteringParams(kappa=40, mu=4, tau=8, epsilon=1, theta=1, max_iters=8)
     monkeypatch.setattr(kmeans, "BLOCK_ROWS", 64)
     models = cluster.cluster(t, p, task_rows=10), cluster.cluster(t, p, task_rows=10_000)
     a, b = (sorted((r.centroid_id, *r.raw) for r in m.centroids.collect()) for m in models)
@@ -141,7 +141,7 @@ def test_train_in_blocks(spark, monkeypatch):
     """One pass for all sub-spaces gives the codebook of one task for each; all rows give no greater error than a sample."""
     x = np.random.default_rng(6).normal(size=(700, 8))
     df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "doc_id long, pos int, unit array<double>").repartition(3)
-    book = lambda **o: pq.book(pq.train(df, m=4, codes=32, **o))
+    book = lambda **o: pq.book(pq.train(df, m=4, codes=32, max_iters=5, **o))
     whole = book()
     monkeypatch.setattr(kmeans, "BLOCK_ROWS", 90)
     assert (book(task_rows=100) == whole).all()
@@ -399,8 +399,8 @@ def test_built_index_finds_documents(spark, sf):
 
 def test_recall_on_a_corpus_with_themes(spark):
     """The established definition (raw) and residuals to what is scored with (unit), where a tenth of the documents is refined."""
-    t = token_dump.synthetic(spark, docs=1000, dim=32, vocab=100, avg_len=8, seed=7).withColumn("vec", F.col("vec").cast("array<double>")).cache()
-    got = {r.base: r.recall for r in catalogue.recall(t, t.where("doc_id % 25 = 0").select(F.col("doc_id").alias("qid"), F.col("pos").alias("qpos"), "vec"), ClusteringParams(kappa=400, mu=16, tau=32, epsilon=1, theta=8), SearchParams(kappa_c=80, kappa_d=100, top_k=10)).collect()}
+    t = token_dump.synthetic(spark, docs=600, dim=32, vocab=60, avg_len=8, seed=7).withColumn("vec", F.col("vec").cast("array<double>")).cache()
+    got = {r.base: r.recall for r in catalogue.recall(t, t.where("doc_id % 25 = 0").select(F.col("doc_id").alias("qid"), F.col("pos").alias("qpos"), "vec"), ClusteringParams(kappa=240, mu=16, tau=32, epsilon=1, theta=8), SearchParams(kappa_c=60, kappa_d=60, top_k=10)).collect()}
     assert got["unit"] >= 0.95 and got["raw"] >= 0.85
 
 
