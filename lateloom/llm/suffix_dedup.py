@@ -33,6 +33,8 @@ from ._shared import materialize, mix, powers, prefix_hash, release, temporary,
 ROW_BITS = 1 << 26
 #: Different segments of an anchor that stay in one shard; of more, each is cut into slices by place, SLICES at most, which are dealt by what they have in common with others.
 SPLIT, SLICES = 4096, 8
+#: Bytes of texts whose segments are computed together: some 100 bytes of memory each.
+RUN_BYTES = 1 << 18
 #: Bytes of a text whose segments are computed at once; places in it need PLACE_BITS.
 PIECE, PLACE_BITS = 1 << 23, 24
 #: Strings of a shard that are sorted together hold so many bytes at most, unless one anchor has more.
@@ -145,7 +147,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40, memory: int |
         release()
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for i, _, data, off in utf8(batch.column(1)):
+            for i, _, data, off in utf8(batch.column(1), RUN_BYTES):
                 text, _, _, _, anchor, own = _pieces(data, off, length, gram)
                 if not len(text):
                     continue
@@ -179,7 +181,7 @@ def repeats(rows: DataFrame, *, length: int = 200, gram: int = 40, memory: int |
         release()
         for batch in batches:
             rows_, asked_ = batch.column(0).to_pylist(), batch.column(2)
-            for i, j, data, off in utf8(_unpacked(batch.column(1))):
+            for i, j, data, off in utf8(_unpacked(batch.column(1)), RUN_BYTES):
                 text, begin, count, place, anchor, own = _pieces(data, off, length, gram)
                 bounds = np.searchsorted(text, np.arange(j - i + 1))
                 out: list[list] = [[] for _ in range(8)]
@@ -270,7 +272,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, gram: int = 40, memory
         for batch in batches:
             ids, asked = batch.column(0).to_pylist(), batch.column(2)
             got: list[tuple] = []
-            for i, j, data, off in utf8(_unpacked(batch.column(1))):
+            for i, j, data, off in utf8(_unpacked(batch.column(1)), RUN_BYTES):
                 text_, begin, count, _, _, own = _pieces(data, off, length, gram)
                 bounds = np.searchsorted(text_, np.arange(j - i + 1))
                 for k in range(i, j):
