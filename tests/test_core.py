@@ -460,6 +460,30 @@ def test_search_guards(spark, sf):
     assert evaluate.repeated(i, q, catalogue.SMALL, iters=2, warm_up=0).count() == 2
 
 
+def tied_index(spark):
+    """Sixty documents with sums of 0.1, 0.2 and 0.3 in six orders, which differ in the last bit by what is added last; and a query for them."""
+    sims = [(1, 2, 3), (2, 1, 3), (3, 2, 1), (1, 3, 2), (3, 1, 2), (2, 3, 1)]
+    centroids = spark.createDataFrame([(c, c, v, v) for c, v in enumerate([x / 10 for x in (*s, 0)] for s in sims)], "centroid_id int, token_id long, raw array<double>, unit array<double>")
+    packs = spark.createDataFrame([(n + 1, [n % 6], [0.0], bytearray(2)) for n in range(60)], "doc_id long, centroid_ids array<int>, norms array<double>, codes binary")
+    book = spark.createDataFrame([(m, 0, [0.0, 0.0]) for m in range(2)], "m int, code int, sub array<double>")
+    queries = spark.createDataFrame([(1, i, [float(i == j) for j in range(4)]) for i in range(3)], "qid long, qpos int, vec array<double>")
+    return index.Index(centroids, spark.createDataFrame([(n % 6, n + 1) for n in range(60)], "centroid_id int, doc_id long"), book, packs), queries
+
+
+TIED = SearchParams(kappa_c=6, kappa_d=20, top_k=20)
+FIRST = [(n, n) for n in range(1, 21)]
+
+
+def ranked(hits):
+    return sorted((r["rank"], r.doc_id) for r in hits.collect())
+
+
+def test_equal_sums_are_equal(spark):
+    i, q = tied_index(spark)
+    assert ranked(retrieve.search(i, q, TIED)) == FIRST
+    assert ranked(evaluate.timed(i, q, TIED)[0]) == FIRST
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
