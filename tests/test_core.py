@@ -1,6 +1,7 @@
 """Values to check by hand, malformed input, and invariants of the approximate operators."""
 
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -484,6 +485,11 @@ def test_equal_sums_are_equal(spark):
     assert ranked(evaluate.timed(i, q, TIED)[0]) == FIRST
 
 
+def test_equal_sums_with_alpha(spark):
+    i, q = tied_index(spark)
+    assert ranked(retrieve.search(i, q, replace(TIED, alpha=0.4))) == FIRST
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
