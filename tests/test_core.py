@@ -490,6 +490,11 @@ def test_equal_sums_with_alpha(spark):
     assert ranked(retrieve.search(i, q, replace(TIED, alpha=0.4))) == FIRST
 
 
+def test_equal_sums_by_graph(spark):
+    i, q = tied_index(spark)
+    assert ranked(retrieve.search(index.with_graph(i), q, TIED, ef=6)) == FIRST
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
