@@ -495,6 +495,12 @@ def test_equal_sums_by_graph(spark):
     assert ranked(retrieve.search(index.with_graph(i), q, TIED, ef=6)) == FIRST
 
 
+def test_equal_sums_in_a_summary(spark):
+    i, q = tied_index(spark)
+    hits = retrieve.search(i, q, TIED)
+    assert [tuple(r) for r in retrieve.summary(q.select("qid"), q, hits).collect()] == [(1, 3, 20, 0.6)] and hits.agg(F.max("doc_id")).first()[0] == 20
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
