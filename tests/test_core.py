@@ -501,6 +501,12 @@ def test_equal_sums_in_a_summary(spark):
     assert [tuple(r) for r in retrieve.summary(q.select("qid"), q, hits).collect()] == [(1, 3, 20, 0.6)] and hits.agg(F.max("doc_id")).first()[0] == 20
 
 
+def test_equal_sums_of_a_loaded_index(spark, tmp_path):
+    i, q = tied_index(spark)
+    index.save(i, f"file://{tmp_path}/index")
+    assert ranked(retrieve.search(index.load(spark, f"file://{tmp_path}/index"), q, TIED)) == FIRST
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
