@@ -507,6 +507,12 @@ def test_equal_sums_of_a_loaded_index(spark, tmp_path):
     assert ranked(retrieve.search(index.load(spark, f"file://{tmp_path}/index"), q, TIED)) == FIRST
 
 
+def test_refined_scores_are_rounded_as_in_sql(spark, sf, monkeypatch):
+    """First to nine digits, as scores are ordered, and then to six."""
+    monkeypatch.setattr(retrieve, "refine", lambda *_, **__: spark.createDataFrame([(1, 2, 1.2345674999999)], "qid long, doc_id long, score double"))
+    assert catalogue.QUERIES["refine_scores"](spark, sf).first()["score"] == 1.234568
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
