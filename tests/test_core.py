@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lateloom import params
 from lateloom.functions import sampling, shared
 from lateloom.functions import vectors as V
-from lateloom.operators import blocks, budget, cluster, encode, evaluate, hnsw, index, kmeans, parity, pq, retrieve, stats
+from lateloom.operators import blocks, budget, cluster, encode, evaluate, hnsw, index, kmeans, parity, pq, retrieve, scoring, stats
 from lateloom.params import ClusteringParams, SearchParams
 from lateloom.plans import catalogue
 from lateloom.sources import qrels, tables, texts, token_dump
@@ -513,6 +513,55 @@ def test_refined_scores_are_rounded_as_in_sql(spark, sf, monkeypatch):
     assert catalogue.QUERIES["refine_scores"](spark, sf).first()["score"] == 1.234568
 
 
+def test_brute_force_in_slices(spark, monkeypatch):
+    """Slices of queries, runs of documents, copies of vectors and documents without a query: always each pair's score, or the best of each query."""
+    rng = np.random.default_rng(12)
+    kinds = rng.normal(size=(9, 3))
+    docs = [(d, p, kinds[k].tolist()) for d in range(70) for p, k in enumerate(rng.integers(0, 9, rng.integers(1, 6)))]
+    asked = [(q, p, kinds[k].tolist()) for q in range(40) for p, k in enumerate(rng.integers(0, 9, 3))]
+    group = lambda rows: {k: np.array([v for i, _, v in rows if i == k]) for k in {r[0] for r in rows}}
+    want = {(q, d): round(float((x @ y.T).max(1).sum()), 6) for q, x in group(asked).items() for d, y in group(docs).items()}
+    t, a = spark.createDataFrame(docs, "doc_id long, pos int, vec array<double>").repartition(3), spark.createDataFrame(asked, "qid long, qpos int, vec array<double>")
+    first = {q: sorted((-s, d) for (p, d), s in want.items() if p == q)[:4] for q in range(40)}
+    for tokens in (1 << 14, 7):
+        monkeypatch.setattr(scoring, "SLICE_TOKENS", tokens)
+        assert {(r.qid, r.doc_id): round(r.score, 6) for r in retrieve.brute_force(a, t).collect()} == want
+        got = retrieve.top(retrieve.brute_force(a, t, 4, 6), 4).collect()
+        assert {q: sorted((-r.score, r.doc_id) for r in got if r.qid == q) for q in range(40)} == first
+
+
+def test_gather_in_parts(spark, monkeypatch):
+    """The best centroid of each document and token, added up, in any parts; with best, the first of each query by score and id."""
+    rng = np.random.default_rng(13)
+    posted = {(int(c), int(d)) for c, d in zip(rng.integers(0, 12, 150), rng.integers(0, 40, 150), strict=True)}
+    hits = [(q, p, int(c), float(s), i + 1) for q in range(15) for p in range(3) for i, (c, s) in enumerate(zip(rng.permutation(14)[:6], -np.sort(-rng.integers(-9, 9, 6) / 8), strict=True))]
+    best = {}
+    for q, p, c, s, _ in hits:
+        for d in (d for k, d in posted if k == c):
+            best[q, p, d] = max(best.get((q, p, d), -9.0), s)
+    want = {}
+    for (q, _, d), s in best.items():
+        want[q, d] = want.get((q, d), 0.0) + s
+    h, p = spark.createDataFrame(hits, "qid long, qpos int, centroid_id int, sim double, rank int"), spark.createDataFrame(sorted(posted), "centroid_id int, doc_id long")
+    for postings in (1 << 22, 20):
+        monkeypatch.setattr(scoring, "PART_POSTINGS", postings)
+        assert {(r.qid, r.doc_id): r.score for r in retrieve.gather(h, p).collect()} == want
+        got = retrieve.prune(retrieve.gather(h, p, 3), 3).collect()
+        assert {(r.qid, r["rank"], r.doc_id, r.score) for r in got} == {(q, r + 1, d, -s) for q in range(15) for r, (s, d) in enumerate(sorted((-s, d) for (k, d), s in want.items() if k == q)[:3])}
+
+
+def test_refine_of_few_and_many(spark, sf):
+    """A few candidates, or nearly all, give the same scores, and the best of each query."""
+    i, q = catalogue.fine_index(spark, sf), catalogue.qt(spark, sf)
+    pairs = q.select("qid").distinct().join(i.doc_packs.select("doc_id"))
+    many = {(r.qid, r.doc_id): round(r.score, 9) for r in retrieve.refine(pairs, q, i.doc_packs, i.centroids, i.codebook).collect()}
+    few = {(r.qid, r.doc_id): round(r.score, 9) for r in retrieve.refine(pairs.where("(qid + doc_id) % 10 = 0"), q, i.doc_packs, i.centroids, i.codebook).collect()}
+    assert len(many) == 500 and len(few) == 50 and all(abs(many[k] - v) < 1e-8 for k, v in few.items())
+    top = lambda df: {(r.qid, r["rank"], r.doc_id) for r in retrieve.top(retrieve.rounded(df), 3).collect()}
+    args = (pairs.where("qid <> doc_id"), q, i.doc_packs, i.centroids, i.codebook)
+    assert top(retrieve.refine(*args)) == top(retrieve.refine(*args, best=3))
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
