@@ -562,6 +562,14 @@ def test_refine_of_few_and_many(spark, sf):
     assert top(retrieve.refine(*args)) == top(retrieve.refine(*args, best=3))
 
 
+def test_cosines_of_odd_vectors(spark):
+    """Every pair has its row: long ids, zero vectors, and those that are null, shorter or hold null."""
+    rows = [(1 << 40, [1.0, 2.0]), (2, [0.0, 0.0]), (3, [-2.0, 1.0]), (4, None), (5, [1.0]), (6, [None, 1.0]), (7, [3.0, 1.0])]
+    a, b = (spark.createDataFrame(rows, f"{c}_id long, {c} array<float>") for c in "ab")
+    want = {tuple(r) for r in a.join(b).select("a_id", "b_id", V.rounded(V.cosine(F.col("a"), F.col("b")))).collect()}
+    assert {tuple(r) for r in blocks.cosines(b, a, 6).collect()} == want and len(want) == 49
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
