@@ -570,6 +570,16 @@ def test_cosines_of_odd_vectors(spark):
     assert {tuple(r) for r in blocks.cosines(b, a, 6).collect()} == want and len(want) == 49
 
 
+def test_sweep_reads_a_stored_index(spark, sf, monkeypatch):
+    """Each timed search reads the index; none encodes the documents again."""
+    seen = []
+    monkeypatch.setattr(evaluate, "timed_sweep", lambda i, *_, **__: seen.append(i) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        catalogue.QUERIES["sweep_csv"](spark, sf)
+    files = [*seen[0].doc_packs.inputFiles(), *seen[0].postings.inputFiles()]
+    assert files and not any("embeddings" in f for f in files)
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
