@@ -580,6 +580,14 @@ def test_sweep_reads_a_stored_index(spark, sf, monkeypatch):
     assert files and not any("embeddings" in f for f in files)
 
 
+def test_recall_clusters_once(spark, sf, monkeypatch):
+    calls, real = [], cluster.cluster
+    monkeypatch.setattr(index.clustering, "cluster", lambda *a: calls.append(1) or real(*a))
+    t = catalogue.tok(spark, sf).where("doc_id < 12")
+    catalogue.recall(t, catalogue.qt(spark, sf).where("qid < 3"), ClusteringParams(kappa=20, mu=4, tau=8, epsilon=1, theta=1), SearchParams(kappa_c=10, kappa_d=10, top_k=10))
+    assert len(calls) == 1
+
+
 def test_sidecars(spark, tmp_path):
     for bad in (-1, 2**32, "x", True, None):
         with pytest.raises(params.QidOutOfRange):
