@@ -507,6 +507,11 @@ def test_equal_sums_of_a_loaded_index(spark, tmp_path):
     assert ranked(retrieve.search(index.load(spark, f"file://{tmp_path}/index"), q, TIED)) == FIRST
 
 
+def test_halves_by_product(spark):
+    df = spark.createDataFrame([(2.0339395,), (-2.0339395,), (1.2345675,), (-0.0,)], "x double")
+    assert [r[0] for r in df.select(V.rounded_by_product(F.col("x"))).collect()] == [2.033939, -2.033939, 1.234568, 0.0]
+
+
 def test_refined_scores_are_rounded_as_in_sql(spark, sf, monkeypatch):
     """First to nine digits, as scores are ordered, and then to six."""
     monkeypatch.setattr(retrieve, "refine", lambda *_, **__: spark.createDataFrame([(1, 2, 1.2345674999999)], "qid long, doc_id long, score double"))
