@@ -512,6 +512,32 @@ def test_halves_by_product(spark):
     assert [r[0] for r in df.select(V.rounded_by_product(F.col("x"))).collect()] == [2.033939, -2.033939, 1.234568, 0.0]
 
 
+def test_large_numbers_by_product(spark):
+    """Beyond a long, and not finite, they stay as they are."""
+    x = [3e15, -1e30, 1e305, float("inf"), float("-inf"), None]
+    assert [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(V.rounded_by_product(F.col("x"))).collect()] == x
+
+
+@pytest.fixture
+def halved(spark, monkeypatch):
+    """The catalogue's index has three documents, whose scores are halves of the sixth digit for one query; decimals round the first and last away from zero."""
+    unit = [[x, 0.0] for x in (2.0339395, 1.2345675, -2.0339395)]
+    centroids = spark.createDataFrame([(c, c, v, v) for c, v in enumerate(unit)], "centroid_id int, token_id long, raw array<double>, unit array<double>")
+    packs = spark.createDataFrame([(c + 1, [c], [0.0], bytearray(1)) for c in range(3)], "doc_id long, centroid_ids array<int>, norms array<double>, codes binary")
+    book = spark.createDataFrame([(0, 0, [0.0, 0.0])], "m int, code int, sub array<double>")
+    i = index.Index(centroids, spark.createDataFrame([(c, c + 1) for c in range(3)], "centroid_id int, doc_id long"), book, packs)
+    monkeypatch.setattr(catalogue, "fine_index", lambda *_: i)
+    monkeypatch.setattr(catalogue, "qt", lambda *_: spark.createDataFrame([(1, 0, [1.0, 0.0])], "qid long, qpos int, vec array<double>"))
+    return lambda name: sorted(tuple(r) for r in catalogue.QUERIES[name](spark, "").collect())
+
+
+HALVES = [(1, 1, 1, 2.033939), (1, 2, 2, 1.234568), (1, 3, 3, -2.033939)]
+
+
+def test_halves_by_graph(halved):
+    assert halved("search_by_graph") == HALVES
+
+
 def test_refined_scores_are_rounded_as_in_sql(spark, sf, monkeypatch):
     """First to nine digits, as scores are ordered, and then to six."""
     monkeypatch.setattr(retrieve, "refine", lambda *_, **__: spark.createDataFrame([(1, 2, 1.2345674999999)], "qid long, doc_id long, score double"))
