@@ -546,6 +546,10 @@ def test_halves_of_a_loaded_index(halved):
     assert halved("index_roundtrip") == HALVES
 
 
+def test_halves_in_a_summary(halved):
+    assert halved("search_summary") == [(0, 0, 0, None), (1, 1, 3, 2.033939)]
+
+
 def test_refined_scores_are_rounded_as_in_sql(spark, sf, monkeypatch):
     """First to nine digits, as scores are ordered, and then to six."""
     monkeypatch.setattr(retrieve, "refine", lambda *_, **__: spark.createDataFrame([(1, 2, 1.2345674999999)], "qid long, doc_id long, score double"))
