@@ -550,6 +550,12 @@ def test_halves_in_a_summary(halved):
     assert halved("search_summary") == [(0, 0, 0, None), (1, 1, 3, 2.033939)]
 
 
+def test_means_that_are_halves(spark):
+    """7.5e-09 and 1.63565e-05 times a billion are just below a half."""
+    rows = spark.createDataFrame([(1, 0, 5, [7.5e-09, 1.63565e-05, -7.5e-09])], "doc_id long, pos int, token_id long, vec array<double>")
+    assert cluster.mean_centroids(rows).first()["raw"] == [7e-09, 1.6356e-05, -7e-09]
+
+
 def test_refined_scores_are_rounded_as_in_sql(spark, sf, monkeypatch):
     """First to nine digits, as scores are ordered, and then to six."""
     monkeypatch.setattr(retrieve, "refine", lambda *_, **__: spark.createDataFrame([(1, 2, 1.2345674999999)], "qid long, doc_id long, score double"))
