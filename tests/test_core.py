@@ -556,6 +556,14 @@ def test_means_that_are_halves(spark):
     assert cluster.mean_centroids(rows).first()["raw"] == [7e-09, 1.6356e-05, -7e-09]
 
 
+def test_norms_that_are_halves_in_a_loaded_index(spark, tmp_path):
+    tokens = spark.createDataFrame([(1, 0, 0, [7.5e-09, 0.0]), (1, 1, 0, [0.0, -1.63565e-05])], "doc_id long, pos int, centroid_id int, vec array<double>")
+    centroids = spark.createDataFrame([(0, 0, [0.0, 0.0], [0.0, 0.0])], "centroid_id int, token_id long, raw array<double>, unit array<double>")
+    book = spark.createDataFrame([(0, 0, [0.0, 0.0])], "m int, code int, sub array<double>")
+    index.save(index.assemble(tokens, centroids, book, digits=9, base="raw"), f"file://{tmp_path}/index")
+    assert index.load(spark, f"file://{tmp_path}/index").doc_packs.first()["norms"] == [7e-09, 1.6356e-05]
+
+
 def test_refined_scores_are_rounded_as_in_sql(spark, sf, monkeypatch):
     """First to nine digits, as scores are ordered, and then to six."""
     monkeypatch.setattr(retrieve, "refine", lambda *_, **__: spark.createDataFrame([(1, 2, 1.2345674999999)], "qid long, doc_id long, score double"))
