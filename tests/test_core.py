@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lateloom import params
-from lateloom.functions import sampling, shared
+from lateloom.functions import arrays, sampling, shared
 from lateloom.functions import vectors as V
 from lateloom.operators import blocks, budget, cluster, encode, evaluate, hnsw, index, kmeans, parity, pq, retrieve, scoring, stats
 from lateloom.params import ClusteringParams, SearchParams
@@ -564,6 +564,25 @@ def test_norms_that_are_halves_in_a_loaded_index(spark, tmp_path):
     assert index.load(spark, f"file://{tmp_path}/index").doc_packs.first()["norms"] == [7e-09, 1.6356e-05]
 
 
+def test_scores_that_are_halves_of_the_ninth_digit(spark):
+    """1 / 1024 goes up, as in the SQL's engine, and not to the even digit: so both documents are equal, and the least id is first."""
+    unit = [[1 / 1024, 0.0], [0.000976563, 0.0]]
+    centroids = spark.createDataFrame([(c, c, v, v) for c, v in enumerate(unit)], "centroid_id int, token_id long, raw array<double>, unit array<double>")
+    packs = spark.createDataFrame([(c + 1, [c], [0.0], bytearray(1)) for c in range(2)], "doc_id long, centroid_ids array<int>, norms array<double>, codes binary")
+    book = spark.createDataFrame([(0, 0, [0.0, 0.0])], "m int, code int, sub array<double>")
+    i = index.Index(centroids, spark.createDataFrame([(c, c + 1) for c in range(2)], "centroid_id int, doc_id long"), book, packs)
+    q = spark.createDataFrame([(1, 0, [1.0, 0.0])], "qid long, qpos int, vec array<double>")
+    hits = retrieve.search(i, q, SearchParams(kappa_c=2, kappa_d=2, alpha=None, top_k=1))
+    assert [r["doc_id"] for r in hits.collect()] == [1]
+    assert [tuple(r) for r in retrieve.summary(q.select("qid"), q, hits).collect()] == [(1, 1, 1, 0.000976563)]
+
+
+def test_numpy_rounds_as_the_columns_do(spark):
+    x = [7.5e-09, -1.63565e-05, 1 / 1024, -3 / 1024, 5 / 1024, -0.0, 1e305, float("inf"), float("-inf"), 2.0339395, 4503599.627370497, 0.0]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(V.rounded_by_product(F.col("x"), 9)).collect()]
+    assert arrays.rounded(np.array(x)).tolist() == want and want[2:5] == [0.000976563, -0.002929688, 0.004882813]
+
+
 def test_refined_scores_are_rounded_as_in_sql(spark, sf, monkeypatch):
     """First to nine digits, as scores are ordered, and then to six."""
     monkeypatch.setattr(retrieve, "refine", lambda *_, **__: spark.createDataFrame([(1, 2, 1.2345674999999)], "qid long, doc_id long, score double"))
